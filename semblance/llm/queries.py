@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .packing import op10_packing
+from .url_rules import OP1_SQL, op1_url_filter
 
-QUERIES = {"op10_packing": op10_packing}
+QUERIES = {"op1_url_filter": op1_url_filter, "op10_packing": op10_packing}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL}
