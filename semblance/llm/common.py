@@ -6,13 +6,15 @@ never materialised as Python strings here; a word is a 64-bit hash taken from ru
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import kept
+
+__all__ = ["kept"]
+
 #: Bytes of text that are worked on at once, unless one word is longer.
 BLOCK = 1 << 20
 
@@ -162,27 +164,6 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a folder of our own where that is unset."""
-    from pyspark.errors import PySparkException
-
-    context = spark.sparkContext
-    try:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    except PySparkException:
-        folder = context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = context.getCheckpointDir() or "/tmp/semblance-shared"
-    return folder
-
-
-def kept(df: DataFrame, partitions_by: str | None = None) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: cuts the lineage and outlives lost executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/semblance-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def crc_fold(id_col: str, folds: int) -> F.Column:
     """crc32 of the id as text, modulo folds."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds

@@ -305,17 +305,14 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, longest:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(2 * partitions, math.ceil(size / RANGE_BYTES))
     profiles = kept(_profiles(_shared(_scatter(texts, n, ranges), ranges), percent, longest))
-    links, roots, last = None, None, -1
+    roots = None
     for star in [*range(star_rounds), None]:
         pairs = _candidates(_postings(profiles, roots, ranges), percent, star)
         new = kept(_verified(pairs, profiles, percent).select("u", "v"))
         count = new.count()
         if count:
-            links = new if links is None else links.union(new)
-            roots = kept(components(links))
-        if star is not None and star and count * 10 < last:
-            continue
-        last = count
+            edges = new if roots is None else new.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+            roots = kept(components(edges))
     classes = document_classes(texts, n)
     return components_of_rows(classes, roots)
 
