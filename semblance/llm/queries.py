@@ -5,9 +5,10 @@ from __future__ import annotations
 from .language_crf import op7_language_id
 from .ngram_join import OP8_SQL, op8_ngram_join
 from .packing import op10_packing
+from .tiling import op3_decontamination
 from .toxicity import op5_toxicity
 from .url_rules import OP1_SQL, op1_url_filter
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op5_toxicity": op5_toxicity, "op7_language_id": op7_language_id, "op8_ngram_join": op8_ngram_join, "op10_packing": op10_packing}
+QUERIES = {"op1_url_filter": op1_url_filter, "op3_decontamination": op3_decontamination, "op5_toxicity": op5_toxicity, "op7_language_id": op7_language_id, "op8_ngram_join": op8_ngram_join, "op10_packing": op10_packing}
 
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_ngram_join": OP8_SQL}
