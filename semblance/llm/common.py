@@ -53,6 +53,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def runs_of(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of each run of rows alike in all keys; no rows have no runs."""
+    n = len(keys[0])
+    if not n:
+        return []
+    change = np.zeros(n - 1, bool)
+    for key in keys:
+        change |= key[1:] != key[:-1]
+    cuts = [0, *(np.flatnonzero(change) + 1).tolist(), n]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and their len + 1 offsets. Null reads as empty."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -235,47 +235,49 @@ def fit_crf(labelled: DataFrame, *, docs_per_language: int = 250, longest_bytes:
     return train([r.text for r in rows], [r.label for r in rows])
 
 
-def tag_languages(docs: DataFrame, model: Crf, *, spans: bool = False) -> DataFrame:
-    """doc_id, text_hash, lang_pred, score and, if asked for, spans: runs of words (start, end, lang) of one label."""
+SPANS = "array<struct<start: long, end: long, lang: string>>"
+
+
+def tag_languages(docs: DataFrame, model: Crf, *, text_col: str = "text", spans: bool = False) -> DataFrame:
+    """docs with all its columns and _lang_pred, _lang_score and, if asked for, _spans: runs of words of one label."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: features x languages, bounded lexicon
-    kind = "doc_id long, text_hash long, lang_pred string, score double" + (", spans array<struct<start: long, end: long, lang: string>>" if spans else "")
-    names = ["doc_id", "text_hash", "lang_pred", "score"] + ["spans"] * spans
-    if not model.languages:
-        blank = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-        return blank.withColumn("spans", F.expr("cast(array() as array<struct<start: long, end: long, lang: string>>)")) if spans else blank
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    added = "_lang_pred string, _lang_score double" + f", _spans {SPANS}" * spans
+    text = F.col(text_col).cast("string")
+    rows = docs.withColumns({"_text": text, "_letters": F.coalesce(text.rlike(r"\p{L}"), F.lit(False))})
+    own = docs.columns
 
     def run(batches):
         field = shipped.value
         languages = np.array(field.languages, object)
         for batch in batches:
-            column, letters = batch.column("text"), batch.column("letters").to_numpy(zero_copy_only=False)
+            column, letters = batch.column("_text"), batch.column("_letters").to_numpy(zero_copy_only=False)
             data, _ = text_buffers(column)
             for first, count, hashes, offsets, starts, ends in words_of(column):
                 words, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                post = np.zeros((0, len(languages)))
-                if len(words):
+                post = np.zeros((len(hashes), max(1, len(languages))))
+                if len(words) and len(languages):
                     grams, sizes = grams_of(data, starts[at], ends[at])
                     post = marginals(emissions(field, words, grams, sizes)[inverse], field.moves, offsets)
-                sums = np.vstack([np.zeros(len(languages)), np.cumsum(post, 0)])
+                sums = np.vstack([np.zeros(post.shape[1]), np.cumsum(post, 0)])
                 share = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)[:, None]
-                ok = letters[first : first + count] & (np.diff(offsets) > 0)
-                best = share.argmax(1)
-                out = [batch.column("doc_id").slice(first, count), batch.column("text_hash").slice(first, count), pa.array(np.where(ok, languages[best], "und"), pa.string()), pa.array(np.where(ok, share.max(1).clip(0, 1), 0.0))]
+                ok = letters[first : first + count] & (np.diff(offsets) > 0) & (len(languages) > 0)
+                names = languages if len(languages) else np.array(["und"], object)
+                out = [batch.column(c).slice(first, count) for c in own]
+                out += [pa.array(np.where(ok, names[share.argmax(1)], "und"), pa.string()), pa.array(np.where(ok, share.max(1).clip(0, 1), 0.0))]
                 if spans:
                     label, runs = post.argmax(1), []
                     for a, b, fine in zip(offsets[:-1], offsets[1:], ok, strict=True):
-                        cut = np.flatnonzero(np.diff(label[a:b])) + 1 if fine else []
-                        edges = [0, *cut, b - a] if fine else []
-                        runs.append([{"start": int(s), "end": int(e), "lang": languages[label[a + s]]} for s, e in zip(edges[:-1], edges[1:], strict=True)])
+                        edges = [0, *(np.flatnonzero(np.diff(label[a:b])) + 1), b - a] if fine else []
+                        runs.append([{"start": int(s), "end": int(e), "lang": names[label[a + s]]} for s, e in zip(edges[:-1], edges[1:], strict=True)])
                     out.append(pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
-                yield pa.RecordBatch.from_arrays(out, names)
+                yield pa.RecordBatch.from_arrays(out, [*own, "_lang_pred", "_lang_score", *["_spans"] * spans])
 
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(run, f"{schema}, {added}")
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = fit_crf(docs.select("doc_id", "text", "lang").where(crc_fold("doc_id", 3) != 1))
     found = tag_languages(keyed_texts(docs), model)
-    return found.select("doc_id", F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))

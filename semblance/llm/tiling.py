@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, mix, read_table, shingles_of, words_of
+from .common import keyed_texts, mix, read_table, runs_of, shingles_of, words_of
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -148,8 +148,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, np.ndarray]], least: int, perc
                     at = np.searchsorted(table[1], shingles)
                     at[at == len(table[1])] = 0
                     hit = np.flatnonzero(table[1][at] == shingles)
-                    cut = np.flatnonzero(np.r_[True, np.diff(where[hit]) > 0]) if len(hit) else []
-                    for a, b in zip(cut, [*cut[1:], len(hit)], strict=True):
+                    for a, b in runs_of(where[hit]):
                         found.setdefault(int(where[hit[a]]), []).append(shingles[hit[a:b]])
                 for r in sorted(found):
                     for item_id, n, covered, tiles in tiled(hashes[offsets[r] : offsets[r + 1]], np.concatenate(found[r]), table):
