@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from .compact_windows import op4_substring_dedup
 from .language_crf import op7_language_id
+from .learned_partitions import op2_nearest
 from .ngram_join import OP8_SQL, op8_ngram_join
 from .packing import op10_packing
 from .tiling import op3_decontamination
 from .toxicity import op5_toxicity
 from .url_rules import OP1_SQL, op1_url_filter
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_decontamination": op3_decontamination, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op7_language_id": op7_language_id, "op8_ngram_join": op8_ngram_join, "op10_packing": op10_packing}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_nearest": op2_nearest, "op3_decontamination": op3_decontamination, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op7_language_id": op7_language_id, "op8_ngram_join": op8_ngram_join, "op10_packing": op10_packing}
 
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_ngram_join": OP8_SQL}
