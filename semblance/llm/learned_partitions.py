@@ -194,7 +194,7 @@ def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 10, recall: float =
     sizes = {r.part: r["count"] for r in indexed.groupBy("part").count().collect()}  # one number for each part
     splits = F.coalesce(*[F.when(F.col("part") == p, F.lit(math.ceil(n / rows_per_task))) for p, n in sizes.items() if n > rows_per_task], F.lit(1))
     asked = usable(queries, id_col, vec_col).where(F.size("v") == width).dropDuplicates(["vec_id", "v"])
-    routed = asked.mapInArrow(route, "part long, vec_id long, v array<double>").withColumn("split", F.explode(F.sequence(F.lit(0), splits - 1)).cast("long"))
+    routed = asked.mapInArrow(route, "part long, vec_id long, v array<double>").withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), (splits - 1).cast("long"))))
     stored = indexed.withColumn("split", F.pmod(F.xxhash64("vec_id"), splits).cast("long"))
 
     def ranked(key, left, right):
