@@ -1,23 +1,18 @@
-"""Schemas of the catalog tables; encoded text columns of older stores are maps and arrays here."""
+"""Schemas (DDL) of the catalog tables; encoded text columns of older stores are maps and arrays here."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def _of(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-DIR = _of("id BIGINT, name STRING")
-FILE = _of("id BIGINT, dirid BIGINT, name STRING, contentid BIGINT, mtime BIGINT")
-CONTENT = _of("id BIGINT, first1ksha1 STRING, fullsha1 STRING, size BIGINT, parts MAP<BIGINT,STRING>, isimage BOOLEAN")
-IMAGEHASH = _of("id BIGINT, contentid BIGINT, iht INT, hash STRING")
-IMAGECMP = _of("contentid BIGINT, iht INT, similarity_threshold DOUBLE, score BIGINT, numpairs BIGINT, pairs ARRAY<STRUCT<contentid:BIGINT,distance:INT>>")
-IMAGEFEEDBACK = _of("contentid1 BIGINT, contentid2 BIGINT, aresimilar INT")
-LISTING = _of("dir STRING, name STRING, size BIGINT, mtime BIGINT, dev BIGINT, inode BIGINT, regular BOOLEAN")
+DIR = "id BIGINT, name STRING"
+FILE = "id BIGINT, dirid BIGINT, name STRING, contentid BIGINT, mtime BIGINT"
+CONTENT = "id BIGINT, first1ksha1 STRING, fullsha1 STRING, size BIGINT, parts MAP<BIGINT,STRING>, isimage BOOLEAN"
+IMAGEHASH = "id BIGINT, contentid BIGINT, iht INT, hash STRING"
+IMAGECMP = "contentid BIGINT, iht INT, similarity_threshold DOUBLE, score BIGINT, numpairs BIGINT, pairs ARRAY<STRUCT<contentid:BIGINT,distance:INT>>"
+IMAGEFEEDBACK = "contentid1 BIGINT, contentid2 BIGINT, aresimilar INT"
+LISTING = "dir STRING, name STRING, size BIGINT, mtime BIGINT, dev BIGINT, inode BIGINT, regular BOOLEAN"
 
 #: Columns that are unique together.
 UNIQUE = {"dir": ["name"], "file": ["dirid", "name"], "content": ["fullsha1", "size"], "imagehash": ["contentid", "iht"], "imagecmp": ["contentid", "iht"], "imagefeedback": ["contentid1", "contentid2"]}
