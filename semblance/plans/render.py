@@ -59,9 +59,9 @@ def json_document(items: DataFrame, most: int = 100_000) -> str:
 
 
 def kernel_lines(compared: DataFrame, width: int) -> DataFrame:
-    """``id: score total=c0,c1,… o:d o:d…`` of a comparison."""
+    """``id: score total=c0,c1,… o:d o:d…`` of a comparison; a count of none is left out."""
     counts = F.map_from_entries(F.transform("counts", lambda c: F.struct(c["distance"], c["count"])))
-    row = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda d: F.coalesce(F.element_at(counts, d), F.lit(0)).cast("string")), ",")
+    row = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda d: F.coalesce(F.element_at(counts, d).cast("string"), F.lit(""))), ",")
     pairs = F.array_join(F.transform("pairs", lambda p: F.concat(p["contentid"].cast("string"), F.lit(":"), p["distance"].cast("string"))), " ")
     return compared.select("id", F.format_string("%d: %d %d=%s %s", F.col("id"), F.col("score"), F.col("total"), row, pairs).alias("line"))
 

@@ -55,20 +55,20 @@ def _histograms(spark, sf_dir, channels: int = 1) -> DataFrame:
     """Gray: 16 bins of 8 bits from each 4 components' squares; colour: three such from thirds of the vector."""
     v = F.col("embedding")
     if channels == 1:
-        bins = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: _bin(v, i * 4, 4))
+        bins = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: _bin(v, i * 4, 4, 512))
     else:
-        bins = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: _bin(v, i, 4))
+        bins = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: _bin(v, i, 4, 256))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), bins.alias("h"))
 
 
-def _bin(v, at, n):
+def _bin(v, at, n, scale):
     total = F.aggregate(F.slice(v, at + 1, F.lit(n)), F.lit(0.0), lambda s, x: s + F.abs(x.cast("double")))
-    return F.least(F.floor(total * 64), F.lit(255)).cast("int")
+    return F.least(F.floor(total * scale), F.lit(255)).cast("int")
 
 
 def _sql_histograms(channels: int) -> str:
-    at, n = ("i * 4", 16) if channels == 1 else ("i", 48)
-    return f"""hist AS (SELECT vec_id AS id, list_transform(range({n}), lambda i: least(floor((abs(embedding[{at} + 1]::DOUBLE) + abs(embedding[{at} + 2]::DOUBLE) + abs(embedding[{at} + 3]::DOUBLE) + abs(embedding[{at} + 4]::DOUBLE)) * 64), 255)::INT) AS h FROM embeddings
+    at, n, scale = ("i * 4", 16, 512) if channels == 1 else ("i", 48, 256)
+    return f"""hist AS (SELECT vec_id AS id, list_transform(range({n}), lambda i: least(floor((abs(embedding[{at} + 1]::DOUBLE) + abs(embedding[{at} + 2]::DOUBLE) + abs(embedding[{at} + 3]::DOUBLE) + abs(embedding[{at} + 4]::DOUBLE)) * {scale}), 255)::INT) AS h FROM embeddings
 ), close AS (
   SELECT id, other, {'(100 * s // 4096)' if channels == 1 else '(100 * (s // 3) // 4096)'}::INT AS distance FROM (
     SELECT x.id AS id, y.id AS other, list_sum(list_transform(list_zip(x.h, y.h), lambda p: abs(p[1] - p[2])))::BIGINT AS s FROM hist x JOIN hist y ON x.id <> y.id)
@@ -180,7 +180,7 @@ def _with_halves(spark, sf_dir) -> DataFrame:
 ), p AS (SELECT l.k, l.cid AS large_id, s.cid AS small_id, l.size AS large_size, s.size AS small_size FROM c l JOIN c s ON l.k = s.k AND l.size > s.size AND starts_with(l.text, s.text))
 SELECT large_size, a.path AS large_path, small_size, b.path AS small_path, ctxt_index, ctxt_size,
   row_number() OVER (PARTITION BY p.k ORDER BY large_size DESC, large_id, small_size DESC, small_id, a.dir, a.name, b.dir, b.name) - 1 AS ctxt_subindex
-FROM p JOIN h a ON a.cid = large_id JOIN h b ON b.cid = small_id JOIN g USING (k)""")
+FROM p JOIN h a ON a.cid = large_id JOIN h b ON b.cid = small_id JOIN g ON g.k = p.k""")
 def truncated_pairs(spark, sf_dir):
     files = _with_halves(spark, sf_dir)
     ids = files.groupBy("fullsha1").agg(F.min("file_id").alias("contentid"))
