@@ -10,9 +10,12 @@ everything after the scan works on classes, so copies cost nothing further.
    n - ceil(s n) + l shingles have at least l in common with the partner's, for whatever l up to ``longest``. Each
    class picks the l of least estimated cost: the postings to read plus the candidates that l matches leave.
    Two classes are candidates if they share min(l, l') shingles of their prefixes.
-3. Links: rounds of star candidates (one pivot for each posting list) are verified first; lists then give only
-   pairs of different components, and these, filtered by their number of matches, are verified in turn. A group
-   of near-copies thus costs about its size, not its square, and no link between components is missed.
+3. Links: rounds of star candidates (one pivot for each posting list, at first the one with the fewest shingles
+   of its own) are verified first; lists then give only pairs of different components, and these, filtered by
+   their number of matches, are verified in turn. A group of near-copies thus costs about its size, not its
+   square, and no link between components is missed. Pairs that cannot link are never made: a class has shingles
+   alone that no partner has, and the parities of 256 hash buckets of the others (an odd sketch) differ in no more
+   places than the sets do.
 
 Defined results: a null or empty text, or one without words, is an empty set and links with nothing; a text of
 fewer words than n has its whole sequence as one shingle; rows that repeat an id are documents of their own; a
@@ -28,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, kept, mix, read_table, shingles_of, words_of
+from .common import keyed_texts, kept, mix, read_table, runs_of, shingles_of, words_of
 from .components import components
 
 #: Bytes of text whose shingles a range holds, about; shingles that a task sorts at once.
 RANGE_BYTES, BLOCK_SHINGLES = 24 << 20, 1_500_000
 #: Bits of a shingle's hash that are kept beside its range.
 LOW = 40
+#: Turns a shingle's hash into the bit that it flips in its class's sketch.
+_PARITY = np.uint64(0xA0761D6478BD642F)
 #: Cost of verifying a candidate, in postings read.
 VERIFY_COST = 4
 
@@ -79,9 +84,8 @@ def _scatter(docs: DataFrame, n: int, ranges: int) -> DataFrame:
         cut = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])]) if len(part) else np.zeros(0, int)
         counts = np.diff(np.r_[cut, len(part)]).astype(np.uint32)
         run_part, run_doc = part[cut], doc[cut]
-        edges = np.flatnonzero(np.r_[True, run_part[1:] != run_part[:-1]]) if len(cut) else []
         names, blobs = [], []
-        for a, b in zip(edges, [*edges[1:], len(cut)], strict=True):
+        for a, b in runs_of(run_part):
             lo, hi = cut[a], cut[b] if b < len(cut) else len(part)
             names.append(int(run_part[a]))
             blobs.append(b"".join((np.uint32(b - a).tobytes(), cls[run_doc[a:b]].tobytes(), sizes[run_doc[a:b]].astype(np.uint32).tobytes(), counts[a:b].tobytes(), low[lo:hi].astype(np.uint32).tobytes(), (low[lo:hi] >> np.uint64(32)).astype(np.uint8).tobytes())))
@@ -138,9 +142,8 @@ def _shared(parts: DataFrame, out_parts: int) -> DataFrame:
         to, rows = to[order], np.zeros(len(to), _SHARED)
         for name, x in zip(_SHARED.names, (cls, token, sizes, freq), strict=True):
             rows[name] = x[order]
-        edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
-        blobs = [rows[a:b].tobytes() for a, b in zip(edges, [*edges[1:], len(to)], strict=True)]
-        return pa.table({"part": pa.array([int(to[a]) for a in edges], pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        edges = runs_of(to)
+        return pa.table({"part": pa.array([int(to[a]) for a, _ in edges], pa.int64()), "blob": pa.array([rows[a:b].tobytes() for a, b in edges], pa.binary())})
 
     return parts.groupBy("part").applyInArrow(run, "part long, blob binary")
 
@@ -166,31 +169,36 @@ def choose_prefix(size: int, freq: np.ndarray, least: int, longest: int) -> tupl
 
 
 def _profiles(shared: DataFrame, percent: int, longest: int) -> DataFrame:
-    """(cls, size, match, tokens, prefix) of the classes that can link at all."""
+    """(cls, size, shared, match, sketch, tokens, prefix) of the classes that can link at all."""
 
     def run(key, table):
         rows = np.concatenate([np.frombuffer(x.as_buffer(), _SHARED) for x in table.column("blob")])
         rows = rows[np.lexsort((rows["token"], rows["freq"], rows["cls"]))]
-        cut = np.flatnonzero(np.r_[True, rows["cls"][1:] != rows["cls"][:-1]])
-        out: dict[str, list] = {"cls": [], "size": [], "match": [], "tokens": [], "prefix": []}
+        cuts = runs_of(rows["cls"])
+        cut = np.array([a for a, _ in cuts])
+        owner = np.repeat(np.arange(len(cuts)), [b - a for a, b in cuts])
+        bit = (mix(rows["token"] ^ _PARITY) & np.uint64(255)).astype(np.int64)
+        odd = np.bincount(owner * 256 + bit, minlength=256 * len(cuts)).reshape(len(cuts), 256) & 1
+        sketches = [x.tobytes() for x in np.packbits(odd.astype(bool), axis=1)]
+        out: dict[str, list] = {"cls": [], "size": [], "shared": [], "match": [], "sketch": [], "tokens": [], "prefix": []}
         token = np.ascontiguousarray(rows["token"])
         sizes, freq, names = rows["size"][cut].tolist(), rows["freq"].astype(np.int64), rows["cls"][cut].view(np.int64).tolist()
-        for a, b, size, name in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], sizes, names, strict=True):
+        for a, b, size, name, sketch in zip(*zip(*cuts, strict=True), sizes, names, sketches, strict=True):
             match, length = choose_prefix(size, freq[a:b], -(-percent * size // 100), longest)
             if match:
-                for k, v in zip(out, (name, size, match, np.sort(token[a:b]).tobytes(), token[a : a + length].tobytes()), strict=True):
+                for k, v in zip(out, (name, size, b - a, match, sketch, np.sort(token[a:b]).tobytes(), token[a : a + length].tobytes()), strict=True):
                     out[k].append(v)
-        return pa.table(out, schema=pa.schema([("cls", pa.int64()), ("size", pa.int64()), ("match", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.binary())]))
+        return pa.table(out, schema=pa.schema([("cls", pa.int64()), ("size", pa.int64()), ("shared", pa.int64()), ("match", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.binary())]))
 
-    return shared.groupBy("part").applyInArrow(run, "cls long, size long, match long, tokens binary, prefix binary")
+    return shared.groupBy("part").applyInArrow(run, "cls long, size long, shared long, match long, sketch binary, tokens binary, prefix binary")
 
 
-_POSTING = np.dtype([("token", "<u8"), ("cls", "<i8"), ("root", "<i8"), ("size", "<u4"), ("match", "<u4")])
+_POSTING = np.dtype([("token", "<u8"), ("cls", "<i8"), ("root", "<i8"), ("size", "<u4"), ("shared", "<u4"), ("match", "<u4"), ("sketch", "<u8", (4,))])
 
 
 def _postings(profiles: DataFrame, roots: DataFrame | None, ranges: int) -> DataFrame:
     """(part, blob): prefix postings by hash range; a class that has no root yet is its own."""
-    rows = profiles.select("cls", "size", "match", "prefix")
+    rows = profiles.select("cls", "size", "shared", "match", "sketch", "prefix")
     rows = rows.withColumn("root", F.col("cls")) if roots is None else rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
     def run(batches):
@@ -201,23 +209,24 @@ def _postings(profiles: DataFrame, roots: DataFrame | None, ranges: int) -> Data
             counts = np.array([len(x) for x in prefix])
             got = np.zeros(int(counts.sum()), _POSTING)
             got["token"] = np.concatenate(prefix)
-            for name in _POSTING.names[1:]:
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, 4)
+            got["sketch"] = np.repeat(sketch, counts, axis=0)
+            for name in ("cls", "root", "size", "shared", "match"):
                 got[name] = np.repeat(batch.column(name).to_numpy(zero_copy_only=False), counts)
             to = ((mix(got["token"]) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             order = np.argsort(to, kind="stable")
             to, got = to[order], got[order]
-            edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a in edges], pa.int64()), pa.array([got[a:b].tobytes() for a, b in zip(edges, [*edges[1:], len(to)], strict=True)], pa.binary())], ["part", "blob"])
+            edges = runs_of(to)
+            yield pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a, _ in edges], pa.int64()), pa.array([got[a:b].tobytes() for a, b in edges], pa.binary())], ["part", "blob"])
 
-    return rows.select("cls", "size", "match", "prefix", "root").mapInArrow(run, "part long, blob binary")
+    return rows.select("cls", "size", "shared", "match", "sketch", "prefix", "root").mapInArrow(run, "part long, blob binary")
 
 
 def _lists(table: pa.Table):
     """The posting lists of a range, each sorted by component and class."""
     rows = np.concatenate([np.frombuffer(x.as_buffer(), _POSTING) for x in table.column("blob")])
     rows = rows[np.lexsort((rows["cls"], rows["root"], rows["token"]))]
-    cut = np.flatnonzero(np.r_[True, rows["token"][1:] != rows["token"][:-1]])
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=True):
+    for a, b in runs_of(rows["token"]):
         if rows["root"][a] != rows["root"][b - 1]:
             yield rows[a:b]
 
@@ -228,6 +237,8 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int64()),
 def _summed(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Pairs once each, with their hits added up."""
     a, b, need, hits = (np.concatenate([x[i] for x in found]) for i in range(4))
+    if not len(a):
+        return a, b, need, hits
     order = np.lexsort((b, a))
     a, b, need, hits = a[order], b[order], need[order], hits[order]
     cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
@@ -235,8 +246,14 @@ def _summed(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 
 def _pair_rows(x, y, percent: int) -> tuple[np.ndarray, ...]:
-    """Pairs of postings, row by row, whose sizes let them link."""
-    fit = 100 * np.minimum(x["size"], y["size"]).astype(np.int64) >= percent * np.maximum(x["size"], y["size"]).astype(np.int64)
+    """Pairs of postings, row by row, that can link.
+
+    The sets differ in at least the shingles that each has alone and the odd bits of their sketches.
+    """
+    total = x["size"].astype(np.int64) + y["size"]
+    differ = total - x["shared"] - y["shared"] + np.bitwise_count(x["sketch"] ^ y["sketch"]).sum(1, dtype=np.int64)
+    most = np.minimum(np.minimum(x["shared"], y["shared"]).astype(np.int64), (total - differ) // 2)
+    fit = 100 * most >= percent * (total - most)
     x, y = x[fit], y[fit]
     return np.minimum(x["cls"], y["cls"]), np.maximum(x["cls"], y["cls"]), np.minimum(x["match"], y["match"]).astype(np.int64), np.ones(len(x), np.int64)
 
@@ -249,8 +266,9 @@ def _candidates(postings: DataFrame, percent: int, star: int | None) -> DataFram
         for rows in _lists(table):
             if star is not None:
                 roots, counts = np.unique(rows["root"], return_counts=True)
-                own = np.flatnonzero(rows["root"] == roots[np.argmax(counts)])
-                pivot = own[np.argmin(mix(rows["cls"][own].view(np.uint64) + np.uint64(star)))]
+                own = np.flatnonzero(rows["root"] == roots[np.argmax(counts)]) if star else np.arange(len(rows))
+                lone = (rows["size"] - rows["shared"])[own] / rows["size"][own] if star == 0 else 0
+                pivot = own[np.lexsort((mix(rows["cls"][own].view(np.uint64) + np.uint64(star)), lone * np.ones(len(own))))[0]]
                 other = rows[rows["root"] != rows["root"][pivot]]
                 found.append(_pair_rows(np.repeat(rows[pivot : pivot + 1], len(other)), other, percent))
                 held += len(found[-1][0])
@@ -297,7 +315,7 @@ def _verified(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, longest: int = 6, star_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text), cls (class id), n_shingles, component_id for each row."""
+    """doc_id, text_hash (xxhash64 of the text), cls (class id), n_shingles, root (component), component_id for each row."""
     if not 0 < percent <= 100:
         raise ValueError("percent is over 0 and at most 100")
     spark, texts = docs.sparkSession, keyed_texts(docs, id_col, text_col)
@@ -318,16 +336,30 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, longest:
 
 
 def components_of_rows(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows with the root class of their component and its least doc_id."""
     rows = kept(classes)
     own = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     if roots is not None:
         member = own.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-        own = member.join(least, "root").select("cls", "component_id")
+        own = member.join(least, "root").select("cls", "root", "component_id")
     else:
-        own = own.select("cls", F.col("least").alias("component_id"))
+        own = own.select("cls", F.col("cls").alias("root"), F.col("least").alias("component_id"))
     joined = rows.join(own, "cls", "left")
-    return joined.select("doc_id", "text_hash", "cls", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = F.col("n_shingles") > 0
+    return joined.select("doc_id", "text_hash", "cls", "n_shingles", F.when(linked, F.col("root")).alias("root"), F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and others) that stand for their component: its least doc_id, then text hash.
+
+    Rows without words link with nothing and all stay. Of rows alike in id and text one stays.
+    """
+    best = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")).select("best.doc_id", "best.text_hash")
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    stays = rows.join(best.toDF("_id", "_best"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_best")), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    blank = rows.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return stays.unionByName(blank).drop("_hash")
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
