@@ -107,7 +107,7 @@ class Router:
 def fit_router(points: np.ndarray, parts: int, recall: float, k: int = 10, seed: int = 3) -> tuple[Router, int]:
     """The classifier, and how many parts a query must visit for the recall on held-back points."""
     rng = np.random.default_rng(seed)
-    aside = rng.random(len(points)) < min(0.2, 500 / max(1, len(points)))
+    aside = rng.random(len(points)) < (min(0.2, 500 / len(points)) if len(points) > 50 else 0)
     base, held = points[~aside], points[aside]
     parts = max(1, min(parts, len(base) // 20))
     near = neighbours(base, base, min(k, max(1, len(base) - 1)), True) if len(base) > 1 else np.zeros((len(base), 1), int)
