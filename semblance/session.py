@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_kept: list[str] = []
 
 
 def ship_package(spark: SparkSession, *more: str) -> None:
@@ -42,4 +43,15 @@ def kept(df: DataFrame) -> DataFrame:
     """df written to the shared folder as Parquet and read again: cuts the lineage and outlives lost executors."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/semblance-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _kept.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_kept(spark: SparkSession) -> int:
+    """Deletes what kept() has written so far; to be called when no DataFrame that reads it is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _kept:
+        path = jvm.org.apache.hadoop.fs.Path(_kept.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
