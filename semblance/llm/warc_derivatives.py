@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 DATE = "2024-01-01T00:00:00Z"
-# RFC 4648 base 32 alphabet; named entities and their characters, the ampersand last.
+# RFC 4648 base 32 alphabet; named entities and their characters.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ENTITIES = [("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("copy", "©"), ("reg", "®"), ("middot", "·"), ("ndash", "–"), ("mdash", "—"), ("hellip", "…"), ("laquo", "«"), ("raquo", "»"), ("euro", "€"), ("amp", "&")]
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
@@ -33,9 +33,9 @@ HREF = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?([^"'>\s]+)"""
 def digest(content: Column) -> Column:
     """``sha1:`` and the hash in base 32."""
     hexed = F.sha1(content)
-    piece = lambda i: F.conv(F.substr(hexed, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
-    letter = lambda i: F.substr(F.lit(BASE32), (F.floor(piece(i) / F.pow(F.lit(2), 15 - 5 * (i % 4))) % 32 + 1).cast("int"), F.lit(1))
-    return F.concat(F.lit("sha1:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), ""))
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substr(hexed, i * 5 + 1, F.lit(5)), 16, 10).cast("int"))  # 20 bits each
+    letter = lambda n, bit: F.substr(F.lit(BASE32), F.shiftright(n, bit).bitwiseAND(F.lit(31)) + 1, F.lit(1))
+    return F.concat(F.lit("sha1:"), F.array_join(F.transform(groups, lambda n: F.concat(*[letter(n, bit) for bit in (15, 10, 5, 0)])), ""))
 
 
 def record_id(*parts: Column) -> Column:
@@ -44,17 +44,23 @@ def record_id(*parts: Column) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    number = lambda e: F.regexp_extract(e, r"(\d+)", 1).cast("long")
-    char = lambda e: F.decode(F.unhex(F.lpad(F.hex(number(e)), 8, "0")), "UTF-32")
-    fine = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#\d{1,7};"), F.lit(0))), lambda e: number(e).between(32, 55295) | number(e).between(57344, 1114111))
-    out = F.when(text.contains("&#"), F.aggregate(fine, text, lambda t, e: F.replace(t, e, char(e)))).otherwise(text)
-    for name, value in ENTITIES:
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
-    return out
+    """Text with its entities resolved once, from left to right; what is no known entity stays."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES for x in pair])
+
+    def piece(x: Column, i: Column) -> Column:
+        name = F.substring_index(x, ";", 1)
+        rest = F.substr(x, F.length(name) + 2)
+        number = F.when(name.rlike(r"^#\d{1,7}$"), F.substr(name, F.lit(2)).cast("long"))
+        fine = number.between(32, 55295) | number.between(57344, 1114111)
+        char = F.when(fine, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        known = F.when(F.length(name) < F.length(x), F.coalesce(F.try_element_at(names, name), char))
+        return F.when(i == 0, x).otherwise(F.coalesce(F.concat(known, rest), F.concat(F.lit("&"), x)))
+
+    return F.array_join(F.transform(F.split(text, "&"), piece), "")
 
 
 def _tidy(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, r"[\t\r\f][ \t\r\f]*| [ \t\r\f]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def responses_of(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
@@ -117,16 +123,16 @@ def _sql_id(*parts: str) -> str:
 
 
 def _sql_unescaped(text: str) -> str:
-    number = "regexp_extract(e, '(\\d+)', 1)::BIGINT"
-    fine = f"list_filter(list_distinct(regexp_extract_all({text}, '&#\\d{{1,7}};')), lambda e: {number} BETWEEN 32 AND 55295 OR {number} BETWEEN 57344 AND 1114111)"
-    out = f"list_reduce(list_prepend({text}, {fine}), lambda t, e: replace(t, e, chr(({number})::INT)))"
-    for name, value in ENTITIES:
-        out = "replace({}, '&{};', '{}')".format(out, name, value.replace("'", "''"))
-    return out
+    name = "split_part(x, ';', 1)"
+    number = f"substr({name}, 2)::BIGINT"
+    named = " ".join("WHEN {} = '{}' THEN '{}'".format(name, k, v.replace("'", "''")) for k, v in ENTITIES)
+    fine = f"regexp_matches({name}, '^#\\d{{1,7}}$') THEN CASE WHEN {number} BETWEEN 32 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr(({number})::INT) END"
+    known = f"CASE WHEN length({name}) = length(x) THEN NULL {named} WHEN {fine} END"
+    return f"array_to_string(list_transform(string_split({text}, '&'), lambda x, i: CASE WHEN i = 1 THEN x ELSE coalesce({known} || substr(x, length({name}) + 2), '&' || x) END), '')"
 
 
 def _sql_tidy(text: str) -> str:
-    return f"regexp_replace(regexp_replace(regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+    return f"trim(regexp_replace(regexp_replace({text}, '[\\t\\r\\f][ \\t\\r\\f]*| [ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
 
 
 _QUOTE = lambda x: x.replace("'", "''")
