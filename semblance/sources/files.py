@@ -60,7 +60,7 @@ def list_local(spark: SparkSession, roots: list[str], skip_dirs: list[str] = (),
 
 
 def hash_large_files(listing: DataFrame, chunk: int = 4 << 20) -> DataFrame:
-    """dir, name, fullsha1, first1ksha1, parts, size of files on a path that all executors mount, read in pieces.
+    """dir, name, fullsha1, first1ksha1, parts, size, head (first bytes) of files on a path that all executors mount, read in pieces.
 
     For files beyond what a row can hold. A file that cannot be read has nulls.
     """
@@ -73,12 +73,14 @@ def hash_large_files(listing: DataFrame, chunk: int = 4 << 20) -> DataFrame:
             for d, n in zip(pdf["dir"], pdf["name"], strict=True):
                 try:
                     with open(os.path.join(d, n), "rb") as file:
-                        out.append((d, n, *sha1s_of_stream(iter(lambda: file.read(chunk), b""))))
+                        head = file.read(16)
+                        file.seek(0)
+                        out.append((d, n, *sha1s_of_stream(iter(lambda: file.read(chunk), b"")), head))
                 except OSError:
-                    out.append((d, n, None, None, None, None))
-            yield pd.DataFrame(out, columns=["dir", "name", "fullsha1", "first1ksha1", "parts", "size"])
+                    out.append((d, n, None, None, None, None, None))
+            yield pd.DataFrame(out, columns=["dir", "name", "fullsha1", "first1ksha1", "parts", "size", "head"])
 
-    return listing.select("dir", "name").mapInPandas(run, "dir string, name string, fullsha1 string, first1ksha1 string, parts map<bigint, string>, size long")
+    return listing.select("dir", "name").mapInPandas(run, "dir string, name string, fullsha1 string, first1ksha1 string, parts map<bigint, string>, size long, head binary")
 
 
 def read_hamming_text(spark: SparkSession, path: str) -> DataFrame:
