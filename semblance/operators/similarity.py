@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BANDS, SATURATED = 4, 255
+#: Distinct values that are compared in blocks, and the values of a block.
+BLOCKWISE, BLOCK = 300_000, 4096
 HAMMING_FACTORS = [80 - 5 * d for d in range(16)]
 HISTOGRAM_FACTORS = [40 - d for d in range(32)]
 
@@ -45,10 +49,41 @@ def close_hashes(classes: DataFrame, max_dist: int) -> DataFrame:
     """(h1, h2, distance), h1 < h2: distinct 64-bit values at most max_dist bits apart.
 
     Two such values differ in at most max_dist // 4 bits in one of four 16-bit bands. Both sides list the words
-    around their bands, near enough that such bands meet, and join on them.
+    around their bands, near enough that such bands meet, and join on them. Where these lists cost more than
+    comparing, which up to BLOCKWISE values they do, values are compared in blocks instead; the result is the same.
     """
     if not 0 <= max_dist <= 15:
         raise ValueError("a distance is 0 to 15 bits")
+    n = classes.count()
+    return _close_in_blocks(classes, max_dist, n) if max_dist >= BANDS and n <= BLOCKWISE else _close_by_bands(classes, max_dist)
+
+
+def _close_in_blocks(classes: DataFrame, max_dist: int, n: int) -> DataFrame:
+    """Blocks of values against blocks, each pair of blocks once: n * n / 2 comparisons, few rows out."""
+    blocks = max(1, -(-n // BLOCK))
+    rows = classes.select("h", F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int").alias("b"))
+    packed = rows.groupBy("b").agg(F.array_sort(F.collect_list("h")).alias("hs"))  # about BLOCK values each
+    left = packed.select(F.col("b").alias("b1"), F.col("hs").alias("hs1"), F.explode(F.sequence("b", F.lit(blocks - 1))).alias("b"))
+    units = left.join(packed, "b").select("b1", "b", "hs1", "hs").repartition(max(1, min(2000, blocks * (blocks + 1) // 2)), "b1", "b")
+
+    def compare(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("hs1", "hs"))
+                found = []
+                for at in range(0, len(x), 256):
+                    d = np.bitwise_count((x[at : at + 256, None] ^ y[None]).view(np.uint64))  # of signed numbers it would count the absolute value
+                    a, b = np.nonzero(d <= max_dist)
+                    found.append((x[at + a], y[b], d[a, b].astype(np.int32)))
+                p, q, d = (np.concatenate(z) for z in zip(*found, strict=True))
+                if batch.column("b1")[i].as_py() == batch.column("b")[i].as_py():
+                    p, q, d = p[p < q], q[p < q], d[p < q]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(d)], ["h1", "h2", "distance"])
+
+    return units.mapInArrow(compare, "h1 long, h2 long, distance int")
+
+
+def _close_by_bands(classes: DataFrame, max_dist: int) -> DataFrame:
     radius = max_dist // BANDS
     left, right = radius // 2, radius - radius // 2
 

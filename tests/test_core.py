@@ -134,9 +134,12 @@ def test_signature_comparisons(spark, tmp_path):
         assert lines_of(similarity.compare(rows, "histogram", 20, [32 - d for d in range(32)], 4), 20) == HISTOGRAM_OUT
 
 
-def test_close_hashes_against_all_pairs(spark):
+@pytest.mark.parametrize("most,block", [(0, 1), (10**6, 40), (10**6, 4096)])
+def test_close_hashes_against_all_pairs(spark, monkeypatch, most, block):
     import random
 
+    monkeypatch.setattr(similarity, "BLOCKWISE", most)
+    monkeypatch.setattr(similarity, "BLOCK", block)
     rnd = random.Random(5)
     base = [rnd.getrandbits(64) for _ in range(12)]
     words = sorted({(b ^ sum(1 << i for i in rnd.sample(range(64), rnd.randrange(0, 14)))) - (1 << 63) for b in base for _ in range(12)})
