@@ -11,10 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import kept
-
-__all__ = ["kept"]
-
 #: Bytes of text that are worked on at once, unless one word is longer.
 BLOCK = 1 << 20
 
