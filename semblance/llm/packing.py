@@ -18,65 +18,102 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, mix
+from .common import keyed_texts, mix, text_buffers, words_of
 
-_models: dict[int, tuple] = {}
-#: Words whose ids a worker remembers.
+_models: dict[int, "_Words"] = {}
+#: Words whose ids a worker remembers, about 30 bytes each.
 CACHE_WORDS = 1_500_000
 
 
-def _model(spec: str):
-    """The tokenizer and the ids of words seen, once for each worker process."""
-    from tokenizers import Tokenizer
+class _Words:
+    """A tokenizer and the ids of words it has seen, in a few flat arrays.
 
-    key = hash(spec)
-    if key not in _models:
-        tokenizer = Tokenizer.from_str(spec)
-        _models[key] = (tokenizer, {}, np.dtype("<u2" if tokenizer.get_vocab_size() <= 65536 else "<u4"))
-    return _models[key]
+    The tokenizer's words never hold white space and it lowers the case, so runs between ASCII white space, alike but
+    for A-Z, have the same ids and are encoded once; only a run with ``<|`` may hold a special token, which has case.
+    """
 
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
 
-def _encode(texts: pa.Array, spec: str, end_id: int) -> list[bytes]:
-    """Ids of each text and then end_id, as little-endian bytes.
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.forget()
 
-    The tokenizer's words never hold white space, so each run between ASCII white space has ids of its own and
-    each distinct run is encoded once.
-    """
-    tokenizer, cache, kind = _model(spec)
-    runs = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
-    counts = pc.list_value_length(runs).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = runs.flatten().dictionary_encode()
-    names = flat.dictionary.to_pylist()
-    if len(cache) + len(names) > CACHE_WORDS:
-        cache.clear()
-    new = [w for w in names if w not in cache]
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, kind).tobytes()
-    ids = [cache[w] for w in names]
-    at = flat.indices.to_numpy(zero_copy_only=False).tolist()
-    end, out, k = np.array([end_id], kind).tobytes(), [], 0
-    for n in counts.tolist():
-        out.append(b"".join([ids[j] for j in at[k : k + n]]) + end)
-        k += n
-    return out
+    def forget(self) -> None:
+        self.hashes, self.start, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.kind)
+
+    def encode(self, runs: list[bytes]) -> list[list[int]]:
+        out = []
+        for i in range(0, len(runs), 20_000):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast([r.decode() for r in runs[i : i + 20_000]], add_special_tokens=False)]
+        return out
 
+    def learn(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        size = np.fromiter((len(x) for x in ids), np.int32, len(ids))
+        start = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), self.kind, int(size.sum()))])
+        both = np.concatenate([self.hashes, hashes])
+        order = np.argsort(both, kind="stable")
+        self.hashes, self.start, self.size = both[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
 
-def _slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
-    """The batch in slices of about so many bytes of text."""
-    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).cumsum()
-    at = 0
-    while at < batch.num_rows:
-        base = size[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(size, base + most, "right")))
-        yield batch.slice(at, to - at)
-        at = to
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+
+
+def _model(spec: str) -> _Words:
+    key = hash(spec)
+    if key not in _models:
+        _models[key] = _Words(spec)
+    return _models[key]
+
+
+def _encode(column: pa.Array, spec: str, end_id: int):
+    """Yields (first row, ids of each row and then end_id, as little-endian bytes)."""
+    model = _model(spec)
+    data, _ = text_buffers(column)
+    for first, rows, hashes, offsets, starts, ends in words_of(column):
+        words, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(model.hashes) + len(words) > CACHE_WORDS:
+            model.forget()
+        _, known = model.find(words)
+        new = np.flatnonzero(~known)
+        if len(new):
+            model.learn(words[new], model.encode([data[starts[i] : ends[i]].tobytes() for i in at[new]]))
+        place, _ = model.find(words)
+        start, size = model.start[place][which], model.size[place][which].astype(np.int64)
+        pool = model.ids
+        odd = _with_special(data, starts, ends)
+        if len(odd):
+            own = model.encode([data[starts[i] : ends[i]].tobytes() for i in odd])
+            size[odd] = [len(x) for x in own]
+            start[odd] = len(pool) + np.cumsum(size[odd]) - size[odd]
+            pool = np.concatenate([pool, np.array([i for x in own for i in x], model.kind)])
+        counts = np.diff(offsets)
+        row = np.repeat(np.arange(rows), counts)
+        total = int(size.sum())
+        begin = np.cumsum(size) - size
+        out = np.full(total + rows, end_id, model.kind)
+        out[np.repeat(row, size) + np.arange(total)] = pool[np.repeat(start - begin, size) + np.arange(total)]
+        lengths = np.bincount(row, size, minlength=rows).astype(np.int64) + 1
+        edges = np.concatenate([[0], np.cumsum(lengths)]) * model.kind.itemsize
+        yield first, pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(out)])
+
+
+def _with_special(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places of the runs that hold ``<|``."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    a, b = int(starts[0]), int(ends[-1])
+    block = data[a:b]
+    hits = np.flatnonzero((block[:-1] == 60) & (block[1:] == 124)) + a
+    at = np.unique(np.searchsorted(starts, hits, "right") - 1)
+    return at[(at >= 0)]
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -88,16 +125,16 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         import zlib
 
         seen: dict[tuple, int] = {}
-        for whole in batches:
-            for batch in _slices(whole, "text"):
-                ids = _encode(batch.column("text"), spec.value, end_id)
-                keys = []
-                for doc, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-                    what = (doc, zlib.crc32(x), len(x))
+        for batch in batches:
+            names = batch.column("doc_id")
+            for first, ids in _encode(batch.column("text"), spec.value, end_id):
+                docs, keys = names.slice(first, len(ids)), []
+                for doc, x in zip(docs.to_pylist(), ids, strict=True):
+                    what = (doc, zlib.crc32(x.as_buffer()), x.as_buffer().size)
                     seen[what] = place = seen.get(what, -1) + 1
                     keys.append(hash((*what, place)) & 0xFFFFFFFFFFFFFFFF)
                 key = mix(np.array(keys, np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("doc_id"), pa.array(ids, pa.binary())], ["key", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), docs, ids.cast(pa.binary())], ["key", "doc_id", "ids"])
 
     return docs.mapInArrow(run, "key long, doc_id long, ids binary")
 
