@@ -1,17 +1,20 @@
 """Language-model scores from a probabilistic suffix tree (operator 6).
 
-Tokens are words and one end; a word is spelled by its bytes and a word end, so the tree's alphabet is closed and
-every text has a probability. Contexts are the last symbols, up to ``depth``: those of the word so far, its
-beginning included, and for its first three symbols also up to three of what stands before, which tells the
-language. So a word's score is that of its head after the tail before it, plus that of its rest; each distinct
-head and rest is worked out once. Counts of every context come from all training texts. A context that makes up at least ``least_share``
-of all symbols is a candidate, of which there are at most depth / least_share; it is retained if its next-symbol
-distribution diverges from that of its longest proper suffix by ``divergence`` nats over all its occurrences.
+Tokens are words and one end. A word is spelled by its bytes and a word end, so the tree's alphabet is closed and
+every text has a probability. Contexts are the last symbols of the word so far, its beginning included, up to
+``depth``, and for its first three symbols also up to three of what stands before, which tells the language. Their
+counts come from all training texts. A context that makes up at least ``least_share`` of all
+symbols is a candidate, of which there are at most depth / least_share; it is retained if its next-symbol
+distribution diverges from that of its longest retained suffix by ``divergence`` nats over all its occurrences.
 Distributions are smoothed with their suffix's; the longest retained suffix state scores the next symbol.
 
-The unigram base of the same tokens needs the count of every word: tasks send their texts' distinct words, packed,
-to hash ranges, which count them and return each text's sums. Nothing that grows with the corpus is broadcast or
-collected but the tree, which is bounded.
+A token's probability mixes its share of the training tokens with its spelling by the tree, which has the weight
+``spelled``. Of a word that stands several times in a text the spelling's geometric mean is used, which can only
+lower the score.
+
+The shares, and the unigram base, need the count of every word: tasks send their texts' distinct words, packed and
+with their spelling's probability, to hash ranges, which count them and return each text's sums. Nothing that grows
+with the corpus is broadcast or collected but the tree, which is bounded.
 
 Defined results: null and empty texts are the end token alone; repeated rows count as often as they stand and are
 scored alike; without training texts every symbol is equally likely and the base is 0; an empty table gives no
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from ..session import kept
 from .common import _LOWER, crc_fold, keyed_texts, mix, read_table, runs_of, text_buffers, words_of
 
-RANGE_BYTES, BLOCK_WORDS, SPELL_BYTES, LOW = 24 << 20, 1_500_000, 24 << 20, 40
+RANGE_BYTES, BLOCK_WORDS, SPELL_BYTES, LOW = 14 << 20, 600_000, 8 << 20, 40
 WORD_END, TEXT_END = 32, 10  # bytes that stand in no word
 
 
@@ -67,7 +70,7 @@ def contexts_of(symbols: np.ndarray, place: np.ndarray, depth: int) -> list[np.n
 HEAD, TAIL, NONE = 3, 3, 0  # symbols of a word that see what stands before it, how many they see, and a gap
 
 
-def rests_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spelled_out(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols before it from the word's beginning, word) of words and their ends."""
     lengths = ends - starts + 1
     offsets = np.cumsum(lengths) - lengths
@@ -108,126 +111,146 @@ def heads_of(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np
     return code
 
 
-def head_symbols(codes: np.ndarray, depth: int):
-    """For each of the head's places (which codes have a symbol there, these symbols, their contexts)."""
+def head_contexts(codes: np.ndarray, depth: int):
+    """For each of the head's places: which codes have a symbol there, these symbols, their longest contexts and these' lengths."""
     part = lambda i: codes >> np.uint64(8 * i) & np.uint64(255)
     head, tail = [part(2), part(1), part(0)], [part(3), part(4), part(5)]
     for p in range(HEAD):
         use = np.flatnonzero(head[p] != NONE)
         before = [head[q][use] for q in range(p - 1, -1, -1)] + [np.full(len(use), WORD_END, np.uint64)] + [t[use] for t in tail]
-        contexts, code, fine = [np.zeros(len(use), np.uint64)], np.zeros(len(use), np.uint64), np.ones(len(use), bool)
-        for k, x in enumerate(before[:depth], 1):
+        code, size, fine = np.zeros(len(use), np.uint64), np.zeros(len(use), np.int64), np.ones(len(use), bool)
+        for k, x in enumerate(before[:depth]):
             fine = fine & (x != NONE)
-            code = code | x << np.uint64(8 * (k - 1))
-            contexts.append(np.where(fine, code | np.uint64(k << 56), np.uint64(0xFFFFFFFFFFFFFFFF)))
-        contexts += [np.full(len(use), 0xFFFFFFFFFFFFFFFF, np.uint64)] * (depth + 1 - len(contexts))
-        yield use, head[p][use], contexts
+            code |= np.where(fine, x << np.uint64(8 * k), np.uint64(0))
+            size += fine
+        yield use, head[p][use], code, size
 
 
-_COUNT = np.dtype([("code", "<u8"), ("next", "u1"), ("count", "<u8")])
+def suffixes(code: np.ndarray, size: np.ndarray, depth: int) -> list[np.ndarray]:
+    """For k = 0..depth the codes of the last k symbols, as contexts_of has them."""
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    return [np.where(size >= k, code & np.uint64((1 << 8 * k) - 1) | np.uint64(k << 56), none) for k in range(depth + 1)]
 
 
-def _add_up(rows: np.ndarray) -> np.ndarray:
-    rows = rows[np.lexsort((rows["next"], rows["code"]))]
-    cuts = np.array([a for a, _ in runs_of(rows["code"], rows["next"])], int)
-    out = rows[cuts]
-    if len(rows):
-        out["count"] = np.add.reduceat(rows["count"], cuts)
-    return out
+def longest_contexts(symbols: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
+    """For each symbol its longest context and itself as one key: length, up to six symbols (newest lowest), symbol."""
+    code = np.zeros(len(symbols), np.uint64)
+    for k in range(1, depth + 1):
+        older = np.full(len(symbols), WORD_END, np.uint64)
+        older[k:] = symbols[:-k]
+        older[place == k] = WORD_END  # the beginning
+        code |= np.where(place >= k, older << np.uint64(8 * (k - 1)), np.uint64(0))
+    return np.minimum(place, depth).astype(np.uint64) << np.uint64(56) | code << np.uint64(8) | symbols
+
+
+def added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    if not len(keys):
+        return keys, counts
+    cut = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+    return keys[cut], np.add.reduceat(counts, cut)
+
+
+def all_contexts(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of every context from those of the longest: a shorter one stands where longer ones do."""
+    out = []
+    for k in range(depth, -1, -1):
+        use = keys >> np.uint64(56) >= np.uint64(k)
+        symbols = keys[use] & np.uint64((1 << 8 * (k + 1)) - 1)
+        keys, counts = added_up(np.concatenate([keys[~use], symbols | np.uint64(k << 56)]), np.concatenate([counts[~use], counts[use]]))
+        own = keys >> np.uint64(56) == np.uint64(k)
+        out.append((keys[own], counts[own]))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
 def _tree_counts(texts: DataFrame, depth: int, least: int, ranges: int) -> DataFrame:
     """(code, next, count) of contexts that stand at least `least` times in the texts, with all their next symbols."""
 
-    def rows_of(symbols, contexts, weight) -> np.ndarray:
-        parts = []
-        for code in contexts:
-            fine = code != np.uint64(0xFFFFFFFFFFFFFFFF)
-            rows = np.zeros(int(fine.sum()), _COUNT)
-            rows["code"], rows["next"], rows["count"] = code[fine], symbols[fine], weight[fine]
-            parts.append(_add_up(rows))
-        return np.concatenate(parts)
-
-    def tally(held) -> np.ndarray:
+    def tally(held) -> tuple[np.ndarray, np.ndarray]:
         data, hashes, counts, lengths, heads, times = (np.concatenate([x[i] for x in held]) for i in range(6))
         ends = np.cumsum(lengths)
         words, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        weight = np.bincount(inverse, counts).astype(np.uint64)
-        symbols, place, word = rests_of(data, (ends - lengths)[first], ends[first])
-        rest = np.flatnonzero(place > HEAD)
-        parts = [rows_of(symbols[rest], [c[rest] for c in contexts_of(symbols, place, depth)], weight[word[rest]])]
-        codes, inverse = np.unique(heads, return_inverse=True)
-        weight = np.bincount(inverse, times).astype(np.uint64)
-        parts += [rows_of(x, contexts, weight[use]) for use, x, contexts in head_symbols(codes, depth)]
-        return np.concatenate(parts)
+        weight = np.bincount(inverse, counts).astype(np.int64)
+        symbols, place, word = spelled_out(data, (ends - lengths)[first], ends[first])
+        rest = place > HEAD
+        keys, sums = [longest_contexts(symbols, place, depth)[rest]], [weight[word[rest]]]
+        heads, times = added_up(heads, times)
+        for use, x, code, size in head_contexts(heads, depth):
+            keys.append(size.astype(np.uint64) << np.uint64(56) | code << np.uint64(8) | x)
+            sums.append(times[use])
+        return added_up(np.concatenate(keys), np.concatenate(sums))
 
     def run(batches):
-        held, size, total = [], 0, np.zeros(0, _COUNT)
+        held, size, total = [], 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for batch in batches:
-            column = batch.column("text")
+            column = batch.column(0)
             data, places = text_buffers(column)
             for row, rows, hashes, offsets, starts, ends in words_of(column):
                 words, first, counts = np.unique(hashes, return_index=True, return_counts=True)
                 lengths = (ends - starts)[first]
                 begin = np.cumsum(lengths) - lengths
                 at = np.repeat(starts[first] - begin, lengths) + np.arange(int(lengths.sum()))
-                heads, times = np.unique(heads_of(data, offsets, starts, ends), return_counts=True)
-                held.append((data[at], words, counts, lengths, heads, times))
+                held.append((data[at], words, counts, lengths, *np.unique(heads_of(data, offsets, starts, ends), return_counts=True)))
                 size += int(places[row + rows] - places[row])
                 if size >= SPELL_BYTES:
-                    total, held, size = _add_up(np.concatenate([total, tally(held)])), [], 0
+                    total = added_up(*(np.concatenate(x) for x in zip(total, tally(held), strict=True)))
+                    held, size = [], 0
         if held:
-            total = _add_up(np.concatenate([total, tally(held)]))
-        if len(total):
-            part = ((mix(total["code"]) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            total = added_up(*(np.concatenate(x) for x in zip(total, tally(held), strict=True)))
+        if len(total[0]):
+            keys, counts = all_contexts(*total, depth)
+            part = ((mix(keys >> np.uint64(8)) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             order = np.argsort(part, kind="stable")
-            part, total = part[order], total[order]
+            part, keys, counts = part[order], keys[order], counts[order]
             cuts = runs_of(part)
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in cuts], pa.int64()), pa.array([total[a:b].tobytes() for a, b in cuts], pa.binary())], ["part", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in cuts], pa.int64()), pa.array([keys[a:b].tobytes() + counts[a:b].tobytes() for a, b in cuts], pa.binary())], ["part", "blob"])
 
     def reduce(key, table):
-        rows = _add_up(np.concatenate([np.frombuffer(x.as_buffer(), _COUNT) for x in table.column("blob")]))
-        cuts = runs_of(rows["code"])
-        sums = np.add.reduceat(rows["count"], [a for a, _ in cuts])
-        rows = rows[np.repeat(sums >= least, [b - a for a, b in cuts])]
-        return pa.table({"code": pa.array(np.ascontiguousarray(rows["code"]).view(np.int64)), "next": pa.array(rows["next"].astype(np.int32)), "count": pa.array(rows["count"].astype(np.int64))})
+        halves = [(x.as_py()[: len(x.as_py()) // 2], x.as_py()[len(x.as_py()) // 2 :]) for x in table.column("blob")]
+        keys, counts = added_up(np.frombuffer(b"".join(x[0] for x in halves), np.uint64), np.frombuffer(b"".join(x[1] for x in halves), np.int64))
+        code = keys >> np.uint64(8)  # length and symbols, the length now from bit 48
+        cuts = runs_of(code)
+        sums = np.add.reduceat(counts, [a for a, _ in cuts])
+        keep = np.repeat(sums >= least, [b - a for a, b in cuts])
+        code = (code >> np.uint64(48) << np.uint64(56) | code & np.uint64((1 << 48) - 1))[keep]
+        return pa.table({"code": pa.array(code.view(np.int64)), "next": pa.array((keys[keep] & np.uint64(255)).astype(np.int32)), "count": pa.array(counts[keep])})
 
     return texts.select("text").mapInArrow(run, "part long, blob binary").groupBy("part").applyInArrow(reduce, "code long, next int, count long")
 
 
 def build_tree(code: np.ndarray, symbol: np.ndarray, count: np.ndarray, depth: int, divergence: float) -> SuffixTree:
     """The tree of candidate contexts (with the root's, code 0) from their next-symbol counts."""
-    length = (code >> np.uint64(56)).astype(int)
-    order = np.lexsort((symbol, code))
-    code, symbol, count, length = code[order], symbol[order], count[order].astype(float), length[order]
-    codes, start, sizes = np.unique(code, return_index=True, return_counts=True)
-    dist: dict[int, np.ndarray] = {0: np.full(256, 1 / 256, np.float32)}
-    retained, back = {0: 0}, {0: 0.0}
-    parent_of: dict[int, int] = {0: 0}
-    for c, a, n in zip(codes.tolist(), start.tolist(), sizes.tolist(), strict=True):  # shorter contexts come first
-        seen, times = symbol[a : a + n], count[a : a + n]
-        k = c >> 56
-        suffix = 0
+    order = np.argsort(symbol, kind="stable")
+    order = order[np.argsort(code[order], kind="stable")]
+    code, symbol, count = code[order], symbol[order], count[order].astype(float)
+    dist, names = [np.full(256, 1 / 256, np.float32)], {0: 0}  # of retained contexts, by their place
+    parents, back, entries, values, codes = [0], [0.0], [], [], [0]
+    for a, b in runs_of(code):  # the shorter contexts first
+        c, seen, times = int(code[a]), symbol[a:b], count[a:b]
+        k, suffix = c >> 56, 0
         for j in range(k - 1, 0, -1):
-            s = j << 56 | c & ((1 << 8 * j) - 1)
-            if s in retained:
-                suffix = s
+            if (suffix := names.get(j << 56 | c & ((1 << 8 * j) - 1), 0)):
                 break
         base, total = dist[suffix], times.sum()
         if c and (times * np.log(times / total / base[seen])).sum() < divergence:
             continue
-        weight = n + 1.0
+        weight = b - a + 1.0
         p = base * np.float32(weight / (total + weight))
         p[seen] += times / (total + weight)
-        dist[c], parent_of[c], back[c] = p, suffix, math.log10(weight / (total + weight))
-        retained[c] = 1
-    final = np.array(sorted(retained), np.uint64)
-    place = {int(c): i for i, c in enumerate(final.tolist())}
-    keep = np.isin(code, final)
-    at = np.searchsorted(final, code[keep])
-    value = np.array([dist[c][s] for c, s in zip(code[keep].tolist(), symbol[keep].tolist(), strict=True)])
-    names = [int(c) for c in final.tolist()]
-    return SuffixTree(final, np.array([place[parent_of[c]] for c in names]), np.array([back[c] for c in names]), at * 256 + symbol[keep].astype(np.int64), np.log10(value) if len(value) else value, depth)
+        if c:
+            names[c] = len(dist)
+            codes.append(c)
+            parents.append(suffix)
+            back.append(math.log10(weight / (total + weight)))
+            dist.append(p)
+        else:
+            dist[0], back[0] = p, math.log10(weight / (total + weight))
+        entries.append(names[c] * 256 + seen)
+        values.append(np.log10(p[seen].astype(float)))
+    # contexts came in the order of their codes, so places are sorted too
+    flat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    return SuffixTree(np.array(codes, np.uint64), np.array(parents), np.array(back), flat(entries, np.int64), flat(values, float), depth)
 
 
 def log10_of(tree: SuffixTree, symbols: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
@@ -256,47 +279,98 @@ def log10_of(tree: SuffixTree, symbols: np.ndarray, contexts: list[np.ndarray])
     return out
 
 
-# ---- unigram base
+# ---- words
+
+
+_SUM = np.dtype([("key", "<u8"), ("base", "<f8"), ("score", "<f8"), ("known", "<u4"), ("words", "<u4")])
+#: The key of the row that counts distinct training words.
+_WORDS = (1 << 64) - 1
+
+
+class Spelling:
+    """log10 probabilities of words' rests by the tree, remembered for up to a million words."""
+
+    def __init__(self, tree: SuffixTree):
+        self.tree, self.known, self.worth = tree, np.zeros(0, np.uint64), np.zeros(0)
+
+    def __call__(self, data: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        value = np.zeros(len(words))
+        place = np.searchsorted(self.known, words)
+        place[place == len(self.known)] = 0
+        old = self.known[place] == words if len(self.known) else np.zeros(len(words), bool)
+        value[old] = self.worth[place[old]]
+        new = ~old
+        if new.any():
+            symbols, order, word = spelled_out(data, starts[new], ends[new])
+            rest = np.flatnonzero(order > HEAD)
+            logs = log10_of(self.tree, symbols[rest], [c[rest] for c in contexts_of(symbols, order, self.tree.depth)])
+            value[new] = np.bincount(word[rest], logs, minlength=int(new.sum()))
+            if len(self.known) > 1_000_000:
+                self.known, self.worth = np.zeros(0, np.uint64), np.zeros(0)
+            both, worth = np.concatenate([self.known, words[new]]), np.concatenate([self.worth, value[new]])
+            sort = np.argsort(both, kind="stable")
+            self.known, self.worth = both[sort], worth[sort]
+        return value
 
-_SUM = np.dtype([("key", "<u8"), ("base", "<f8"), ("known", "<u8")])
 
+def heads_worth(tree: SuffixTree, codes: np.ndarray) -> np.ndarray:
+    """log10 probabilities of heads after their tails."""
+    heads, which = np.unique(codes, return_inverse=True)
+    out = np.zeros(len(heads))
+    for use, x, code, size in head_contexts(heads, tree.depth):
+        out[use] += log10_of(tree, x, suffixes(code, size, tree.depth))
+    return out[which]
 
-def _word_counts(texts: DataFrame, ranges: int) -> DataFrame:
-    """(part, blob, words): by key range each text's sums of log10(c + 0.1) and known tokens over words of a range."""
+
+def mixed(count: np.ndarray, log_spelled: np.ndarray, tokens: int, spelled: float) -> np.ndarray:
+    """log10 of a token's probability; the spelling alone where nothing was taught."""
+    if not tokens:
+        return log_spelled
+    low = math.log10(spelled) + log_spelled
+    share = np.log10(np.maximum(count, 1) * ((1 - spelled) / tokens))
+    return np.where(count > 0, np.maximum(share, low) + np.log10(1 + 10 ** -np.abs(share - low)), low)
+
+
+def _text_sums(texts: DataFrame, tree: SuffixTree, tokens: int, spelled: float, ranges: int) -> DataFrame:
+    """(key, base, score, known, words) of each text over its words; the row of key -1 has the distinct training words."""
+    shipped = texts.sparkSession.sparkContext.broadcast(tree)  # bounded by depth / least_share contexts
 
     def packed(held):
-        word, doc, times = (np.concatenate([x[i] for x in held]) for i in range(3))
+        word, doc, times, worth = (np.concatenate([x[i] for x in held]) for i in range(4))
         part = ((word >> np.uint64(LOW)) * np.uint64(ranges)) >> np.uint64(64 - LOW)
         order = np.argsort(part.astype(np.uint16 if ranges <= 65536 else np.uint32), kind="stable")
-        part, low, doc, times = part[order], word[order] & np.uint64((1 << LOW) - 1), doc[order], times[order]
+        part, low, doc, times, worth = part[order], word[order] & np.uint64((1 << LOW) - 1), doc[order], times[order], worth[order]
         cuts = runs_of(part, doc)
         begin, sizes = np.array([a for a, _ in cuts]), np.array([b - a for a, b in cuts], np.uint32)
         names, blobs = [], []
         for a, b in runs_of(part[begin]):
             lo, hi = begin[a], begin[b] if b < len(begin) else len(part)
             names.append(int(part[lo]))
-            blobs.append(b"".join((np.uint32(b - a).tobytes(), doc[begin[a:b]].tobytes(), sizes[a:b].tobytes(), low[lo:hi].astype(np.uint32).tobytes(), times[lo:hi].astype(np.uint16).tobytes(), (low[lo:hi] >> np.uint64(32)).astype(np.uint8).tobytes())))
+            columns = (low[lo:hi].astype(np.uint32), times[lo:hi].astype(np.uint16), worth[lo:hi].astype(np.float16), (low[lo:hi] >> np.uint64(32)).astype(np.uint8))
+            blobs.append(b"".join((np.uint32(b - a).tobytes(), doc[begin[a:b]].tobytes(), sizes[a:b].tobytes(), *(x.tobytes() for x in columns))))
         for at in range(0, len(names), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 4096], pa.int64()), pa.array(blobs[at : at + 4096], pa.binary())], ["part", "blob"])
 
     def run(batches):
-        held, count = [], 0
+        spelling, held, count = Spelling(shipped.value), [], 0
         for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            for first, _, hashes, offsets, _, _ in words_of(batch.column("text")):
-                row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                order = np.lexsort((hashes, row))
-                cuts = runs_of(row[order], hashes[order])
-                if not cuts:
+            keys, column = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("text")
+            data, _ = text_buffers(column)
+            for first, _, hashes, offsets, starts, ends in words_of(column):
+                if not len(hashes):
                     continue
-                at = order[[a for a, _ in cuts]]
-                times = np.array([b - a for a, b in cuts])
+                words, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+                row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+                heads = heads_worth(shipped.value, heads_of(data, offsets, starts, ends))[np.arange(len(hashes)) + row]
+                each = spelling(data, words, starts[at], ends[at])[inverse] + heads
+                both, place, times = np.unique(row * len(words) + inverse, return_inverse=True, return_counts=True)
+                worth = np.maximum(np.bincount(place, each) / times, -65000)
+                row, which = both // len(words), both % len(words)
                 more = (times - 1) // 65535 + 1  # counts are packed in 16 bits
-                word, doc = np.repeat(hashes[at], more), np.repeat(keys[first + row[at]], more)
-                left = np.full(len(word), 65535)
+                left = np.full(int(more.sum()), 65535)
                 left[np.cumsum(more) - 1] = times - (more - 1) * 65535
-                held.append((word, doc, left))
-                count += len(word)
+                held.append((np.repeat(words[which], more), np.repeat(keys[first + row], more), left, np.repeat(worth, more)))
+                count += len(left)
                 if count >= BLOCK_WORDS:
                     yield from packed(held)
                     held, count = [], 0
@@ -304,111 +378,74 @@ def _word_counts(texts: DataFrame, ranges: int) -> DataFrame:
             yield from packed(held)
 
     def reduce(key, table):
-        docs, lows, counts = [], [], []
+        columns: list[list] = [[], [], [], []]
         for x in table.column("blob"):
             data = np.frombuffer(x.as_buffer(), np.uint8)
             n = int(data[:4].view(np.uint32)[0])
             rest = data[4 + 12 * n :]
-            k = len(rest) // 7
-            docs.append(np.repeat(data[4 : 4 + 8 * n].copy().view(np.uint64), data[4 + 8 * n : 4 + 12 * n].copy().view(np.uint32)))
-            lows.append(rest[: 4 * k].copy().view(np.uint32).astype(np.uint64) | rest[6 * k :].astype(np.uint64) << np.uint64(32))
-            counts.append(rest[4 * k : 6 * k].copy().view(np.uint16))
-        doc, low, times = np.concatenate(docs), np.concatenate(lows), np.concatenate(counts).astype(np.int64)
-        order = np.argsort(low, kind="stable")
-        doc, low, times = doc[order], low[order], times[order]
+            k = len(rest) // 9
+            columns[0].append(np.repeat(data[4 : 4 + 8 * n].copy().view(np.uint64), data[4 + 8 * n : 4 + 12 * n].copy().view(np.uint32)))
+            columns[1].append(rest[: 4 * k].copy().view(np.uint32).astype(np.uint64) | rest[8 * k :].astype(np.uint64) << np.uint64(32))
+            columns[2].append(rest[4 * k : 6 * k].copy().view(np.uint16))
+            columns[3].append(rest[6 * k : 8 * k].copy().view(np.float16))
+        doc, low, times, worth = (np.concatenate(c) for c in columns)
+        order = np.argsort(low)
+        doc, low, times, worth = doc[order], low[order], times[order].astype(np.int64), worth[order].astype(float)
         cut = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
         seen = np.add.reduceat(times * (doc & np.uint64(1) == 0), cut)
         c = np.repeat(seen, np.diff(np.append(cut, len(low))))
         order = np.argsort(doc, kind="stable")
-        doc, base, known = doc[order], (times * np.log10(c + 0.1))[order], (times * (c > 0))[order]
+        doc, c, times, worth = doc[order], c[order], times[order], worth[order]
         cut = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1])
-        rows = np.zeros(len(cut), _SUM)
-        rows["key"], rows["base"], rows["known"] = doc[cut], np.add.reduceat(base, cut), np.add.reduceat(known, cut)
+        rows = np.zeros(len(cut) + 1, _SUM)
+        for name, x in (("base", times * np.log10(c + 0.1)), ("score", times * mixed(c, worth, tokens, spelled)), ("known", times * (c > 0)), ("words", times)):
+            rows[name][:-1] = np.add.reduceat(x, cut)
+        rows["key"][:-1], rows["key"][-1], rows["base"][-1] = doc[cut], _WORDS, (seen > 0).sum()
         part = ((mix(rows["key"]) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         order = np.argsort(part, kind="stable")
         part, rows = part[order], rows[order]
         cuts = runs_of(part)
-        return pa.table({"part": pa.array([int(part[a]) for a, _ in cuts], pa.int64()), "blob": pa.array([rows[a:b].tobytes() for a, b in cuts], pa.binary()), "words": pa.array([int((seen > 0).sum())] + [0] * (len(cuts) - 1), pa.int64())})
+        return pa.table({"part": pa.array([int(part[a]) for a, _ in cuts], pa.int64()), "blob": pa.array([rows[a:b].tobytes() for a, b in cuts], pa.binary())})
 
-    return texts.select("key", "text").mapInArrow(run, "part long, blob binary").groupBy("part").applyInArrow(reduce, "part long, blob binary, words long")
-
-
-def _text_sums(parts: DataFrame) -> DataFrame:
-    def run(key, table):
-        rows = np.concatenate([np.frombuffer(x.as_buffer(), _SUM) for x in table.column("blob")])
+    def total(key, table):
+        rows = np.frombuffer(b"".join(x.as_py() for x in table.column("blob")), _SUM)
         rows = rows[np.argsort(rows["key"], kind="stable")]
         cut = [a for a, _ in runs_of(rows["key"])]
-        return pa.table({"key": pa.array(np.ascontiguousarray(rows["key"][cut]).view(np.int64)), "base": pa.array(np.add.reduceat(rows["base"], cut)), "known": pa.array(np.add.reduceat(rows["known"], cut).astype(np.int64))})
+        sums = {name: np.add.reduceat(rows[name].astype(kind), cut) for name, kind in (("base", float), ("score", float), ("known", np.int64), ("words", np.int64))}
+        return pa.table({"key": pa.array(np.ascontiguousarray(rows["key"][cut]).view(np.int64)), **{k: pa.array(v) for k, v in sums.items()}})
 
-    return parts.select("part", "blob").groupBy("part").applyInArrow(run, "key long, base double, known long")
+    parts = texts.select("key", "text").mapInArrow(run, "part long, blob binary").groupBy("part").applyInArrow(reduce, "part long, blob binary")
+    return parts.groupBy("part").applyInArrow(total, "key long, base double, score double, known long, words long")
 
 
-def _scored(texts: DataFrame, tree: SuffixTree) -> DataFrame:
-    """(key, doc_id, held_out, n_tokens, score) of each row."""
-    shipped = texts.sparkSession.sparkContext.broadcast(tree)  # bounded by depth / least_share contexts
-
-    def run(batches):
-        tree = shipped.value
-        known, worth = np.zeros(0, np.uint64), np.zeros(0)
-        for batch in batches:
-            column = batch.column("text")
-            data, _ = text_buffers(column)
-            for first, count, hashes, offsets, starts, ends in words_of(column):
-                words, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                value = np.zeros(len(words))
-                place = np.searchsorted(known, words)
-                place[place == len(known)] = 0
-                old = known[place] == words if len(known) else np.zeros(len(words), bool)
-                value[old] = worth[place[old]]
-                if (~old).any():
-                    symbols, order, word = rests_of(data, starts[at[~old]], ends[at[~old]])
-                    rest = np.flatnonzero(order > HEAD)
-                    logs = log10_of(tree, symbols[rest], [c[rest] for c in contexts_of(symbols, order, tree.depth)])
-                    value[~old] = np.bincount(word[rest], logs, minlength=int((~old).sum()))
-                    if len(known) > 1_000_000:
-                        known, worth = np.zeros(0, np.uint64), np.zeros(0)
-                    both, which = np.concatenate([known, words[~old]]), np.concatenate([worth, value[~old]])
-                    sort = np.argsort(both, kind="stable")
-                    known, worth = both[sort], which[sort]
-                heads, which = np.unique(heads_of(data, offsets, starts, ends), return_inverse=True)
-                head = np.zeros(len(heads))
-                for use, x, contexts in head_symbols(heads, tree.depth):
-                    head[use] += log10_of(tree, x, contexts)
-                sums, tops = (np.concatenate([[0.0], np.cumsum(x)]) for x in (value[inverse], head[which]))
-                edge = offsets + np.arange(len(offsets))
-                score = sums[offsets[1:]] - sums[offsets[:-1]] + tops[edge[1:]] - tops[edge[:-1]]
-                rest = [batch.column(c).slice(first, count) for c in ("key", "doc_id", "held_out")]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(offsets) + 1), pa.array(score)], ["key", "doc_id", "held_out", "n_tokens", "score"])
-
-    return texts.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, score double")
-
-
-def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = 7, least_share: float = 2e-6, divergence: float = 8.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = 6, least_share: float = 2e-6, divergence: float = 8.0, spelled: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; rows whose id's crc32 is 0 modulo folds are held out."""
-    if not 1 <= depth <= 7:
-        raise ValueError("a context has 1 to 7 symbols")
+    if not 1 <= depth <= 6 or not 0 < spelled < 1:
+        raise ValueError("a context has 1 to 6 symbols, and the spelling a weight between 0 and 1")
     spark = docs.sparkSession
     held = F.coalesce(crc_fold("doc_id", folds) == 0, F.lit(True))
     texts = keyed_texts(docs, id_col, text_col).select("doc_id", "text", held.alias("held_out"))
     # the lowest bit of a key says whether its text is held out
-    key = F.shiftleft(F.xxhash64("doc_id", "text"), 1).bitwiseOR(F.col("held_out").cast("long"))
-    texts = texts.withColumn("key", key)
-    train = texts.where(~F.col("held_out"))
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(~F.col("held_out"), F.octet_length("text"))), F.lit(0)).alias("train"), F.count_if(~F.col("held_out")).alias("docs")).first()
-    ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size["all"] / RANGE_BYTES))
-    rows = _tree_counts(train, depth, max(2, math.ceil(least_share * size["train"])), ranges).toPandas()
-    code, symbol, count = rows["code"].to_numpy(np.int64).view(np.uint64), rows["next"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
+    texts = texts.withColumn("key", F.shiftleft(F.xxhash64("doc_id", "text"), 1).bitwiseOR(F.col("held_out").cast("long")))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(~F.col("held_out"), F.octet_length("text"))), F.lit(0)).alias("train")).first()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size["all"] / RANGE_BYTES))
+    rows = _tree_counts(texts.where(~F.col("held_out")), depth, max(2, math.ceil(least_share * size["train"])), ranges).toArrow()
+    code, symbol, count = rows.column("code").to_numpy().view(np.uint64), rows.column("next").to_numpy().astype(np.int64), rows.column("count").to_numpy()
     tree = build_tree(code, symbol, count, depth, divergence)
-    scored = kept(_scored(texts, tree))
-    counted = kept(_word_counts(texts, ranges))
-    n = scored.where(~F.col("held_out")).agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    v = (counted.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]) + (size["docs"] > 0)
-    sums = _text_sums(counted).join(scored.groupBy("key").agg(F.count("*").alias("rows")), "key")
-    out = scored.join(sums, "key", "left")
-    end = math.log10(size["docs"] + 0.1)
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.coalesce(F.col("known") / F.col("rows"), F.lit(0)) + int(size["docs"] > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.coalesce(F.col("base") / F.col("rows"), F.lit(0.0)) + end - F.col("n_tokens") * math.log10(n + 0.1 * (v + 1))).alias("base_score"), "score",
+    root = {s: int(n) for c, s, n in zip(code[code == 0], symbol[code == 0].tolist(), count[code == 0].tolist(), strict=True)}
+    taught = texts.where(~F.col("held_out")).count()
+    tokens = root.get(WORD_END, 0) + taught
+    sums = kept(_text_sums(texts, tree, tokens, spelled, ranges))
+    v = int((sums.where("key = -1").agg(F.sum("base")).first()[0] or 0) + (taught > 0))
+    both = texts.select("key", "doc_id", "held_out").join(sums.where("key <> -1"), "key", "left")
+    same = texts.groupBy("key").agg(F.count("*").alias("rows"))  # rows alike share one key, whose sums are theirs together
+    end = log10_of(tree, np.array([TEXT_END], np.uint64), contexts_of(np.array([TEXT_END], np.uint64), np.array([1]), depth))
+    end_score = float(mixed(np.array([taught]), end, tokens, spelled)[0])
+    own = lambda c: F.coalesce(F.col(c) / F.col("rows"), F.lit(0.0))
+    n_tokens = own("words").cast("long") + 1
+    return both.join(same, "key").select(
+        "doc_id", "held_out", n_tokens.alias("n_tokens"), (own("known").cast("long") + int(taught > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        (own("base") + math.log10(taught + 0.1) - n_tokens * math.log10(tokens + 0.1 * (v + 1))).alias("base_score"), (own("score") + end_score).alias("score"),
     )
 
 

@@ -72,4 +72,4 @@ def test_empty_and_untaught(spark):
     assert lm.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = lm.score_texts(spark.createDataFrame([(only, "ab")], "doc_id long, text string")).first()
-    assert r.train_tokens == 0 and r.n_known == 0 and abs(r.base_score) < 1e-9 and r.score == pytest.approx(4 * math.log10(1 / 256))
+    assert r.train_tokens == 0 and r.n_known == 0 and abs(r.base_score) < 1e-9 and r.score == pytest.approx(4 * math.log10(1 / 256), abs=0.01)
