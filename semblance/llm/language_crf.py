@@ -6,12 +6,15 @@ are learned too. Training concatenates stretches of documents of different langu
 maximises the likelihood by gradient steps over forward-backward marginals. It sees a bounded sample of labelled
 rows: at most ``docs_per_language`` documents of each language, none longer than ``longest_bytes``, chosen by a
 hash of the id. Labels are whole texts' labels; prediction runs over every word of every text.
+Words of more than ``WORD_BYTES`` bytes, as in scripts without blanks, are labelled in consecutive pieces that cover
+all their bytes; n-grams run on over the cuts, and only a word's own ends are marked.
 
 Forward-backward is exact over whole texts: products of transition matrices over segments of 64 words carry the
 messages between segments, and all segments of a batch are worked on at once.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text when nothing is
-labelled; the score is the mean marginal of the predicted language over the words; ties go to the language that
+labelled; the score is the mean marginal of the predicted language over the words and
+pieces; a span's word has the label of the greatest sum over its pieces; ties go to the language that
 sorts first; repeated rows are predicted alike; an empty table gives no rows.
 """
 
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import _LOWER, crc_fold, keyed_texts, mix, read_table, text_buffers, words_of
 
-#: Hashed n-gram features; lengths of n-grams in bytes; words of a segment; longest word part that has n-grams.
+#: Hashed n-gram features; lengths of n-grams in bytes; words of a segment; bytes of a word that are labelled at once, about.
 FEATURES, GRAMS, SEGMENT, WORD_BYTES = 1 << 16, (1, 2, 3, 4), 64, 48
 
 
@@ -40,22 +43,43 @@ class Crf:
     moves: np.ndarray  # from x to, log scale
 
 
-def grams_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all n-grams of the words, word by word, and each word's count."""
-    lengths = np.minimum(ends - starts, WORD_BYTES)
-    padded = lengths + 2
+def pieces_of(data: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """(hashes, offsets, starts, ends, opens, closes, word) with long words as pieces, cut between characters."""
+    lengths = ends - starts
+    count = np.maximum(1, -(-lengths // WORD_BYTES))
+    word = np.repeat(np.arange(len(starts)), count)
+    nth = np.arange(len(word)) - (np.cumsum(count) - count)[word]
+    begin = starts[word] + nth * lengths[word] // count[word]
+    for _ in range(3):
+        begin[nth > 0] -= (data[begin[nth > 0]] & 192) == 128
+    closes = nth == count[word] - 1
+    end = np.where(closes, ends[word], np.roll(begin, -1))
+    own = np.where(count[word] > 1, mix(hashes[word] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), hashes[word])
+    return own, np.concatenate([[0], np.cumsum(count)])[offsets], begin, end, nth == 0, closes, word
+
+
+def grams_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, opens: np.ndarray | None = None, closes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all n-grams of the words, word by word, and each word's count.
+
+    opens, closes: which begin and end a word; a piece that does not end it sees the first bytes of the next.
+    """
+    opens = np.ones(len(starts), np.int64) if opens is None else opens.astype(np.int64)
+    closes = np.ones(len(starts), np.int64) if closes is None else closes.astype(np.int64)
+    lengths = ends - starts
+    padded = opens + lengths + np.where(closes, 1, max(GRAMS) - 1)
     offsets = np.cumsum(padded) - padded
     total = int(padded.sum())
     word = np.repeat(np.arange(len(starts)), padded)
     place = np.arange(total) - offsets[word]
     symbol = np.ones(total, np.uint64)  # 1 marks both boundaries
-    inside = (place > 0) & (place <= lengths[word])
-    symbol[inside] = _LOWER[data[starts[word[inside]] + place[inside] - 1]]
+    inside = (place >= opens[word]) & (place < (padded - closes)[word])
+    symbol[inside] = _LOWER[data[(starts - opens)[word[inside]] + place[inside]]]
+    own = (place < (opens + lengths)[word]) | (closes[word] > 0)
     features, owners, rolling = [], [], np.zeros(total, np.uint64)
     for n in GRAMS:
         rolling = np.roll(rolling, -1) if n > 1 else rolling
         rolling = symbol.copy() if n == 1 else symbol + rolling * np.uint64(257)
-        ok = place + n <= padded[word]
+        ok = own & (place + n <= padded[word])
         features.append((mix(rolling[ok] + np.uint64(n << 40)) % np.uint64(FEATURES)).astype(np.int32))
         owners.append(word[ok])
     owner, feature = np.concatenate(owners), np.concatenate(features)
@@ -145,15 +169,15 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 6, rate: float =
     k, rng = len(languages), np.random.default_rng(seed)
     column = pa.array(texts, pa.large_string())
     data, _ = text_buffers(column)
-    hashes, label, starts, ends = [], [], [], []
+    parts, label = [], []
     for row, _, h, offsets, s, e in words_of(column):
-        hashes.append(h)
-        starts.append(s)
-        ends.append(e)
+        h, offsets, *rest, _ = pieces_of(data, h, offsets, s, e)
+        parts.append((h, *rest))
         label.append(np.repeat([languages.index(x) for x in labels[row : row + len(offsets) - 1]], np.diff(offsets)))
-    hashes, label, starts, ends = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, label, starts, ends))
+    hashes, starts, ends, opens, closes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 5
+    label = np.concatenate(label) if label else np.zeros(0, np.int64)
     words, at, inverse = np.unique(hashes.astype(np.uint64), return_index=True, return_inverse=True)
-    grams, counts = grams_of(data, starts[at], ends[at]) if len(words) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    grams, counts = grams_of(data, starts[at], ends[at], opens[at], closes[at]) if len(words) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
     table = np.zeros((len(words), k))
     np.add.at(table, (inverse, label), 1)
     kept = np.zeros(len(words), bool)
@@ -254,10 +278,12 @@ def tag_languages(docs: DataFrame, model: Crf, *, text_col: str = "text", spans:
             column, letters = batch.column("_text"), batch.column("_letters").to_numpy(zero_copy_only=False)
             data, _ = text_buffers(column)
             for first, count, hashes, offsets, starts, ends in words_of(column):
+                begin = offsets  # of the texts' words
+                hashes, offsets, starts, ends, opens, closes, _ = pieces_of(data, hashes, offsets, starts, ends)
                 words, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
                 post = np.zeros((len(hashes), max(1, len(languages))))
                 if len(words) and len(languages):
-                    grams, sizes = grams_of(data, starts[at], ends[at])
+                    grams, sizes = grams_of(data, starts[at], ends[at], opens[at], closes[at])
                     post = marginals(emissions(field, words, grams, sizes)[inverse], field.moves, offsets)
                 sums = np.vstack([np.zeros(post.shape[1]), np.cumsum(post, 0)])
                 share = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)[:, None]
@@ -266,8 +292,9 @@ def tag_languages(docs: DataFrame, model: Crf, *, text_col: str = "text", spans:
                 out = [batch.column(c).slice(first, count) for c in own]
                 out += [pa.array(np.where(ok, names[share.argmax(1)], "und"), pa.string()), pa.array(np.where(ok, share.max(1).clip(0, 1), 0.0))]
                 if spans:
-                    label, runs = post.argmax(1), []
-                    for a, b, fine in zip(offsets[:-1], offsets[1:], ok, strict=True):
+                    whole = np.add.reduceat(post, np.flatnonzero(opens)) if len(post) else post
+                    label, runs = whole.argmax(1), []
+                    for a, b, fine in zip(begin[:-1], begin[1:], ok, strict=True):
                         edges = [0, *(np.flatnonzero(np.diff(label[a:b])) + 1), b - a] if fine else []
                         runs.append([{"start": int(s), "end": int(e), "lang": names[label[a + s]]} for s, e in zip(edges[:-1], edges[1:], strict=True)])
                     out.append(pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))

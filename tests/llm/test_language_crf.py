@@ -57,3 +57,23 @@ def test_nothing_labelled(spark):
     model = crf.fit_crf(df)
     assert [(r._lang_pred, r._lang_score) for r in crf.tag_languages(df, model).collect()] == [("und", 0.0)] * 2
     assert crf.tag_languages(df.limit(0), model).count() == 0
+
+
+def test_a_text_without_blanks_is_seen_whole(spark):
+    rnd = random.Random(5)
+    rows = [(i, text(rnd, lang, 40), lang) for i in range(120) for lang in [rnd.choice(list(PARTS))]]
+    model = crf.fit_crf(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs_per_language=60)
+    long = text(rnd, "aa", 12).replace(" ", "") + "".join(text(rnd, "bb", 2000).split())
+    got = crf.tag_languages(spark.createDataFrame([(1, long), (2, "x " + long + " " + text(rnd, "cc", 9))], "doc_id long, text string"), model, spans=True).collect()
+    assert [r._lang_pred for r in got] == ["bb", "bb"] and got[0]._lang_score > 0.9
+    assert [(s.start, s.end) for s in got[0]._spans] == [(0, 1)] and got[1]._spans[-1].end == 11
+
+
+def test_pieces_cover_all_bytes_and_have_the_grams_of_the_whole():
+    data = np.frombuffer(("ab " + "é語x" * 100).encode(), np.uint8)
+    starts, ends = np.array([0, 3]), np.array([2, len(data)])
+    _, offsets, s, e, opens, closes, word = crf.pieces_of(data, np.array([5, 6], np.uint64), np.array([0, 1, 2]), starts, ends)
+    assert s[0] == 0 and e[0] == 2 and s[1] == 3 and e[-1] == len(data) and (s[2:] == e[1:-1]).all() and offsets.tolist() == [0, 1, len(s)]
+    assert ((data[s] & 192) != 128).all() and (e - s).max() <= crf.WORD_BYTES + 3 and word.tolist() == [0] + [1] * (len(s) - 1)
+    whole, parts = crf.grams_of(data, starts, ends)[0], crf.grams_of(data, s, e, opens, closes)[0]
+    assert sorted(whole.tolist()) == sorted(parts.tolist())
