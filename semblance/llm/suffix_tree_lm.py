@@ -346,7 +346,7 @@ def _text_sums(texts: DataFrame, tree: SuffixTree, tokens: int, spelled: float,
         for a, b in runs_of(part[begin]):
             lo, hi = begin[a], begin[b] if b < len(begin) else len(part)
             names.append(int(part[lo]))
-            columns = (low[lo:hi].astype(np.uint32), times[lo:hi].astype(np.uint16), worth[lo:hi].astype(np.float16), (low[lo:hi] >> np.uint64(32)).astype(np.uint8))
+            columns = (low[lo:hi].astype(np.uint32), times[lo:hi].astype(np.uint16), worth[lo:hi].astype(np.float32), (low[lo:hi] >> np.uint64(32)).astype(np.uint8))
             blobs.append(b"".join((np.uint32(b - a).tobytes(), doc[begin[a:b]].tobytes(), sizes[a:b].tobytes(), *(x.tobytes() for x in columns))))
         for at in range(0, len(names), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 4096], pa.int64()), pa.array(blobs[at : at + 4096], pa.binary())], ["part", "blob"])
@@ -364,7 +364,7 @@ def _text_sums(texts: DataFrame, tree: SuffixTree, tokens: int, spelled: float,
                 heads = heads_worth(shipped.value, heads_of(data, offsets, starts, ends))[np.arange(len(hashes)) + row]
                 each = spelling(data, words, starts[at], ends[at])[inverse] + heads
                 both, place, times = np.unique(row * len(words) + inverse, return_inverse=True, return_counts=True)
-                worth = np.maximum(np.bincount(place, each) / times, -65000)
+                worth = np.bincount(place, each) / times
                 row, which = both // len(words), both % len(words)
                 more = (times - 1) // 65535 + 1  # counts are packed in 16 bits
                 left = np.full(int(more.sum()), 65535)
@@ -383,11 +383,11 @@ def _text_sums(texts: DataFrame, tree: SuffixTree, tokens: int, spelled: float,
             data = np.frombuffer(x.as_buffer(), np.uint8)
             n = int(data[:4].view(np.uint32)[0])
             rest = data[4 + 12 * n :]
-            k = len(rest) // 9
+            k = len(rest) // 11
             columns[0].append(np.repeat(data[4 : 4 + 8 * n].copy().view(np.uint64), data[4 + 8 * n : 4 + 12 * n].copy().view(np.uint32)))
-            columns[1].append(rest[: 4 * k].copy().view(np.uint32).astype(np.uint64) | rest[8 * k :].astype(np.uint64) << np.uint64(32))
+            columns[1].append(rest[: 4 * k].copy().view(np.uint32).astype(np.uint64) | rest[10 * k :].astype(np.uint64) << np.uint64(32))
             columns[2].append(rest[4 * k : 6 * k].copy().view(np.uint16))
-            columns[3].append(rest[6 * k : 8 * k].copy().view(np.float16))
+            columns[3].append(rest[6 * k : 10 * k].copy().view(np.float32))
         doc, low, times, worth = (np.concatenate(c) for c in columns)
         order = np.argsort(low)
         doc, low, times, worth = doc[order], low[order], times[order].astype(np.int64), worth[order].astype(float)

@@ -73,3 +73,12 @@ def test_empty_and_untaught(spark):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = lm.score_texts(spark.createDataFrame([(only, "ab")], "doc_id long, text string")).first()
     assert r.train_tokens == 0 and r.n_known == 0 and abs(r.base_score) < 1e-9 and r.score == pytest.approx(4 * math.log10(1 / 256), abs=0.01)
+
+
+def test_scores_of_long_runs_grow_with_their_length(spark):
+    rnd = random.Random(4)
+    a, b = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    run = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=400_000))
+    df = spark.createDataFrame([*rows()[:60], (a, run[:100_000]), (b, run)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score_texts(df).where(f"doc_id in ({a}, {b})").collect()}
+    assert got[a] < -66_000 and 3.5 < got[b] / got[a] < 4.5
