@@ -6,6 +6,8 @@ never materialised as Python strings here; a word is a 64-bit hash taken from ru
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -163,6 +165,36 @@ def shingles_of(hashes: np.ndarray, offsets: np.ndarray, n: int, whole: bool = T
     return out, where
 
 
+def stretches_of(text: str, longest: int, parts: int = 20) -> str:
+    """The text, or, of one of more than longest bytes, about longest bytes in stretches from all over it.
+
+    One stretch lies in each of equal parts, at a place by the text's hash, and ends at blanks where it has some.
+    """
+    data = text.encode()
+    if len(data) <= longest:
+        return text
+    size, out = max(1, longest // parts), []
+    places = mix(np.arange(parts, dtype=np.uint64) + np.uint64(zlib.crc32(data)))
+    for k, place in enumerate(places.tolist()):
+        a, b = k * len(data) // parts, (k + 1) * len(data) // parts
+        a += place % max(1, b - a - size + 1)
+        cut = data[a : a + size].decode("utf-8", "ignore")
+        words = cut.split(" ")
+        out.append(" ".join(words[1:-1]) if len(words) > 2 else cut)
+    return " ".join(out)
+
+
+def in_stretches(rows: DataFrame, longest: int) -> DataFrame:
+    """rows with long texts (column text) by stretches_of."""
+
+    def run(batches):
+        for batch in batches:
+            texts = pa.array([None if t is None else stretches_of(t, longest) for t in batch.column("text").to_pylist()], pa.string())
+            yield batch.set_column(batch.schema.names.index("text"), "text", texts)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

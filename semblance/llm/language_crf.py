@@ -4,8 +4,8 @@ Every word is labelled with a language. Its features are the byte n-grams of the
 (those with a mark are its affixes) and membership in each language's learned lexicon; transitions between labels
 are learned too. Training concatenates stretches of documents of different languages, so that switches occur, and
 maximises the likelihood by gradient steps over forward-backward marginals. It sees a bounded sample of labelled
-rows: at most ``docs_per_language`` documents of each language, none longer than ``longest_bytes``, chosen by a
-hash of the id. Labels are whole texts' labels; prediction runs over every word of every text.
+rows: at most ``docs_per_language`` documents of each language, chosen by a hash of the id, and of longer ones about
+``longest_bytes`` in stretches from all over them. Labels are whole texts' labels; prediction runs over every word of every text.
 Words of more than ``WORD_BYTES`` bytes, as in scripts without blanks, are labelled in consecutive pieces that cover
 all their bytes; n-grams run on over the cuts, and only a word's own ends are marked.
 
@@ -20,6 +20,7 @@ sorts first; repeated rows are predicted alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, crc_fold, keyed_texts, mix, read_table, text_buffers, words_of
+from .common import _LOWER, crc_fold, in_stretches, keyed_texts, mix, read_table, text_buffers, words_of
 
 #: Hashed n-gram features; lengths of n-grams in bytes; words of a segment; bytes of a word that are labelled at once, about.
 FEATURES, GRAMS, SEGMENT, WORD_BYTES = 1 << 16, (1, 2, 3, 4), 64, 48
@@ -236,16 +237,16 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 6, rate: float =
 
 
 def sample_of(labelled: DataFrame, label: str, per_label: int, longest_bytes: int) -> list:
-    """At most per_label (text, label) rows of each label, by a hash of the id; counts come from all rows."""
-    usable = labelled.where(F.col(label).isNotNull() & (F.octet_length("text") <= longest_bytes) & (F.trim("text") != ""))
-    counts = {r[0]: r[1] for r in usable.groupBy(label).count().orderBy(F.desc("count"), label).limit(256).collect()}
+    """At most per_label (text, label) rows of each label, by a hash of the id; counts come from all rows.
+
+    Texts of more than longest_bytes are taken in as stretches from all over them.
+    """
+    usable = labelled.select("doc_id", "text", F.col(label).alias("label")).where(F.col("label").isNotNull() & (F.trim("text") != ""))
     place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30))
-    share = {k: min(1 << 30, int((1 << 30) * (1.3 * per_label + 20) / n)) for k, n in counts.items()}
-    if not share:
-        return []
-    limit = F.coalesce(*[F.when(F.col(label) == k, F.lit(v)) for k, v in share.items()], F.lit(0))
-    rows = usable.where(place < limit).select("text", F.col(label).alias("label"), place.alias("place")).collect()
-    out, taken = [], dict.fromkeys(share, 0)
+    share = usable.groupBy("label").agg((F.lit((1 << 30) * (1.3 * per_label + 20)) / F.count("*")).alias("share"))
+    chosen = usable.withColumn("place", place).join(F.broadcast(share), "label").where("place < share").select("text", "label", "place")
+    rows = in_stretches(chosen, longest_bytes).collect()
+    out, taken = [], Counter()
     for r in sorted(rows, key=lambda r: (r.place, r.text)):
         if taken[r.label] < per_label:
             taken[r.label] += 1

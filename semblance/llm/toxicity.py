@@ -7,8 +7,8 @@ log-likelihood, divided by its words: over all words, and over the part of each
 of 1, 2 and 3 nats, which keeps long texts comparable. A logistic curve over these, fitted on the labelled texts
 with each text's own words taken out of the counts first, gives the score.
 
-Counts come from about ``texts_per_class`` labelled texts of each class, none longer than ``longest_bytes``,
-chosen by a hash of the id. A word seen once only is worth nothing. The model holds at most one entry for two
+Counts come from about ``texts_per_class`` labelled texts of each class, chosen by a hash of the id; of longer
+ones about ``longest_bytes`` are taken, in stretches from all over them. A word seen once only is worth nothing. The model holds at most one entry for two
 words of that sample, so its size is bounded.
 
 Defined results: a null or empty text has no evidence and the score that the curve gives to none; with labels of
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, keyed_texts, read_table, words_of
+from .common import crc_fold, in_stretches, keyed_texts, read_table, words_of
 
 DISCOUNT, MARGINS = 0.75, (1.0, 2.0, 3.0)
 
@@ -139,7 +139,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, texts_per_class: int = 1
     share = {k: min(1 << 30, int((1 << 30) * texts_per_class / n)) for k, n in counts.items()}
     chosen = flagged.where(place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     # about texts_per_class rows of each class, by the share above
-    texts = docs.where(F.octet_length("text") <= longest_bytes).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    texts = in_stretches(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), longest_bytes)
     table = _counted(texts)
     both = table.agg(
         F.sum("toxic").alias("n_toxic"), F.sum("ordinary").alias("n_ordinary"), F.sum("follows").alias("follows"), F.count("*").alias("types"),

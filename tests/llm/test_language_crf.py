@@ -77,3 +77,14 @@ def test_pieces_cover_all_bytes_and_have_the_grams_of_the_whole():
     assert ((data[s] & 192) != 128).all() and (e - s).max() <= crf.WORD_BYTES + 3 and word.tolist() == [0] + [1] * (len(s) - 1)
     whole, parts = crf.grams_of(data, starts, ends)[0], crf.grams_of(data, s, e, opens, closes)[0]
     assert sorted(whole.tolist()) == sorted(parts.tolist())
+
+
+def test_languages_of_long_texts_and_rare_languages_are_learned(spark):
+    rnd = random.Random(6)
+    rows = [(i, text(rnd, "aa", 40), "aa") for i in range(60)] + [(i, text(rnd, "cc", 9000), "cc") for i in range(60, 70)]
+    assert all(len(t) > 20_000 for i, t, _ in rows[60:])
+    model = crf.fit_crf(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = crf.tag_languages(spark.createDataFrame([(1, text(rnd, "cc", 50)), (2, text(rnd, "aa", 50))], "doc_id long, text string"), model).collect()
+    assert [r._lang_pred for r in got] == ["cc", "aa"]
+    many = spark.createDataFrame([(i, f"word{i}", f"l{i:03}") for i in range(300)], "doc_id long, text string, lang string")
+    assert len({r.label for r in crf.sample_of(many, "lang", 5, 100)}) == 300

@@ -50,3 +50,13 @@ def test_rare_words_take_the_shared_probability():
     shared = (f + 0.5) / (1000 + 150)
     want = np.log((np.maximum(t - 0.75, 0) / 5000 + 0.75 * 200 / 5000 * shared) / (np.maximum(o - 0.75, 0) / 5000 + 0.75 * 200 / 5000 * shared))
     assert np.allclose(r, want)
+
+
+def test_labels_that_lie_on_long_texts_teach(spark):
+    docs, labels = corpus(200)
+    long = [(i, " ".join([t] * 250) if i % 5 == 0 else t) for i, t in docs]
+    assert all(len(t) > 20_000 for i, t in long if i % 5 == 0)
+    d = spark.createDataFrame(long, "doc_id long, text string")
+    model = fit_toxicity(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in score_toxicity(d, model).collect()}
+    assert sum((got[i] >= 0.7) == bool(y) for i, y in labels) >= 0.95 * len(labels)
