@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -39,10 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or os.path.join(tempfile.gettempdir(), "semblance-shared")
 
 
-def kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame, **options) -> DataFrame:
     """df written to the shared folder as Parquet and read again: cuts the lineage and outlives lost executors."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/semblance-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _kept.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -55,3 +56,12 @@ def drop_kept(spark: SparkSession) -> int:
         path = jvm.org.apache.hadoop.fs.Path(_kept.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries that are done and no longer referred to.
+
+    Its cleaner acts when the driver's garbage is collected, which by itself may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
