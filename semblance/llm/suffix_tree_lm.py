@@ -1,452 +1,371 @@
-"""Language-model scores from a probabilistic suffix tree (operator 6).
-
-Tokens are words and one end. A word is spelled by its bytes and a word end, so the tree's alphabet is closed and
-every text has a probability. Contexts are the last symbols of the word so far, its beginning included, up to
-``depth``, and for its first three symbols also up to three of what stands before, which tells the language. Their
-counts come from all training texts. A context that makes up at least ``least_share`` of all
-symbols is a candidate, of which there are at most depth / least_share; it is retained if its next-symbol
-distribution diverges from that of its longest retained suffix by ``divergence`` nats over all its occurrences.
-Distributions are smoothed with their suffix's; the longest retained suffix state scores the next symbol.
-
-A token's probability mixes its share of the training tokens with its spelling by the tree, which has the weight
-``spelled``. Of a word that stands several times in a text the spelling's geometric mean is used, which can only
-lower the score.
-
-The shares, and the unigram base, need the count of every word: tasks send their texts' distinct words, packed and
-with their spelling's probability, to hash ranges, which count them and return each text's sums. Nothing that grows
-with the corpus is broadcast or collected but the tree, which is bounded.
-
-Defined results: null and empty texts are the end token alone; repeated rows count as often as they stand and are
-scored alike; without training texts every symbol is equally likely and the base is 0; an empty table gives no
-rows; other columns are ignored. A null id counts as held out.
+"""Language-model scores from a probabilistic suffix tree over words (operator 6).
+
+Symbols are words, one end for each text, and one symbol for all words that training has not seen. A context is the
+last one to ``depth`` words before a symbol, the beginning of the text counting as a word. The tree holds the empty
+context and every context c that stands at least ``least`` times in training and whose next-symbol distribution
+diverges from that of its suffix s, the context without its oldest word: the log-likelihood gain
+sum over w of n(c, w) log(n(c, w) n(s) / (n(c) n(s, w))) must exceed ``divergence`` nats for each of the t(c)
+different symbols after c, so the test asks more of contexts that say more, however often they stand.
+
+The root's distribution is that of the base, (n(w) + 0.1) / (N + 0.1 (V + 1)), which with the unseen words' symbol
+adds up to 1. The distribution of a retained context is smoothed with that of its longest retained proper suffix,
+P(w | c) = (n(c, w) + m P(w | suffix)) / (n(c) + m) with m = ``smoothing`` t(c), which adds up to 1 too. Every symbol
+is scored in the state of its longest retained suffix; a text's score is the sum of their log10, in double
+precision, each occurrence by itself.
+
+The tree is never in one place. Texts are packed into groups of about ``group_bytes``. In each round every group
+asks for what it does not know of the runs of words in its texts: it sends their 64-bit hashes, each once, with its
+own sums, to hash ranges, which add up and answer each group in the order of its question. So a key has at most one
+entry for each group, however frequent it is, and no range grows with the documents that hold a word.
+
+* Round 0: counts of words and of pairs.
+* Round j, for contexts of j words: gain and t; and the counts of runs of j + 2 words whose context may be retained.
+* Last: each group scores its texts.
+
+Nothing that grows with the corpus is broadcast or collected. Of partial sums of gain and t only single precision is
+sent; t is rounded to a whole number.
+
+Defined results: null and empty texts are the end alone; texts of more than group_bytes are worked on in pieces,
+with the same sums; repeated rows count as often as they stand and are scored alike; without training texts
+every symbol is the unseen one and base and score are 0; an empty table gives no rows; other columns are ignored. A
+null id counts as held out.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import kept
-from .common import _LOWER, crc_fold, keyed_texts, mix, read_table, runs_of, text_buffers, words_of
+from ..session import kept, release_shuffles
+from .common import _SPACE, crc_fold, keyed_texts, mix, read_table, runs_of, words_of
 
-RANGE_BYTES, BLOCK_WORDS, SPELL_BYTES, LOW = 14 << 20, 600_000, 8 << 20, 40
-WORD_END, TEXT_END = 32, 10  # bytes that stand in no word
+#: Hashes of the end and the beginning of a text; what tells runs of words apart from words.
+END, BEGIN, _STEP = np.uint64(1), np.uint64(2), np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of questions: 1, 2, … ask the counts of runs of so many words, SUMS + j of contexts of j words; and of the texts.
+SUMS, TEXTS = 100, 0
+FIRST, AGAIN = 2, 1
+ROWS_OF_GROUP = 200_000
+_MESSAGE = "part long, g long, kind int, blob binary"
+_ANSWER = "g long, kind int, part long, blob binary, symbols long, total long"
+_SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
-@dataclass
-class SuffixTree:
-    codes: np.ndarray  # sorted codes of retained contexts; code 0 is the root
-    parent: np.ndarray  # places of their longest retained proper suffixes
-    back: np.ndarray  # log10 of the weight of the parent's distribution
-    entries: np.ndarray  # sorted place * 256 + symbol of seen next symbols
-    value: np.ndarray  # log10 of their probabilities
-    depth: int
+# ---- groups of texts
 
 
-# ---- spelling and contexts
+def pieces_of(data: bytes, size: int, depth: int):
+    """(text, words that it repeats, opens, whether it ends the text) of pieces of about size bytes.
 
+    A piece begins with the depth words before it, which are its first one's contexts. opens: FIRST of a text's first
+    piece, AGAIN of others that the text's beginning is a context of, else 0.
+    """
+    at, before, opens = 0, b"", FIRST
+    while True:
+        to = len(data)
+        if to - at > size:
+            spaces = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, size, at)])
+            if len(spaces):
+                to = at + int(spaces[-1]) + 1
+            else:
+                rest = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, -1, at + size)])
+                to = at + size + int(rest[0]) + 1 if len(rest) else to
+        text = before + data[at:to]
+        yield text, len(before.split()), opens, to == len(data)
+        if to == len(data):
+            return
+        words = text.rsplit(None, depth)
+        opens = AGAIN if opens and len(words) <= depth else 0
+        at, before = to, b" ".join(words[-depth:]) + b" "
+
+
+def packed_texts(texts: DataFrame, group_bytes: int, depth: int) -> DataFrame:
+    """(g, blob): texts of about group_bytes together, compressed, from rows with doc_id, text, held_out."""
+    names = ["row", "doc_id", "held", "skip", "opens", "last", "text"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.large_binary()]
 
-def contexts_of(symbols: np.ndarray, place: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For k = 0..depth the codes of the last k symbols before each; all ones where a word has not so many.
+    def run(batches):
+        held: list[list] = [[] for _ in names]
+        group, size, row = TaskContext.get().partitionId() << 32, 0, TaskContext.get().partitionId() << 40
+
+        def flush():
+            sink = pa.BufferOutputStream()
+            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(held, kinds, strict=True)], names)
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(batch)
+            for x in held:
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["g", "blob"])
 
-    place: how many symbols of the word stand before, its beginning among them. A code is the length in the top
-    byte and the symbols below, the newest lowest.
-    """
-    out, code = [np.zeros(len(symbols), np.uint64)], np.zeros(len(symbols), np.uint64)
-    for k in range(1, depth + 1):
-        older = np.full(len(symbols), WORD_END, np.uint64)
-        older[k:] = symbols[:-k]
-        older[place == k] = WORD_END  # the beginning
-        code = code | older << np.uint64(8 * (k - 1))
-        out.append(np.where(place >= k, code | np.uint64(k << 56), np.uint64(0xFFFFFFFFFFFFFFFF)))
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_string()).cast(pa.large_binary())
+            for doc, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts, strict=True):
+                for piece, skip, opens, last in pieces_of(text.as_py() or b"", group_bytes, depth):
+                    for x, value in zip(held, (row, doc, out, skip, opens, last, piece), strict=True):
+                        x.append(value)
+                    size += len(piece)
+                    if size >= group_bytes or len(held[0]) >= ROWS_OF_GROUP:
+                        yield flush()
+                        group, size = group + 1, 0
+                row += 1
+        if held[0]:
+            yield flush()
+
+    return texts.select("doc_id", "text", "held_out").mapInArrow(run, "g long, blob binary")
+
+
+class Group:
+    """The symbols of a group's texts, the runs of words that end at each, and what is known of them."""
+
+    def __init__(self, blob: bytes, depth: int, least: int, divergence: float):
+        self.texts = pa.ipc.open_stream(blob).read_all().combine_chunks()
+        column = lambda c: self.texts.column(c).to_numpy()
+        opens, last, skip, self.held = column("opens"), column("last"), column("skip"), column("held")
+        text = self.texts.column("text").combine_chunks().cast(pa.large_string())
+        seq, row, place, own = [], [], [], []
+        for first, rows, hashes, offsets, _, _ in words_of(text):
+            b, e = (opens[first : first + rows] > 0).astype(np.int64), last[first : first + rows].astype(np.int64)
+            size = np.diff(offsets) + b + e
+            begin = np.cumsum(size) - size
+            out, is_word = np.empty(int(size.sum()), np.uint64), np.ones(int(size.sum()), bool)
+            starts, ends = begin[b > 0], (begin + size - 1)[e > 0]
+            is_word[starts] = is_word[ends] = False
+            out[starts], out[ends], out[is_word] = BEGIN, END, hashes
+            which = np.repeat(np.arange(rows), size)
+            at = np.arange(len(out)) - begin[which]
+            index = at - b[which]  # -1: the beginning
+            counted = np.where(index < 0, opens[first : first + rows][which] == FIRST, index >= skip[first : first + rows][which])
+            seq.append(out)
+            row.append(which + first)
+            place.append(at)
+            own.append(counted)
+        self.seq, self.row, self.place, self.own = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((seq, np.uint64), (row, np.int64), (place, np.int64), (own, bool)))
+        self.train, self.scored = ~self.held[self.row], self.own & (self.seq != BEGIN)
+        self.depth, self.least, self.divergence = depth, least, divergence
+        keys = mix(self.seq * _STEP)
+        self.keys = [None, keys]  # of the runs of 1, 2, … symbols that end at each place
+        for _ in range(depth):
+            longer = np.zeros_like(keys)
+            longer[1:] = mix(keys[:-1] * _STEP + self.seq[1:])
+            self.keys.append(longer)
+            keys = longer
+        self.counts: list = [None]
+
+    def before(self, x: np.ndarray, k: int) -> np.ndarray:
+        """x at the place before each, where k symbols of the text stand before it, and 0 elsewhere."""
+        out = np.zeros_like(x)
+        out[1:] = x[:-1]
+        out[self.place < k] = 0
+        return out
+
+    def may_be_retained(self, j: int, tokens: int) -> np.ndarray:
+        """Places whose context of j words stands often enough, and whose gain can exceed the least by any chance."""
+        times = self.before(self.counts[j], j)
+        longer = tokens if j == 1 else self.before(self.counts[j - 1], j)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            most = times * np.log(longer / times)  # no symbol stands more often after a context than after its suffix
+        return (times >= self.least) & (most > self.divergence)
+
+    def open_runs(self, k: int, tokens: int) -> np.ndarray:
+        """Places at which the count of the run of k symbols must be asked for."""
+        if k <= 2:
+            return self.place >= k - 1
+        here = self.may_be_retained(k - 1, tokens) if k - 1 == self.depth else self.before(self.counts[k - 1], k - 1) >= self.least
+        return here & (self.counts[k - 1] > 0)  # a run does not stand where the shorter one does not
+
+    def own_counts(self, k: int, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+        use = self.open_runs(k, tokens)
+        keys, which = np.unique(self.keys[k][use], return_inverse=True)
+        return keys, np.bincount(which, (self.train & self.own)[use], minlength=len(keys)).astype(np.int64)
+
+    def learn_counts(self, k: int, tokens: int, totals: np.ndarray) -> None:
+        use = self.open_runs(k, tokens)
+        out = np.zeros(len(self.seq), np.int64)
+        out[use] = totals[np.unique(self.keys[k][use], return_inverse=True)[1]]
+        self.counts.append(out)
+
+    def contexts(self, j: int, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places with a context of j words that may be retained, its distinct hashes, and which of them each has."""
+        use = np.flatnonzero(self.may_be_retained(j, tokens) & self.scored)
+        return use, *np.unique(self.keys[j][use - 1], return_inverse=True)
+
+    def own_gain(self, j: int, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts of j words, and this group's shares of their gain and of their number of next symbols."""
+        use, keys, which = self.contexts(j, tokens)
+        taught = self.train[use]
+        at, which = use[taught], which[taught]
+        n, shorter = self.counts[j + 1][at], self.counts[j][at]
+        longer = tokens if j == 1 else self.counts[j - 1][at - 1]
+        gain = np.log(n / self.counts[j][at - 1] * (longer / shorter))
+        return keys, np.bincount(which, gain, minlength=len(keys)), np.bincount(which, 1 / n, minlength=len(keys))
+
+    def scores(self, tokens: int, symbols: int, smoothing: float, followers: list[np.ndarray]) -> pa.Table:
+        """followers: for each length of contexts how many symbols follow each of contexts(), 0 of those not retained."""
+        base = (self.counts[1] + 0.1) / (tokens + 0.1 * (symbols + 1))
+        state = base.copy()
+        for j, t in enumerate(followers, 1):
+            use, _, which = self.contexts(j, tokens)
+            m = smoothing * t[which]
+            use, m = use[m > 0], m[m > 0]
+            state[use] = (self.counts[j + 1][use] + m * state[use]) / (self.counts[j][use - 1] + m)
+        rows = self.texts.num_rows
+        where = self.row[self.scored]
+        add = lambda x: np.bincount(where, x[self.scored], minlength=rows)
+        numbers = [add(np.ones(len(self.seq))).astype(np.int64), add(self.counts[1] > 0).astype(np.int64), add(np.log10(base)), add(np.log10(state))]
+        return pa.table([self.texts.column("row"), self.texts.column("doc_id"), self.texts.column("held"), *map(pa.array, numbers)], [c.split()[0] for c in _SCORES.split(", ")])
+
+
+# ---- questions and answers
+
+
+def _numbers(x: np.ndarray) -> bytes:
+    """Counts, most of which are small, a byte each."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype(np.int64).tobytes()
+
+
+def _read_numbers(data: np.ndarray, n: int) -> np.ndarray:
+    out = data[:n].astype(np.int64)
+    out[out == 255] = np.frombuffer(data[n:].tobytes(), np.int64)
     return out
 
 
-HEAD, TAIL, NONE = 3, 3, 0  # symbols of a word that see what stands before it, how many they see, and a gap
+def _question(g: int, kind: int, ranges: int, keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
+    """Messages of sorted keys with their counts, or sums, to the ranges of the keys. Bytes stand by place, which compresses."""
+    part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    out = []
+    for a, b in runs_of(part):
+        planes = keys[a:b].view(np.uint8).reshape(-1, 8).T.tobytes()
+        rest = _numbers(values[0][a:b]) if len(values) == 1 else b"".join(x[a:b].astype("<f4").tobytes() for x in values)
+        out.append((int(part[a]), g, kind, np.uint32(b - a).tobytes() + planes + rest))
+    return out
 
 
-def spelled_out(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols before it from the word's beginning, word) of words and their ends."""
-    lengths = ends - starts + 1
-    offsets = np.cumsum(lengths) - lengths
-    word = np.repeat(np.arange(len(starts)), lengths)
-    place = np.arange(int(lengths.sum())) - offsets[word]
-    symbols = np.full(len(word), WORD_END, np.uint64)
-    inside = place < lengths[word] - 1
-    symbols[inside] = _LOWER[data[starts[word[inside]] + place[inside]]]
-    return symbols, place + 1, word
+def _messages(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    return pa.table([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["part", "g", "kind", "blob"])
 
 
-def heads_of(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each word and then, at the end of each text, its end: a code of the tail before it and its first symbols.
+def answers_to(messages: DataFrame, ranges: int, divergence: float) -> DataFrame:
+    """(g, kind, part, blob, symbols, total): sums of the keys that each message asks for, in its order.
 
-    A text of n words has n + 1 codes, in order. From the highest byte: the tail's third, second and last symbol,
-    and the head's first to third.
+    Of contexts the number of next symbols, or 0 if they are not retained. With g null: the number of words that
+    training holds, and of their places.
     """
-    texts, n = len(offsets) - 1, len(starts)
-    total = n + texts
-    row = np.repeat(np.arange(texts), np.diff(offsets))
-    at = np.arange(n) + row  # places of words among words and ends
-    size = ends - starts
-    symbol = lambda i, ok: np.where(ok, _LOWER[data[np.minimum(starts + i, max(0, len(data) - 1))]] if n else 0, NONE).astype(np.uint64)
-    back = lambda i, ok: np.where(ok, _LOWER[data[np.maximum(ends - i, 0)]] if n else 0, NONE).astype(np.uint64)
-    head = np.zeros((HEAD, total), np.uint64)
-    head[0] = TEXT_END
-    head[0][at] = symbol(0, size > 0)
-    head[1][at] = np.where(size == 1, WORD_END, symbol(1, size > 1))
-    head[2][at] = np.where(size == 2, WORD_END, symbol(2, size > 2))
-    tail = np.zeros((TAIL, total), np.uint64)
-    tail[0] = TEXT_END  # before a text's first word
-    tail[0][at + 1] = back(1, size > 0)
-    tail[1][at + 1] = np.where(size == 1, WORD_END, back(2, size > 1))
-    tail[2][at + 1] = np.where(size == 2, WORD_END, back(3, size > 2))
-    code = np.zeros(total, np.uint64)
-    for x in (tail[2], tail[1], tail[0], head[0], head[1], head[2]):
-        code = code << np.uint64(8) | x
-    return code
-
-
-def head_contexts(codes: np.ndarray, depth: int):
-    """For each of the head's places: which codes have a symbol there, these symbols, their longest contexts and these' lengths."""
-    part = lambda i: codes >> np.uint64(8 * i) & np.uint64(255)
-    head, tail = [part(2), part(1), part(0)], [part(3), part(4), part(5)]
-    for p in range(HEAD):
-        use = np.flatnonzero(head[p] != NONE)
-        before = [head[q][use] for q in range(p - 1, -1, -1)] + [np.full(len(use), WORD_END, np.uint64)] + [t[use] for t in tail]
-        code, size, fine = np.zeros(len(use), np.uint64), np.zeros(len(use), np.int64), np.ones(len(use), bool)
-        for k, x in enumerate(before[:depth]):
-            fine = fine & (x != NONE)
-            code |= np.where(fine, x << np.uint64(8 * k), np.uint64(0))
-            size += fine
-        yield use, head[p][use], code, size
-
-
-def suffixes(code: np.ndarray, size: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For k = 0..depth the codes of the last k symbols, as contexts_of has them."""
-    none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    return [np.where(size >= k, code & np.uint64((1 << 8 * k) - 1) | np.uint64(k << 56), none) for k in range(depth + 1)]
-
-
-def longest_contexts(symbols: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
-    """For each symbol its longest context and itself as one key: length, up to six symbols (newest lowest), symbol."""
-    code = np.zeros(len(symbols), np.uint64)
-    for k in range(1, depth + 1):
-        older = np.full(len(symbols), WORD_END, np.uint64)
-        older[k:] = symbols[:-k]
-        older[place == k] = WORD_END  # the beginning
-        code |= np.where(place >= k, older << np.uint64(8 * (k - 1)), np.uint64(0))
-    return np.minimum(place, depth).astype(np.uint64) << np.uint64(56) | code << np.uint64(8) | symbols
-
-
-def added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    if not len(keys):
-        return keys, counts
-    cut = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-    return keys[cut], np.add.reduceat(counts, cut)
-
-
-def all_contexts(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counts of every context from those of the longest: a shorter one stands where longer ones do."""
-    out = []
-    for k in range(depth, -1, -1):
-        use = keys >> np.uint64(56) >= np.uint64(k)
-        symbols = keys[use] & np.uint64((1 << 8 * (k + 1)) - 1)
-        keys, counts = added_up(np.concatenate([keys[~use], symbols | np.uint64(k << 56)]), np.concatenate([counts[~use], counts[use]]))
-        own = keys >> np.uint64(56) == np.uint64(k)
-        out.append((keys[own], counts[own]))
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-
-
-def _tree_counts(texts: DataFrame, depth: int, least: int, ranges: int) -> DataFrame:
-    """(code, next, count) of contexts that stand at least `least` times in the texts, with all their next symbols."""
-
-    def tally(held) -> tuple[np.ndarray, np.ndarray]:
-        data, hashes, counts, lengths, heads, times = (np.concatenate([x[i] for x in held]) for i in range(6))
-        ends = np.cumsum(lengths)
-        words, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        weight = np.bincount(inverse, counts).astype(np.int64)
-        symbols, place, word = spelled_out(data, (ends - lengths)[first], ends[first])
-        rest = place > HEAD
-        keys, sums = [longest_contexts(symbols, place, depth)[rest]], [weight[word[rest]]]
-        heads, times = added_up(heads, times)
-        for use, x, code, size in head_contexts(heads, depth):
-            keys.append(size.astype(np.uint64) << np.uint64(56) | code << np.uint64(8) | x)
-            sums.append(times[use])
-        return added_up(np.concatenate(keys), np.concatenate(sums))
 
-    def run(batches):
-        held, size, total = [], 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for batch in batches:
-            column = batch.column(0)
-            data, places = text_buffers(column)
-            for row, rows, hashes, offsets, starts, ends in words_of(column):
-                words, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-                lengths = (ends - starts)[first]
-                begin = np.cumsum(lengths) - lengths
-                at = np.repeat(starts[first] - begin, lengths) + np.arange(int(lengths.sum()))
-                held.append((data[at], words, counts, lengths, *np.unique(heads_of(data, offsets, starts, ends), return_counts=True)))
-                size += int(places[row + rows] - places[row])
-                if size >= SPELL_BYTES:
-                    total = added_up(*(np.concatenate(x) for x in zip(total, tally(held), strict=True)))
-                    held, size = [], 0
-        if held:
-            total = added_up(*(np.concatenate(x) for x in zip(total, tally(held), strict=True)))
-        if len(total[0]):
-            keys, counts = all_contexts(*total, depth)
-            part = ((mix(keys >> np.uint64(8)) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-            order = np.argsort(part, kind="stable")
-            part, keys, counts = part[order], keys[order], counts[order]
-            cuts = runs_of(part)
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in cuts], pa.int64()), pa.array([keys[a:b].tobytes() + counts[a:b].tobytes() for a, b in cuts], pa.binary())], ["part", "blob"])
-
-    def reduce(key, table):
-        halves = [(x.as_py()[: len(x.as_py()) // 2], x.as_py()[len(x.as_py()) // 2 :]) for x in table.column("blob")]
-        keys, counts = added_up(np.frombuffer(b"".join(x[0] for x in halves), np.uint64), np.frombuffer(b"".join(x[1] for x in halves), np.int64))
-        code = keys >> np.uint64(8)  # length and symbols, the length now from bit 48
-        cuts = runs_of(code)
-        sums = np.add.reduceat(counts, [a for a, _ in cuts])
-        keep = np.repeat(sums >= least, [b - a for a, b in cuts])
-        code = (code >> np.uint64(48) << np.uint64(56) | code & np.uint64((1 << 48) - 1))[keep]
-        return pa.table({"code": pa.array(code.view(np.int64)), "next": pa.array((keys[keep] & np.uint64(255)).astype(np.int32)), "count": pa.array(counts[keep])})
-
-    return texts.select("text").mapInArrow(run, "part long, blob binary").groupBy("part").applyInArrow(reduce, "code long, next int, count long")
-
-
-def build_tree(code: np.ndarray, symbol: np.ndarray, count: np.ndarray, depth: int, divergence: float) -> SuffixTree:
-    """The tree of candidate contexts (with the root's, code 0) from their next-symbol counts."""
-    order = np.argsort(symbol, kind="stable")
-    order = order[np.argsort(code[order], kind="stable")]
-    code, symbol, count = code[order], symbol[order], count[order].astype(float)
-    dist, names = [np.full(256, 1 / 256, np.float32)], {0: 0}  # of retained contexts, by their place
-    parents, back, entries, values, codes = [0], [0.0], [], [], [0]
-    for a, b in runs_of(code):  # the shorter contexts first
-        c, seen, times = int(code[a]), symbol[a:b], count[a:b]
-        k, suffix = c >> 56, 0
-        for j in range(k - 1, 0, -1):
-            if (suffix := names.get(j << 56 | c & ((1 << 8 * j) - 1), 0)):
-                break
-        base, total = dist[suffix], times.sum()
-        if c and (times * np.log(times / total / base[seen])).sum() < divergence:
-            continue
-        weight = b - a + 1.0
-        p = base * np.float32(weight / (total + weight))
-        p[seen] += times / (total + weight)
-        if c:
-            names[c] = len(dist)
-            codes.append(c)
-            parents.append(suffix)
-            back.append(math.log10(weight / (total + weight)))
-            dist.append(p)
+    def run(key, table):
+        rows = []
+        groups, kinds = table.column("g").to_numpy(), table.column("kind").to_numpy()
+        blobs = table.column("blob")
+        for kind in np.unique(kinds).tolist():
+            mine = np.flatnonzero(kinds == kind)
+            mine = mine[np.argsort(groups[mine], kind="stable")]  # so that sums do not depend on who was first
+            keys, values = [], []
+            for i in mine.tolist():
+                data = np.frombuffer(blobs[i].as_buffer(), np.uint8)
+                n = int(data[:4].view(np.uint32)[0])
+                keys.append(data[4 : 4 + 8 * n].reshape(8, n).T.copy().view(np.uint64).ravel())
+                rest = data[4 + 8 * n :]
+                values.append(np.frombuffer(rest.tobytes(), "<f4").reshape(2, n).astype(float) if kind >= SUMS else _read_numbers(rest, n)[None])
+            size = np.array([len(k) for k in keys])
+            all_keys, each = np.concatenate(keys), np.concatenate(values, 1)
+            order = np.argsort(all_keys, kind="stable")
+            new = np.r_[True, all_keys[order][1:] != all_keys[order][:-1]]
+            sums = np.add.reduceat(each[:, order], np.flatnonzero(new), axis=1)
+            if kind >= SUMS:
+                gain, follow = sums[0], np.rint(sums[1]).astype(np.int64)
+                sums = np.where(gain > divergence * follow, follow, 0)
+            else:
+                sums = sums[0]
+            if kind == 1:
+                rows.append((None, 0, int(key[0].as_py()), None, int((sums > 0).sum()), int(sums.sum())))
+            answer = np.empty(len(order), np.int64)
+            answer[order] = sums[np.cumsum(new) - 1]
+            for i, a, b in zip(mine.tolist(), np.cumsum(size) - size, np.cumsum(size), strict=True):
+                rows.append((int(groups[i]), kind, int(key[0].as_py()), np.uint32(b - a).tobytes() + _numbers(answer[a:b]), 0, 0))
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], [c.split()[0] for c in _ANSWER.split(", ")])
+
+    return messages.repartition(ranges, "part").groupBy("part").applyInArrow(run, _ANSWER)
+
+
+def _restored(table: pa.Table, rounds: int, depth: int, least: int, divergence: float, tokens: int) -> tuple[int, Group, list[np.ndarray]]:
+    """(g, the group with the counts of so many rounds after the first, answers on contexts) from its texts and answers."""
+    found: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, (kind, part) in enumerate(zip(table.column("kind").to_pylist(), table.column("part").to_pylist(), strict=True)):
+        if kind == TEXTS:
+            group = Group(table.column("blob")[i].as_buffer(), depth, least, divergence)
         else:
-            dist[0], back[0] = p, math.log10(weight / (total + weight))
-        entries.append(names[c] * 256 + seen)
-        values.append(np.log10(p[seen].astype(float)))
-    # contexts came in the order of their codes, so places are sorted too
-    flat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return SuffixTree(np.array(codes, np.uint64), np.array(parents), np.array(back), flat(entries, np.int64), flat(values, float), depth)
-
-
-def log10_of(tree: SuffixTree, symbols: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each symbol in the state of its longest retained suffix."""
-    state = np.zeros(len(symbols), np.int64)
-    open_ = np.arange(len(symbols))
-    for code in contexts[:0:-1]:
-        at = np.searchsorted(tree.codes, code[open_])
-        at[at == len(tree.codes)] = 0
-        hit = tree.codes[at] == code[open_]
-        state[open_[hit]] = at[hit]
-        open_ = open_[~hit]
-    out, open_ = np.zeros(len(symbols)), np.arange(len(symbols))
-    while len(open_):
-        key = state[open_] * 256 + symbols[open_].astype(np.int64)
-        at = np.searchsorted(tree.entries, key)
-        at[at == len(tree.entries)] = 0
-        hit = tree.entries[at] == key if len(tree.entries) else np.zeros(len(open_), bool)
-        out[open_[hit]] += tree.value[at[hit]]
-        open_ = open_[~hit]
-        out[open_] += tree.back[state[open_]]
-        top = state[open_] == 0
-        out[open_[top]] += -math.log10(256)
-        open_ = open_[~top]
-        state[open_] = tree.parent[state[open_]]
-    return out
+            data = np.frombuffer(table.column("blob")[i].as_buffer(), np.uint8)
+            found.setdefault(kind, []).append((part, _read_numbers(data[4:], int(data[:4].view(np.uint32)[0]))))
+    answers = {kind: np.concatenate([x for _, x in sorted(parts, key=lambda p: p[0])]) for kind, parts in found.items()}
+    none = np.zeros(0, np.int64)
+    for k in range(1, rounds + 2):
+        group.learn_counts(k, tokens, answers.get(k, none))
+    return table.column("g")[0].as_py(), group, [answers.get(SUMS + j, none) for j in range(1, depth + 1)]
 
 
-# ---- words
-
-
-_SUM = np.dtype([("key", "<u8"), ("base", "<f8"), ("score", "<f8"), ("known", "<u4"), ("words", "<u4")])
-#: The key of the row that counts distinct training words.
-_WORDS = (1 << 64) - 1
-
-
-class Spelling:
-    """log10 probabilities of words' rests by the tree, remembered for up to a million words."""
-
-    def __init__(self, tree: SuffixTree):
-        self.tree, self.known, self.worth = tree, np.zeros(0, np.uint64), np.zeros(0)
-
-    def __call__(self, data: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        value = np.zeros(len(words))
-        place = np.searchsorted(self.known, words)
-        place[place == len(self.known)] = 0
-        old = self.known[place] == words if len(self.known) else np.zeros(len(words), bool)
-        value[old] = self.worth[place[old]]
-        new = ~old
-        if new.any():
-            symbols, order, word = spelled_out(data, starts[new], ends[new])
-            rest = np.flatnonzero(order > HEAD)
-            logs = log10_of(self.tree, symbols[rest], [c[rest] for c in contexts_of(symbols, order, self.tree.depth)])
-            value[new] = np.bincount(word[rest], logs, minlength=int(new.sum()))
-            if len(self.known) > 1_000_000:
-                self.known, self.worth = np.zeros(0, np.uint64), np.zeros(0)
-            both, worth = np.concatenate([self.known, words[new]]), np.concatenate([self.worth, value[new]])
-            sort = np.argsort(both, kind="stable")
-            self.known, self.worth = both[sort], worth[sort]
-        return value
-
-
-def heads_worth(tree: SuffixTree, codes: np.ndarray) -> np.ndarray:
-    """log10 probabilities of heads after their tails."""
-    heads, which = np.unique(codes, return_inverse=True)
-    out = np.zeros(len(heads))
-    for use, x, code, size in head_contexts(heads, tree.depth):
-        out[use] += log10_of(tree, x, suffixes(code, size, tree.depth))
-    return out[which]
-
-
-def mixed(count: np.ndarray, log_spelled: np.ndarray, tokens: int, spelled: float) -> np.ndarray:
-    """log10 of a token's probability; the spelling alone where nothing was taught."""
-    if not tokens:
-        return log_spelled
-    low = math.log10(spelled) + log_spelled
-    share = np.log10(np.maximum(count, 1) * ((1 - spelled) / tokens))
-    return np.where(count > 0, np.maximum(share, low) + np.log10(1 + 10 ** -np.abs(share - low)), low)
-
-
-def _text_sums(texts: DataFrame, tree: SuffixTree, tokens: int, spelled: float, ranges: int) -> DataFrame:
-    """(key, base, score, known, words) of each text over its words; the row of key -1 has the distinct training words."""
-    shipped = texts.sparkSession.sparkContext.broadcast(tree)  # bounded by depth / least_share contexts
-
-    def packed(held):
-        word, doc, times, worth = (np.concatenate([x[i] for x in held]) for i in range(4))
-        part = ((word >> np.uint64(LOW)) * np.uint64(ranges)) >> np.uint64(64 - LOW)
-        order = np.argsort(part.astype(np.uint16 if ranges <= 65536 else np.uint32), kind="stable")
-        part, low, doc, times, worth = part[order], word[order] & np.uint64((1 << LOW) - 1), doc[order], times[order], worth[order]
-        cuts = runs_of(part, doc)
-        begin, sizes = np.array([a for a, _ in cuts]), np.array([b - a for a, b in cuts], np.uint32)
-        names, blobs = [], []
-        for a, b in runs_of(part[begin]):
-            lo, hi = begin[a], begin[b] if b < len(begin) else len(part)
-            names.append(int(part[lo]))
-            columns = (low[lo:hi].astype(np.uint32), times[lo:hi].astype(np.uint16), worth[lo:hi].astype(np.float32), (low[lo:hi] >> np.uint64(32)).astype(np.uint8))
-            blobs.append(b"".join((np.uint32(b - a).tobytes(), doc[begin[a:b]].tobytes(), sizes[a:b].tobytes(), *(x.tobytes() for x in columns))))
-        for at in range(0, len(names), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 4096], pa.int64()), pa.array(blobs[at : at + 4096], pa.binary())], ["part", "blob"])
+def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = 2, least: int = 2, divergence: float = 2.0, smoothing: float = 2.0, group_bytes: int = 12 << 20, range_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; rows whose id's crc32 is 0 modulo folds are held out.
 
-    def run(batches):
-        spelling, held, count = Spelling(shipped.value), [], 0
-        for batch in batches:
-            keys, column = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("text")
-            data, _ = text_buffers(column)
-            for first, _, hashes, offsets, starts, ends in words_of(column):
-                if not len(hashes):
-                    continue
-                words, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                heads = heads_worth(shipped.value, heads_of(data, offsets, starts, ends))[np.arange(len(hashes)) + row]
-                each = spelling(data, words, starts[at], ends[at])[inverse] + heads
-                both, place, times = np.unique(row * len(words) + inverse, return_inverse=True, return_counts=True)
-                worth = np.bincount(place, each) / times
-                row, which = both // len(words), both % len(words)
-                more = (times - 1) // 65535 + 1  # counts are packed in 16 bits
-                left = np.full(int(more.sum()), 65535)
-                left[np.cumsum(more) - 1] = times - (more - 1) * 65535
-                held.append((np.repeat(words[which], more), np.repeat(keys[first + row], more), left, np.repeat(worth, more)))
-                count += len(left)
-                if count >= BLOCK_WORDS:
-                    yield from packed(held)
-                    held, count = [], 0
-        if count:
-            yield from packed(held)
-
-    def reduce(key, table):
-        columns: list[list] = [[], [], [], []]
-        for x in table.column("blob"):
-            data = np.frombuffer(x.as_buffer(), np.uint8)
-            n = int(data[:4].view(np.uint32)[0])
-            rest = data[4 + 12 * n :]
-            k = len(rest) // 11
-            columns[0].append(np.repeat(data[4 : 4 + 8 * n].copy().view(np.uint64), data[4 + 8 * n : 4 + 12 * n].copy().view(np.uint32)))
-            columns[1].append(rest[: 4 * k].copy().view(np.uint32).astype(np.uint64) | rest[10 * k :].astype(np.uint64) << np.uint64(32))
-            columns[2].append(rest[4 * k : 6 * k].copy().view(np.uint16))
-            columns[3].append(rest[6 * k : 10 * k].copy().view(np.float32))
-        doc, low, times, worth = (np.concatenate(c) for c in columns)
-        order = np.argsort(low)
-        doc, low, times, worth = doc[order], low[order], times[order].astype(np.int64), worth[order].astype(float)
-        cut = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
-        seen = np.add.reduceat(times * (doc & np.uint64(1) == 0), cut)
-        c = np.repeat(seen, np.diff(np.append(cut, len(low))))
-        order = np.argsort(doc, kind="stable")
-        doc, c, times, worth = doc[order], c[order], times[order], worth[order]
-        cut = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1])
-        rows = np.zeros(len(cut) + 1, _SUM)
-        for name, x in (("base", times * np.log10(c + 0.1)), ("score", times * mixed(c, worth, tokens, spelled)), ("known", times * (c > 0)), ("words", times)):
-            rows[name][:-1] = np.add.reduceat(x, cut)
-        rows["key"][:-1], rows["key"][-1], rows["base"][-1] = doc[cut], _WORDS, (seen > 0).sum()
-        part = ((mix(rows["key"]) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        part, rows = part[order], rows[order]
-        cuts = runs_of(part)
-        return pa.table({"part": pa.array([int(part[a]) for a, _ in cuts], pa.int64()), "blob": pa.array([rows[a:b].tobytes() for a, b in cuts], pa.binary())})
-
-    def total(key, table):
-        rows = np.frombuffer(b"".join(x.as_py() for x in table.column("blob")), _SUM)
-        rows = rows[np.argsort(rows["key"], kind="stable")]
-        cut = [a for a, _ in runs_of(rows["key"])]
-        sums = {name: np.add.reduceat(rows[name].astype(kind), cut) for name, kind in (("base", float), ("score", float), ("known", np.int64), ("words", np.int64))}
-        return pa.table({"key": pa.array(np.ascontiguousarray(rows["key"][cut]).view(np.int64)), **{k: pa.array(v) for k, v in sums.items()}})
-
-    parts = texts.select("key", "text").mapInArrow(run, "part long, blob binary").groupBy("part").applyInArrow(reduce, "part long, blob binary")
-    return parts.groupBy("part").applyInArrow(total, "key long, base double, score double, known long, words long")
-
-
-def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = 6, least_share: float = 2e-6, divergence: float = 8.0, spelled: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; rows whose id's crc32 is 0 modulo folds are held out."""
-    if not 1 <= depth <= 6 or not 0 < spelled < 1:
-        raise ValueError("a context has 1 to 6 symbols, and the spelling a weight between 0 and 1")
+    group_bytes, range_bytes: of text that a task works on at once, and whose runs a range holds, about. Both may grow
+    with the executors' memory; a group sends one message to each range, so very large corpora want both larger.
+    """
+    if depth < 1 or least < 1 or smoothing <= 0 or divergence < 0:
+        raise ValueError("depth and least are 1 or more, smoothing over 0, divergence not below 0")
     spark = docs.sparkSession
     held = F.coalesce(crc_fold("doc_id", folds) == 0, F.lit(True))
     texts = keyed_texts(docs, id_col, text_col).select("doc_id", "text", held.alias("held_out"))
-    # the lowest bit of a key says whether its text is held out
-    texts = texts.withColumn("key", F.shiftleft(F.xxhash64("doc_id", "text"), 1).bitwiseOR(F.col("held_out").cast("long")))
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(~F.col("held_out"), F.octet_length("text"))), F.lit(0)).alias("train")).first()
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size["all"] / RANGE_BYTES))
-    rows = _tree_counts(texts.where(~F.col("held_out")), depth, max(2, math.ceil(least_share * size["train"])), ranges).toArrow()
-    code, symbol, count = rows.column("code").to_numpy().view(np.uint64), rows.column("next").to_numpy().astype(np.int64), rows.column("count").to_numpy()
-    tree = build_tree(code, symbol, count, depth, divergence)
-    root = {s: int(n) for c, s, n in zip(code[code == 0], symbol[code == 0].tolist(), count[code == 0].tolist(), strict=True)}
-    taught = texts.where(~F.col("held_out")).count()
-    tokens = root.get(WORD_END, 0) + taught
-    sums = kept(_text_sums(texts, tree, tokens, spelled, ranges))
-    v = int((sums.where("key = -1").agg(F.sum("base")).first()[0] or 0) + (taught > 0))
-    both = texts.select("key", "doc_id", "held_out").join(sums.where("key <> -1"), "key", "left")
-    same = texts.groupBy("key").agg(F.count("*").alias("rows"))  # rows alike share one key, whose sums are theirs together
-    end = log10_of(tree, np.array([TEXT_END], np.uint64), contexts_of(np.array([TEXT_END], np.uint64), np.array([1]), depth))
-    end_score = float(mixed(np.array([taught]), end, tokens, spelled)[0])
-    own = lambda c: F.coalesce(F.col(c) / F.col("rows"), F.lit(0.0))
-    n_tokens = own("words").cast("long") + 1
-    return both.join(same, "key").select(
-        "doc_id", "held_out", n_tokens.alias("n_tokens"), (own("known").cast("long") + int(taught > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (own("base") + math.log10(taught + 0.1) - n_tokens * math.log10(tokens + 0.1 * (v + 1))).alias("base_score"), (own("score") + end_score).alias("score"),
-    )
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("all"), F.count_if(~F.col("held_out")).alias("taught")).first()
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size["all"] / range_bytes))
+    groups = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size["all"] / group_bytes))
+    packed = kept(packed_texts(texts, group_bytes, depth), **{"parquet.block.size": 4 * group_bytes})
+
+    def first(batches):
+        for batch in batches:
+            for g, blob in zip(batch.column("g").to_pylist(), batch.column("blob"), strict=True):
+                group = Group(blob.as_buffer(), depth, least, divergence)
+                rows = [m for k in (1, 2) for m in _question(g, k, ranges, *group.own_counts(k, 0))]
+                yield from _messages(rows).to_batches()
+
+    known = kept(answers_to(packed.mapInArrow(first, _MESSAGE), ranges, divergence))
+    release_shuffles(spark)
+    row = known.where("g is null").agg(F.sum("symbols").alias("symbols"), F.sum("total").alias("total")).first()
+    # the beginning of each training text is counted as a word
+    tokens, symbols = (row.total or 0) - size.taught, (row.symbols or 0) - (size.taught > 0)
+    parts = [packed.select("g", F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("part"), "blob"), known.where("g is not null").select("g", "kind", "part", "blob")]
+
+    def by_group():
+        rows = parts[0]
+        for x in parts[1:]:
+            rows = rows.unionByName(x)
+        return rows.repartition(groups, "g").groupBy("g")
+
+    def asks(j: int):
+        def run(table):
+            g, group, _ = _restored(table, j, depth, least, divergence, tokens)
+            rows = _question(g, SUMS + j, ranges, *group.own_gain(j, tokens))
+            if j < depth:
+                rows += _question(g, j + 2, ranges, *group.own_counts(j + 2, tokens))
+            return _messages(rows)
+
+        return run
+
+    for j in range(1, depth + 1):
+        found = kept(answers_to(by_group().applyInArrow(asks(j), _MESSAGE), ranges, divergence))
+        parts.append(found.select("g", "kind", "part", "blob"))
+        release_shuffles(spark)
+
+    def last(table):
+        _, group, followers = _restored(table, depth, depth, least, divergence, tokens)
+        return group.scores(tokens, symbols, smoothing, followers)
+
+    rows = by_group().applyInArrow(last, _SCORES)
+    sums = {"n_tokens": "n_tokens", "n_known": "n_known", "base": "base_score", "score": "score"}
+    whole = rows.groupBy("row").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("held_out").alias("held_out"), *[F.sum(a).alias(b) for a, b in sums.items()])
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_suffix_tree_lm(spark, sf_dir: str) -> DataFrame:

@@ -1,84 +1,131 @@
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
 from semblance.llm import suffix_tree_lm as lm
 
 from .test_words import words
 
+END, BEGIN = b" end", b" begin"
+
+
+def held(d):
+    return d is None or zlib.crc32(str(d).encode()) % 10 == 0
+
 
 def rows():
     rnd = random.Random(2)
     syllables = ["an", "ta", "ri", "so", "é", "k", "mo"]
     vocabulary = ["".join(rnd.choices(syllables, k=rnd.randrange(1, 5))) for _ in range(200)] + ["The", "a"]
     weights = [1 / (i + 1) for i in range(len(vocabulary))][::-1]
-    out = [(i, " ".join(rnd.choices(vocabulary, weights, k=rnd.randrange(0, 120)))) for i in range(300)]
-    return out + [(301, None), (302, ""), (None, "The a"), (5, out[5][1]), (304, "the " * 70_000)]
-
-
-def test_base_counts_and_scores(spark):
+    passages = [rnd.choices(vocabulary, k=30) for _ in range(8)]
+    out = []
+    for i in range(300):
+        w = rnd.choices(vocabulary, weights, k=rnd.randrange(0, 120))
+        if i % 3 == 0:
+            at = rnd.randrange(len(w) + 1)
+            w[at:at] = rnd.choice(passages)
+        out.append((i, " ".join(w)))
+    return out + [(301, None), (302, ""), (None, "The a"), (5, out[5][1]), (304, "the " * 7_000), (305, "\t\n  "), (306, " x" * 3)]
+
+
+class Tree:
+    """The same model from dictionaries."""
+
+    def __init__(self, texts, depth, least=2, divergence=2.0, smoothing=2.0):
+        self.depth, self.smoothing = depth, smoothing
+        self.next = defaultdict(Counter)
+        for ws in texts:
+            line = [BEGIN, *ws, END]
+            for t in range(1, len(line)):
+                for k in range(min(depth, t) + 1):
+                    self.next[tuple(line[t - k : t])][line[t]] += 1
+        self.n = {c: sum(x.values()) for c, x in self.next.items()}
+        self.tokens, self.symbols = self.n.get((), 0), len(self.next[()])
+        self.kept = set()
+        for c, follow in self.next.items():
+            if c and self.n[c] >= least:
+                s = c[1:]
+                gain = sum(n * math.log(n * self.n[s] / (self.n[c] * self.next[s][w])) for w, n in follow.items())
+                if gain > divergence * len(follow):
+                    self.kept.add(c)
+
+    def p(self, context, word):
+        """Of the longest retained suffix of the context."""
+        while context and context not in self.kept:
+            context = context[1:]
+        if not context:
+            return (self.next[()][word] + 0.1) / (self.tokens + 0.1 * (self.symbols + 1))
+        m = self.smoothing * len(self.next[context])
+        return (self.next[context][word] + m * self.p(context[1:], word)) / (self.n[context] + m)
+
+    def score(self, ws):
+        line = [BEGIN, *ws, END]
+        return sum(math.log10(self.p(tuple(line[max(0, t - self.depth) : t]), line[t])) for t in range(1, len(line)))
+
+
+def expected(data, depth):
+    texts = [(d, words(t)) for d, t in data]
+    tree = Tree([ws for d, ws in texts if not held(d)], depth)
+    c, n, v = tree.next[()], tree.tokens, tree.symbols
+    out = []
+    for d, ws in texts:
+        ts = [*ws, END]
+        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ts)
+        out.append((d, held(d), len(ts), sum(c[w] > 0 for w in ts), n, base, tree.score(ws)))
+    return tree, sorted(out, key=str)
+
+
+@pytest.mark.parametrize("depth,group_bytes", [(1, 12 << 20), (2, 20_000), (3, 900)])
+def test_scores_of_whole_texts_are_those_of_the_tree(spark, depth, group_bytes):
     data = rows()
-    df = spark.createDataFrame([(a, b, "k") for a, b in data], "doc_id long, text string, key string")
-    got = sorted((tuple(r) for r in lm.score_texts(df, least_share=1e-4).collect()), key=str)
-    held = lambda d: d is None or zlib.crc32(str(d).encode()) % 10 == 0
-    tokens = [words(t) + [None] for _, t in data]
-    c = Counter(w for (d, _), ts in zip(data, tokens) if not held(d) for w in ts)
-    n, v = sum(c.values()), len(c)
-    want = sorted(((d, held(d), len(ts), sum(c[w] > 0 for w in ts), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ts)) for (d, _), ts in zip(data, tokens)), key=str)
+    df = spark.createDataFrame([(a, b, "k", 1.0) for a, b in data], "doc_id long, text string, row string, score double").repartition(3)
+    got = sorted((tuple(r) for r in lm.score_texts(df, depth=depth, group_bytes=group_bytes).collect()), key=str)
+    tree, want = expected(data, depth)
+    assert len(tree.kept) > 50 and all(len([c for c in tree.kept if len(c) == k]) > 5 for k in range(1, depth + 1))
     assert [g[:5] for g in got] == [w[:5] for w in want]
-    assert all(abs(g[5] - w[5]) < 1e-6 * max(1, abs(w[5])) for g, w in zip(got, want))
+    for g, w in zip(got, want):
+        assert abs(g[5] - w[5]) < 1e-6 * max(1, abs(w[5])) and abs(g[6] - w[6]) < 1e-6 * max(1, abs(w[6])), (g, w)
     out = [g for g in got if g[1] and g[0] is not None]
     assert sum(g[6] for g in out) > sum(g[5] for g in out) and all(g[6] < 0 for g in got)
 
 
-def tree_of(texts, depth=4, divergence=0.5):
-    counts = Counter()
-    for t in texts:
-        before = bytes([lm.TEXT_END])
-        for w in [*words(t), bytes([lm.TEXT_END])]:
-            spelled = w if w == bytes([lm.TEXT_END]) else w + b" "
-            for p, x in enumerate(spelled):
-                here = [*spelled[:p][::-1], lm.WORD_END] + ([*before[::-1][:3]] if p < 3 else [])
-                for k in range(min(depth, len(here)) + 1):
-                    counts[k << 56 | sum(s << 8 * i for i, s in enumerate(here[:k])), x] += 1
-            before = w if len(w) > 2 else b" " + w
-    keys = sorted(counts)
-    return counts, lm.build_tree(np.array([k[0] for k in keys], np.uint64), np.array([k[1] for k in keys]), np.array([counts[k] for k in keys]), depth, divergence)
-
-
-def test_distributions_add_up_and_use_the_longest_state():
-    counts, tree = tree_of([t for _, t in rows()[:60]])
-    assert len(tree.codes) > 10
-    symbols = np.arange(256, dtype=np.uint64)
-    for code in [0, *tree.codes[1::7].tolist()]:
-        k = code >> 56
-        contexts = [np.full(256, j << 56 | code & ((1 << 8 * j) - 1) if j <= k else (1 << 64) - 1, np.uint64) for j in range(tree.depth + 1)]
-        assert abs((10 ** lm.log10_of(tree, symbols, contexts)).sum() - 1) < 1e-4
+def test_distributions_add_up():
+    tree, _ = expected(rows(), 2)
+    seen = list(tree.next[()])
+    for context in [(), *sorted(tree.kept)[::9]]:
+        assert abs(sum(tree.p(context, w) for w in [*seen, b"never seen"]) - 1) < 1e-9
 
 
-def test_counts_of_tasks_are_those_of_the_definition(spark):
-    texts = [t for _, t in rows()[:40]] + ["", "a", "ab cd"]
-    want, _ = tree_of(texts)
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    got = {(r.code, r.next): r["count"] for r in lm._tree_counts(df, 4, 1, 8).collect()}
-    assert got == dict(want)
+def test_pieces_hold_every_word_once_and_what_stands_before():
+    rnd = random.Random(8)
+    for depth in (1, 2, 3):
+        for size in (1, 7, 40, 10_000):
+            text = "".join(rnd.choices(["ab", "c", "déf" * 5, " ", "\n", "  \t"], k=200)).encode()
+            done = []
+            pieces = list(lm.pieces_of(text, size, depth))
+            for k, (piece, skip, opens, last) in enumerate(pieces):
+                ws = piece.split()
+                assert skip == min(depth, len(done)) and ws[:skip] == done[len(done) - skip :] and last == (k == len(pieces) - 1)
+                assert opens == (lm.FIRST if k == 0 else lm.AGAIN if len(done) <= depth else 0)
+                done += ws[skip:]
+            assert done == text.split()
 
 
 def test_empty_and_untaught(spark):
     assert lm.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    only = next(i for i in range(100) if held(i))
     r = lm.score_texts(spark.createDataFrame([(only, "ab")], "doc_id long, text string")).first()
-    assert r.train_tokens == 0 and r.n_known == 0 and abs(r.base_score) < 1e-9 and r.score == pytest.approx(4 * math.log10(1 / 256), abs=0.01)
+    assert r.train_tokens == 0 and r.n_known == 0 and r.n_tokens == 2 and abs(r.base_score) < 1e-9 and abs(r.score) < 1e-9
 
 
-def test_scores_of_long_runs_grow_with_their_length(spark):
+def test_scores_of_long_texts_grow_with_their_length(spark):
     rnd = random.Random(4)
-    a, b = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
-    run = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=400_000))
-    df = spark.createDataFrame([*rows()[:60], (a, run[:100_000]), (b, run)], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in lm.score_texts(df).where(f"doc_id in ({a}, {b})").collect()}
-    assert got[a] < -66_000 and 3.5 < got[b] / got[a] < 4.5
+    a, b = [i for i in range(1000, 1100) if held(i)][:2]
+    ws = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=9)) for _ in range(40_000)]
+    df = spark.createDataFrame([*rows()[:60], (a, " ".join(ws[:10_000])), (b, " ".join(ws))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score_texts(df, group_bytes=50_000).where(f"doc_id in ({a}, {b})").collect()}
+    assert got[a] < -40_000 and 3.9 < got[b] / got[a] < 4.1
