@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _kept: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship_package(spark: SparkSession, *more: str) -> None:
@@ -41,9 +41,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame, **options) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: cuts the lineage and outlives lost executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/semblance-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    """df written to the shared folder as Parquet and read again: cuts the lineage and outlives lost executors.
+
+    The query's shuffle files go as soon as it is done, for nothing reads them again.
+    """
+    path, conf = f"{shared_folder(df.sparkSession).rstrip('/')}/semblance-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     _kept.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,11 +65,3 @@ def drop_kept(spark: SparkSession) -> int:
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of queries that are done and no longer referred to.
-
-    Its cleaner acts when the driver's garbage is collected, which by itself may be long after.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
