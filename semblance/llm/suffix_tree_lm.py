@@ -14,8 +14,8 @@ is scored in the state of its longest retained suffix; a text's score is the sum
 precision, each occurrence by itself.
 
 The tree is never in one place. Texts are packed into groups of about ``group_bytes``. In each round every group
-asks for what it does not know of the runs of words in its texts: it sends their 64-bit hashes, each once, with its
-own sums, to hash ranges, which add up and answer each group in the order of its question. So a key has at most one
+asks for what it does not know of the runs of words in its texts: it sends their hashes (48 bits beside the range
+of 64), each once, with its own sums, to hash ranges, which add up and answer each group in the order of its question. So a key has at most one
 entry for each group, however frequent it is, and no range grows with the documents that hold a word.
 
 * Round 0: counts of words and of pairs.
@@ -36,12 +36,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import kept, release_shuffles
+from ..session import kept
 from .common import _SPACE, crc_fold, keyed_texts, mix, read_table, runs_of, words_of
 
 #: Hashes of the end and the beginning of a text; what tells runs of words apart from words.
@@ -121,7 +122,7 @@ def packed_texts(texts: DataFrame, group_bytes: int, depth: int) -> DataFrame:
 class Group:
     """The symbols of a group's texts, the runs of words that end at each, and what is known of them."""
 
-    def __init__(self, blob: bytes, depth: int, least: int, divergence: float):
+    def __init__(self, blob: bytes, ranges: int, depth: int, least: int, divergence: float):
         self.texts = pa.ipc.open_stream(blob).read_all().combine_chunks()
         column = lambda c: self.texts.column(c).to_numpy()
         opens, last, skip, self.held = column("opens"), column("last"), column("skip"), column("held")
@@ -143,9 +144,9 @@ class Group:
             row.append(which + first)
             place.append(at)
             own.append(counted)
-        self.seq, self.row, self.place, self.own = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((seq, np.uint64), (row, np.int64), (place, np.int64), (own, bool)))
+        self.seq, self.row, self.place, self.own = (np.concatenate(x).astype(kind, copy=False) if x else np.zeros(0, kind) for x, kind in ((seq, np.uint64), (row, np.int32), (place, np.int32), (own, bool)))
         self.train, self.scored = ~self.held[self.row], self.own & (self.seq != BEGIN)
-        self.depth, self.least, self.divergence = depth, least, divergence
+        self.ranges, self.depth, self.least, self.divergence = ranges, depth, least, divergence
         keys = mix(self.seq * _STEP)
         self.keys = [None, keys]  # of the runs of 1, 2, … symbols that end at each place
         for _ in range(depth):
@@ -155,6 +156,14 @@ class Group:
             keys = longer
         self.counts: list = [None]
 
+    def distinct(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys, range by range as they occur, and the place of each key among them."""
+        which, found = pd.factorize(keys)
+        order = np.argsort(_range_of(found, self.ranges), kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        return found[order], place[which]
+
     def before(self, x: np.ndarray, k: int) -> np.ndarray:
         """x at the place before each, where k symbols of the text stand before it, and 0 elsewhere."""
         out = np.zeros_like(x)
@@ -179,19 +188,19 @@ class Group:
 
     def own_counts(self, k: int, tokens: int) -> tuple[np.ndarray, np.ndarray]:
         use = self.open_runs(k, tokens)
-        keys, which = np.unique(self.keys[k][use], return_inverse=True)
+        keys, which = self.distinct(self.keys[k][use])
         return keys, np.bincount(which, (self.train & self.own)[use], minlength=len(keys)).astype(np.int64)
 
     def learn_counts(self, k: int, tokens: int, totals: np.ndarray) -> None:
         use = self.open_runs(k, tokens)
         out = np.zeros(len(self.seq), np.int64)
-        out[use] = totals[np.unique(self.keys[k][use], return_inverse=True)[1]]
+        out[use] = totals[self.distinct(self.keys[k][use])[1]]
         self.counts.append(out)
 
     def contexts(self, j: int, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places with a context of j words that may be retained, its distinct hashes, and which of them each has."""
         use = np.flatnonzero(self.may_be_retained(j, tokens) & self.scored)
-        return use, *np.unique(self.keys[j][use - 1], return_inverse=True)
+        return use, *self.distinct(self.keys[j][use - 1])
 
     def own_gain(self, j: int, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Contexts of j words, and this group's shares of their gain and of their number of next symbols."""
@@ -233,12 +242,17 @@ def _read_numbers(data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _question(g: int, kind: int, ranges: int, keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
-    """Messages of sorted keys with their counts, or sums, to the ranges of the keys. Bytes stand by place, which compresses."""
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    return part.astype(np.uint16 if ranges <= 65536 else np.uint32)
+
+
+def _question(g: int, kind: int, ranges: int, keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
+    """Messages of distinct keys with their counts, or sums, to the ranges of the keys. Bytes stand by place, which compresses."""
+    part = _range_of(keys, ranges)
     out = []
     for a, b in runs_of(part):
-        planes = keys[a:b].view(np.uint8).reshape(-1, 8).T.tobytes()
+        planes = keys[a:b].view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
         rest = _numbers(values[0][a:b]) if len(values) == 1 else b"".join(x[a:b].astype("<f4").tobytes() for x in values)
         out.append((int(part[a]), g, kind, np.uint32(b - a).tobytes() + planes + rest))
     return out
@@ -267,23 +281,22 @@ def answers_to(messages: DataFrame, ranges: int, divergence: float) -> DataFrame
             for i in mine.tolist():
                 data = np.frombuffer(blobs[i].as_buffer(), np.uint8)
                 n = int(data[:4].view(np.uint32)[0])
-                keys.append(data[4 : 4 + 8 * n].reshape(8, n).T.copy().view(np.uint64).ravel())
-                rest = data[4 + 8 * n :]
+                wide = np.zeros((n, 8), np.uint8)
+                wide[:, :6] = data[4 : 4 + 6 * n].reshape(6, n).T
+                keys.append(wide.view(np.uint64).ravel())
+                rest = data[4 + 6 * n :]
                 values.append(np.frombuffer(rest.tobytes(), "<f4").reshape(2, n).astype(float) if kind >= SUMS else _read_numbers(rest, n)[None])
             size = np.array([len(k) for k in keys])
-            all_keys, each = np.concatenate(keys), np.concatenate(values, 1)
-            order = np.argsort(all_keys, kind="stable")
-            new = np.r_[True, all_keys[order][1:] != all_keys[order][:-1]]
-            sums = np.add.reduceat(each[:, order], np.flatnonzero(new), axis=1)
+            which, distinct = pd.factorize(np.concatenate(keys))
+            sums = [np.bincount(which, x, minlength=len(distinct)) for x in np.concatenate(values, 1)]
             if kind >= SUMS:
                 gain, follow = sums[0], np.rint(sums[1]).astype(np.int64)
                 sums = np.where(gain > divergence * follow, follow, 0)
             else:
-                sums = sums[0]
+                sums = sums[0].astype(np.int64)  # whole numbers, exact below 2 ** 53
             if kind == 1:
                 rows.append((None, 0, int(key[0].as_py()), None, int((sums > 0).sum()), int(sums.sum())))
-            answer = np.empty(len(order), np.int64)
-            answer[order] = sums[np.cumsum(new) - 1]
+            answer = sums[which]
             for i, a, b in zip(mine.tolist(), np.cumsum(size) - size, np.cumsum(size), strict=True):
                 rows.append((int(groups[i]), kind, int(key[0].as_py()), np.uint32(b - a).tobytes() + _numbers(answer[a:b]), 0, 0))
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], [c.split()[0] for c in _ANSWER.split(", ")])
@@ -291,12 +304,12 @@ def answers_to(messages: DataFrame, ranges: int, divergence: float) -> DataFrame
     return messages.repartition(ranges, "part").groupBy("part").applyInArrow(run, _ANSWER)
 
 
-def _restored(table: pa.Table, rounds: int, depth: int, least: int, divergence: float, tokens: int) -> tuple[int, Group, list[np.ndarray]]:
+def _restored(table: pa.Table, rounds: int, ranges: int, depth: int, least: int, divergence: float, tokens: int) -> tuple[int, Group, list[np.ndarray]]:
     """(g, the group with the counts of so many rounds after the first, answers on contexts) from its texts and answers."""
     found: dict[int, list[tuple[int, np.ndarray]]] = {}
     for i, (kind, part) in enumerate(zip(table.column("kind").to_pylist(), table.column("part").to_pylist(), strict=True)):
         if kind == TEXTS:
-            group = Group(table.column("blob")[i].as_buffer(), depth, least, divergence)
+            group = Group(table.column("blob")[i].as_buffer(), ranges, depth, least, divergence)
         else:
             data = np.frombuffer(table.column("blob")[i].as_buffer(), np.uint8)
             found.setdefault(kind, []).append((part, _read_numbers(data[4:], int(data[:4].view(np.uint32)[0]))))
@@ -307,7 +320,7 @@ def _restored(table: pa.Table, rounds: int, depth: int, least: int, divergence:
     return table.column("g")[0].as_py(), group, [answers.get(SUMS + j, none) for j in range(1, depth + 1)]
 
 
-def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = 2, least: int = 2, divergence: float = 2.0, smoothing: float = 2.0, group_bytes: int = 12 << 20, range_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = 2, least: int = 2, divergence: float = 2.0, smoothing: float = 2.0, group_bytes: int = 6 << 20, range_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; rows whose id's crc32 is 0 modulo folds are held out.
 
     group_bytes, range_bytes: of text that a task works on at once, and whose runs a range holds, about. Both may grow
@@ -326,12 +339,11 @@ def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = 2, least: int
     def first(batches):
         for batch in batches:
             for g, blob in zip(batch.column("g").to_pylist(), batch.column("blob"), strict=True):
-                group = Group(blob.as_buffer(), depth, least, divergence)
+                group = Group(blob.as_buffer(), ranges, depth, least, divergence)
                 rows = [m for k in (1, 2) for m in _question(g, k, ranges, *group.own_counts(k, 0))]
                 yield from _messages(rows).to_batches()
 
     known = kept(answers_to(packed.mapInArrow(first, _MESSAGE), ranges, divergence))
-    release_shuffles(spark)
     row = known.where("g is null").agg(F.sum("symbols").alias("symbols"), F.sum("total").alias("total")).first()
     # the beginning of each training text is counted as a word
     tokens, symbols = (row.total or 0) - size.taught, (row.symbols or 0) - (size.taught > 0)
@@ -345,7 +357,7 @@ def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = 2, least: int
 
     def asks(j: int):
         def run(table):
-            g, group, _ = _restored(table, j, depth, least, divergence, tokens)
+            g, group, _ = _restored(table, j, ranges, depth, least, divergence, tokens)
             rows = _question(g, SUMS + j, ranges, *group.own_gain(j, tokens))
             if j < depth:
                 rows += _question(g, j + 2, ranges, *group.own_counts(j + 2, tokens))
@@ -356,10 +368,9 @@ def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = 2, least: int
     for j in range(1, depth + 1):
         found = kept(answers_to(by_group().applyInArrow(asks(j), _MESSAGE), ranges, divergence))
         parts.append(found.select("g", "kind", "part", "blob"))
-        release_shuffles(spark)
-
+    
     def last(table):
-        _, group, followers = _restored(table, depth, depth, least, divergence, tokens)
+        _, group, followers = _restored(table, depth, ranges, depth, least, divergence, tokens)
         return group.scores(tokens, symbols, smoothing, followers)
 
     rows = by_group().applyInArrow(last, _SCORES)
