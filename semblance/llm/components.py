@@ -1,7 +1,9 @@
 """Connected components of an undirected graph by alternating large-star and small-star rounds.
 
-Every round is a map-side combined minimum and an equi-join on a node, so a hub of any degree neither gathers in
-one task nor multiplies edges. Each round is written to the shared folder, which cuts the lineage.
+Every round is a map-side combined minimum and an equi-join on a node. The edges of a hub, a node of more than
+``LEAST_HUB`` edges and of more than one in ``MOST_HUBS`` of all, never meet in one task: hubs, of which there are
+twice MOST_HUBS at most, are broadcast with their minimum. Each round is written to the shared folder, which cuts
+the lineage.
 """
 
 from __future__ import annotations
@@ -12,6 +14,18 @@ from pyspark.sql import functions as F
 from ..session import kept
 
 
+LEAST_HUB, MOST_HUBS = 10_000, 20_000
+
+
+def _with_least(edges: DataFrame, count: int) -> DataFrame:
+    """edges (u, v) with m, the least v of their u."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    most = max(LEAST_HUB, count // MOST_HUBS)
+    marked = edges.join(F.broadcast(least.where(F.col("n") > most).select("u", "m")), "u", "left")
+    rest = marked.where("m is null").select("u", "v").join(least.where(F.col("n") <= most).select("u", "m"), "u")
+    return marked.where("m is not null").unionByName(rest)
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row.n, row.h
@@ -26,11 +40,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = kept(small.union(down.select("u", F.col("m").alias("v"))).distinct())
+        least = _with_least(both, 2 * state[0])
+        large = least.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        down = _with_least(large, state[0])
+        small = down.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
+        now = kept(small.distinct())
         before, state = state, _state(now)
         if state == before:
             break

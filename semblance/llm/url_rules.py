@@ -6,8 +6,10 @@ other: distributed connected components over these edges carry a rule's block to
 targets that are not rows themselves. An url that a rule fits keeps that rule's verdict, so an explicit allow
 takes precedence over a block that its aliases bring; every other url is allowed.
 
-Aliases are compared without scheme and fragment, hosts lower-cased. Edges come from ``<link rel=canonical>`` and
-``<meta http-equiv=refresh>``, or from the caller as (from_url, to_url).
+Aliases are compared without scheme and fragment, hosts lower-cased, dot segments resolved. Edges come from
+``<link rel=canonical>`` and ``<meta http-equiv=refresh>`` outside comments and scripts, in any order of attributes and
+over line ends, relative to the page or its ``<base>``, or from the caller as (from_url, to_url). A tag ends at its
+first ``>``.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is allowed; null
 or empty html has no edges; repeated rows are judged alike, one result each; links to the page itself, to
@@ -28,8 +30,12 @@ INLINE_RULES = 256
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
-_ALIAS_TAG = r"""(?i)^<link\b.*\brel\s*=\s*["']?[^"'>]*\bcanonical\b|^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""
-_TARGET = r"""(?i)\b(?:href|url)\s*=\s*["']?([^"'>\s]+)"""
+_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>"
+_TAG = r"(?i)<(?:link|meta|base)\b[^>]*>"
+_ATTRIBUTE = r"""[^\s"'<>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+_REFRESH = r"""(?is)^[\s\d.]*[;,\s]\s*(?:url\s*=\s*)?["']?([^"']*)"""
+#: Over how many tasks the rows of one url spread when they meet their alias.
+SALTS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -40,10 +46,19 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path whose segments . and .. are resolved; a last one leaves its slash."""
+    parts = F.split(path, "/")
+    stay = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    done = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), stay)
+    open_end = F.element_at(parts, -1).isin(".", "..")
+    return F.when(path.contains("/."), F.concat(F.array_join(done, "/"), F.when(open_end, "/").otherwise(""))).otherwise(path)
+
+
 def alias_key(url: Column) -> Column:
     """Host, path and query, by which aliases are compared; null where there is no host."""
-    rest = F.regexp_extract(url, r"://[^/?#]*([^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), F.when(rest == "", F.lit("/")).otherwise(rest)))
+    path, query = path_of(url), F.regexp_extract(url, r"://[^/?#]*[^?#]*([^#]*)", 1)
+    return F.when(host_of(url) != "", F.concat(host_of(url), F.when(path == "", F.lit("/")).otherwise(_without_dots(path)), query))
 
 
 def _fits(host: Column, path: Column, rule_host, rule_path) -> Column:
@@ -75,35 +90,52 @@ def with_rules(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return urls.join(found, ["host", "path"], "left").select(*urls.columns, "best.rule", "best.action")
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of this name, without quotes; null if there is none."""
+    found = F.filter(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0)), lambda x: F.lower(F.rtrim(F.substring_index(x, "=", 1))) == name)
+    value = F.ltrim(F.regexp_extract(F.get(found, F.lit(0)), r"(?s)^[^=]*=\s*(.*)$", 1))
+    return F.when(value.rlike("""^["']"""), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
+def _resolved(target: Column, base: Column) -> Column:
+    """A link's absolute url; null for none, for one into its own page, and for other schemes without a host."""
+    to = F.replace(F.btrim(F.translate(target, "\t\r\n", "")), F.lit("&amp;"), F.lit("&"))
+    origin, path, folder = F.regexp_extract(base, r"^([^:]*://[^/?#]*)", 1), F.regexp_extract(base, r"^[^:]*://[^/?#]*([^?#]*)", 1), F.regexp_extract(base, r"^[^:]*://[^/?#]*([^?#]*/)", 1)
+    return (
+        F.when((to == "") | to.startswith("#"), None).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(F.lit("https:"), to)).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(to.startswith("/"), F.concat(origin, to)).when(to.startswith("?"), F.concat(origin, path, to)).otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), to))
+    )
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(from_url, to_url): canonical links and refreshes of each page, with relative targets resolved."""
-    page = pages.select(F.col(url).alias("from_url"), F.col(html).alias("html")).where(F.col("from_url").contains("://") & F.col("html").rlike(r"(?i)canonical|http-equiv"))
-    tags = F.regexp_extract_all("html", F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    tag = page.select("from_url", F.explode(tags).alias("tag")).where(F.col("tag").rlike(_ALIAS_TAG))
-    found = tag.select(
-        "from_url", F.replace(F.regexp_extract("tag", _TARGET, 1), F.lit("&amp;"), F.lit("&")).alias("to"),
-        F.regexp_extract("from_url", r"^([^:]*://[^/?#]*)", 1).alias("origin"), F.regexp_extract("from_url", r"^[^:]*://[^/?#]*([^?#]*/)", 1).alias("folder"),
-    )
-    to = F.col("to")
-    resolved = (
-        F.when((to == "") | to.startswith("#"), None).when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("https:"), to)).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
-        .when(to.startswith("/"), F.concat("origin", to)).otherwise(F.concat("origin", F.when(F.col("folder") == "", "/").otherwise(F.col("folder")), to))
-    )
-    return found.select("from_url", resolved.alias("to_url")).where("to_url is not null")
+    page = pages.select(F.col(url).alias("from_url"), F.col(html).alias("html")).where(F.col("from_url").contains("://") & F.col("html").rlike(r"(?i)canonical|refresh"))
+    tags = page.select("from_url", F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, " "), F.lit(_TAG), F.lit(0)).alias("tags"))
+    is_a = lambda x, name: F.lower(F.substr(x, F.lit(2), F.lit(len(name)))) == name
+    base = F.get(F.filter("tags", lambda x: is_a(x, "base") & _attribute(x, "href").isNotNull()), F.lit(0))
+    based = tags.select("from_url", F.coalesce(_resolved(_attribute(base, "href"), F.col("from_url")), F.col("from_url")).alias("base"), F.explode("tags").alias("tag"))
+    canonical = is_a(F.col("tag"), "link") & _attribute(F.col("tag"), "rel").rlike(r"(?i)(^|\s)canonical(\s|$)")
+    refresh = is_a(F.col("tag"), "meta") & _attribute(F.col("tag"), "http-equiv").rlike(r"(?i)^\s*refresh\s*$")
+    target = F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, F.regexp_extract(_attribute(F.col("tag"), "content"), _REFRESH, 1))
+    return based.select("from_url", _resolved(target, F.col("base")).alias("to_url")).where("to_url is not null")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], links: DataFrame | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, alias_blocked (an alias, not the url's own rule, brings a block)."""
     links = page_links(pages, url_col, html_col) if links is None else links
     url = F.col(url_col)
-    judged = with_rules(pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), alias_key(url).alias("alias")), rules)
+    salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("salt")
+    judged = with_rules(pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), alias_key(url).alias("alias"), salt), rules)
     edges = links.select(alias_key(F.col("from_url")).alias("u"), alias_key(F.col("to_url")).alias("v"))
     member = components(edges)
     full = F.concat(F.lit("://"), F.col("node"))
     ruled = with_rules(member.select("node", "root", host_of(full).alias("host"), path_of(full).alias("path")), rules)
     blocked = ruled.where("action = 'block'").select("root").distinct()
-    aliases = ruled.where("action is null").join(blocked, "root", "left_semi").select(F.col("node").alias("alias"), F.lit(True).alias("hit"))
-    out = judged.join(aliases, "alias", "left")
+    hits = ruled.where("action is null").join(blocked, "root", "left_semi").select(F.col("node").alias("alias"), F.lit(True).alias("hit"))
+    aliases = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # urls without a host have no alias; so that they do not meet in one task each gets a key that no alias has
+    keyed = judged.withColumn("alias", F.coalesce("alias", F.concat(F.lit("/"), F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))))))
+    out = keyed.join(aliases, ["alias", "salt"], "left")
     inherited = F.col("action").isNull() & F.col("hit").isNotNull()
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", F.when(F.col("hit"), "block"), F.lit("allow")).alias("verdict"), inherited.alias("alias_blocked"))
 
@@ -112,37 +144,62 @@ def op1_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-OP1_SQL = r"""
+def _sql_attribute(name: str) -> str:
+    """A grammar of whole tags: attributes up to the one wanted, then its value with its quotes."""
+    value = """("[^"]*"|''[^'']*''|[^\\s"''>]+)"""
+    other = """[^\\s"''<>/=]+(?:\\s*=\\s*(?:"[^"]*"|''[^'']*''|[^\\s"''>]+))?"""
+    found = f"regexp_extract(tag, '(?is)^<[a-z]+\\b(?:[\\s/]+{other})*?[\\s/\"'']+{name}\\s*=\\s*{value}', 1)"
+    return f"CASE WHEN {found} <> '' THEN regexp_replace(regexp_replace({found}, '^[\"'']', ''), '[\"'']$', '') END"
+
+
+def _sql_resolved(target: str, base: str) -> str:
+    to = f"replace(trim(translate({target}, chr(9) || chr(10) || chr(13), ''), ' '), '&amp;', '&')"
+    origin, path = f"regexp_extract({base}, '^([^:]*://[^/?#]*)', 1)", f"regexp_extract({base}, '^[^:]*://[^/?#]*([^?#]*)', 1)"
+    return f"""CASE
+    WHEN {to} = '' OR starts_with({to}, '#') THEN NULL
+    WHEN regexp_matches({to}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {to}
+    WHEN starts_with({to}, '//') THEN 'https:' || {to}
+    WHEN regexp_matches({to}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with({to}, '/') THEN {origin} || {to}
+    WHEN starts_with({to}, '?') THEN {origin} || {path} || {to}
+    ELSE {origin} || coalesce(nullif(regexp_extract({path}, '^(.*/)', 1), ''), '/') || {to} END"""
+
+
+OP1_SQL = rf"""
 WITH RECURSIVE tags AS (
-  SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE contains(url, '://')
+  SELECT rid, url, nth, tag FROM (SELECT rid, url, unnest(t) AS tag, generate_subscripts(t, 1) AS nth FROM (
+    SELECT row_number() OVER () AS rid, url, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>', ' ', 'g'), '(?i)<(?:link|meta|base)\b[^>]*>') AS t FROM pages WHERE contains(url, '://')))
+), bases AS (
+  SELECT rid, arg_min({_sql_attribute("href")}, nth) AS base FROM tags WHERE regexp_matches(tag, '(?i)^<base') AND {_sql_attribute("href")} IS NOT NULL GROUP BY rid
 ), targets AS (
-  SELECT url, replace(regexp_extract(tag, '(?i)\b(?:href|url)\s*=\s*["'']?([^"''>\s]+)', 1), '&amp;', '&') AS target FROM tags
-  WHERE regexp_matches(tag, '(?i)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b|^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b')
+  SELECT url, coalesce({_sql_resolved("base", "url")}, url) AS base, CASE
+    WHEN regexp_matches(tag, '(?i)^<link') AND list_contains(regexp_split_to_array(lower({_sql_attribute("rel")}), '\s+'), 'canonical') THEN {_sql_attribute("href")}
+    WHEN regexp_matches(tag, '(?i)^<meta') AND lower(trim({_sql_attribute("http-equiv")})) = 'refresh' THEN regexp_extract({_sql_attribute("content")}, '(?is)^[\s\d.]*[;,\s]\s*(?:url\s*=\s*)?["'']?([^"'']*)', 1) END AS target
+  FROM tags LEFT JOIN bases USING (rid)
 ), links AS (
-  SELECT url AS a, CASE
-    WHEN target = '' OR starts_with(target, '#') THEN NULL
-    WHEN contains(target, '://') THEN target
-    WHEN starts_with(target, '//') THEN 'https:' || target
-    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
-    WHEN starts_with(target, '/') THEN regexp_extract(url, '^([^:]*://[^/?#]*)', 1) || target
-    ELSE regexp_extract(url, '^([^:]*://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*/)', 1), ''), '/') || target
-    END AS b FROM targets
-), parsed AS (
+  SELECT url AS a, {_sql_resolved("target", "base")} AS b FROM targets
+), split AS (
   SELECT url, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS rest
+    regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '://[^/?#]*[^?#]*([^#]*)', 1) AS query
   FROM (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT b FROM links) x(url) WHERE url IS NOT NULL)
+), parsed AS (
+  SELECT *, CASE WHEN path = '' THEN '/' WHEN NOT contains(path, '/.') THEN path ELSE
+    array_to_string(list_reduce(list_transform(string_split(path, '/'), lambda s: [s]), lambda done, s: CASE s[1] WHEN '.' THEN done WHEN '..' THEN done[:greatest(len(done) - 1, 1)] ELSE done || s END), '/')
+    || CASE WHEN regexp_matches(path, '/\.\.?$') THEN '/' ELSE '' END END AS straight FROM split
 ), rules(host, path, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
-), ruled AS (
-  SELECT p.url, any_value(p.host) AS host, any_value(p.path) AS path,
-    any_value(CASE WHEN p.host <> '' THEN p.host || CASE WHEN p.rest = '' THEN '/' ELSE p.rest END END) AS alias,
+), nodes AS (
+  SELECT url, any_value(p.host) AS host, any_value(p.path) AS path, any_value(CASE WHEN p.host <> '' THEN p.host || straight || query END) AS alias,
     arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.action, length(r.host || r.path)) AS action
-  FROM parsed p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.url
+  FROM parsed p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY url
 ), edges AS (
-  SELECT x.alias AS u, y.alias AS v FROM links JOIN ruled x ON x.url = links.a JOIN ruled y ON y.url = links.b WHERE x.alias <> y.alias
+  SELECT x.alias AS u, y.alias AS v FROM links JOIN nodes x ON x.url = links.a JOIN nodes y ON y.url = links.b WHERE x.alias <> y.alias
 ), both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges
 ), reach(s, t) AS (SELECT u, v FROM both_ways UNION SELECT s, v FROM reach JOIN both_ways ON t = u
-), inherited AS (SELECT DISTINCT s FROM reach JOIN ruled ON ruled.alias = t WHERE ruled.action = 'block')
+), alias_rules AS (
+  SELECT t, arg_max(r.action, length(r.host || r.path)) AS action FROM (SELECT DISTINCT t, regexp_extract(t, '^([^/?#]*)', 1) AS host, regexp_extract(t, '^[^/?#]*([^?#]*)', 1) AS path FROM reach) n
+  JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path) GROUP BY t
+), inherited AS (SELECT DISTINCT s FROM reach JOIN alias_rules USING (t) WHERE action = 'block')
 SELECT p.page_id, coalesce(r.host, '') AS host, coalesce(r.path, '') AS path, r.rule,
   coalesce(r.action, CASE WHEN r.alias IN (SELECT s FROM inherited) THEN 'block' END, 'allow') AS verdict
-FROM pages p LEFT JOIN ruled r ON p.url = r.url
+FROM pages p LEFT JOIN nodes r ON p.url = r.url
 """

@@ -1,5 +1,9 @@
+import duckdb
+import pytest
+
+from semblance.llm import components as graph
 from semblance.llm.components import components
-from semblance.llm.url_rules import RULES, judge_urls, with_rules
+from semblance.llm.url_rules import OP1_SQL, RULES, judge_urls, op1_url_filter, page_links, with_rules
 
 LINK = '<html><head><link {}></head></html>'
 
@@ -53,3 +57,61 @@ def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
+
+
+# html of a page and where its links lead; the page is http://a.com/x/y?q=1
+LINKS = [
+    ('<link\n  href="http://b.com/"\n  rel="canonical"\n/>', ["http://b.com/"]),
+    ('<link data-href="q" rel="canonical" href="https://b.com/1">', ["https://b.com/1"]),
+    ("<LINK REL=Canonical HREF=http://b.com/2>", ["http://b.com/2"]),
+    ("<link rel='alternate canonical' href='http://b.com/3?a=1&amp;b=2'>", ["http://b.com/3?a=1&b=2"]),
+    ('<link rel="canonicals" href="http://b.com/4"><link title="rel=canonical" href="http://b.com/4"><link rel=canonical>', []),
+    ('<link title="href=http://no.com/" rel=canonical href=" /5 ">', ["http://a.com/5"]),
+    ('<meta http-equiv="refresh" content="0;url=http://b.com/6">', ["http://b.com/6"]),
+    ("<meta content='5; URL = \"http://b.com/7\"' http-equiv=Refresh>", ["http://b.com/7"]),
+    ('<meta http-equiv="refresh" content="0; http://b.com/8">', ["http://b.com/8"]),
+    ('<meta http-equiv="refresh" content="30"><meta name="refresh" content="0;url=http://b.com/9">', []),
+    ('<!-- <link rel="canonical" href="http://b.com/10"> --><script>"<link rel=canonical href=http://b.com/10>"</script>', []),
+    ('<base href="http://base.com/d/e"><link rel="canonical" href="f">', ["http://base.com/d/f"]),
+    ('<base target="_top"><base href="/g/"><link rel="canonical" href="../h">', ["http://a.com/g/../h"]),
+    ('<link rel="canonical" href="?p=2"><link rel="canonical" href="z">', ["http://a.com/x/y?p=2", "http://a.com/x/z"]),
+    ('<link rel="canonical" href="//b.com/11"><link rel="canonical" href="mailto:me"><link rel="canonical" href="#here"><link rel="canonical" href="">', ["https://b.com/11"]),
+    ("<p>no canonical or refresh</p>", []),
+]
+
+
+@pytest.mark.parametrize("html,want", LINKS)
+def test_links_of_a_page(spark, html, want):
+    got = page_links(spark.createDataFrame([("http://a.com/x/y?q=1", html)], "url string, html string")).collect()
+    assert [r.to_url for r in got] == want and all(r.from_url == "http://a.com/x/y?q=1" for r in got)
+
+
+def test_sql_says_the_same_where_aliases_decide(spark, tmp_path):
+    rows = [(i, "http://a.com/x/y?q=1" if i % 2 else f"http://p{i}.org/x/", html) for i, (html, _) in enumerate(LINKS)]
+    rows += [(100 + i, f"http://s{i}.com/", html.replace("b.com", "evil.net").replace("base.com", "evil.net")) for i, (html, _) in enumerate(LINKS)]
+    rows += [
+        (200, "http://b.com/6", '<link rel=canonical href="http://c.com/./a/../b/..">'), (201, "https://c.com/", '<meta http-equiv=refresh content="0;url=http://org/fr/1">'), (202, "http://k.example.com/de/q", ""),
+        (203, "http://safe.example.net/en/1", '<link rel=canonical href=http://k.example.com/de/q>'), (204, "http://t.com/1", '<link rel=canonical href=http://k.example.com/de/q#f>'), (205, "http://t.com/1#x", None),
+        (206, None, '<link rel=canonical href=http://x.net/>'), (207, "nothing", '<link rel=canonical href=http://x.net/>'), (204, "http://t.com/1", ""), (208, "http://u.com/a/./b", ""), (209, "http://u.com/a/b", "<link rel=canonical href=http://x.net/>"),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((tuple(r) for r in op1_url_filter(spark, str(tmp_path)).collect()), key=str)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(db.execute(f"SELECT page_id, host, path, rule, verdict FROM ({OP1_SQL})").fetchall(), key=str)
+    blocked = {r[0] for r in got if r[4] == "block" and r[3] is None}
+    assert {100, 101, 102, 103, 106, 107, 108, 111, 114, 204, 205, 208, 209} <= blocked and not {104, 109, 110, 115, 203, 206, 207, 200} & blocked
+
+
+def test_long_html_and_urls_that_share_an_alias(spark):
+    long = "<p>" + "x < y canonical " * 200_000 + "</p>"
+    rows = [(i, "http://same.com/", long + LINK.format('rel="canonical" href="http://evil.net/"') if i < 2 else "", 0, "") for i in range(300)]
+    got = judged(spark, [*rows, *((1000 + i, None, None, 0, "") for i in range(300))])
+    assert len(got) == 600 and all(v[3] == ("block" if k < 1000 else "allow") for k, v in got.items())
+
+
+def test_hubs_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEAST_HUB", 5)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 100) for i in range(1, 30)] + [(500, i) for i in range(501, 520)] + [(700, 701)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in [*range(60), *range(101, 130)]} | {i: 500 for i in range(500, 520)} | {700: 700, 701: 700}
