@@ -6,8 +6,10 @@ query goes to its most probable parts, as many as reach ``recall`` on sample vec
 and the rows there are ranked by their exact distance in double precision.
 
 Sample: at most ``sample`` distinct vectors by a hash of the id. Parts grow with the table, one for each
-``rows_per_part`` rows, up to ``most_parts``; a part of more rows is split by a hash of the id over tasks that each
-get the part's queries, so no task holds more than about ``rows_per_task`` rows. Of rows with one and the same
+``rows_per_part`` rows, up to ``most_parts`` and to one for 20 vectors of the sample; a part's rows, and the queries routed to it, are split by a
+hash of the id, and each piece of the ones meets each piece of the others, so no task holds more than about
+``rows_per_task`` rows and ``queries_per_task`` queries. Where few parts reach the recall, all may be searched: a table of less than twice
+rows_per_part rows has one part. Of rows with one and the same
 vector only the ``k + 1`` of least id can be among the k nearest, so only they are indexed: the others could not
 be in any result.
 
@@ -151,12 +153,13 @@ def _first_copies(rows: DataFrame, most: int) -> DataFrame:
             yield batch.filter(pa.array(keep))
 
     # two vectors of one hash in a task would thin each other: the hash is of 64 bits over the whole vector
-    thinned = rows.mapInArrow(thin, "vec_id long, v array<double>").dropDuplicates(["vec_id", "v"])
+    # dealt by vector once: repeats and ranks need no other order
+    thinned = rows.mapInArrow(thin, "vec_id long, v array<double>").repartition("v").dropDuplicates(["vec_id", "v"])
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     return thinned.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
 
 
-def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 10, recall: float = 0.95, sample: int = 4000, rows_per_part: int = 600, most_parts: int = 256, rows_per_task: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 10, recall: float = 0.95, sample: int = 4000, rows_per_part: int = 600, most_parts: int = 256, rows_per_task: int = 20_000, queries_per_task: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for each query row (of the same columns as rows)."""
     schema = "query_id long, rank int, vec_id long, score double"
     spark = rows.sparkSession
@@ -191,11 +194,17 @@ def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 10, recall: float =
                 yield pa.RecordBatch.from_arrays([pa.array(best.ravel()), batch.column("vec_id").take(at), batch.column("v").take(at)], ["part", "vec_id", "v"])
 
     indexed = kept(base.mapInArrow(index, "part long, vec_id long, v array<double>"))
-    sizes = {r.part: r["count"] for r in indexed.groupBy("part").count().collect()}  # one number for each part
-    splits = F.coalesce(*[F.when(F.col("part") == p, F.lit(math.ceil(n / rows_per_task))) for p, n in sizes.items() if n > rows_per_task], F.lit(1))
     asked = usable(queries, id_col, vec_col).where(F.size("v") == width).dropDuplicates(["vec_id", "v"])
-    routed = asked.mapInArrow(route, "part long, vec_id long, v array<double>").withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), (splits - 1).cast("long"))))
-    stored = indexed.withColumn("split", F.pmod(F.xxhash64("vec_id"), splits).cast("long"))
+    routed = kept(asked.mapInArrow(route, "part long, vec_id long, v array<double>"))
+
+    def pieces(rows, most):  # numbers for each part, of which there are most_parts at most
+        sizes = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}
+        return F.coalesce(*[F.when(F.col("part") == p, F.lit(math.ceil(n / most))) for p, n in sizes.items() if n > most], F.lit(1))
+
+    splits, blocks = pieces(indexed, rows_per_task), pieces(routed, queries_per_task)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")))
+    routed = routed.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("long")).withColumn("split", numbers(splits))
+    stored = indexed.withColumn("split", F.pmod(F.xxhash64("vec_id"), splits).cast("long")).withColumn("block", numbers(blocks))
 
     def ranked(key, left, right):
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
@@ -214,7 +223,7 @@ def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 10, recall: float =
             out = [np.concatenate([r[j] for r in rows]) for j in range(4)]
         return pa.table([pa.array(x) for x in out], ["query_id", "vec_id", "score", "which"])
 
-    found = routed.groupBy("part", "split").cogroup(stored.groupBy("part", "split")).applyInArrow(ranked, "query_id long, vec_id long, score double, which long")
+    found = routed.groupBy("part", "split", "block").cogroup(stored.groupBy("part", "split", "block")).applyInArrow(ranked, "query_id long, vec_id long, score double, which long")
     best = F.row_number().over(Window.partitionBy("query_id", "which").orderBy("score", "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

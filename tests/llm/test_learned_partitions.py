@@ -1,6 +1,6 @@
 import numpy as np
 
-from semblance.llm.learned_partitions import balanced_cut, nearest, neighbours
+from semblance.llm.learned_partitions import balanced_cut, fit_router, nearest, neighbours
 
 SCHEMA = "vec_id long, embedding array<float>, rank int"
 
@@ -37,7 +37,7 @@ def test_recall_over_many_parts(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 8)) * 3
     rows = [(i, (centres[i % 12] + rng.normal(size=8)).astype(np.float32).tolist()) for i in range(3000)]
-    got = run(spark, rows, "vec_id % 50 = 0", rows_per_part=150, sample=1500, rows_per_task=100)
+    got = run(spark, rows, "vec_id % 50 = 0", rows_per_part=150, sample=1500, rows_per_task=100, queries_per_task=4)
     want = brute(rows, range(0, 3000, 50))
     assert len(got) == len(want)
     hits = len({(g[0], g[2]) for g in got} & {(w[0], w[2]) for w in want})
@@ -57,3 +57,15 @@ def test_parts_are_balanced_and_cut_few_edges():
     where = balanced_cut(near, points, 4, rng)
     assert np.bincount(where, minlength=4).max() <= 110
     assert (where[near] == where[:, None]).mean() > 0.8
+
+
+def test_few_of_many_parts_are_searched_where_vectors_have_structure():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(150, 16)) * 2
+    points = centres[rng.integers(150, size=3200)] + rng.normal(size=(3200, 16)) * 0.3
+    router, probes = fit_router(points, 128, 0.95)
+    assert probes <= 16
+    base, asked = centres[rng.integers(150, size=4000)] + rng.normal(size=(4000, 16)) * 0.3, centres[rng.integers(150, size=200)] + rng.normal(size=(200, 16)) * 0.3
+    home, best = router(base).argmax(1), np.argsort(-router(asked), 1)[:, :probes]
+    near = neighbours(base, asked, 10, False)
+    assert (home[near][:, :, None] == best[:, None, :]).any(2).mean() >= 0.9
