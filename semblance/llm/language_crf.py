@@ -3,7 +3,7 @@
 Every word is labelled with a language. Its features are the byte n-grams of the word between boundary marks
 (those with a mark are its affixes) and membership in each language's learned lexicon; transitions between labels
 are learned too. Training concatenates stretches of documents of different languages, so that switches occur, and
-maximises the likelihood by gradient steps over forward-backward marginals. It sees a bounded sample of labelled
+maximises the likelihood by steps along its gradient, from the marginals of words and of neighbouring pairs. It sees a bounded sample of labelled
 rows: at most ``docs_per_language`` documents of each language, chosen by a hash of the id, and of longer ones about
 ``longest_bytes`` in stretches from all over them. Labels are whole texts' labels; prediction runs over every word of every text.
 Words of more than ``WORD_BYTES`` bytes, as in scripts without blanks, are labelled in consecutive pieces that cover
@@ -105,9 +105,27 @@ def emissions(model: Crf, hashes: np.ndarray, grams: np.ndarray, counts: np.ndar
 
 def marginals(scores: np.ndarray, moves: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Forward-backward over each text's words: rows of scores between consecutive offsets are one text."""
+    return messages(scores, moves, offsets)[0]
+
+
+def expected_moves(scores: np.ndarray, moves: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The marginals, and how often each label is expected after each: sums of the pairwise marginals."""
+    post, after = messages(scores, moves, offsets)
+    inner = np.ones(len(scores), bool)
+    inner[offsets[:-1][np.diff(offsets) > 0]] = False
+    t = np.flatnonzero(inner)
+    # a label's chance after another one: its move, its word, and all that follows
+    ahead = np.exp(scores[t] - scores[t].max(1, keepdims=True)) * after[t]
+    chance = np.exp(moves - moves.max())[None] * ahead[:, None, :]
+    chance /= chance.sum(2, keepdims=True)
+    return post, np.einsum("ti,tij->ij", post[t - 1], chance)
+
+
+def messages(scores: np.ndarray, moves: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(marginals, backward messages) of each word's labels; a message is up to a factor."""
     k = scores.shape[1]
     if not len(scores):
-        return scores
+        return scores, scores
     lengths = np.diff(offsets)
     pieces = -(-lengths // SEGMENT)
     first = np.cumsum(pieces) - pieces  # segment number of each text's first
@@ -153,15 +171,16 @@ def marginals(scores: np.ndarray, moves: np.ndarray, offsets: np.ndarray) -> np.
         now = (at @ move) * emit[:, t]
         now /= now.sum(1, keepdims=True)
         forward[t] = at = np.where(live[:, t, None], now, at)
-    result, at = np.empty_like(scores), out_of
+    result, after, at = np.empty_like(scores), np.empty_like(scores), out_of
     for t in reversed(range(SEGMENT)):
         rows = live[:, t]
         both = forward[t][rows] * at[rows]
         result[grid[rows, t]] = both / both.sum(1, keepdims=True)
+        after[grid[rows, t]] = at[rows]
         now = (emit[:, t] * at) @ move.T
         now /= now.sum(1, keepdims=True)
         at = np.where(rows[:, None], now, at)
-    return result
+    return result, after
 
 
 def train(texts: list[str], labels: list[str], *, epochs: int = 6, rate: float = 0.5, stretch: int = 12, lexicon_words: int = 4000, seed: int = 7) -> Crf:
@@ -210,7 +229,7 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 6, rate: float =
         size = 400
         cut = np.arange(0, len(word) + size, size).clip(max=len(word))
         cut = np.unique(cut)
-        post = marginals(scores[local], model.moves, cut)
+        post, expected = expected_moves(scores[local], model.moves, cut)
         wanted = np.eye(k)[gold]
         step = np.zeros((len(used), k))
         np.add.at(step, local, wanted - post)
@@ -218,17 +237,12 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 6, rate: float =
         np.add.at(gw, gram, (step / np.sqrt(counts[used])[:, None])[own])
         rows = lex_row[used]
         gl = members[rows[rows >= 0]].T @ step[rows >= 0]
-        # expected moves from pairwise marginals of neighbours
         inner = np.ones(len(word), bool)
         inner[cut[:-1]] = False
         t = np.flatnonzero(inner)
-        pair = post[t - 1][:, :, None] * post[t][:, None, :]
-        tilt = np.exp(model.moves - model.moves.max())
-        pair = pair * tilt
-        pair /= pair.sum((1, 2), keepdims=True)
         true = np.zeros((k, k))
         np.add.at(true, (gold[t - 1], gold[t]), 1)
-        gm = true - pair.sum(0)
+        gm = true - expected
         for value, grad, square in zip((model.weights, model.lexical, model.moves), (gw, gl, gm), squares, strict=True):
             grad = grad / len(word) - 1e-7 * value
             square += grad * grad

@@ -27,6 +27,35 @@ def test_marginals_equal_forward_backward(monkeypatch, segment):
     assert np.allclose(np.concatenate(want), crf.marginals(scores, moves, offsets))
 
 
+def log_partition(scores, moves, offsets):
+    total = 0.0
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        if b > a:
+            f = scores[a]
+            for t in range(a + 1, b):
+                f = np.logaddexp.reduce(f[:, None] + moves, 0) + scores[t]
+            total += np.logaddexp.reduce(f)
+    return total
+
+
+@pytest.mark.parametrize("segment", [2, 64])
+def test_marginals_and_expected_moves_are_the_gradient(monkeypatch, segment):
+    """Of the likelihood's logarithm the derivatives are what is true less what is expected."""
+    monkeypatch.setattr(crf, "SEGMENT", segment)
+    rng = np.random.default_rng(9)
+    scores, moves, offsets = rng.normal(size=(40, 3)) * 2, rng.normal(size=(3, 3)) * 2, np.array([0, 0, 1, 18, 18, 40])
+    post, expected = crf.expected_moves(scores, moves, offsets)
+    for value, want in ((scores, post), (moves, expected)):
+        for at in [(0, 0), (1, 2), (2, 1), *([(17, 0), (18, 1), (39, 2)] if value is scores else [])]:
+            sums = []
+            for step in (1e-5, -1e-5):
+                value[at] += step
+                sums.append(log_partition(scores, moves, offsets))
+                value[at] -= step
+            assert abs((sums[0] - sums[1]) / 2e-5 - want[at]) < 1e-6
+    assert abs(expected.sum() - 37) < 1e-9
+
+
 PARTS = {"aa": ["ka", "lo", "ni", "tu", "é"], "bb": ["sch", "ung", "ver", "en", "ß"], "cc": ["ing", "th", "wh", "ou", "ed"]}
 
 
