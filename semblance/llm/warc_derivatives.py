@@ -6,7 +6,7 @@ the source's target URI and date, carry its record id in WARC-Refers-To, its pay
 their own. Everything is column expressions; a row is worked on alone, without a shuffle.
 
 Text: scripts, styles and comments go, block tags break lines, other tags vanish, entities are resolved (common
-names and numbers), blanks and breaks are run together.
+names, decimal and hexadecimal numbers), blanks and breaks are run together.
 
 Defined results: null html reads as an empty payload, whose text is empty; a null url stays a null target URI;
 record ids follow from type, id, url and payload, so rows that repeat have equal ids; pages without a title or
@@ -50,7 +50,7 @@ def unescaped(text: Column) -> Column:
     def piece(x: Column, i: Column) -> Column:
         name = F.substring_index(x, ";", 1)
         rest = F.substr(x, F.length(name) + 2)
-        number = F.when(name.rlike(r"^#\d{1,7}$"), F.substr(name, F.lit(2)).cast("long"))
+        number = F.when(name.rlike(r"^#\d{1,7}$"), F.substr(name, F.lit(2)).cast("long")).when(name.rlike(r"^#[xX][0-9A-Fa-f]{1,6}$"), F.conv(F.substr(name, F.lit(3)), 16, 10).cast("long"))
         fine = number.between(32, 55295) | number.between(57344, 1114111)
         char = F.when(fine, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
         known = F.when(F.length(name) < F.length(x), F.coalesce(F.try_element_at(names, name), char))
@@ -63,12 +63,16 @@ def _tidy(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(text, r"[\t\r\f][ \t\r\f]*| [ \t\r\f]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
-def responses_of(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
-    """Response records of fetched pages: source_id, record_id, target_uri, warc_date, http_headers, payload, payload_digest."""
-    rows = pages.select(F.col(id_col).alias("source_id"), F.col(url_col).alias("target_uri"), F.coalesce(html_col, F.lit("")).alias("payload"))
+def responses_of(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE, headers_col: str | None = None) -> DataFrame:
+    """Response records of fetched pages: source_id, record_id, target_uri, warc_date, http_headers, payload, payload_digest.
+
+    headers_col: the status line and headers as they came, lines ending in CR LF; without it those of a plain page.
+    """
+    plain = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(F.coalesce(html_col, F.lit(""))).cast("string"))
+    headers = plain if headers_col is None else F.coalesce(F.rtrim(F.col(headers_col), F.lit("\r\n")), plain)
+    rows = pages.select(F.col(id_col).alias("source_id"), F.col(url_col).alias("target_uri"), F.coalesce(html_col, F.lit("")).alias("payload"), headers.alias("http_headers"))
     rows = rows.withColumn("payload_digest", digest(F.col("payload").cast("binary")))
-    headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"))
-    return rows.select("source_id", record_id(F.lit("response"), F.col("source_id"), F.col("target_uri"), F.col("payload_digest")).alias("record_id"), "target_uri", F.lit(date).alias("warc_date"), headers.alias("http_headers"), "payload", "payload_digest")
+    return rows.select("source_id", record_id(F.lit("response"), F.col("source_id"), F.col("target_uri"), F.col("payload_digest")).alias("record_id"), "target_uri", F.lit(date).alias("warc_date"), "http_headers", "payload", "payload_digest")
 
 
 def derivatives(responses: DataFrame) -> DataFrame:
@@ -124,9 +128,9 @@ def _sql_id(*parts: str) -> str:
 
 def _sql_unescaped(text: str) -> str:
     name = "split_part(x, ';', 1)"
-    number = f"substr({name}, 2)::BIGINT"
+    number = f"CASE WHEN regexp_matches({name}, '^#\\d{{1,7}}$') THEN substr({name}, 2)::BIGINT ELSE ('0x' || substr({name}, 3))::BIGINT END"
     named = " ".join("WHEN {} = '{}' THEN '{}'".format(name, k, v.replace("'", "''")) for k, v in ENTITIES)
-    fine = f"regexp_matches({name}, '^#\\d{{1,7}}$') THEN CASE WHEN {number} BETWEEN 32 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr(({number})::INT) END"
+    fine = f"regexp_matches({name}, '^#(\\d{{1,7}}|[xX][0-9A-Fa-f]{{1,6}})$') THEN CASE WHEN {number} BETWEEN 32 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr(({number})::INT) END"
     known = f"CASE WHEN length({name}) = length(x) THEN NULL {named} WHEN {fine} END"
     return f"array_to_string(list_transform(string_split({text}, '&'), lambda x, i: CASE WHEN i = 1 THEN x ELSE coalesce({known} || substr(x, length({name}) + 2), '&' || x) END), '')"
 

@@ -5,7 +5,7 @@ import re
 
 from semblance.llm.warc_derivatives import derivatives, responses_of, warc_bytes
 
-PAGE = '<html><head><title>A &amp;\n B &#233;</title><style>p{x}</style><script>var a="<p>no</p>";</script></head><body><!-- gone <b> --><p>One&nbsp;two<br>three <a href="/x?y=1">link</a></p><a href=\'z\'>z</a><div>&#x41; &lt;tag&gt; &copy; &#128512;</div></body></html>'
+PAGE = '<html><head><title>A &amp;\n B &#233;</title><style>p{x}</style><script>var a="<p>no</p>";</script></head><body><!-- gone <b> --><p>One&nbsp;two<br>three <a href="/x?y=1">link</a></p><a href=\'z\'>z</a><div>&#x41;&#XE9; &#x; &#xD800; &lt;tag&gt; &copy; &#128512;</div></body></html>'
 
 
 def digest(data: bytes) -> str:
@@ -30,7 +30,7 @@ def test_linked_records(spark):
         assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", r.record_id) and r.record_id != r.refers_to
     one = {r.warc_type: r for r in got if r.source_id == 1}
     assert one["conversion"].refers_to == one["metadata"].refers_to and one["metadata"].source_digest == digest(PAGE.encode())
-    assert one["conversion"].block == "A &\nB é\nOne two\nthree link\nz\n&#x41; <tag> © 😀"
+    assert one["conversion"].block == "A &\nB é\nOne two\nthree link\nz\nAé &#x; &#xD800; <tag> © 😀"
     assert one["metadata"].block.split("\r\n") == [
         "title: A & B é", "outlink: /x?y=1", "outlink: z", "source-header: HTTP/1.1 200 OK", "source-header: Content-Type: text/html; charset=utf-8",
         f"source-header: Content-Length: {len(PAGE.encode())}", f"source-payload-digest: {digest(PAGE.encode())}", "",
@@ -41,5 +41,11 @@ def test_linked_records(spark):
     assert html.unescape("&copy;") == "©"
 
 
+def test_headers_come_from_the_callers_column(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "HTTP/1.1 404 Not Found\r\nServer: s\r\n\r\n"), (2, "http://b/", None, None)], "page_id long, url string, html string, http string")
+    got = {r.source_id: r.block for r in derivatives(responses_of(pages, headers_col="http")).where("warc_type = 'metadata'").collect()}
+    assert got[1].startswith("source-header: HTTP/1.1 404 Not Found\r\nsource-header: Server: s\r\nsource-payload") and "Content-Length: 0" in got[2]
+
+
 def test_empty_table(spark):
     assert rows_of(spark, []) == []
