@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,14 +141,30 @@ def histogram_bins(text: Column) -> Column:
     return F.transform(F.split(text, " "), lambda x: F.floor(F.conv(x, 16, 10).cast("int") / 256).cast("int"))
 
 
-def text_bits(text: Column) -> Column:
-    """64 points of a text against their mean, as a string of bits; null below 64 characters."""
-    n = F.char_length(text)
-    points = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.ascii(F.substr(text, (F.floor(i * n / 64) + 1).cast("int"), F.lit(1))))
-    total = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda s, e: s + e)
-    one = F.transform(F.array(points), lambda v: F.array_join(F.transform(v, lambda x: F.when(x * 64 >= total(v), "1").otherwise("0")), ""))
-    return F.when(n >= 64, one[0])
-
-
-def bits_to_long(bits: Column) -> Column:
-    return F.conv(bits, 2, -10).cast("long")
+def points_of(texts: pa.Array, points: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(texts x points, characters): characters at equal distances from each text's first, as code points.
+
+    Rows of texts with fewer characters than points mean nothing.
+    """
+    column = texts.cast(pa.large_string()).fill_null("")
+    if column.offset:
+        column = pa.concat_arrays([column])
+    offsets, data = np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1], column.buffers()[2]
+    data = np.concatenate([np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), np.zeros(4, np.uint8)]).astype(np.int64)
+    begins = np.flatnonzero((data & 0xC0) != 0x80)  # of characters, and of the zeros
+    first = np.searchsorted(begins, offsets)
+    size = np.diff(first)
+    at = begins[np.minimum(first[:-1, None] + np.arange(points) * size[:, None] // points, len(begins) - 4)]
+    lead, rest = data[at], [data[at + i] & 63 for i in (1, 2, 3)]
+    code = np.select(
+        [lead < 0x80, lead < 0xE0, lead < 0xF0], [lead, (lead & 31) << 6 | rest[0], (lead & 15) << 12 | rest[0] << 6 | rest[1]], (lead & 7) << 18 | rest[0] << 12 | rest[1] << 6 | rest[2]
+    )
+    return code, size
+
+
+@F.arrow_udf(T.LongType())
+def text_signature(texts: pa.Array) -> pa.Array:
+    """64 points of a text against their mean, the first in the highest bit; null below 64 characters."""
+    code, size = points_of(texts)
+    bits = np.packbits(code * 64 >= code.sum(1, keepdims=True), axis=1)
+    return pa.array(np.ascontiguousarray(bits).view(">i8").ravel().astype(np.int64), mask=size < 64)
