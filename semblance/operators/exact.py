@@ -24,10 +24,11 @@ def equal_pairs(files: DataFrame, shown: DataFrame | None = None) -> DataFrame:
     ranked = with_global_rank(many, [F.desc("size"), F.asc("contentid")], "ctxt_index")
     total = many.agg(F.count("*").alias("ctxt_size"))
     use = (files if shown is None else shown).select("contentid", "dir", "name", "inode", F.concat_ws("/", "dir", "name").alias("path"))
-    rows = use.withColumn("rn", F.row_number().over(Window.partitionBy("contentid").orderBy("dir", "name")))
-    left, right = rows.select("contentid", F.col("rn").alias("rn1"), F.col("path").alias("path1"), F.col("inode").alias("inode1")), rows.select("contentid", F.col("rn").alias("rn2"), F.col("path").alias("path2"), F.col("inode").alias("inode2"))
+    rows = use.withColumns({"rn": F.row_number().over(Window.partitionBy("contentid").orderBy("dir", "name")).cast("long"), "n": F.count("*").over(Window.partitionBy("contentid"))})
+    left, right = rows.select("contentid", "n", F.col("rn").alias("rn1"), F.col("path").alias("path1"), F.col("inode").alias("inode1")), rows.select("contentid", F.col("rn").alias("rn2"), F.col("path").alias("path2"), F.col("inode").alias("inode2"))
     pairs = left.join(right, "contentid").where("rn1 < rn2")
-    place = F.row_number().over(Window.partitionBy("contentid").orderBy("rn1", "rn2")) - 1
+    # pairs whose first file comes before, of which the i-th has n - i, and those of the same first file
+    place = F.expr("(rn1 - 1) * n - rn1 * (rn1 - 1) div 2 + rn2 - rn1 - 1")
     return (
         pairs.withColumn("ctxt_subindex", place.cast("long")).join(ranked.select("contentid", "size", "ctxt_index"), "contentid").join(F.broadcast(total), F.lit(True))
         .select("contentid", "size", F.coalesce(F.col("inode1") == F.col("inode2"), F.lit(False)).alias("hardlinked"), "path1", "path2", "ctxt_index", "ctxt_size", "ctxt_subindex")
