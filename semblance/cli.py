@@ -2,18 +2,25 @@
 
     python -m semblance index --catalog DIR ROOT... [-x GLOBS] [-X GLOBS]
     python -m semblance image --catalog DIR [-T 1.5C] [-s 0.8] [-S 3 | 1,2 | all]
-    python -m semblance finddupes --catalog DIR [ROOT...] [-w bitequal|truncated|image] [-t csv|json|plan] [-o FILE] [-s 0.9] [-S 3]
+    python -m semblance finddupes --catalog DIR [ROOT...] [-w bitequal|truncated|image] [-t csv|json|plan] [-d DECISIONS] [-o FILE] [-s 0.9] [-S 3]
+    python -m semblance feedback --catalog DIR PATH1 PATH2 similar|different|unknown
     python -m semblance stats --catalog DIR
 
 Each run of a command writes whole new tables and then points the catalog at them, so a broken run changes nothing.
+Commands that write exclude each other. DECISIONS is a file of lines ``path;keep`` or ``path;delete``. ``-q`` before
+the command turns the progress on standard error off.
 """
 
 from __future__ import annotations
 
 import argparse
+import contextlib
 import os
+import shutil
 import sys
+import time
 import uuid
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +29,13 @@ from . import schema
 from .functions import formatting, hashing
 from .operators import catalog, exact, feedback, prefix, signatures, similarity, store
 from .plans import deletion, render
-from .session import ship_package
+from .plans.progress import Progress, time_text
+from .session import drop_kept, ship_package
 from .sources import files as sources
 
 TABLES = {"file": "dir STRING, name STRING, contentid BIGINT, size BIGINT, mtime BIGINT, dev BIGINT, inode BIGINT", "content": schema.CONTENT, "imagehash": "contentid BIGINT, iht INT, hash STRING", "imagecmp": schema.IMAGECMP, "imagefeedback": schema.IMAGEFEEDBACK}
+#: Paths that Spark's image reader is given at once.
+PATHS_AT_ONCE = 10_000
 # Least similarities at which each signature is measured.
 MEASURED_AT = {1: 0.95, 2: 0.999, 3: 0.9, 4: 0.95, 5: 0.8}
 
@@ -45,6 +55,23 @@ class Catalog:
         version = self._pointer().get(name)
         return self.spark.read.schema(TABLES[name]).parquet(os.path.join(self.root, version)) if version else self.spark.createDataFrame([], TABLES[name])
 
+    @contextlib.contextmanager
+    def locked(self):
+        """For one writer at a time. Versions that no run points at any more go first."""
+        lock = os.path.join(self.root, "lock")
+        try:
+            os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            raise SystemExit(f"another command writes to {self.root}; if none does, delete {lock}") from None
+        try:
+            used = set(self._pointer().values())
+            for name in os.listdir(self.root):
+                if name.rpartition("-")[0] in TABLES and name not in used:
+                    shutil.rmtree(os.path.join(self.root, name), ignore_errors=True)
+            yield
+        finally:
+            os.remove(lock)
+
     def write(self, **tables: DataFrame) -> None:
         pointer = self._pointer()
         for name, df in tables.items():
@@ -92,20 +119,29 @@ def index(cat: Catalog, roots: list[str], skip_files: list[str], skip_dirs: list
     return counters
 
 
-def images(cat: Catalog, similarity_: float, kinds: list[int]) -> None:
-    """Signatures that are missing, and the comparison of each kind at the similarity."""
-    contents, hashes = cat.read("content"), cat.read("imagehash")
-    first = cat.read("file").groupBy("contentid").agg(F.min(F.concat_ws("/", "dir", "name")).alias("path"))
-    todo = signatures.missing_signatures(contents, hashes, kinds).join(first, "contentid")
-    paths = [r.path for r in todo.select("path").distinct().collect()]
-    if paths:
-        loaded = cat.spark.read.format("image").option("dropInvalid", False).load(paths).select(F.regexp_replace("image.origin", "^file:/+", "/").alias("path"), "image")
-        made = [signatures.image_signatures(todo.where(F.col("iht") == k).join(loaded, "path").select("contentid", "image"), [k]) for k in kinds]
-        for part in made:
-            hashes = hashes.unionByName(part)
-        cat.write(imagehash=hashes)
+def _loaded(spark: SparkSession, paths: DataFrame):
+    """Images (path, image) of paths, some thousands at a time, so that the driver never holds all."""
+    rows = paths.select("path").distinct().toLocalIterator()
+    while some := [r.path for r in islice(rows, PATHS_AT_ONCE)]:
+        yield spark.read.format("image").option("dropInvalid", False).load(some).select(F.regexp_replace("image.origin", "^file:/+", "/").alias("path"), "image")
+
+
+def images(cat: Catalog, similarity_: float, kinds: list[int], shown: bool = True) -> dict[int, float]:
+    """Signatures that are missing, and the comparison of each kind at the similarity. Seconds that each kind's signatures took."""
+    contents, first = cat.read("content"), cat.read("file").groupBy("contentid").agg(F.min(F.concat_ws("/", "dir", "name")).alias("path"))
+    spent = {}
+    for k in kinds:
+        began = time.time()
         hashes = cat.read("imagehash")
-    compared = cat.read("imagecmp").where(~F.col("iht").isin(kinds))
+        todo = signatures.missing_signatures(contents, hashes, [k]).join(first, "contentid")
+        with Progress(cat.spark, f"Signatures of kind {k}", shown):
+            made = [signatures.image_signatures(todo.join(some, "path").select("contentid", "image"), [k]) for some in _loaded(cat.spark, todo)]
+            for part in made:
+                hashes = hashes.unionByName(part)
+            if made:
+                cat.write(imagehash=hashes)
+        spent[k] = time.time() - began
+    hashes, compared = cat.read("imagehash"), cat.read("imagecmp").where(~F.col("iht").isin(kinds))
     for k in kinds:
         kind = signatures.REGISTRY[k].kind
         h = signatures.histogram_bins(F.col("hash")) if kind == "histogram" else hashing.hex_to_long(F.col("hash"))
@@ -113,20 +149,30 @@ def images(cat: Catalog, similarity_: float, kinds: list[int]) -> None:
         factors = similarity.HISTOGRAM_FACTORS if kind == "histogram" else similarity.HAMMING_FACTORS
         got = similarity.compare(rows, kind, formatting.max_distance(similarity_, k), factors)
         compared = compared.unionByName(got.select(F.col("id").alias("contentid"), F.lit(k).alias("iht"), F.lit(similarity_).alias("similarity_threshold"), "score", F.col("total").alias("numpairs"), "pairs"))
-    cat.write(imagecmp=compared)
+    with Progress(cat.spark, "Comparing signatures", shown):
+        cat.write(imagecmp=compared)
+    return spent
+
+
+def record_feedback(cat: Catalog, path1: str, path2: str, verdict: str) -> None:
+    """What a person says of two indexed files' contents; the last word counts, and ``unknown`` takes it back."""
+    path = F.concat_ws("/", "dir", "name")
+    found = {r.path: r.contentid for r in cat.read("file").select(path.alias("path"), "contentid").where(F.col("path").isin(os.path.realpath(path1), os.path.realpath(path2))).collect()}
+    ids = [found.get(os.path.realpath(p)) for p in (path1, path2)]
+    if None in ids or ids[0] == ids[1]:
+        raise SystemExit("feedback is on two different contents that are indexed")
+    change = cat.spark.createDataFrame([(min(ids), max(ids), int(verdict == "similar"), 1, verdict == "unknown")], "contentid1 long, contentid2 long, aresimilar int, seq long, deleted boolean")
+    cat.write(imagefeedback=feedback.upsert_feedback(cat.read("imagefeedback"), change))
 
 
-def find(cat: Catalog, what: str, form: str, roots: list[str], least: float, kinds: list[int]) -> tuple[str, DataFrame]:
+def find(cat: Catalog, what: str, form: str, roots: list[str], least: float, kinds: list[int], decisions: str | None = None) -> tuple[str, DataFrame]:
     """(header, lines) of the duplicates asked for."""
     path = F.concat_ws("/", "dir", "name")
     shown = cat.read("file").where(catalog.under_roots(path, [os.path.realpath(r) for r in roots]))
     if what == "truncated":
-        data = cat.spark.read.format("binaryFile").option("pathGlobFilter", "*")
-        first = shown.groupBy("contentid").agg(F.min(path).alias("path"))
-        many = cat.read("content").join(first, F.col("id") == F.col("contentid")).drop("contentid")
-        many = many.join(many.groupBy("first1ksha1").count().where("count > 1"), "first1ksha1", "left_semi")
-        loaded = data.load([r.path for r in many.select("path").collect()] or [cat.root]).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-        pairs = prefix.truncated_pairs(many.join(loaded, "path").select("id", "size", "first1ksha1", "fullsha1", "parts", "content"), shown)
+        paths = shown.groupBy(F.col("contentid").alias("large_id")).agg(F.min(path).alias("path"))
+        many = cat.read("content").join(shown.select(F.col("contentid").alias("id")).distinct(), "id", "left_semi")
+        pairs = prefix.truncated_pairs(many, shown, lambda needed: sources.hash_file_prefixes(needed, paths))
         if form == "plan":
             return "path;action;reason", render.csv_lines(deletion.truncated_plan(pairs), F.col("path"), F.col("action"), F.col("reason"))
         return render.HEADERS[what], render.truncated_csv(pairs)
@@ -138,7 +184,11 @@ def find(cat: Catalog, what: str, form: str, roots: list[str], least: float, kin
     if form == "json":
         return "", render.bucket_json(exact.equal_buckets(shown))
     if form == "plan":
-        return "path;action;reason", render.csv_lines(deletion.deletion_plan(shown), F.col("path"), F.col("action"), F.col("reason"))
+        plan = deletion.deletion_plan(shown)
+        if decisions:
+            said = cat.spark.read.option("sep", ";").schema("path string, action string").csv(os.path.abspath(decisions))
+            plan = deletion.decided_plan(shown, said)
+        return "path;action;reason", render.csv_lines(plan, F.col("path"), F.col("action"), F.col("reason"))
     return render.HEADERS["bitequal"], render.equal_pairs_csv(exact.equal_pairs(cat.read("file"), shown))
 
 
@@ -153,8 +203,9 @@ def stats(cat: Catalog) -> str:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="semblance", description=__doc__.split("\n")[0])
+    parser.add_argument("-q", "--quiet", action="store_true")
     commands = parser.add_subparsers(dest="command", required=True)
-    add = {name: commands.add_parser(name) for name in ("index", "image", "finddupes", "stats")}
+    add = {name: commands.add_parser(name) for name in ("index", "image", "finddupes", "feedback", "stats")}
     for p in add.values():
         p.add_argument("--catalog", default=os.path.join(os.path.expanduser("~"), ".semblance"))
     add["index"].add_argument("roots", nargs="+")
@@ -168,6 +219,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     add["finddupes"].add_argument("-w", "--what", choices=["bitequal", "truncated", "image"], default="bitequal")
     add["finddupes"].add_argument("-t", "--type", choices=["csv", "json", "plan"], default="plan")
     add["finddupes"].add_argument("-o", "--output")
+    add["finddupes"].add_argument("-d", "--decisions")
+    add["feedback"].add_argument("path1")
+    add["feedback"].add_argument("path2")
+    add["feedback"].add_argument("verdict", choices=["similar", "different", "unknown"])
     args = parser.parse_args(argv)
     if spark is None:
         threads = formatting.threads_of(getattr(args, "threads", "C"), os.cpu_count() or 1)
@@ -175,15 +230,29 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     ship_package(spark)
     cat = Catalog(spark, args.catalog)
     kinds = sorted(signatures.REGISTRY) if getattr(args, "signatures", "") == "all" else [int(x) for x in getattr(args, "signatures", "3").split(",")]
+    try:
+        _run(args, cat, kinds)
+    finally:
+        drop_kept(spark)
+
+
+def _run(args: argparse.Namespace, cat: Catalog, kinds: list[int]) -> None:
     if args.command == "index":
-        counters = index(cat, args.roots, formatting.split_patterns(args.exclude_files, ""), formatting.split_patterns(args.exclude_dirs, ".git,CVS,RCS"))
+        with cat.locked(), Progress(cat.spark, "Indexing", not args.quiet):
+            counters = index(cat, args.roots, formatting.split_patterns(args.exclude_files, ""), formatting.split_patterns(args.exclude_dirs, ".git,CVS,RCS"))
         print("\n".join(f"{k}: {v}" for k, v in counters.asDict().items()))
     elif args.command == "image":
-        images(cat, args.similarity, kinds)
+        with cat.locked():
+            spent = images(cat, args.similarity, kinds, not args.quiet)
+        for k, seconds in spent.items():
+            print(f"  hash type {k} used {time_text(seconds)}", file=sys.stderr)
+    elif args.command == "feedback":
+        with cat.locked():
+            record_feedback(cat, args.path1, args.path2, args.verdict)
     elif args.command == "stats":
         print(stats(cat))
     else:
-        header, lines = find(cat, args.what, args.type, args.roots, args.similarity, kinds)
+        header, lines = find(cat, args.what, args.type, args.roots, args.similarity, kinds, args.decisions)
         out = open(args.output, "w", encoding="utf-8") if args.output else sys.stdout
         try:
             if args.type == "json" and args.what != "truncated":

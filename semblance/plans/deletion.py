@@ -26,6 +26,22 @@ def deletion_plan(files: DataFrame, policy: str = "keep_first") -> DataFrame:
     return joined.select(path(F.col("at")).alias("path"), "contentid", action.alias("action"), reason.alias("reason"))
 
 
+def decided_plan(files: DataFrame, decisions: DataFrame, policy: str = "keep_first") -> DataFrame:
+    """deletion_plan with the reviewer's choices. decisions: path, action (keep or delete), for any of the files.
+
+    A decision is followed as it stands, and where one file of a content is decided to be kept, the others go unless
+    decided too. A content of which everything were to be deleted keeps its file by the policy.
+    """
+    plan = deletion_plan(files, policy).join(decisions.select("path", F.col("action").alias("decided")).dropDuplicates(["path"]), "path", "left")
+    kept_one = plan.where("decided = 'keep'").select("contentid").distinct().withColumn("has_kept", F.lit(True))
+    action = F.coalesce("decided", F.when(F.col("has_kept"), "delete").otherwise(F.col("action")))
+    done = plan.join(kept_one, "contentid", "left").withColumn("new", action)
+    left = done.groupBy("contentid").agg(F.count_if(F.col("new") == "keep").alias("stay"))
+    final = F.when((F.col("stay") == 0) & (F.col("reason") == "chosen"), "keep").otherwise(F.col("new"))
+    reason = F.when((F.col("stay") == 0) & (F.col("reason") == "chosen"), "last one of its content").when(F.col("decided").isNotNull(), "decided").when(F.col("has_kept"), "another one was chosen").otherwise(F.col("reason"))
+    return done.join(left, "contentid").select("path", "contentid", final.alias("action"), reason.alias("reason"))
+
+
 def truncated_plan(pairs: DataFrame) -> DataFrame:
     """(path, action, reason): the small side of every truncated pair."""
     return pairs.groupBy(F.col("small_path").alias("path")).agg(F.min("large_path").alias("large")).select("path", F.lit("delete").alias("action"), F.concat(F.lit("truncated copy of "), F.col("large")).alias("reason"))

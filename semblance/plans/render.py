@@ -66,6 +66,11 @@ def kernel_lines(compared: DataFrame, width: int) -> DataFrame:
     return compared.select("id", F.format_string("%d: %d %d=%s %s", F.col("id"), F.col("score"), F.col("total"), row, pairs).alias("line"))
 
 
+def signature_lines(signed: DataFrame) -> DataFrame:
+    """``id signature`` of rows (id, hash), ``id FAILED`` where there is none."""
+    return signed.select(F.concat(F.col("id").cast("string"), F.lit(" "), F.coalesce("hash", F.lit("FAILED"))).alias("line"))
+
+
 def stats_table(rows: list[tuple[int, dict]]) -> str:
     """A line for each signature with its counts and shares."""
     out = ["sig    tp    fp    fn  precision  recall      f1"]

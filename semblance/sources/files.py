@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formatting import globs_to_regex
 from ..functions.hashing import sha1s_of_stream
-from ..schema import LISTING
+from ..schema import LISTING, pairs_from_text
 
 
 def list_store(spark: SparkSession, roots: list[str], min_size: int = 0) -> DataFrame:
@@ -83,6 +83,52 @@ def hash_large_files(listing: DataFrame, chunk: int = 4 << 20) -> DataFrame:
     return listing.select("dir", "name").mapInPandas(run, "dir string, name string, fullsha1 string, first1ksha1 string, parts map<bigint, string>, size long, head binary")
 
 
+def hash_file_prefixes(needed: DataFrame, paths: DataFrame, chunk: int = 4 << 20) -> DataFrame:
+    """(large_id, size, sha1) of needed (large_id, sizes) prefixes, each file read once as far as needed. paths: large_id, path.
+
+    Files lie on a path that all executors mount; of one that cannot be read, or is too short, nothing comes.
+    """
+
+    def run(batches):
+        import hashlib
+
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for large, path, sizes in zip(pdf["large_id"], pdf["path"], pdf["sizes"], strict=True):
+                try:
+                    with open(path, "rb") as file:
+                        state, at = hashlib.sha1(), 0
+                        for size in sorted(sizes):
+                            while at < size and (data := file.read(min(chunk, size - at))):
+                                state.update(data)
+                                at += len(data)
+                            if at == size:
+                                out.append((large, size, state.copy().hexdigest()))
+                except OSError:
+                    continue
+            yield pd.DataFrame(out, columns=["large_id", "size", "sha1"])
+
+    return needed.join(paths, "large_id").select("large_id", "path", "sizes").mapInPandas(run, "large_id long, size long, sha1 string")
+
+
+def read_batch_list(spark: SparkSession, path: str) -> DataFrame:
+    """(id, path) of a list with a line for each file: an id, a blank, the path."""
+    parts = F.regexp_extract("value", r"^([^ ]+) (.*)$", 1), F.regexp_extract("value", r"^([^ ]+) (.*)$", 2)
+    return spark.read.text(path).select(parts[0].alias("id"), parts[1].alias("path")).where("id <> ''")
+
+
+def read_kernel_results(spark: SparkSession, path: str) -> DataFrame:
+    """id, score, total, counts, pairs of lines that render.kernel_lines writes."""
+    pattern = r"^(\d+): (\d+) (\d+)=([\d,]*) ?(.*)$"
+    field = lambda i: F.regexp_extract("value", pattern, i)
+    counts = F.transform(F.split(field(4), ","), lambda c, d: F.struct(d.cast("int").alias("distance"), F.try_to_number(F.nullif(c, F.lit("")), F.lit("9" * 18)).cast("long").alias("count")))
+    return spark.read.text(path).where(F.col("value").rlike(pattern)).select(
+        field(1).cast("long").alias("id"), field(2).cast("long").alias("score"), field(3).cast("long").alias("total"), F.filter(counts, lambda c: c["count"].isNotNull()).alias("counts"), pairs_from_text(field(5)).alias("pairs")
+    )
+
+
 def read_hamming_text(spark: SparkSession, path: str) -> DataFrame:
     """(id, h) of a signature file: after a header, one line an id, ``na`` for none."""
     from ..functions.hashing import hex_to_long

@@ -3,6 +3,7 @@ import os
 import struct
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from semblance import cli
@@ -40,6 +41,22 @@ def test_commands(spark, tmp_path, capsys):
     pairs = run("finddupes", "-w", "image", "-S", "4", "-t", "csv", "-s", "0.8").splitlines()
     assert len(pairs) == 3 and all("one.png" in p and "two.png" in p for p in pairs[1:])
     ids = {r.name: r.contentid for r in cli.Catalog(spark, str(cat)).read("file").collect()}
+    said = tmp_path / "decisions"
+    said.write_text(f"{at}/sub/b;keep\n")
+    plan = run("finddupes", "-d", str(said)).splitlines()
+    assert f"{at}/a;delete;another one was chosen" in plan and f"{at}/sub/b;keep;decided" in plan
+    run("feedback", str(root / "one.png"), str(root / "far.png"), "similar")
+    run("feedback", str(root / "one.png"), str(root / "far.png"), "different")
+    run("feedback", str(root / "one.png"), str(root / "two.png"), "similar")
+    run("feedback", str(root / "two.png"), str(root / "far.png"), "similar")
+    run("feedback", str(root / "far.png"), str(root / "two.png"), "unknown")
+    spoken = {(r.contentid1, r.contentid2): r.aresimilar for r in cli.Catalog(spark, str(cat)).read("imagefeedback").collect()}
+    pair = lambda a, b: (min(ids[a], ids[b]), max(ids[a], ids[b]))
+    assert spoken == {pair("one.png", "far.png"): 0, pair("one.png", "two.png"): 1}
+    (cat / "lock").touch()
+    with pytest.raises(SystemExit):
+        run("index", str(root))
+    (cat / "lock").unlink()
     known = spark.createDataFrame([(min(ids["one.png"], ids["two.png"]), max(ids["one.png"], ids["two.png"]), 1)], "contentid1 long, contentid2 long, aresimilar int")
     cli.Catalog(spark, str(cat)).write(imagefeedback=known)
     lines = run("stats").splitlines()

@@ -1,12 +1,15 @@
 import hashlib
 import os
+import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from semblance import session
 from semblance.functions import formatting, hashing
 from semblance.operators import catalog, exact, feedback, prefix, signatures, similarity, store
-from semblance.plans import deletion, render
+from semblance.plans import deletion, progress, render
 from semblance.schema import pairs_from_text, pairs_to_text, parts_from_text, parts_to_text
 from semblance.sources import files as sources
 from semblance.streaming import incremental
@@ -134,11 +137,11 @@ def test_signature_comparisons(spark, tmp_path):
         assert lines_of(similarity.compare(rows, "histogram", 20, [32 - d for d in range(32)], 4), 20) == HISTOGRAM_OUT
 
 
-@pytest.mark.parametrize("most,block", [(0, 1), (10**6, 40), (10**6, 4096)])
-def test_close_hashes_against_all_pairs(spark, monkeypatch, most, block):
+@pytest.mark.parametrize("cost,block", [(1e12, 1), (0, 40), (0, 4096), (1.5, 4096)])
+def test_close_hashes_against_all_pairs(spark, monkeypatch, cost, block):
     import random
 
-    monkeypatch.setattr(similarity, "BLOCKWISE", most)
+    monkeypatch.setattr(similarity, "COMPARE_NS", cost)
     monkeypatch.setattr(similarity, "BLOCK", block)
     rnd = random.Random(5)
     base = [rnd.getrandbits(64) for _ in range(12)]
@@ -237,3 +240,104 @@ def test_queries_and_their_sql(spark):
     names = [n for n in __spark_entry__.queries() if n != "pipeline" and not n.startswith("op")]
     assert len(names) >= 36 and set(names) <= set(__spark_entry__.oracle_sql())
     assert __spark_entry__.entry(spark).count() >= 0
+
+
+def test_band_cost_counts_rows_and_meetings():
+    import random
+
+    rnd = random.Random(1)
+    words = [[rnd.getrandbits(16) & 0xF0FF for _ in range(4)] for _ in range(60)]
+    counts = np.zeros((4, 1 << 16))
+    for w in words:
+        for b in range(4):
+            counts[b, w[b]] += 1
+    for d in (3, 7, 12):
+        left, right = d // 4 // 2, d // 4 - d // 4 // 2
+        near = lambda r: similarity._mask_words(r)
+        meet = sum((x[b] ^ m) == (y[b] ^ o) for x in words for y in words for b in range(4) for m in near(left) for o in near(right))
+        assert similarity.band_cost(counts, d) == pytest.approx(similarity.ROW_NS * 240 * (len(near(left)) + len(near(right))) + similarity.MEET_NS * meet)
+
+
+def test_text_signature_takes_points_at_equal_distances(spark):
+    import random
+
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choices("abc é ß € 😀 z", k=k)) for k in (0, 1, 63, 64, 65, 100, 1000, 20_000)] + [None, "x" * 64]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(2)
+    got = {r.id: r.h for r in rows.select("id", signatures.text_signature("text").alias("h")).collect()}
+    for i, t in enumerate(texts):
+        if t is None or len(t) < 64:
+            assert got[i] is None
+        else:
+            v = [ord(t[k * len(t) // 64]) for k in range(64)]
+            assert got[i] & (1 << 64) - 1 == int("".join("1" if x * 64 >= sum(v) else "0" for x in v), 2)
+
+
+def test_kernel_results_are_read_back(spark, tmp_path):
+    (tmp_path / "h").write_text("header\n" + HAMMING_IN)
+    compared = similarity.compare(sources.read_hamming_text(spark, str(tmp_path / "h")), "hamming", 10, [17 - d for d in range(16)], 9)
+    (tmp_path / "out").write_text("\n".join(HAMMING_OUT) + "\nnot a line\n")
+    back = sources.read_kernel_results(spark, str(tmp_path / "out"))
+    key = lambda df: sorted(tuple(r) for r in df.select("id", "score", "total", "counts", "pairs").collect())
+    assert key(back) == key(compared)
+    assert {(r.numpairs, r.listed, r.consistent) for r in similarity.listed_counts(back).collect()} == {(6, 6, True)}
+    wrong = back.withColumn("total", F.col("total") + (F.col("id") == 3).cast("long"))
+    assert [r.id for r in similarity.listed_counts(wrong).where("not consistent").collect()] == [3]
+
+
+def test_batch_lists_and_signature_lines(spark, tmp_path):
+    (tmp_path / "list").write_text("7 /a b/c.png\n8 /d\n")
+    assert sorted((r.id, r.path) for r in sources.read_batch_list(spark, str(tmp_path / "list")).collect()) == [("7", "/a b/c.png"), ("8", "/d")]
+    signed = spark.createDataFrame([(7, "00ff"), (8, None)], "id long, hash string")
+    assert sorted(r.line for r in render.signature_lines(signed).collect()) == ["7 00ff", "8 FAILED"]
+
+
+def test_progress_texts(spark):
+    import io
+
+    # Texts as users see them.
+    assert progress.speed_text(30, 10) == " 180/min" and progress.speed_text(50, 10) == "   5/sec" and progress.speed_text(10**6, 1) == ">999/sec" and progress.speed_text(1, 0) == "unknown"
+    assert progress.bar_text("Load", 1, 4, 30) == "Load: " + "=" * 10 + " " * 30 + "  25.0% in 30s [    2/min ] [ ETA   1m 30s ]"
+    assert progress.finished_text("Load", 4, 4, 3600) == "Load: " + "=" * 40 + " 4/4 in 1h 0m [    0/min ]"
+    out = io.StringIO()
+    with progress.Progress(spark, "Count", out=out):
+        spark.range(1000, numPartitions=8).repartition(4).count()
+    assert "Count: " + "=" * 40 in out.getvalue() and out.getvalue().endswith("]\n")
+
+
+def test_reviewed_plan(spark):
+    rows = files(spark, [(1, 9, "/d", "a", 1), (1, 9, "/d", "b", 2), (1, 9, "/d", "c", 3), (2, 9, "/d", "x", 4), (2, 9, "/d", "y", 5), (3, 9, "/d", "u", 6), (3, 9, "/d", "v", 7)])
+    said = spark.createDataFrame([("/d/b", "keep"), ("/d/x", "delete"), ("/d/y", "delete"), ("/nowhere", "keep")], "path string, action string")
+    got = {r.path: (r.action, r.reason) for r in deletion.decided_plan(rows, said).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"/d/a": "delete", "/d/b": "keep", "/d/c": "delete", "/d/x": "keep", "/d/y": "delete", "/d/u": "keep", "/d/v": "delete"}
+    assert got["/d/a"][1] == "another one was chosen" and got["/d/x"][1] == "last one of its content" and got["/d/b"][1] == "decided"
+
+
+def test_kept_tables(spark, tmp_path, monkeypatch):
+    df = spark.range(5)
+    name = f"named-{os.getpid()}"
+    first = session.kept(df, name)
+    assert session.kept(spark.range(9), name).count() == 5  # the first run's
+    other = session.kept(df.withColumn("x", F.lit(1)))
+    assert os.path.isdir(other._kept_at) and other.count() == 5
+    session.discard(other)
+    session.discard(df)
+    assert not os.path.exists(other._kept_at) and os.path.isdir(first._kept_at)
+    shutil.rmtree(first._kept_at)
+    again = session.kept(df)
+    assert session.drop_kept(spark) >= 1 and not os.path.exists(again._kept_at)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key):
+            return None
+
+    class Context:
+        master, getConf, getCheckpointDir = "spark://host:7077", lambda self: Conf(), lambda self: None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Session())
