@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import formatting, hashing
 from .operators import catalog, exact, feedback, prefix, signatures, similarity, store
 from .plans import deletion, render
+from .session import kept
 from .sources.tables import document_files, hashed_files, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,8 +48,8 @@ def _files(spark, sf_dir) -> DataFrame:
 
 
 def _signed(spark, sf_dir) -> DataFrame:
-    bits = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), signatures.text_bits(F.col("text")).alias("bits")).where("bits is not null")
-    return bits.select("id", signatures.bits_to_long(F.col("bits")).alias("h"))
+    found = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), signatures.text_signature("text").alias("h"))
+    return kept(found.where("h is not null"))  # every text is read once
 
 
 def _histograms(spark, sf_dir, channels: int = 1) -> DataFrame:
@@ -99,6 +100,41 @@ def dup_classes(spark, sf_dir):
     return exact.equal_classes(_files(spark, sf_dir))
 
 
+LINKED = "CASE WHEN file_id % 3 = 0 THEN file_id ELSE contentid + 1000000000 END"
+
+
+def _linked(spark, sf_dir) -> DataFrame:
+    """Files of one content share an inode, but for every third file."""
+    return _files(spark, sf_dir).withColumn("inode", F.when(F.col("file_id") % 3 == 0, F.col("file_id")).otherwise(F.col("contentid") + 1_000_000_000))
+
+
+@query(f"""WITH {FILES}, linked AS (SELECT *, {LINKED} AS inode FROM hashed)
+SELECT a.contentid, a.inode = b.inode AS hardlinked, a.path AS path1, b.path AS path2 FROM linked a JOIN linked b ON a.contentid = b.contentid AND (a.dir, a.name) < (b.dir, b.name)""")
+def hard_link_pairs(spark, sf_dir):
+    return exact.equal_pairs(_linked(spark, sf_dir)).select("contentid", "hardlinked", "path1", "path2")
+
+
+@query(f"""WITH {FILES}, linked AS (SELECT *, {LINKED} AS inode FROM hashed), firsts AS (SELECT * FROM linked QUALIFY row_number() OVER (PARTITION BY contentid, inode ORDER BY dir, name) = 1)
+SELECT contentid, count(*) AS n_files, string_agg(path, '|' ORDER BY dir, name) AS files FROM firsts GROUP BY 1 HAVING count(*) > 1""")
+def hard_link_buckets(spark, sf_dir):
+    return exact.equal_buckets(_linked(spark, sf_dir)).select("contentid", "n_files", F.array_join("files", "|").alias("files"))
+
+
+@query(f"""WITH {FILES}, linked AS (SELECT *, {LINKED} AS inode FROM hashed), kept AS (SELECT contentid, arg_min(path, (dir, name)) AS keeper, arg_min(inode, (dir, name)) AS keep_inode FROM linked GROUP BY 1 HAVING count(*) > 1)
+SELECT path, contentid, CASE WHEN path = keeper OR inode = keep_inode THEN 'keep' ELSE 'delete' END AS action FROM linked JOIN kept USING (contentid)""")
+def hard_link_plan(spark, sf_dir):
+    return deletion.deletion_plan(_linked(spark, sf_dir)).select("path", "contentid", "action")
+
+
+@query(f"""WITH {FILES}, n AS (SELECT *, count(*) OVER (PARTITION BY contentid) AS n, file_id % 2 = 0 AS stays FROM hashed), g AS (SELECT contentid, bool_or(stays) AS any_stays, arg_min(path, (dir, name)) AS keeper FROM n GROUP BY 1)
+SELECT path, contentid, CASE WHEN stays OR (NOT any_stays AND path = keeper) THEN 'keep' ELSE 'delete' END AS action FROM n JOIN g USING (contentid) WHERE n > 1""")
+def decided_plan(spark, sf_dir):
+    """Files of even ids are decided to be kept, all others to go."""
+    files = _files(spark, sf_dir)
+    decisions = files.select(F.concat_ws("/", "dir", "name").alias("path"), F.when(F.col("file_id") % 2 == 0, "keep").otherwise("delete").alias("action"))
+    return deletion.decided_plan(files, decisions).select("path", "contentid", "action")
+
+
 @query(f"""WITH {FILES}, many AS (SELECT count(*) AS n, any_value(size) AS size FROM hashed GROUP BY contentid HAVING count(*) > 1)
 SELECT count(*) AS contents, sum(n - 1)::BIGINT AS extra_files, sum((n - 1) * size)::BIGINT AS wasted_bytes FROM many""")
 def dup_wasted_bytes(spark, sf_dir):
@@ -146,9 +182,10 @@ def content_catalog(spark, sf_dir):
     return catalog.contents_of(indexed).select("id", "fullsha1", "size", "first1ksha1", "n_files")
 
 
-@query(f"""WITH {FILES}, d AS (SELECT DISTINCT fullsha1, text FROM files) SELECT {FIRST_KIB} AS first1ksha1, count(*) AS n FROM d GROUP BY 1 HAVING count(*) > 1""")
+@query(f"""WITH f AS (SELECT text FROM documents UNION SELECT substr(text, 1, length(text) // 2) FROM documents)
+SELECT {FIRST_KIB} AS first1ksha1, count(*) AS n FROM f WHERE octet_length(encode(text)) >= 1024 GROUP BY 1 HAVING count(*) > 1""")
 def first1k_groups(spark, sf_dir):
-    files = document_files(spark, sf_dir).select(hashing.first1k_sha1(F.col("content")).alias("first1ksha1"), hashing.full_sha1(F.col("content")).alias("fullsha1")).distinct()
+    files = _with_halves(spark, sf_dir).select(hashing.first1k_sha1(F.col("content")).alias("first1ksha1"), hashing.full_sha1(F.col("content")).alias("fullsha1")).distinct()
     return files.groupBy("first1ksha1").agg(F.count("*").alias("n")).where("n > 1")
 
 
@@ -284,12 +321,15 @@ def hamming_pairs(spark, sf_dir):
     return similarity.similar_pairs(_signed(spark, sf_dir), "hamming", formatting.max_distance(0.9, 3))
 
 
-HAMMING_SCORES = f"""WITH {SIGNED}, counts AS (SELECT id, distance, count(*) AS n FROM close WHERE distance <= 12 GROUP BY 1, 2),
+HAMMING_COUNTS = f"""WITH {SIGNED}, counts AS (SELECT id, distance, count(*) AS n FROM close WHERE distance <= 12 GROUP BY 1, 2),
 scored AS (SELECT id, sum(least(n, 255) * (80 - 5 * distance))::BIGINT AS score, sum(n)::BIGINT AS total, string_agg(distance || '=' || n, ',' ORDER BY distance) AS counts FROM counts GROUP BY 1),
-top AS (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, id LIMIT 100)"""
+"""
+BEST = "top AS (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, id LIMIT {})"
+#: Centres of a comparison, as many as the library's default; a report of the best ones has fewer.
+HAMMING_SCORES = HAMMING_COUNTS + BEST.format(10_000)
 
 
-@query(f"{HAMMING_SCORES} SELECT * FROM top")
+@query(f"{HAMMING_COUNTS}{BEST.format(100)} SELECT * FROM top")
 def hamming_scores_topk(spark, sf_dir):
     rows = _signed(spark, sf_dir)
     near = similarity.close_classes(rows, "hamming", formatting.max_distance(0.8, 3))
@@ -307,7 +347,7 @@ def _pairs_text():
 
 @query(f"{HAMMING_SCORES} SELECT top.id, any_value(score) AS score, string_agg(other || ':' || distance, ' ' ORDER BY other) AS pairs FROM top JOIN close ON close.id = top.id AND distance <= 12 GROUP BY 1")
 def hamming_neighbors(spark, sf_dir):
-    found = similarity.compare(_signed(spark, sf_dir), "hamming", formatting.max_distance(0.8, 3), similarity.HAMMING_FACTORS, 100)
+    found = similarity.compare(_signed(spark, sf_dir), "hamming", formatting.max_distance(0.8, 3), similarity.HAMMING_FACTORS)
     return found.select("id", "score", _pairs_text().alias("pairs"))
 
 
@@ -336,22 +376,29 @@ def _paths(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contentid"), F.concat(F.lit("/"), "source", F.lit("/"), "lang").alias("dir"), F.col("doc_id").cast("string").alias("name"))
 
 
-@query(f"""{HAMMING_SCORES}, {PATHS} SELECT top.id AS content_id1, other AS content_id2, score, 1 - distance / 64.0::DOUBLE AS similarity, a.path AS path1, b.path AS path2
-FROM top JOIN close ON close.id = top.id AND distance <= 6 JOIN paths a ON a.contentid = top.id JOIN paths b ON b.contentid = other""")
+@query(f"""{HAMMING_SCORES}, {PATHS}, ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) - 1 AS ctxt_index, count(*) OVER () AS ctxt_size FROM top)
+SELECT top.id AS content_id1, other AS content_id2, score, 1 - distance / 64.0::DOUBLE AS similarity, a.path AS path1, b.path AS path2, ctxt_index, ctxt_size
+FROM ranked top JOIN close ON close.id = top.id AND distance <= 6 JOIN paths a ON a.contentid = top.id JOIN paths b ON b.contentid = other""")
 def similar_pairs_paths(spark, sf_dir):
-    found = similarity.compare(_signed(spark, sf_dir), "hamming", formatting.max_distance(0.8, 3), similarity.HAMMING_FACTORS, 100)
+    found = similarity.compare(_signed(spark, sf_dir), "hamming", formatting.max_distance(0.8, 3), similarity.HAMMING_FACTORS)
     return similarity.with_paths(found, _paths(spark, sf_dir), 64.0, 0.9)
 
 
 @query(f"""{HAMMING_SCORES}, {PATHS} SELECT top.id, any_value(score) AS score, any_value(a.path) AS center, string_agg(other || '=' || b.path, ' ' ORDER BY other) AS others
 FROM top JOIN close ON close.id = top.id AND distance <= 6 JOIN paths a ON a.contentid = top.id JOIN paths b ON b.contentid = other GROUP BY 1""")
 def similar_buckets(spark, sf_dir):
-    found = similarity.compare(_signed(spark, sf_dir), "hamming", formatting.max_distance(0.8, 3), similarity.HAMMING_FACTORS, 100)
+    found = similarity.compare(_signed(spark, sf_dir), "hamming", formatting.max_distance(0.8, 3), similarity.HAMMING_FACTORS)
     made = similarity.with_paths(found, _paths(spark, sf_dir), 64.0, 0.9, all_paths=True)
     others = F.array_join(F.transform("others", lambda o: F.concat(o["contentid"].cast("string"), F.lit("="), F.array_join(o["paths"], "|"))), " ")
     return made.select("id", "score", F.array_join("center", "|").alias("center"), others.alias("others"))
 
 
+@query(f"""{HAMMING_SCORES}, listed AS (SELECT top.id, count(*) AS listed FROM top JOIN close ON close.id = top.id AND distance <= 12 GROUP BY 1)
+SELECT top.id, total AS numpairs, listed, total = listed AS consistent FROM top JOIN listed USING (id)""")
+def listed_counts(spark, sf_dir):
+    return similarity.listed_counts(similarity.compare(_signed(spark, sf_dir), "hamming", formatting.max_distance(0.8, 3), similarity.HAMMING_FACTORS))
+
+
 # ---- signatures still to make, feedback
 
 
