@@ -15,7 +15,7 @@ from semblance.llm.language_crf import fit_crf, tag_languages
 from semblance.llm.ngram_join import near_duplicates, one_of_each
 from semblance.llm.packing import pack_documents
 from semblance.llm.tiling import contaminated
-from semblance.session import kept
+from semblance.session import discard, kept
 
 #: A text whose most probable language has a smaller mean marginal over its words is rejected.
 LEAST_SCORE = 0.4
@@ -60,8 +60,11 @@ STAGES = [("language", language), ("near_copies", near_copies), ("passages", pas
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, resume: str | None = None) -> DataFrame:
+    """The last stage's rows. resume: a name for this run's tables in the shared folder; a run of the same name after a
+    failure takes up the stages that are done. Such tables are the caller's to delete, other ones drop_kept()'s."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir))
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, kept(stage(spark, docs, sf_dir), f"{resume}/{name}" if resume else None)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
