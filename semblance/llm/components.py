@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import kept
+from ..session import discard, kept
 
 
 LEAST_HUB, MOST_HUBS = 10_000, 20_000
@@ -44,7 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = least.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         down = _with_least(large, state[0])
         small = down.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        now = kept(small.distinct())
+        old, now = now, kept(small.distinct())
+        discard(old)
         before, state = state, _state(now)
         if state == before:
             break

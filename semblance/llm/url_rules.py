@@ -90,34 +90,46 @@ def with_rules(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return urls.join(found, ["host", "path"], "left").select(*urls.columns, "best.rule", "best.action")
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    """The value of a tag's first attribute of this name, without quotes; null if there is none."""
-    found = F.filter(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0)), lambda x: F.lower(F.rtrim(F.substring_index(x, "=", 1))) == name)
-    value = F.ltrim(F.regexp_extract(F.get(found, F.lit(0)), r"(?s)^[^=]*=\s*(.*)$", 1))
-    return F.when(value.rlike("""^["']"""), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-
-
-def _resolved(target: Column, base: Column) -> Column:
-    """A link's absolute url; null for none, for one into its own page, and for other schemes without a host."""
-    to = F.replace(F.btrim(F.translate(target, "\t\r\n", "")), F.lit("&amp;"), F.lit("&"))
-    origin, path, folder = F.regexp_extract(base, r"^([^:]*://[^/?#]*)", 1), F.regexp_extract(base, r"^[^:]*://[^/?#]*([^?#]*)", 1), F.regexp_extract(base, r"^[^:]*://[^/?#]*([^?#]*/)", 1)
-    return (
+def _attribute(attributes: Column, name: str) -> Column:
+    """The value of a tag's first attribute of this name, with its quotes if it has some; null if there is none."""
+    found = F.filter(attributes, lambda x: F.lower(F.rtrim(F.substring_index(x, "=", 1))) == name)
+    return F.ltrim(F.regexp_extract(F.get(found, F.lit(0)), r"(?s)^[^=]*=\s*(.*)$", 1))
+
+
+def _bare(value: Column) -> Column:
+    return F.regexp_replace(value, """^["']|["']$""", "")
+
+
+def _with_resolved(rows: DataFrame, target: str, base: str, name: str) -> DataFrame:
+    """rows with a link's absolute url; null for none, for one into its own page, and for other schemes without a host.
+
+    Step by step, so that no expression stands in the plan more often than it is written here.
+    """
+    rows = rows.withColumn("_to", F.replace(F.btrim(F.translate(target, "\t\r\n", "")), F.lit("&amp;"), F.lit("&")))
+    rows = rows.withColumns({"_origin": F.regexp_extract(base, r"^([^:]*://[^/?#]*)", 1), "_path": F.regexp_extract(base, r"^[^:]*://[^/?#]*([^?#]*)", 1)})
+    to, origin, folder = F.col("_to"), F.col("_origin"), F.regexp_extract("_path", r"^(.*/)", 1)
+    found = (
         F.when((to == "") | to.startswith("#"), None).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(F.lit("https:"), to)).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
-        .when(to.startswith("/"), F.concat(origin, to)).when(to.startswith("?"), F.concat(origin, path, to)).otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), to))
+        .when(to.startswith("/"), F.concat(origin, to)).when(to.startswith("?"), F.concat(origin, F.col("_path"), to)).otherwise(F.concat(origin, F.coalesce(F.nullif(folder, F.lit("")), F.lit("/")), to))
     )
+    return rows.withColumn(name, found).drop("_to", "_origin", "_path")
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(from_url, to_url): canonical links and refreshes of each page, with relative targets resolved."""
     page = pages.select(F.col(url).alias("from_url"), F.col(html).alias("html")).where(F.col("from_url").contains("://") & F.col("html").rlike(r"(?i)canonical|refresh"))
-    tags = page.select("from_url", F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, " "), F.lit(_TAG), F.lit(0)).alias("tags"))
-    is_a = lambda x, name: F.lower(F.substr(x, F.lit(2), F.lit(len(name)))) == name
-    base = F.get(F.filter("tags", lambda x: is_a(x, "base") & _attribute(x, "href").isNotNull()), F.lit(0))
-    based = tags.select("from_url", F.coalesce(_resolved(_attribute(base, "href"), F.col("from_url")), F.col("from_url")).alias("base"), F.explode("tags").alias("tag"))
-    canonical = is_a(F.col("tag"), "link") & _attribute(F.col("tag"), "rel").rlike(r"(?i)(^|\s)canonical(\s|$)")
-    refresh = is_a(F.col("tag"), "meta") & _attribute(F.col("tag"), "http-equiv").rlike(r"(?i)^\s*refresh\s*$")
-    target = F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, F.regexp_extract(_attribute(F.col("tag"), "content"), _REFRESH, 1))
-    return based.select("from_url", _resolved(target, F.col("base")).alias("to_url")).where("to_url is not null")
+    found = page.select("from_url", F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, " "), F.lit(_TAG), F.lit(0)).alias("tags")).where(F.size("tags") > 0)
+    parsed = F.transform("tags", lambda x: F.struct(F.lower(F.substr(x, F.lit(2), F.lit(4))).alias("kind"), F.regexp_extract_all(x, F.lit(_ATTRIBUTE), F.lit(0)).alias("attributes")))
+    tags = found.select("from_url", parsed.alias("tags"))
+    base = F.get(F.filter(F.transform(F.filter("tags", lambda x: x["kind"] == "base"), lambda x: _attribute(x["attributes"], "href")), lambda x: x.isNotNull()), F.lit(0))
+    based = _with_resolved(tags.withColumn("base_href", _bare(base)), "base_href", "from_url", "resolved")
+    tag = based.select("from_url", F.coalesce("resolved", "from_url").alias("base"), F.explode("tags").alias("tag")).where("tag.kind in ('link', 'meta')")
+    wanted = tag.select("from_url", "base", "tag.kind", *[_bare(_attribute(F.col("tag.attributes"), x)).alias(x.replace("-", "_")) for x in ("rel", "href", "http-equiv", "content")])
+    canonical = (F.col("kind") == "link") & F.col("rel").rlike(r"(?i)(^|\s)canonical(\s|$)")
+    refresh = (F.col("kind") == "meta") & F.col("http_equiv").rlike(r"(?i)^\s*refresh\s*$")
+    target = F.when(canonical, F.col("href")).when(refresh, F.regexp_extract("content", _REFRESH, 1))
+    links = wanted.select("from_url", "base", target.alias("target")).where("target is not null")
+    return _with_resolved(links, "target", "base", "to_url").select("from_url", "to_url").where("to_url is not null")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], links: DataFrame | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
