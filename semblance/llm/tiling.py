@@ -104,7 +104,8 @@ def _blocks(benchmark: DataFrame, block_words: int):
         yield held
 
 
-def _scan(docs: DataFrame, items: list[tuple[int, np.ndarray]], least: int, percent: int) -> DataFrame:
+def _seeded(items: list[tuple[int, np.ndarray]], least: int) -> tuple:
+    """(items, sorted seeds, the item and the place of each, lengths of seeds)."""
     seeds, owner, place = [], [], []
     for k, (_, words) in enumerate(items):
         shingles, _ = shingles_of(words, np.array([0, len(words)]), min(least, len(words)))
@@ -113,55 +114,84 @@ def _scan(docs: DataFrame, items: list[tuple[int, np.ndarray]], least: int, perc
         place.append(np.arange(len(shingles)))
     seeds, owner, place = (np.concatenate(x) for x in (seeds, owner, place))
     order = np.argsort(seeds, kind="stable")
-    shipped = docs.sparkSession.sparkContext.broadcast((items, seeds[order], owner[order], place[order]))
-    lengths = sorted({min(least, len(w)) for _, w in items})
-
-    def tiled(words: np.ndarray, hits: np.ndarray, table) -> list[tuple]:
-        items, seeds, owner, place = table
-        low, high = np.searchsorted(seeds, np.unique(hits)), np.searchsorted(seeds, np.unique(hits), "right")
-        pick = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
-        out = []
-        for k in np.unique(owner[pick]):
-            item_id, item = items[k]
-            n = min(least, len(item))
-            cover = np.zeros(len(item) + 1, np.int64)
-            at = place[pick[owner[pick] == k]]
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + n, -1)
-            if 100 * (np.cumsum(cover)[:-1] > 0).sum() < percent * len(item):
-                continue
-            tiles = greedy_tiles(words, item, n)
-            covered = sum(t[2] for t in tiles)
-            if 100 * covered >= percent * len(item):
-                out.append((item_id, len(item), covered, sorted(tiles)))
-        return out
+    return items, seeds[order], owner[order], place[order], sorted({min(least, len(w)) for _, w in items})
+
+
+def _tiled(words: np.ndarray, hits: np.ndarray, table: tuple, least: int, percent: int):
+    """(item_id, words of the item, words covered, tiles) of the items that cover enough."""
+    items, seeds, owner, place, _ = table
+    low, high = np.searchsorted(seeds, np.unique(hits)), np.searchsorted(seeds, np.unique(hits), "right")
+    pick = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
+    for k in np.unique(owner[pick]):
+        item_id, item = items[k]
+        n = min(least, len(item))
+        cover = np.zeros(len(item) + 1, np.int64)
+        at = place[pick[owner[pick] == k]]
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + n, -1)
+        if 100 * (np.cumsum(cover)[:-1] > 0).sum() < percent * len(item):
+            continue
+        tiles = greedy_tiles(words, item, n)
+        covered = sum(t[2] for t in tiles)
+        if 100 * covered >= percent * len(item):
+            yield item_id, len(item), covered, sorted(tiles)
+
+
+def _matches(column: pa.Array, table: tuple, least: int, percent: int):
+    """(row, item_id, words of the item, words covered, tiles) over a column of texts."""
+    _, seeds, _, _, lengths = table
+    for first, _, hashes, offsets, _, _ in words_of(column):
+        found: dict[int, list[np.ndarray]] = {}
+        for n in lengths:
+            shingles, where = shingles_of(hashes, offsets, n, whole=False)
+            at = np.searchsorted(seeds, shingles)
+            at[at == len(seeds)] = 0
+            hit = np.flatnonzero(seeds[at] == shingles)
+            for a, b in runs_of(where[hit]):
+                found.setdefault(int(where[hit[a]]), []).append(shingles[hit[a:b]])
+        for r in sorted(found):
+            for match in _tiled(hashes[offsets[r] : offsets[r + 1]], np.concatenate(found[r]), table, least, percent):
+                yield first + r, *match
+
+
+def _scan(docs: DataFrame, items: list[tuple[int, np.ndarray]], least: int, percent: int) -> DataFrame:
+    shipped = docs.sparkSession.sparkContext.broadcast(_seeded(items, least))  # of at most block_words words, or one item
+    tile = pa.list_(pa.struct([("doc_word", pa.int64()), ("item_word", pa.int64()), ("words", pa.int64())]))
 
     def run(batches):
-        table = shipped.value
         for batch in batches:
             ids, marks = batch.column("doc_id"), batch.column("text_hash")
             rows: dict[str, list] = {k: [] for k in ("doc_id", "text_hash", "item_id", "item_words", "covered", "tiles")}
-            for first, _, hashes, offsets, _, _ in words_of(batch.column("text")):
-                found: dict[int, list[np.ndarray]] = {}
-                for n in lengths:
-                    shingles, where = shingles_of(hashes, offsets, n, whole=False)
-                    at = np.searchsorted(table[1], shingles)
-                    at[at == len(table[1])] = 0
-                    hit = np.flatnonzero(table[1][at] == shingles)
-                    for a, b in runs_of(where[hit]):
-                        found.setdefault(int(where[hit[a]]), []).append(shingles[hit[a:b]])
-                for r in sorted(found):
-                    for item_id, n, covered, tiles in tiled(hashes[offsets[r] : offsets[r + 1]], np.concatenate(found[r]), table):
-                        values = (ids[first + r].as_py(), marks[first + r].as_py(), item_id, n, covered, [{"doc_word": t[0], "item_word": t[1], "words": t[2]} for t in tiles])
-                        for k, v in zip(rows, values, strict=True):
-                            rows[k].append(v)
-            tile = pa.list_(pa.struct([("doc_word", pa.int64()), ("item_word", pa.int64()), ("words", pa.int64())]))
+            for r, item_id, n, covered, tiles in _matches(batch.column("text"), shipped.value, least, percent):
+                values = (ids[r].as_py(), marks[r].as_py(), item_id, n, covered, [{"doc_word": t[0], "item_word": t[1], "words": t[2]} for t in tiles])
+                for k, v in zip(rows, values, strict=True):
+                    rows[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, tile if k == "tiles" else pa.int64()) for k, v in rows.items()], list(rows))
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInArrow(run, "doc_id long, text_hash long, item_id long, item_words long, covered long, tiles array<struct<doc_word: long, item_word: long, words: long>>")
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, least: int = 5, percent: int = 80, block_words: int = 2_000_000, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs (with text, all columns) that no item contaminates: one pass for all blocks, without a shuffle."""
+    for block in _blocks(keyed_texts(benchmark, item_col, item_text_col).withColumnRenamed("doc_id", "item_id"), block_words):
+        docs = _filtered(docs, block, least, percent)
+    return docs
+
+
+def _filtered(docs: DataFrame, items: list[tuple[int, np.ndarray]], least: int, percent: int) -> DataFrame:
+    shipped = docs.sparkSession.sparkContext.broadcast(_seeded(items, least))
+
+    def run(batches):
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for r, *_ in _matches(batch.column("text"), shipped.value, least, percent):
+                clean[r] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: int = 5, percent: int = 80, block_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, item_id, item_words, covered, tiles for each contaminated pair."""
     if least < 1:

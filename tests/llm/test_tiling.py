@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from semblance.llm.tiling import contaminated, greedy_tiles
+from semblance.llm.tiling import contaminated, greedy_tiles, op3_decontamination, without_contaminated
 
 from .test_words import words
 
@@ -46,6 +46,62 @@ def test_tiles_equal_the_definition():
                 assert tiles[0][2] >= least and abs(sum(t[2] for t in tiles) - brute_tiles(a, b, least)) <= max(least, tiles[0][2])
 
 
+def pieces_shuffled(rnd, words):
+    """The words in a new order of runs, some lost and some strange ones between; each word occurs once at most."""
+    cuts = sorted({0, len(words), *(rnd.randrange(len(words) + 1) for _ in range(rnd.randrange(6)))})
+    runs = [words[a:b] for a, b in zip(cuts, cuts[1:]) if rnd.random() < 0.85]
+    rnd.shuffle(runs)
+    return [x for k, run in enumerate(runs) for x in [*run, *([f"s{rnd.randrange(10**9)}"] if rnd.random() < 0.5 else [])]]
+
+
+def the_tiles(a, b, least):
+    """Where every word occurs once on each side there is one tiling: all maximal common runs."""
+    at = {x: j for j, x in enumerate(b)}
+    out, i = set(), 0
+    while i < len(a):
+        n = 0
+        while i + n < len(a) and a[i + n] in at and at[a[i + n]] == at[a[i]] + n:
+            n += 1
+        if n >= least:
+            out.add((i, at[a[i]], n))
+        i += max(n, 1)
+    return out
+
+
+def test_tiles_without_ties_are_exactly_those_of_the_definition():
+    rnd = random.Random(9)
+    for _ in range(300):
+        b = [f"w{i}" for i in range(rnd.randrange(1, 60))]
+        a = pieces_shuffled(rnd, b)
+        hashed = lambda x: np.array([hash(("h", v)) & (1 << 64) - 1 for v in x], np.uint64)
+        for least in (1, 3, 5):
+            tiles = greedy_tiles(hashed(a), hashed(b), least)
+            assert len(tiles) == len(set(tiles)) and set(tiles) == the_tiles(a, b, least)
+            assert [t[2] for t in tiles] == sorted((t[2] for t in tiles), reverse=True)
+
+
+def test_query_is_brute_force_over_all_pairs(spark, tmp_path):
+    rnd = random.Random(10)
+    items = [(i, [f"i{i}w{j}" for j in range(rnd.randrange(3, 50))]) for i in range(8)]
+    docs = [(d, [x for part in (pieces_shuffled(rnd, rnd.choice(items)[1]), [f"d{d}w{j}" for j in range(rnd.randrange(30))], pieces_shuffled(rnd, items[d % 8][1])) for x in part]) for d in range(60)]
+    docs = [(d, list(dict.fromkeys(ws))) for d, ws in docs]
+    spark.createDataFrame([(d, " ".join(ws), "en") for d, ws in docs], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = []
+    for d, a in docs:
+        for i, b in items:
+            tiles = the_tiles(a, b, min(5, len(b)))
+            if 100 * sum(t[2] for t in tiles) >= 80 * len(b):
+                want.append((d, i, len(b), sum(t[2] for t in tiles), len(tiles)))
+    got = sorted((r.doc_id, r.item_id, r.item_words, r.covered, r.n_tiles) for r in op3_decontamination(spark, str(tmp_path)).collect())
+    assert got == sorted(want) and 10 < len(want) < 480
+    rows, tests = (spark.read.parquet(str(tmp_path / f"{x}.parquet")) for x in ("documents", "benchmark"))
+    for block in (2_000_000, 40):
+        clean = without_contaminated(rows, tests, block_words=block)
+        assert clean.columns == rows.columns and {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {x[0] for x in want}
+    assert without_contaminated(rows, tests.limit(0)).count() == 60 and without_contaminated(rows.limit(0), tests).count() == 0
+
+
 ITEM = "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11 q12 q13 q14 q15 q16 q17 q18 q19 q20"
 
 
