@@ -146,7 +146,7 @@ def _shared(parts: DataFrame, out_parts: int) -> DataFrame:
         edges = runs_of(to)
         return pa.table({"part": pa.array([int(to[a]) for a, _ in edges], pa.int64()), "blob": pa.array([rows[a:b].tobytes() for a, b in edges], pa.binary())})
 
-    return parts.groupBy("part").applyInArrow(run, "part long, blob binary")
+    return parts.repartition(out_parts, "part").groupBy("part").applyInArrow(run, "part long, blob binary")
 
 
 _SHARED = np.dtype([("cls", "<u8"), ("token", "<u8"), ("size", "<u4"), ("freq", "<u4")])
@@ -169,7 +169,7 @@ def choose_prefix(size: int, freq: np.ndarray, least: int, longest: int) -> tupl
     return best[1], best[2]
 
 
-def _profiles(shared: DataFrame, percent: int, longest: int) -> DataFrame:
+def _profiles(shared: DataFrame, ranges: int, percent: int, longest: int) -> DataFrame:
     """(cls, size, shared, match, sketch, tokens, prefix) of the classes that can link at all."""
 
     def run(key, table):
@@ -191,7 +191,7 @@ def _profiles(shared: DataFrame, percent: int, longest: int) -> DataFrame:
                     out[k].append(v)
         return pa.table(out, schema=pa.schema([("cls", pa.int64()), ("size", pa.int64()), ("shared", pa.int64()), ("match", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.binary())]))
 
-    return shared.groupBy("part").applyInArrow(run, "cls long, size long, shared long, match long, sketch binary, tokens binary, prefix binary")
+    return shared.repartition(ranges, "part").groupBy("part").applyInArrow(run, "cls long, size long, shared long, match long, sketch binary, tokens binary, prefix binary")
 
 
 _POSTING = np.dtype([("token", "<u8"), ("cls", "<i8"), ("root", "<i8"), ("size", "<u4"), ("shared", "<u4"), ("match", "<u4"), ("sketch", "<u8", (4,))])
@@ -322,8 +322,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, longest:
     spark, texts = docs.sparkSession, keyed_texts(docs, id_col, text_col)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(2 * partitions, math.ceil(size / RANGE_BYTES))
-    profiles = kept(_profiles(_shared(_scatter(texts, n, ranges), ranges), percent, longest))
+    ranges = max(partitions, math.ceil(size / RANGE_BYTES))
+    profiles = kept(_profiles(_shared(_scatter(texts, n, ranges), ranges), ranges, percent, longest))
     roots = None
     for star in [*range(star_rounds), None]:
         pairs = _candidates(_postings(profiles, roots, ranges), percent, star)
