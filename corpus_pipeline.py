@@ -14,7 +14,7 @@ from semblance.llm.compact_windows import duplicate_passages, without_passages
 from semblance.llm.language_crf import fit_crf, tag_languages
 from semblance.llm.ngram_join import near_duplicates, one_of_each
 from semblance.llm.packing import pack_documents
-from semblance.llm.tiling import contaminated
+from semblance.llm.tiling import without_contaminated
 from semblance.session import discard, kept
 
 #: A text whose most probable language has a smaller mean marginal over its words is rejected.
@@ -41,9 +41,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", F.col("text_hash")).distinct().toDF("_id", "_mark")
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_mark")), "left_anti").select(*docs.columns)
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
