@@ -9,6 +9,9 @@ emptiest bins of the group are dissolved into the gaps of the others, in pieces
 tokens, and the one bin left with a gap is split into sequences whose lengths are powers of two, which need
 no padding.
 
+Any tokenizer of the tokenizers library will do. Of one that works word by word and lowers the case, which is tested,
+each word is encoded once; others encode whole texts.
+
 Defined results: a null or empty text is the end token alone; rows that repeat an id, or are alike in every
 column, are documents of their own; a null id stays null; other columns are ignored; an empty table packs into
 no sequences.
@@ -16,6 +19,8 @@ no sequences.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,17 +34,35 @@ _models: dict[int, "_Words"] = {}
 CACHE_WORDS = 1_500_000
 
 
+#: Texts whose ids a tokenizer that works word by word, and lowers the case, gets from their runs alone.
+_PROBES = ["A b", " It's  10,000.5\t(x)\n\nÉté ", "don't STOP! e.g. a_b-c", "\r\nÜber\x0bstraße\x0c日本 語 x²  ", "MiXeD cAsE \u00a0 no\u2003break", "a  b", "<| x |>"]
+
+
+def is_wordwise(tokenizer, spec: str) -> bool:
+    """Whether the ids of a text are those of its runs between ASCII white space, whatever the case of A-Z.
+
+    Special tokens have a case; all of them must have ``<|`` in them, for runs with that are encoded as they are.
+    """
+    parts = json.loads(spec)
+    if any("<|" not in t["content"] for t in parts.get("added_tokens") or []) or '"Lowercase"' not in json.dumps(parts.get("normalizer")):
+        return False
+    encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    lower = {i: i + 32 for i in range(65, 91)}
+    return all(encode(x) == [i for run in x.encode().split() for i in encode(run.decode().translate(lower))] for x in _PROBES)
+
+
 class _Words:
     """A tokenizer and the ids of words it has seen, in a few flat arrays.
 
-    The tokenizer's words never hold white space and it lowers the case, so runs between ASCII white space, alike but
-    for A-Z, have the same ids and are encoded once; only a run with ``<|`` may hold a special token, which has case.
+    A wordwise tokenizer gives runs between ASCII white space, alike but for A-Z, the same ids, so they are encoded
+    once; only a run with ``<|`` may hold a special token, which has case. Others are given whole texts.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        self.wordwise = is_wordwise(self.tokenizer, spec)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.forget()
 
@@ -76,6 +99,9 @@ def _model(spec: str) -> _Words:
 def _encode(column: pa.Array, spec: str, end_id: int):
     """Yields (first row, ids of each row and then end_id, as little-endian bytes)."""
     model = _model(spec)
+    if not model.wordwise:
+        yield from _encode_whole(column, model, end_id)
+        return
     data, _ = text_buffers(column)
     for first, rows, hashes, offsets, starts, ends in words_of(column):
         words, at, which = np.unique(hashes, return_index=True, return_inverse=True)
@@ -105,6 +131,12 @@ def _encode(column: pa.Array, spec: str, end_id: int):
         yield first, pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(out)])
 
 
+def _encode_whole(column: pa.Array, model: _Words, end_id: int):
+    for first in range(0, len(column), 256):
+        texts = [(x or "").encode() for x in column.slice(first, 256).to_pylist()]
+        yield first, pa.array([np.array([*ids, end_id], model.kind).tobytes() for ids in model.encode(texts)], pa.large_binary())
+
+
 def _with_special(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Places of the runs that hold ``<|``."""
     if not len(starts):

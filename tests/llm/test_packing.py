@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from semblance.llm.packing import Bins, pack_documents, pack_group
+from semblance.llm.packing import Bins, is_wordwise, pack_documents, pack_group
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -77,3 +77,14 @@ def test_bins_take_the_first_that_fits():
         want = next(i for i, r in enumerate(room) if r >= n)
         room[want] -= n
         assert tree.place(n) == want
+
+
+def test_tokenizers_that_need_whole_texts_get_them(spark):
+    for name, wordwise in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        t = Tokenizer.from_file(public_tokenizers.path(name))
+        with open(public_tokenizers.path(name), encoding="utf-8") as file:
+            assert is_wordwise(t, file.read()) == wordwise
+    texts = [None, "", "Hello World  hello world\n", " x" * 3000, "The the THE", "Café  <|endoftext|> z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = pack_documents(df, public_tokenizers.path("byte_bpe_50k.json"), group_tokens=2000).collect()
+    check(pieces, [(i, t.encode(x or "", add_special_tokens=False).ids + [1]) for i, x in enumerate(texts)], 2048)
