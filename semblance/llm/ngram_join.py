@@ -3,17 +3,20 @@
 A document is the set of its distinct n-word shingles, as 64-bit hashes. Documents with equal sets form a class;
 everything after the scan works on classes, so copies cost nothing further.
 
-1. Scan: each task sends its shingles, packed, to hash ranges. A range counts for each shingle the classes that
-   hold it (its frequency) and returns to each class those that some other class holds too. Only these can be
-   shared, so they and the set's size are all that prefixes and exact verification need later.
+1. Texts are packed into groups of some megabytes. Groups ask hash ranges which of them owns a class, the first that
+   holds it, and then, for the shingles of the classes they own, by how many classes each is held (its frequency).
+   Shingles that one class holds alone cannot be shared, so the others and the set's size are all that prefixes and
+   exact verification need later. A shingle has one entry for each group, however many documents hold it.
 2. Prefixes: a class of n shingles, ordered by frequency and then hash, can link only if its first
    n - ceil(s n) + l shingles have at least l in common with the partner's, for whatever l up to ``longest``. Each
    class picks the l of least estimated cost: the postings to read plus the candidates that l matches leave.
    Two classes are candidates if they share min(l, l') shingles of their prefixes.
 3. Links: rounds of star candidates (one pivot for each posting list, at first the one with the fewest shingles
-   of its own) are verified first; lists then give only pairs of different components, and these, filtered by
+   of its own; lists that may hold more than ``list_most`` classes are dealt into parts, anew each round) are verified
+   first; lists then give only pairs of different components, and these, filtered by
    their number of matches, are verified in turn. A group of near-copies thus costs about its size, not its
-   square, and no link between components is missed. Pairs that cannot link are never made: a class has shingles
+   square, and no link between components is missed: of long lists that still hold several components each part meets
+   each other part in a task of its own. Pairs that cannot link are never made: a class has shingles
    alone that no partner has, and the parities of 256 hash buckets of the others (an odd sketch) differ in no more
    places than the sets do.
 
@@ -31,18 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import kept
+from ..session import discard, kept
 from .common import keyed_texts, mix, read_table, runs_of, shingles_of, words_of
 from .components import components
+from .exchange import GROUP, MESSAGE, TEXTS, Packer, answered, answers_to, by_group, distinct, messages, question, unpacked
 
-#: Bytes of text whose shingles a range holds, about; shingles that a task sorts at once.
-RANGE_BYTES, BLOCK_SHINGLES = 24 << 20, 1_500_000
-#: Bits of a shingle's hash that are kept beside its range.
-LOW = 40
-#: Turns a shingle's hash into the bit that it flips in its class's sketch.
-_PARITY = np.uint64(0xA0761D6478BD642F)
+#: Turns a shingle's hash into the bit that it flips in its class's sketch; deals the parts of long lists.
+_PARITY, _DEAL = np.uint64(0xA0761D6478BD642F), np.uint64(0x9E3779B97F4A7C15)
 #: Cost of verifying a candidate, in postings read.
 VERIFY_COST = 4
+#: Kinds of questions: who owns a class, and how many classes hold a shingle.
+OWNER, FREQUENCY = 1, 2
+_FIELDS = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("text", pa.large_string())]
 
 
 def set_table(column: pa.Array, n: int):
@@ -61,95 +64,52 @@ def set_table(column: pa.Array, n: int):
         yield first, rows, shingles, where, sizes, mix(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64))
 
 
-def document_classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text_hash, cls, n_shingles) for each row."""
+def packed_documents(docs: DataFrame, group_bytes: int) -> DataFrame:
+    """(g, blob): rows of doc_id, text_hash (xxhash64 of the text) and text, some megabytes together."""
 
     def run(batches):
+        packer = Packer(_FIELDS, group_bytes)
         for batch in batches:
-            ids, hashes = batch.column("doc_id"), batch.column("text_hash")
-            for first, rows, _, _, sizes, cls in set_table(batch.column("text"), n):
-                yield pa.RecordBatch.from_arrays([ids.slice(first, rows), hashes.slice(first, rows), pa.array(cls.view(np.int64)), pa.array(sizes.astype(np.int64))], ["doc_id", "text_hash", "cls", "n_shingles"])
-
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, cls long, n_shingles long")
-
-
-def _scatter(docs: DataFrame, n: int, ranges: int) -> DataFrame:
-    """(part, blob): a task's shingles of a range, by class."""
-
-    def packed(held):
-        shingles, doc = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        cls, sizes = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
-        part = ((shingles >> np.uint64(LOW)) * np.uint64(ranges)) >> np.uint64(64 - LOW)
-        order = np.argsort(part.astype(np.uint16 if ranges <= 65536 else np.uint32), kind="stable")
-        part, doc, low = part[order], doc[order], (shingles & np.uint64((1 << LOW) - 1))[order]
-        cut = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])]) if len(part) else np.zeros(0, int)
-        counts = np.diff(np.r_[cut, len(part)]).astype(np.uint32)
-        run_part, run_doc = part[cut], doc[cut]
-        names, blobs = [], []
-        for a, b in runs_of(run_part):
-            lo, hi = cut[a], cut[b] if b < len(cut) else len(part)
-            names.append(int(run_part[a]))
-            blobs.append(b"".join((np.uint32(b - a).tobytes(), cls[run_doc[a:b]].tobytes(), sizes[run_doc[a:b]].astype(np.uint32).tobytes(), counts[a:b].tobytes(), low[lo:hi].astype(np.uint32).tobytes(), (low[lo:hi] >> np.uint64(32)).astype(np.uint8).tobytes())))
-        for at in range(0, len(names), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 4096], pa.int64()), pa.array(blobs[at : at + 4096], pa.binary())], ["part", "blob"])
+            texts = batch.column("text")
+            for doc, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), texts.to_pylist(), strict=True):
+                yield from packer.add((doc, mark, text), len(text or ""))
+        yield from packer.flush()
 
-    def run(batches):
-        held, count, classes, seen = [], 0, 0, set()
-        for batch in batches:
-            for _, rows, shingles, where, sizes, cls in set_table(batch.column(0), n):
-                names = cls.tolist()
-                fresh = np.array([s > 0 and (c not in seen and not seen.add(c)) for c, s in zip(names, sizes.tolist(), strict=True)], bool)
-                use = fresh[where]
-                held.append((shingles[use], where[use] + classes, cls, sizes))
-                count += int(use.sum())
-                classes += rows
-                if count >= BLOCK_SHINGLES:
-                    yield from packed(held)
-                    held, count, classes = [], 0, 0
-        if count:
-            yield from packed(held)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "g long, blob binary")
 
-    return docs.select("text").mapInArrow(run, "part long, blob binary")
 
+class Group:
+    """A group's documents and their sets; classes are numbered as they first occur."""
 
-def _read_blob(blob) -> tuple[np.ndarray, ...]:
-    data = np.frombuffer(blob, np.uint8)
-    n = int(data[:4].view(np.uint32)[0])
-    cls, sizes, counts = data[4 : 4 + 8 * n].copy().view(np.uint64), data[4 + 8 * n : 4 + 12 * n].copy().view(np.uint32), data[4 + 12 * n : 4 + 16 * n].copy().view(np.uint32)
-    rest = data[4 + 16 * n :]
-    k = len(rest) // 5
-    low = rest[: 4 * k].copy().view(np.uint32).astype(np.uint64) | (rest[4 * k :].astype(np.uint64) << np.uint64(32))
-    return np.repeat(cls, counts), np.repeat(sizes, counts), low
+    def __init__(self, blob, n: int):
+        self.docs = unpacked(blob)
+        parts = list(set_table(self.docs.column("text").combine_chunks(), n))
+        join = lambda i, kind: np.concatenate([p[i] for p in parts]).astype(kind, copy=False) if parts else np.zeros(0, kind)
+        self.shingles, self.sizes, self.cls = join(2, np.uint64), join(4, np.int64), join(5, np.uint64)
+        self.row = np.concatenate([p[3] + p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+        self.first = np.zeros(len(self.cls), bool)  # rows that stand for their class here
+        _, at = np.unique(self.cls, return_index=True)
+        self.first[at] = True
+        self.first &= self.sizes > 0
 
+    def classes(self, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct classes, and the place among them of each row that stands for one."""
+        return distinct(self.cls[self.first], ranges)
 
-def _shared(parts: DataFrame, out_parts: int) -> DataFrame:
-    """(part, blob): by class range, the (class, size, shingle, frequency) of shingles that two classes or more hold."""
+    def owned(self, ranges: int, answers: np.ndarray) -> np.ndarray:
+        """Which rows stand for a class that this group owns."""
+        out = np.zeros(len(self.cls), bool)
+        out[self.first] = answers[self.classes(ranges)[1]] > 0
+        return out
 
-    def run(key, table):
-        found = [_read_blob(x.as_buffer()) for x in table.column("blob")]
-        cls, sizes, low = (np.concatenate([x[i] for x in found]) for i in range(3))
-        order = np.lexsort((cls, low))
-        cls, sizes, low = cls[order], sizes[order], low[order]
-        first = np.r_[True, (low[1:] != low[:-1]) | (cls[1:] != cls[:-1])]
-        cls, sizes, low = cls[first], sizes[first], low[first]
-        cut = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        freq = np.diff(np.r_[cut, len(low)])
-        freq = np.repeat(freq, freq)
-        keep = freq > 1
-        cls, sizes, low, freq = cls[keep], sizes[keep], low[keep], freq[keep]
-        token = np.uint64(key[0].as_py()) << np.uint64(LOW) | low
-        to = ((mix(cls) >> np.uint64(32)) * np.uint64(out_parts)) >> np.uint64(32)
-        order = np.argsort(to, kind="stable")
-        to, rows = to[order], np.zeros(len(to), _SHARED)
-        for name, x in zip(_SHARED.names, (cls, token, sizes, freq), strict=True):
-            rows[name] = x[order]
-        edges = runs_of(to)
-        return pa.table({"part": pa.array([int(to[a]) for a, _ in edges], pa.int64()), "blob": pa.array([rows[a:b].tobytes() for a, b in edges], pa.binary())})
-
-    return parts.repartition(out_parts, "part").groupBy("part").applyInArrow(run, "part long, blob binary")
-
-
-_SHARED = np.dtype([("cls", "<u8"), ("token", "<u8"), ("size", "<u4"), ("freq", "<u4")])
+
+def _put_together(kind, which, n, values, groups):
+    """Of a class 1 for the first group that holds it; of a shingle the sum of its counts."""
+    if kind == OWNER:
+        first = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(first, which, groups)
+        return (groups == first[which]).astype(np.int64)
+    return np.bincount(which, values[0], minlength=n).astype(np.int64)[which]
 
 
 def choose_prefix(size: int, freq: np.ndarray, least: int, longest: int) -> tuple[int, int]:
@@ -169,38 +129,78 @@ def choose_prefix(size: int, freq: np.ndarray, least: int, longest: int) -> tupl
     return best[1], best[2]
 
 
-def _profiles(shared: DataFrame, ranges: int, percent: int, longest: int) -> DataFrame:
-    """(cls, size, shared, match, sketch, tokens, prefix) of the classes that can link at all."""
+_PROFILE = [("kind", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("cls", pa.int64()), ("size", pa.int64()), ("shared", pa.int64()), ("match", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.binary()), ("parts", pa.binary())]
+_PROFILE_DDL = "kind int, doc_id long, text_hash long, cls long, size long, shared long, match long, sketch binary, tokens binary, prefix binary, parts binary"
+DOCUMENT, CLASS = 0, 1
 
-    def run(key, table):
-        rows = np.concatenate([np.frombuffer(x.as_buffer(), _SHARED) for x in table.column("blob")])
-        rows = rows[np.lexsort((rows["token"], rows["freq"], rows["cls"]))]
-        cuts = runs_of(rows["cls"])
-        cut = np.array([a for a, _ in cuts])
-        owner = np.repeat(np.arange(len(cuts)), [b - a for a, b in cuts])
-        bit = (mix(rows["token"] ^ _PARITY) & np.uint64(255)).astype(np.int64)
-        odd = np.bincount(owner * 256 + bit, minlength=256 * len(cuts)).reshape(len(cuts), 256) & 1
-        sketches = [x.tobytes() for x in np.packbits(odd.astype(bool), axis=1)]
-        out: dict[str, list] = {"cls": [], "size": [], "shared": [], "match": [], "sketch": [], "tokens": [], "prefix": []}
-        token = np.ascontiguousarray(rows["token"])
-        sizes, freq, names = rows["size"][cut].tolist(), rows["freq"].astype(np.int64), rows["cls"][cut].view(np.int64).tolist()
-        for a, b, size, name, sketch in zip(*zip(*cuts, strict=True), sizes, names, sketches, strict=True):
+
+def _profiled(group: Group, ranges: int, owned: np.ndarray, answers: np.ndarray, percent: int, longest: int, list_most: int) -> pa.Table:
+    """Rows of two kinds: documents with class and size of their set, and the classes owned that can link at all.
+
+    tokens: the shared shingles, sorted; prefix: those of the prefix, and in how many parts the lists of these may come.
+    """
+    docs = pa.table([pa.array(np.full(len(group.cls), DOCUMENT, np.int32)), group.docs.column("doc_id"), group.docs.column("text_hash"), pa.array(group.cls.view(np.int64)), pa.array(group.sizes)], ["kind", "doc_id", "text_hash", "cls", "size"])
+    use = owned[group.row]
+    row, token = group.row[use], group.shingles[use]
+    freq = answers[distinct(token, ranges)[1]] if len(token) else np.zeros(0, np.int64)
+    more = freq > 1
+    row, token, freq = row[more], token[more], freq[more]
+    order = np.lexsort((token, freq, row))
+    row, token, freq = row[order], token[order], freq[order]
+    cuts = runs_of(row)
+    owner = np.repeat(np.arange(len(cuts)), [b - a for a, b in cuts])
+    out: dict[str, list] = {name: [] for name, _ in _PROFILE}
+    bit = (mix(token ^ _PARITY) & np.uint64(255)).astype(np.int64)
+    for at in range(0, len(cuts), 4096):  # so many sketches at once
+        some = cuts[at : at + 4096]
+        inside = slice(some[0][0], some[-1][1])
+        odd = np.bincount((owner[inside] - at) * 256 + bit[inside], minlength=256 * len(some)).reshape(len(some), 256) & 1
+        for (a, b), sketch in zip(some, np.packbits(odd.astype(bool), axis=1), strict=True):
+            size = int(group.sizes[row[a]])
             match, length = choose_prefix(size, freq[a:b], -(-percent * size // 100), longest)
             if match:
-                for k, v in zip(out, (name, size, b - a, match, sketch, np.sort(token[a:b]).tobytes(), token[a : a + length].tobytes()), strict=True):
+                parts = np.minimum(-(-freq[a : a + length] // list_most), 65535).astype("<u2")
+                cls = int(group.cls[row[a]].view(np.int64))
+                for k, v in zip(out, (CLASS, None, None, cls, size, b - a, match, sketch.tobytes(), np.sort(token[a:b]).tobytes(), token[a : a + length].tobytes(), parts.tobytes()), strict=True):
                     out[k].append(v)
-        return pa.table(out, schema=pa.schema([("cls", pa.int64()), ("size", pa.int64()), ("shared", pa.int64()), ("match", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.binary())]))
+    classes = pa.table(out, schema=pa.schema(_PROFILE))
+    return pa.concat_tables([classes, docs], promote_options="default").select([name for name, _ in _PROFILE])
+
+
+#: cell: the part of a long list, or the two parts that meet; own: the part that the class is in.
+_POSTING = np.dtype([("token", "<u8"), ("cell", "<u8"), ("cls", "<i8"), ("root", "<i8"), ("size", "<u4"), ("shared", "<u4"), ("match", "<u4"), ("own", "<u2"), ("sketch", "<u8", (4,))])
+
 
-    return shared.repartition(ranges, "part").groupBy("part").applyInArrow(run, "cls long, size long, shared long, match long, sketch binary, tokens binary, prefix binary")
+def _rooted(profiles: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Classes with root: a class that has none yet is its own."""
+    rows = profiles.select("cls", "size", "shared", "match", "sketch", "prefix", "parts")
+    if roots is None:
+        return rows.withColumn("root", F.col("cls"))
+    return rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
 
-_POSTING = np.dtype([("token", "<u8"), ("cls", "<i8"), ("root", "<i8"), ("size", "<u4"), ("shared", "<u4"), ("match", "<u4"), ("sketch", "<u8", (4,))])
+def _part_of(cls: np.ndarray, parts: np.ndarray, deal: int) -> np.ndarray:
+    return mix(cls.view(np.uint64) + np.uint64(deal) * _DEAL) % parts.astype(np.uint64)
 
 
-def _postings(profiles: DataFrame, roots: DataFrame | None, ranges: int) -> DataFrame:
-    """(part, blob): prefix postings by hash range; a class that has no root yet is its own."""
-    rows = profiles.select("cls", "size", "shared", "match", "sketch", "prefix")
-    rows = rows.withColumn("root", F.col("cls")) if roots is None else rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+def _long_lists(rooted: DataFrame) -> np.ndarray:
+    """Tokens whose lists come in parts and hold several components. Their number is that of all postings over list_most at most."""
+
+    def run(batches):
+        for batch in batches:
+            for root, prefix, parts in zip(batch.column("root").to_pylist(), batch.column("prefix"), batch.column("parts"), strict=True):
+                token = np.frombuffer(prefix.as_buffer(), np.int64)[np.frombuffer(parts.as_buffer(), "<u2") > 1]
+                if len(token):
+                    yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), root))], ["token", "root"])
+
+    long = rooted.where(F.col("parts") != F.unhex(F.repeat(F.lit("0100"), (F.octet_length("parts") / 2).cast("int"))))
+    ends = long.select("root", "prefix", "parts").mapInArrow(run, "token long, root long").groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return np.sort(ends.where("low < high").select("token").toArrow().column("token").to_numpy().view(np.uint64))
+
+
+def _postings(rooted: DataFrame, ranges: int, star: int | None) -> DataFrame:
+    """(part, blob): prefix postings by hash range. Parts of long lists are dealt by the round, or each meets each."""
+    shipped = rooted.sparkSession.sparkContext.broadcast(_long_lists(rooted) if star is None else np.zeros(0, np.uint64))
 
     def run(batches):
         for batch in batches:
@@ -208,26 +208,41 @@ def _postings(profiles: DataFrame, roots: DataFrame | None, ranges: int) -> Data
             if not prefix:
                 continue
             counts = np.array([len(x) for x in prefix])
+            parts = np.concatenate([np.frombuffer(x.as_buffer(), "<u2") for x in batch.column("parts")])
             got = np.zeros(int(counts.sum()), _POSTING)
             got["token"] = np.concatenate(prefix)
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, 4)
             got["sketch"] = np.repeat(sketch, counts, axis=0)
             for name in ("cls", "root", "size", "shared", "match"):
                 got[name] = np.repeat(batch.column(name).to_numpy(zero_copy_only=False), counts)
-            to = ((mix(got["token"]) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            got["own"] = _part_of(got["cls"], parts, star or 0)
+            if star is None:
+                long = parts > 1
+                at = np.searchsorted(shipped.value, got["token"][long])
+                at[at == len(shipped.value)] = 0
+                open_ = shipped.value[at] == got["token"][long] if len(shipped.value) else np.zeros(int(long.sum()), bool)
+                several, each = got[long][open_], parts[long][open_].astype(np.int64)
+                other = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+                several = np.repeat(several, each)
+                several["cell"] = (np.minimum(several["own"], other).astype(np.uint64) << np.uint64(16)) | np.maximum(several["own"], other).astype(np.uint64)
+                got = np.concatenate([got[~long], several])
+            else:
+                got["cell"] = got["own"]
+            key = mix(got["token"] ^ mix(got["cell"]))
+            to = ((key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             order = np.argsort(to, kind="stable")
             to, got = to[order], got[order]
             edges = runs_of(to)
             yield pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a, _ in edges], pa.int64()), pa.array([got[a:b].tobytes() for a, b in edges], pa.binary())], ["part", "blob"])
 
-    return rows.select("cls", "size", "shared", "match", "sketch", "prefix", "root").mapInArrow(run, "part long, blob binary")
+    return rooted.mapInArrow(run, "part long, blob binary")
 
 
 def _lists(table: pa.Table):
-    """The posting lists of a range, each sorted by component and class."""
+    """The posting lists of a range, or their parts, each sorted by component and class."""
     rows = np.concatenate([np.frombuffer(x.as_buffer(), _POSTING) for x in table.column("blob")])
-    rows = rows[np.lexsort((rows["cls"], rows["root"], rows["token"]))]
-    for a, b in runs_of(rows["token"]):
+    rows = rows[np.lexsort((rows["cls"], rows["root"], rows["cell"], rows["token"]))]
+    for a, b in runs_of(rows["token"], rows["cell"]):
         if rows["root"][a] != rows["root"][b - 1]:
             yield rows[a:b]
 
@@ -274,10 +289,11 @@ def _candidates(postings: DataFrame, percent: int, star: int | None) -> DataFram
                 found.append(_pair_rows(np.repeat(rows[pivot : pivot + 1], len(other)), other, percent))
                 held += len(found[-1][0])
             else:
+                crossing = rows["cell"][0] >> np.uint64(16) != rows["cell"][0] & np.uint64(65535)  # two parts meet
                 for i in range(len(rows) - 1):  # sorted by component: those after its end are of others
                     after = int(np.searchsorted(rows["root"], rows["root"][i], "right"))
                     if after < len(rows):
-                        other = rows[after:]
+                        other = rows[after:][rows["own"][after:] != rows["own"][i]] if crossing else rows[after:]
                         found.append(_pair_rows(np.repeat(rows[i : i + 1], len(other)), other, percent))
                         held += len(found[-1][0])
                         if held > 2_000_000:
@@ -315,30 +331,63 @@ def _verified(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long, shared long")
 
 
-def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, longest: int = 6, star_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text), cls (class id), n_shingles, root (component), component_id for each row."""
+def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, longest: int = 6, star_rounds: int = 3, group_bytes: int = 6 << 20, range_bytes: int = 16 << 20, list_most: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text), cls (class id), n_shingles, root (component), component_id for each row.
+
+    group_bytes, range_bytes: of text that a task works on at once, and whose shingles a range holds, about. list_most:
+    classes of a posting list that a task gets, about.
+    """
     if not 0 < percent <= 100:
         raise ValueError("percent is over 0 and at most 100")
     spark, texts = docs.sparkSession, keyed_texts(docs, id_col, text_col)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(partitions, math.ceil(size / RANGE_BYTES))
-    profiles = kept(_profiles(_shared(_scatter(texts, n, ranges), ranges), ranges, percent, longest))
+    ranges, groups = (max(2, partitions, math.ceil(size / x)) for x in (range_bytes, group_bytes))
+    packed = kept(packed_documents(texts, group_bytes), **{"parquet.block.size": 4 * group_bytes})
+
+    def owners(batches):
+        for batch in batches:
+            for g, blob in zip(batch.column("g").to_pylist(), batch.column("blob"), strict=True):
+                names, _ = Group(blob.as_buffer(), n).classes(ranges)
+                yield from messages(question(g, OWNER, ranges, names, np.ones(len(names), np.int64))).to_batches()
+
+    parts = [packed.select("g", F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("part"), "blob")]
+    done = [packed, kept(answers_to(packed.mapInArrow(owners, MESSAGE), ranges, _put_together).select(*GROUP))]
+    parts.append(done[1])
+
+    def frequencies(table):
+        g, blob, found = answered(table)
+        group = Group(blob, n)
+        token = group.shingles[group.owned(ranges, found.get(OWNER, np.zeros(0, np.int64)))[group.row]]
+        names, which = distinct(token, ranges)
+        return messages(question(g, FREQUENCY, ranges, names, np.bincount(which, minlength=len(names))))
+
+    done.append(kept(answers_to(by_group(parts, groups).applyInArrow(frequencies, MESSAGE), ranges, _put_together).select(*GROUP)))
+    parts.append(done[2])
+
+    def profiled(table):
+        _, blob, found = answered(table)
+        group, none = Group(blob, n), np.zeros(0, np.int64)
+        return _profiled(group, ranges, group.owned(ranges, found.get(OWNER, none)), found.get(FREQUENCY, none), percent, longest, list_most)
+
+    rows = kept(by_group(parts, groups).applyInArrow(profiled, _PROFILE_DDL))
+    for x in done:
+        discard(x)
+    profiles = rows.where(F.col("kind") == CLASS)
     roots = None
     for star in [*range(star_rounds), None]:
-        pairs = _candidates(_postings(profiles, roots, ranges), percent, star)
+        pairs = _candidates(_postings(_rooted(profiles, roots), ranges, star), percent, star)
         new = kept(_verified(pairs, profiles, percent).select("u", "v"))
         count = new.count()
         if count:
             edges = new if roots is None else new.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
             roots = kept(components(edges))
-    classes = document_classes(texts, n)
+    classes = rows.where(F.col("kind") == DOCUMENT).select("doc_id", "text_hash", "cls", F.col("size").alias("n_shingles"))
     return components_of_rows(classes, roots)
 
 
-def components_of_rows(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
+def components_of_rows(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Rows with the root class of their component and its least doc_id."""
-    rows = kept(classes)
     own = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     if roots is not None:
         member = own.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

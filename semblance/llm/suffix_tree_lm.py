@@ -36,23 +36,21 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import kept
-from .common import _SPACE, crc_fold, keyed_texts, mix, read_table, runs_of, words_of
+from .common import _SPACE, crc_fold, keyed_texts, mix, read_table, words_of
+from .exchange import GROUP, MESSAGE, TEXTS, Packer, answered, answers_to, by_group, distinct, messages, question, unpacked
 
 #: Hashes of the end and the beginning of a text; what tells runs of words apart from words.
 END, BEGIN, _STEP = np.uint64(1), np.uint64(2), np.uint64(0x9E3779B97F4A7C15)
-#: Kinds of questions: 1, 2, … ask the counts of runs of so many words, SUMS + j of contexts of j words; and of the texts.
-SUMS, TEXTS = 100, 0
+#: Kinds of questions: 1, 2, … ask the counts of runs of so many words, SUMS + j of contexts of j words.
+SUMS = 100
 FIRST, AGAIN = 2, 1
-ROWS_OF_GROUP = 200_000
-_MESSAGE = "part long, g long, kind int, blob binary"
-_ANSWER = "g long, kind int, part long, blob binary, symbols long, total long"
+_FIELDS = [("row", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("skip", pa.int64()), ("opens", pa.int64()), ("last", pa.bool_()), ("text", pa.large_binary())]
 _SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
@@ -86,35 +84,16 @@ def pieces_of(data: bytes, size: int, depth: int):
 
 def packed_texts(texts: DataFrame, group_bytes: int, depth: int) -> DataFrame:
     """(g, blob): texts of about group_bytes together, compressed, from rows with doc_id, text, held_out."""
-    names = ["row", "doc_id", "held", "skip", "opens", "last", "text"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.large_binary()]
 
     def run(batches):
-        held: list[list] = [[] for _ in names]
-        group, size, row = TaskContext.get().partitionId() << 32, 0, TaskContext.get().partitionId() << 40
-
-        def flush():
-            sink = pa.BufferOutputStream()
-            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(held, kinds, strict=True)], names)
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(batch)
-            for x in held:
-                x.clear()
-            return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["g", "blob"])
-
+        packer, row = Packer(_FIELDS, group_bytes), TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string()).cast(pa.large_binary())
             for doc, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts, strict=True):
                 for piece, skip, opens, last in pieces_of(text.as_py() or b"", group_bytes, depth):
-                    for x, value in zip(held, (row, doc, out, skip, opens, last, piece), strict=True):
-                        x.append(value)
-                    size += len(piece)
-                    if size >= group_bytes or len(held[0]) >= ROWS_OF_GROUP:
-                        yield flush()
-                        group, size = group + 1, 0
+                    yield from packer.add((row, doc, out, skip, opens, last, piece), len(piece))
                 row += 1
-        if held[0]:
-            yield flush()
+        yield from packer.flush()
 
     return texts.select("doc_id", "text", "held_out").mapInArrow(run, "g long, blob binary")
 
@@ -123,7 +102,7 @@ class Group:
     """The symbols of a group's texts, the runs of words that end at each, and what is known of them."""
 
     def __init__(self, blob: bytes, ranges: int, depth: int, least: int, divergence: float):
-        self.texts = pa.ipc.open_stream(blob).read_all().combine_chunks()
+        self.texts = unpacked(blob)
         column = lambda c: self.texts.column(c).to_numpy()
         opens, last, skip, self.held = column("opens"), column("last"), column("skip"), column("held")
         text = self.texts.column("text").combine_chunks().cast(pa.large_string())
@@ -156,14 +135,6 @@ class Group:
             keys = longer
         self.counts: list = [None]
 
-    def distinct(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct keys, range by range as they occur, and the place of each key among them."""
-        which, found = pd.factorize(keys)
-        order = np.argsort(_range_of(found, self.ranges), kind="stable")
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order))
-        return found[order], place[which]
-
     def before(self, x: np.ndarray, k: int) -> np.ndarray:
         """x at the place before each, where k symbols of the text stand before it, and 0 elsewhere."""
         out = np.zeros_like(x)
@@ -188,19 +159,19 @@ class Group:
 
     def own_counts(self, k: int, tokens: int) -> tuple[np.ndarray, np.ndarray]:
         use = self.open_runs(k, tokens)
-        keys, which = self.distinct(self.keys[k][use])
+        keys, which = distinct(self.keys[k][use], self.ranges)
         return keys, np.bincount(which, (self.train & self.own)[use], minlength=len(keys)).astype(np.int64)
 
     def learn_counts(self, k: int, tokens: int, totals: np.ndarray) -> None:
         use = self.open_runs(k, tokens)
         out = np.zeros(len(self.seq), np.int64)
-        out[use] = totals[self.distinct(self.keys[k][use])[1]]
+        out[use] = totals[distinct(self.keys[k][use], self.ranges)[1]]
         self.counts.append(out)
 
     def contexts(self, j: int, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places with a context of j words that may be retained, its distinct hashes, and which of them each has."""
         use = np.flatnonzero(self.may_be_retained(j, tokens) & self.scored)
-        return use, *self.distinct(self.keys[j][use - 1])
+        return use, *distinct(self.keys[j][use - 1], self.ranges)
 
     def own_gain(self, j: int, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Contexts of j words, and this group's shares of their gain and of their number of next symbols."""
@@ -210,7 +181,7 @@ class Group:
         n, shorter = self.counts[j + 1][at], self.counts[j][at]
         longer = tokens if j == 1 else self.counts[j - 1][at - 1]
         gain = np.log(n / self.counts[j][at - 1] * (longer / shorter))
-        return keys, np.bincount(which, gain, minlength=len(keys)), np.bincount(which, 1 / n, minlength=len(keys))
+        return keys, *(np.bincount(which, x, minlength=len(keys)).astype(float) for x in (gain, 1 / n))
 
     def scores(self, tokens: int, symbols: int, smoothing: float, followers: list[np.ndarray]) -> pa.Table:
         """followers: for each length of contexts how many symbols follow each of contexts(), 0 of those not retained."""
@@ -228,96 +199,17 @@ class Group:
         return pa.table([self.texts.column("row"), self.texts.column("doc_id"), self.texts.column("held"), *map(pa.array, numbers)], [c.split()[0] for c in _SCORES.split(", ")])
 
 
-# ---- questions and answers
-
-
-def _numbers(x: np.ndarray) -> bytes:
-    """Counts, most of which are small, a byte each."""
-    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype(np.int64).tobytes()
-
-
-def _read_numbers(data: np.ndarray, n: int) -> np.ndarray:
-    out = data[:n].astype(np.int64)
-    out[out == 255] = np.frombuffer(data[n:].tobytes(), np.int64)
-    return out
-
-
-def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    return part.astype(np.uint16 if ranges <= 65536 else np.uint32)
-
+def _put_together(divergence: float):
+    """Sums of counts; of contexts the number of next symbols, or 0 if they are not retained."""
 
-def _question(g: int, kind: int, ranges: int, keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
-    """Messages of distinct keys with their counts, or sums, to the ranges of the keys. Bytes stand by place, which compresses."""
-    part = _range_of(keys, ranges)
-    out = []
-    for a, b in runs_of(part):
-        planes = keys[a:b].view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
-        rest = _numbers(values[0][a:b]) if len(values) == 1 else b"".join(x[a:b].astype("<f4").tobytes() for x in values)
-        out.append((int(part[a]), g, kind, np.uint32(b - a).tobytes() + planes + rest))
-    return out
+    def answers(kind, which, n, values, groups):
+        sums = [np.bincount(which, x, minlength=n) for x in values]
+        if kind < SUMS:
+            return sums[0].astype(np.int64)[which]  # whole numbers, exact below 2 ** 53
+        follow = np.rint(sums[1]).astype(np.int64)
+        return np.where(sums[0] > divergence * follow, follow, 0)[which]
 
-
-def _messages(rows: list[tuple]) -> pa.Table:
-    columns = zip(*rows, strict=True) if rows else [[]] * 4
-    return pa.table([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["part", "g", "kind", "blob"])
-
-
-def answers_to(messages: DataFrame, ranges: int, divergence: float) -> DataFrame:
-    """(g, kind, part, blob, symbols, total): sums of the keys that each message asks for, in its order.
-
-    Of contexts the number of next symbols, or 0 if they are not retained. With g null: the number of words that
-    training holds, and of their places.
-    """
-
-    def run(key, table):
-        rows = []
-        groups, kinds = table.column("g").to_numpy(), table.column("kind").to_numpy()
-        blobs = table.column("blob")
-        for kind in np.unique(kinds).tolist():
-            mine = np.flatnonzero(kinds == kind)
-            mine = mine[np.argsort(groups[mine], kind="stable")]  # so that sums do not depend on who was first
-            keys, values = [], []
-            for i in mine.tolist():
-                data = np.frombuffer(blobs[i].as_buffer(), np.uint8)
-                n = int(data[:4].view(np.uint32)[0])
-                wide = np.zeros((n, 8), np.uint8)
-                wide[:, :6] = data[4 : 4 + 6 * n].reshape(6, n).T
-                keys.append(wide.view(np.uint64).ravel())
-                rest = data[4 + 6 * n :]
-                values.append(np.frombuffer(rest.tobytes(), "<f4").reshape(2, n).astype(float) if kind >= SUMS else _read_numbers(rest, n)[None])
-            size = np.array([len(k) for k in keys])
-            which, distinct = pd.factorize(np.concatenate(keys))
-            sums = [np.bincount(which, x, minlength=len(distinct)) for x in np.concatenate(values, 1)]
-            if kind >= SUMS:
-                gain, follow = sums[0], np.rint(sums[1]).astype(np.int64)
-                sums = np.where(gain > divergence * follow, follow, 0)
-            else:
-                sums = sums[0].astype(np.int64)  # whole numbers, exact below 2 ** 53
-            if kind == 1:
-                rows.append((None, 0, int(key[0].as_py()), None, int((sums > 0).sum()), int(sums.sum())))
-            answer = sums[which]
-            for i, a, b in zip(mine.tolist(), np.cumsum(size) - size, np.cumsum(size), strict=True):
-                rows.append((int(groups[i]), kind, int(key[0].as_py()), np.uint32(b - a).tobytes() + _numbers(answer[a:b]), 0, 0))
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], [c.split()[0] for c in _ANSWER.split(", ")])
-
-    return messages.repartition(ranges, "part").groupBy("part").applyInArrow(run, _ANSWER)
-
-
-def _restored(table: pa.Table, rounds: int, ranges: int, depth: int, least: int, divergence: float, tokens: int) -> tuple[int, Group, list[np.ndarray]]:
-    """(g, the group with the counts of so many rounds after the first, answers on contexts) from its texts and answers."""
-    found: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for i, (kind, part) in enumerate(zip(table.column("kind").to_pylist(), table.column("part").to_pylist(), strict=True)):
-        if kind == TEXTS:
-            group = Group(table.column("blob")[i].as_buffer(), ranges, depth, least, divergence)
-        else:
-            data = np.frombuffer(table.column("blob")[i].as_buffer(), np.uint8)
-            found.setdefault(kind, []).append((part, _read_numbers(data[4:], int(data[:4].view(np.uint32)[0]))))
-    answers = {kind: np.concatenate([x for _, x in sorted(parts, key=lambda p: p[0])]) for kind, parts in found.items()}
-    none = np.zeros(0, np.int64)
-    for k in range(1, rounds + 2):
-        group.learn_counts(k, tokens, answers.get(k, none))
-    return table.column("g")[0].as_py(), group, [answers.get(SUMS + j, none) for j in range(1, depth + 1)]
+    return answers
 
 
 def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = 2, least: int = 2, divergence: float = 2.0, smoothing: float = 2.0, group_bytes: int = 6 << 20, range_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,44 +228,47 @@ def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = 2, least: int
     groups = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size["all"] / group_bytes))
     packed = kept(packed_texts(texts, group_bytes, depth), **{"parquet.block.size": 4 * group_bytes})
 
+    model = (ranges, depth, least, divergence)
+    asked = lambda messages: kept(answers_to(messages, ranges, _put_together(divergence), SUMS, 1))
+
     def first(batches):
         for batch in batches:
             for g, blob in zip(batch.column("g").to_pylist(), batch.column("blob"), strict=True):
-                group = Group(blob.as_buffer(), ranges, depth, least, divergence)
-                rows = [m for k in (1, 2) for m in _question(g, k, ranges, *group.own_counts(k, 0))]
-                yield from _messages(rows).to_batches()
+                group = Group(blob.as_buffer(), *model)
+                yield from messages([m for k in (1, 2) for m in question(g, k, ranges, *group.own_counts(k, 0))]).to_batches()
 
-    known = kept(answers_to(packed.mapInArrow(first, _MESSAGE), ranges, divergence))
+    known = asked(packed.mapInArrow(first, MESSAGE))
     row = known.where("g is null").agg(F.sum("symbols").alias("symbols"), F.sum("total").alias("total")).first()
     # the beginning of each training text is counted as a word
     tokens, symbols = (row.total or 0) - size.taught, (row.symbols or 0) - (size.taught > 0)
-    parts = [packed.select("g", F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("part"), "blob"), known.where("g is not null").select("g", "kind", "part", "blob")]
+    parts = [packed.select("g", F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("part"), "blob"), known.where("g is not null").select(*GROUP)]
 
-    def by_group():
-        rows = parts[0]
-        for x in parts[1:]:
-            rows = rows.unionByName(x)
-        return rows.repartition(groups, "g").groupBy("g")
+    def restored(table: pa.Table, rounds: int):
+        """(g, the group with the counts of so many rounds after the first, answers on contexts)."""
+        g, blob, found = answered(table)
+        group, none = Group(blob, *model), np.zeros(0, np.int64)
+        for k in range(1, rounds + 2):
+            group.learn_counts(k, tokens, found.get(k, none))
+        return g, group, [found.get(SUMS + j, none) for j in range(1, depth + 1)]
 
     def asks(j: int):
         def run(table):
-            g, group, _ = _restored(table, j, ranges, depth, least, divergence, tokens)
-            rows = _question(g, SUMS + j, ranges, *group.own_gain(j, tokens))
+            g, group, _ = restored(table, j)
+            rows = question(g, SUMS + j, ranges, *group.own_gain(j, tokens))
             if j < depth:
-                rows += _question(g, j + 2, ranges, *group.own_counts(j + 2, tokens))
-            return _messages(rows)
+                rows += question(g, j + 2, ranges, *group.own_counts(j + 2, tokens))
+            return messages(rows)
 
         return run
 
     for j in range(1, depth + 1):
-        found = kept(answers_to(by_group().applyInArrow(asks(j), _MESSAGE), ranges, divergence))
-        parts.append(found.select("g", "kind", "part", "blob"))
-    
+        parts.append(asked(by_group(parts, groups).applyInArrow(asks(j), MESSAGE)).select(*GROUP))
+
     def last(table):
-        _, group, followers = _restored(table, depth, ranges, depth, least, divergence, tokens)
+        _, group, followers = restored(table, depth)
         return group.scores(tokens, symbols, smoothing, followers)
 
-    rows = by_group().applyInArrow(last, _SCORES)
+    rows = by_group(parts, groups).applyInArrow(last, _SCORES)
     sums = {"n_tokens": "n_tokens", "n_known": "n_known", "base": "base_score", "score": "score"}
     whole = rows.groupBy("row").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("held_out").alias("held_out"), *[F.sum(a).alias(b) for a, b in sums.items()])
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

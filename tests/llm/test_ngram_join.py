@@ -50,11 +50,11 @@ def corpus(seed, n):
 ODD = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "One two"), (5, "one two"), (5, "one  two three"), (None, "one two"), (None, "lone text without an id here at all"), (6, "a " * 500), (7, "A a a a a"), (8, None)]
 
 
-@pytest.mark.parametrize("n,percent,rounds", [(4, 85, 3), (5, 80, 1), (3, 60, 0)])
-def test_components_equal_those_of_all_pairs(spark, n, percent, rounds):
+@pytest.mark.parametrize("n,percent,rounds,group_bytes,list_most", [(4, 85, 3, 6 << 20, 200_000), (5, 80, 1, 3000, 7), (3, 60, 0, 800, 5), (3, 60, 2, 800, 4)])
+def test_components_equal_those_of_all_pairs(spark, n, percent, rounds, group_bytes, list_most):
     rows = corpus(n, 150) + ODD
     df = spark.createDataFrame([(a, b, 1, "x") for a, b in rows], "doc_id long, text string, cls int, root string")
-    got = near_duplicates(df, n=n, percent=percent, star_rounds=rounds).collect()
+    got = near_duplicates(df.repartition(3), n=n, percent=percent, star_rounds=rounds, group_bytes=group_bytes, list_most=list_most).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, n, percent)
 
 
