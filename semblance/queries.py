@@ -452,3 +452,106 @@ def format_time_delta(spark, sf_dir):
 def comparison_columns(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").cast("long").alias("size"), F.char_length("url").alias("w"), F.lit(100).alias("h"), F.char_length("html").alias("n"))
     return pages.select("page_id", *[c.alias(k) for k, c in formatting.comparison_columns(F.col("size"), F.col("w"), F.col("h")).items()], formatting.better_of(F.col("n"), F.col("w") * 100).alias("better"))
+
+
+# ---- lines, stored texts and single rows
+
+
+@query(f"""WITH f AS (
+  SELECT doc_id * 2 AS file_id, '/' || source || '/' || lang AS dir, doc_id::VARCHAR AS name, text FROM documents
+  UNION ALL SELECT doc_id * 2 + 1, '/' || source || '/' || lang, doc_id || '.part', substr(text, 1, length(text) // 2) FROM documents
+), h AS (SELECT dir || '/' || name AS path, text, octet_length(encode(text)) AS size, {FIRST_KIB} AS k FROM f WHERE octet_length(encode(text)) >= 1024)
+SELECT l.size || ';' || l.path || ';' || s.size || ';' || s.path AS line FROM h l JOIN h s ON l.k = s.k AND l.size > s.size AND starts_with(l.text, s.text)""")
+def truncated_pairs_csv(spark, sf_dir):
+    return render.truncated_csv(truncated_pairs(spark, sf_dir))
+
+
+@query(f"""{HAMMING_SCORES}, {PATHS} SELECT printf('%.6f', 1 - distance / 64.0::DOUBLE) || ';' || a.path || ';' || b.path AS line
+FROM top JOIN close ON close.id = top.id AND distance <= 6 JOIN paths a ON a.contentid = top.id JOIN paths b ON b.contentid = other""")
+def similar_pairs_csv(spark, sf_dir):
+    return render.similar_csv(similar_pairs_paths(spark, sf_dir))
+
+
+@query(f"""{HAMMING_SCORES}, {PATHS}, o AS (SELECT top.id, any_value(score) AS score, any_value(a.path) AS center, string_agg('{{"similarity":' || (1 - distance / 64.0::DOUBLE)::VARCHAR || ',"paths":["' || b.path || '"]}}', ',' ORDER BY other) AS others
+FROM top JOIN close ON close.id = top.id AND distance <= 6 JOIN paths a ON a.contentid = top.id JOIN paths b ON b.contentid = other GROUP BY 1)
+SELECT '{{"score":' || score || ',"center":{{"paths":["' || center || '"]}},"others":[' || others || ']}}' AS item FROM o""")
+def similar_buckets_json(spark, sf_dir):
+    found = similarity.compare(_signed(spark, sf_dir), "hamming", formatting.max_distance(0.8, 3), similarity.HAMMING_FACTORS)
+    return render.similar_bucket_json(similarity.with_paths(found, _paths(spark, sf_dir), 64.0, 0.9, all_paths=True))
+
+
+@query(f"""{HAMMING_SCORES.replace("AS counts FROM counts", "AS marks FROM counts")}, listed AS (SELECT top.id, string_agg(other || ':' || distance, ' ' ORDER BY other) AS pairs FROM top JOIN close ON close.id = top.id AND distance <= 12 GROUP BY 1),
+grid AS (SELECT top.id, d, n FROM top CROSS JOIN range(16) r(d) LEFT JOIN counts ON counts.id = top.id AND counts.distance = d),
+shown AS (SELECT id, string_agg(coalesce(n::VARCHAR, ''), ',' ORDER BY d) AS row FROM grid GROUP BY 1)
+SELECT top.id, top.id || ': ' || score || ' ' || total || '=' || row || ' ' || pairs AS line FROM top JOIN listed USING (id) JOIN shown USING (id)""")
+def hamming_kernel_lines(spark, sf_dir):
+    found = similarity.compare(_signed(spark, sf_dir), "hamming", formatting.max_distance(0.8, 3), similarity.HAMMING_FACTORS)
+    return render.kernel_lines(found, 16)
+
+
+@query("""WITH d AS (SELECT doc_id, substr(sha1(text), 1, 16) AS digits FROM documents WHERE text IS NOT NULL), n AS (SELECT *, ('0x' || digits)::UBIGINT::HUGEINT AS u FROM d)
+SELECT doc_id, (CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END)::BIGINT AS number, digits FROM n""")
+def hex_numbers(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", hashing.hex_to_long(F.substring(F.sha1(F.col("text").cast("binary")), 1, 16)).alias("number"))
+    return rows.withColumn("digits", hashing.long_to_hex(F.col("number")))
+
+
+TONES = "tones AS (SELECT vec_id, list_transform(range(64), lambda i: (floor(abs(embedding[i % len(embedding) + 1]::DOUBLE) * 4000))::BIGINT % 256) AS v FROM embeddings)"
+
+
+def _sql_hash(bits: str, tones: str = "tones") -> str:
+    """The hex digits of 64 bits of 8 x 8 tones."""
+    return f"""b AS (SELECT vec_id, {bits} AS b FROM {tones})
+SELECT vec_id, array_to_string(list_transform(range(16), lambda i: substr('0123456789abcdef', (('0b' || substr(b, i * 4 + 1, 4))::INT + 1)::INT, 1)), '') AS hash FROM b"""
+
+
+def _image_signatures(spark, sf_dir, iht: int) -> DataFrame:
+    """Signatures of the same tones as gray images of 8 x 8."""
+    v = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.floor(F.abs(F.get("embedding", i % F.size("embedding")).cast("double")) * 4000) % 256)
+    data = F.unhex(F.array_join(F.transform(v, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("contentid"), F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data")).alias("image"))
+    return signatures.image_signatures(images, [iht]).select(F.col("contentid").alias("vec_id"), "hash")
+
+
+@query(f"""WITH {TONES}, {_sql_hash("array_to_string(list_transform(v, lambda x: CASE WHEN x * 64 >= list_sum(v) THEN '1' ELSE '0' END), '')")}""")
+def average_signatures(spark, sf_dir):
+    return _image_signatures(spark, sf_dir, 4)
+
+
+@query(f"""WITH {TONES}, paths AS (SELECT vec_id, v, list_transform(range(64), lambda i: v[CASE WHEN (i // 8) % 2 = 0 THEN i + 1 ELSE (i // 8) * 8 + 8 - i % 8 END]) AS p FROM tones
+), {_sql_hash("array_to_string(list_transform(range(64), lambda i: CASE WHEN p[i + 1] >= (CASE WHEN i = 0 THEN v[57] ELSE p[i] END) THEN '1' ELSE '0' END), '')", "paths")}""")
+def difference_signatures(spark, sf_dir):
+    return _image_signatures(spark, sf_dir, 3)
+
+
+@query(f"""WITH {TONES}, c AS (SELECT vec_id, list_transform(range(16), lambda k: len(list_filter(v, lambda x: x // 16 = k))) AS c FROM tones)
+SELECT vec_id, array_to_string(list_transform(c, lambda n: lower(printf('%x', (65535 * n) // 64))), ' ') AS hash FROM c""")
+def histogram_signatures(spark, sf_dir):
+    return _image_signatures(spark, sf_dir, 1)
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey = 7 THEN 'moved' ELSE c_mktsegment END AS segment FROM customer WHERE c_nationkey <> 3""")
+def store_update_delete(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    return store.delete(store.update_one(rows, 7, segment="moved"), nation=3).select("id", "segment")
+
+
+@query("""SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey IN (1, 2) UNION ALL SELECT c_custkey FROM customer WHERE c_custkey = 11""")
+def repo_find_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    one = spark.createDataFrame([(store.load(rows, 11).id,)], "id long")
+    return store.find_ids(rows, segment="BUILDING", nation=store.In([1, 2])).unionByName(one)
+
+
+@query("""WITH f AS (SELECT doc_id AS file_id, hex(encode(text)) AS x, octet_length(encode(text)) AS size FROM documents WHERE octet_length(encode(text)) >= 2049)
+SELECT file_id, len(list_filter(range(11, 31), lambda k: (1 << k) < size))::INT AS n, sha1(unhex(substr(x, 1, 4096))) AS first_part FROM f""")
+def stored_parts(spark, sf_dir):
+    from .schema import parts_from_text, parts_to_text
+
+    rows = document_files(spark, sf_dir, 2049).select("file_id", parts_from_text(parts_to_text(hashing.prefix_sha1s(F.col("content")))).alias("parts"))
+    return rows.select("file_id", F.size("parts").alias("n"), F.element_at("parts", F.lit(2048).cast("long")).alias("first_part"))
+
+
+@query("""SELECT page_id, chr(39) || replace(url || chr(39), chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39) AS quoted FROM pages""")
+def shell_quoted(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", formatting.shell_quote(F.concat("url", F.lit("'"))).alias("quoted"))

@@ -129,17 +129,26 @@ def read_kernel_results(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(id, line) of a file's lines after the first, from 0, read in as many pieces as the file has blocks; blank ones are none."""
+    from ..operators.ranking import with_global_rank
+
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")]
+    lines = spark.read.text(path).select("value", *at)
+    ranked = with_global_rank(lines, [F.asc("file"), F.asc("block"), F.asc("place")], "rank")
+    return ranked.where("rank > 0 and trim(value) <> ''").select((F.col("rank") - 1).cast("long").alias("id"), F.trim("value").alias("line"))
+
+
 def read_hamming_text(spark: SparkSession, path: str) -> DataFrame:
     """(id, h) of a signature file: after a header, one line an id, ``na`` for none."""
     from ..functions.hashing import hex_to_long
 
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("id", "line")).where("id > 0")
-    return lines.where(~F.col("line").startswith("na")).select((F.col("id") - 1).cast("long").alias("id"), hex_to_long(F.trim("line")).alias("h"))
+    return _numbered_lines(spark, path).where(~F.col("line").startswith("na")).select("id", hex_to_long(F.col("line")).alias("h"))
 
 
 def read_histogram_text(spark: SparkSession, path: str) -> DataFrame:
     """(id, h) of a histogram file: lines of 32 hex digits a channel, two for each bin."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("id", "line")).where("id > 0")
-    digits = F.replace(F.trim("line"), F.lit(" "), F.lit(""))
+    lines = _numbered_lines(spark, path)
+    digits = F.replace(F.col("line"), F.lit(" "), F.lit(""))
     bins = F.transform(F.sequence(F.lit(0), (F.length(digits) / 2 - 1).cast("int")), lambda i: F.conv(F.substr(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    return lines.where(~F.col("line").startswith("na")).select((F.col("id") - 1).cast("long").alias("id"), bins.alias("h"))
+    return lines.where(~F.col("line").startswith("na")).select("id", bins.alias("h"))

@@ -341,3 +341,15 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         session.shared_folder(Session())
+
+
+def test_signature_files_are_numbered_over_blocks(spark, tmp_path):
+    lines = [f"{i * 2654435761 % 2**64:016x}" if i % 7 else "na" for i in range(4000)]
+    (tmp_path / "h").write_text("header\n" + "\n".join(lines) + "\n\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        got = {r.id: r.h for r in sources.read_hamming_text(spark, str(tmp_path / "h")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {i: h & (1 << 64) - 1 for i, h in got.items()} == {i: int(x, 16) for i, x in enumerate(lines) if x != "na"}
