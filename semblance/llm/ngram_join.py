@@ -331,7 +331,7 @@ def _verified(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long, shared long")
 
 
-def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, longest: int = 6, star_rounds: int = 3, group_bytes: int = 6 << 20, range_bytes: int = 16 << 20, list_most: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, longest: int = 6, star_rounds: int = 3, group_bytes: int = 4 << 20, range_bytes: int = 12 << 20, list_most: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), cls (class id), n_shingles, root (component), component_id for each row.
 
     group_bytes, range_bytes: of text that a task works on at once, and whose shingles a range holds, about. list_most:
