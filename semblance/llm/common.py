@@ -207,3 +207,13 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def crc_fold(id_col: str, folds: int) -> F.Column:
     """crc32 of the id as text, modulo folds."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
+
+def nested(df: DataFrame, **more: F.Column) -> DataFrame:
+    """All columns of df as one, named row, beside others: no name of df's can clash with them."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
+def flat(rows: DataFrame, columns: list[str], **changed: F.Column) -> DataFrame:
+    """The columns that nested() put into row, some of them changed."""
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in columns])

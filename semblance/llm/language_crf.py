@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import _LOWER, crc_fold, in_stretches, keyed_texts, mix, read_table, text_buffers, words_of
+from .common import _LOWER, crc_fold, flat, in_stretches, keyed_texts, mix, nested, read_table, text_buffers, words_of
 
 #: Hashed n-gram features; lengths of n-grams in bytes; words of a segment; bytes of a word that are labelled at once, about.
 FEATURES, GRAMS, SEGMENT, WORD_BYTES = 1 << 16, (1, 2, 3, 4), 64, 48
@@ -278,19 +279,21 @@ SPANS = "array<struct<start: long, end: long, lang: string>>"
 
 
 def tag_languages(docs: DataFrame, model: Crf, *, text_col: str = "text", spans: bool = False) -> DataFrame:
-    """docs with all its columns and _lang_pred, _lang_score and, if asked for, _spans: runs of words of one label."""
+    """docs with all its columns and _lang_pred, _lang_score and, if asked for, _spans: runs of words of one label.
+
+    These three replace columns of docs that have their names.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: features x languages, bounded lexicon
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    added = "_lang_pred string, _lang_score double" + f", _spans {SPANS}" * spans
-    text = F.col(text_col).cast("string")
-    rows = docs.withColumns({"_text": text, "_letters": F.coalesce(text.rlike(r"\p{L}"), F.lit(False))})
-    own = docs.columns
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = nested(docs, text=text, letters=F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+    added = {"_lang_pred": "string", "_lang_score": "double", **({"_spans": SPANS} if spans else {})}
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in added.items())).fields])
 
     def run(batches):
         field = shipped.value
         languages = np.array(field.languages, object)
         for batch in batches:
-            column, letters = batch.column("_text"), batch.column("_letters").to_numpy(zero_copy_only=False)
+            column, letters = batch.column("text"), batch.column("letters").to_numpy(zero_copy_only=False)
             data, _ = text_buffers(column)
             for first, count, hashes, offsets, starts, ends in words_of(column):
                 begin = offsets  # of the texts' words
@@ -304,7 +307,7 @@ def tag_languages(docs: DataFrame, model: Crf, *, text_col: str = "text", spans:
                 share = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)[:, None]
                 ok = letters[first : first + count] & (np.diff(offsets) > 0) & (len(languages) > 0)
                 names = languages if len(languages) else np.array(["und"], object)
-                out = [batch.column(c).slice(first, count) for c in own]
+                out = [batch.column("row").slice(first, count)]
                 out += [pa.array(np.where(ok, names[share.argmax(1)], "und"), pa.string()), pa.array(np.where(ok, share.max(1).clip(0, 1), 0.0))]
                 if spans:
                     whole = np.add.reduceat(post, np.flatnonzero(opens)) if len(post) else post
@@ -313,9 +316,10 @@ def tag_languages(docs: DataFrame, model: Crf, *, text_col: str = "text", spans:
                         edges = [0, *(np.flatnonzero(np.diff(label[a:b])) + 1), b - a] if fine else []
                         runs.append([{"start": int(s), "end": int(e), "lang": names[label[a + s]]} for s, e in zip(edges[:-1], edges[1:], strict=True)])
                     out.append(pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
-                yield pa.RecordBatch.from_arrays(out, [*own, "_lang_pred", "_lang_score", *["_spans"] * spans])
+                yield pa.RecordBatch.from_arrays(out, ["row", *added])
 
-    return rows.mapInArrow(run, f"{schema}, {added}")
+    found = rows.mapInArrow(run, schema)
+    return flat(found, [*[c for c in docs.columns if c not in added], *added], **{c: F.col(c) for c in added})
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

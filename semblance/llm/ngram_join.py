@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, kept
-from .common import keyed_texts, mix, read_table, runs_of, shingles_of, words_of
+from .common import flat, keyed_texts, mix, nested, read_table, runs_of, shingles_of, words_of
 from .components import components
 from .exchange import GROUP, MESSAGE, TEXTS, Packer, answered, answers_to, by_group, distinct, messages, question, unpacked
 
@@ -406,10 +406,10 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     Rows without words link with nothing and all stay. Of rows alike in id and text one stays.
     """
     best = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")).select("best.doc_id", "best.text_hash")
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    stays = rows.join(best.toDF("_id", "_best"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_best")), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    rows = nested(docs, id=F.col("doc_id"), text=F.col("text"), hash=F.xxhash64("text"))
+    stays = rows.join(best.toDF("_id", "_best"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_best")), "left_semi").dropDuplicates(["id", "hash"])
     blank = rows.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    return stays.unionByName(blank).drop("_hash")
+    return flat(stays.unionByName(blank), docs.columns)
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:

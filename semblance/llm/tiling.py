@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, mix, read_table, runs_of, shingles_of, words_of
+from .common import flat, keyed_texts, mix, nested, read_table, runs_of, shingles_of, words_of
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -174,9 +174,10 @@ def _scan(docs: DataFrame, items: list[tuple[int, np.ndarray]], least: int, perc
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, least: int = 5, percent: int = 80, block_words: int = 2_000_000, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs (with text, all columns) that no item contaminates: one pass for all blocks, without a shuffle."""
+    rows = nested(docs, text=F.col("text"))
     for block in _blocks(keyed_texts(benchmark, item_col, item_text_col).withColumnRenamed("doc_id", "item_id"), block_words):
-        docs = _filtered(docs, block, least, percent)
-    return docs
+        rows = _filtered(rows, block, least, percent)
+    return flat(rows, docs.columns)
 
 
 def _filtered(docs: DataFrame, items: list[tuple[int, np.ndarray]], least: int, percent: int) -> DataFrame:
