@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semblance.llm.common import crc_fold
+from semblance.llm.common import crc_fold, flat, nested
 from semblance.llm.compact_windows import duplicate_passages, without_passages
 from semblance.llm.language_crf import fit_crf, tag_languages
 from semblance.llm.ngram_join import near_duplicates, one_of_each
@@ -24,19 +24,19 @@ LEAST_SCORE = 0.4
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and those that no learned language explains."""
     model = fit_crf(docs.select("doc_id", "text", "lang").where(crc_fold("doc_id", 3) != 1))
-    tagged = tag_languages(docs, model)
-    return tagged.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    tagged = tag_languages(nested(docs, text=F.col("text")), model)
+    return flat(tagged.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_SCORE)), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that links of five-word shingles at 0.8 hold together."""
-    return one_of_each(docs, near_duplicates(docs, n=5, percent=80)).select(*docs.columns)
+    return one_of_each(docs, near_duplicates(docs, n=5, percent=80))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document holds; texts left without words go."""
     left = without_passages(docs, duplicate_passages(docs, n=5, least=50, percent=80))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else left
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
