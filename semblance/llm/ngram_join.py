@@ -274,7 +274,7 @@ def _pair_rows(x, y, percent: int) -> tuple[np.ndarray, ...]:
     return np.minimum(x["cls"], y["cls"]), np.maximum(x["cls"], y["cls"]), np.minimum(x["match"], y["match"]).astype(np.int64), np.ones(len(x), np.int64)
 
 
-def _candidates(postings: DataFrame, percent: int, star: int | None) -> DataFrame:
+def _candidates(postings: DataFrame, ranges: int, percent: int, star: int | None) -> DataFrame:
     """Candidate pairs (a, b) of different components: with a pivot only (star: its round), or all with enough matches."""
 
     def run(key, table):
@@ -304,7 +304,7 @@ def _candidates(postings: DataFrame, percent: int, star: int | None) -> DataFram
                 held = len(found[0][0]) // 2
         return pa.table(list(_summed(found)), schema=_PAIRS) if found else _PAIRS.empty_table()
 
-    pairs = postings.groupBy("part").applyInArrow(run, "a long, b long, need long, hits long")
+    pairs = postings.repartition(ranges, "part").groupBy("part").applyInArrow(run, "a long, b long, need long, hits long")
     if star is not None:
         return pairs.select("a", "b").distinct()
     return pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")).where("hits >= need").select("a", "b")
@@ -376,7 +376,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, longest:
     profiles = rows.where(F.col("kind") == CLASS)
     roots = None
     for star in [*range(star_rounds), None]:
-        pairs = _candidates(_postings(_rooted(profiles, roots), ranges, star), percent, star)
+        pairs = _candidates(_postings(_rooted(profiles, roots), ranges, star), ranges, percent, star)
         new = kept(_verified(pairs, profiles, percent).select("u", "v"))
         count = new.count()
         if count:
