@@ -159,7 +159,7 @@ def _first_copies(rows: DataFrame, most: int) -> DataFrame:
     return thinned.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
 
 
-def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 10, recall: float = 0.95, sample: int = 4000, rows_per_part: int = 600, most_parts: int = 256, rows_per_task: int = 20_000, queries_per_task: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 10, recall: float = 0.95, sample: int = 4000, rows_per_part: int = 100, most_parts: int = 256, rows_per_task: int = 20_000, queries_per_task: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for each query row (of the same columns as rows)."""
     schema = "query_id long, rank int, vec_id long, score double"
     spark = rows.sparkSession
