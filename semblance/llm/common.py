@@ -6,6 +6,8 @@ never materialised as Python strings here; a word is a 64-bit hash taken from ru
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import zlib
 
 import numpy as np
@@ -24,6 +26,11 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = []
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another system's library
+    _libc = None
 #: Odd multipliers for the places of a shingle.
 _PLACE = np.random.default_rng(97).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -192,7 +199,35 @@ def in_stretches(rows: DataFrame, longest: int) -> DataFrame:
             texts = pa.array([None if t is None else stretches_of(t, longest) for t in batch.column("text").to_pylist()], pa.string())
             yield batch.set_column(batch.schema.names.index("text"), "text", texts)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(lean(run), rows.schema)
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system, which Arrow's and the C library's allocators keep else for the worker's life."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def lean(run):
+    """A task's function over batches, or over one group, after which the worker gives back what it has freed."""
+    if inspect.isgeneratorfunction(run):
+
+        def over(batches):
+            try:
+                yield from run(batches)
+            finally:
+                _give_back()
+
+        return over
+
+    def group(*args):
+        try:
+            return run(*args)
+        finally:
+            _give_back()
+
+    return (lambda key, table: group(key, table)) if len(inspect.signature(run).parameters) == 2 else (lambda table: group(table))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from ..session import discard, kept
 
 
-LEAST_HUB, MOST_HUBS = 10_000, 20_000
+LEAST_HUB, MOST_HUBS = 200_000, 20_000
 
 
 def _with_least(edges: DataFrame, count: int) -> DataFrame:
     """edges (u, v) with m, the least v of their u."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if count <= LEAST_HUB:  # then no node is a hub
+        return edges.join(least.select("u", "m"), "u")
     most = max(LEAST_HUB, count // MOST_HUBS)
     marked = edges.join(F.broadcast(least.where(F.col("n") > most).select("u", "m")), "u", "left")
     rest = marked.where("m is null").select("u", "v").join(least.where(F.col("n") <= most).select("u", "m"), "u")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import runs_of
+from .common import lean, runs_of
 
 #: Kind of the rows that hold a group's texts; kinds of messages are greater.
 TEXTS = 0
@@ -136,7 +136,7 @@ def answers_to(asked: DataFrame, ranges: int, answers: Answers, sums: int = 1 <<
                 rows.append((int(groups[i]), kind, part, np.uint32(b - a).tobytes() + numbers(out[a:b]), 0, 0))
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], [c.split()[0] for c in ANSWER.split(", ")])
 
-    return asked.repartition(ranges, "part").groupBy("part").applyInArrow(run, ANSWER)
+    return asked.repartition(ranges, "part").groupBy("part").applyInArrow(lean(run), ANSWER)
 
 
 def by_group(parts: list[DataFrame], groups: int):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _LOWER, crc_fold, flat, in_stretches, keyed_texts, mix, nested, read_table, text_buffers, words_of
+from .common import crc_fold, flat, in_stretches, keyed_texts, lean, _LOWER, mix, nested, read_table, text_buffers, words_of
 
 #: Hashed n-gram features; lengths of n-grams in bytes; words of a segment; bytes of a word that are labelled at once, about.
 FEATURES, GRAMS, SEGMENT, WORD_BYTES = 1 << 16, (1, 2, 3, 4), 64, 48
@@ -318,7 +318,7 @@ def tag_languages(docs: DataFrame, model: Crf, *, text_col: str = "text", spans:
                     out.append(pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
                 yield pa.RecordBatch.from_arrays(out, ["row", *added])
 
-    found = rows.mapInArrow(run, schema)
+    found = rows.mapInArrow(lean(run), schema)
     return flat(found, [*[c for c in docs.columns if c not in added], *added], **{c: F.col(c) for c in added})
 
 

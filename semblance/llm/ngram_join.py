@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, kept
-from .common import flat, keyed_texts, mix, nested, read_table, runs_of, shingles_of, words_of
+from .common import flat, keyed_texts, lean, mix, nested, read_table, runs_of, shingles_of, words_of
 from .components import components
 from .exchange import GROUP, MESSAGE, TEXTS, Packer, answered, answers_to, by_group, distinct, messages, question, unpacked
 
@@ -45,7 +45,7 @@ _PARITY, _DEAL = np.uint64(0xA0761D6478BD642F), np.uint64(0x9E3779B97F4A7C15)
 VERIFY_COST = 4
 #: Kinds of questions: who owns a class, and how many classes hold a shingle.
 OWNER, FREQUENCY = 1, 2
-_FIELDS = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("text", pa.large_string())]
+_FIELDS = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("text", pa.large_binary())]
 
 
 def set_table(column: pa.Array, n: int):
@@ -70,12 +70,13 @@ def packed_documents(docs: DataFrame, group_bytes: int) -> DataFrame:
     def run(batches):
         packer = Packer(_FIELDS, group_bytes)
         for batch in batches:
-            texts = batch.column("text")
-            for doc, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), texts.to_pylist(), strict=True):
-                yield from packer.add((doc, mark, text), len(text or ""))
+            texts = batch.column("text").cast(pa.large_string()).cast(pa.large_binary())
+            for doc, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), texts, strict=True):
+                text = text.as_py()
+                yield from packer.add((doc, mark, text), len(text or b""))
         yield from packer.flush()
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "g long, blob binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(lean(run), "g long, blob binary")
 
 
 class Group:
@@ -83,7 +84,7 @@ class Group:
 
     def __init__(self, blob, n: int):
         self.docs = unpacked(blob)
-        parts = list(set_table(self.docs.column("text").combine_chunks(), n))
+        parts = list(set_table(self.docs.column("text").combine_chunks().cast(pa.large_string()), n))
         join = lambda i, kind: np.concatenate([p[i] for p in parts]).astype(kind, copy=False) if parts else np.zeros(0, kind)
         self.shingles, self.sizes, self.cls = join(2, np.uint64), join(4, np.int64), join(5, np.uint64)
         self.row = np.concatenate([p[3] + p[0] for p in parts]) if parts else np.zeros(0, np.int64)
@@ -235,7 +236,7 @@ def _postings(rooted: DataFrame, ranges: int, star: int | None) -> DataFrame:
             edges = runs_of(to)
             yield pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a, _ in edges], pa.int64()), pa.array([got[a:b].tobytes() for a, b in edges], pa.binary())], ["part", "blob"])
 
-    return rooted.mapInArrow(run, "part long, blob binary")
+    return rooted.mapInArrow(lean(run), "part long, blob binary")
 
 
 def _lists(table: pa.Table):
@@ -304,7 +305,7 @@ def _candidates(postings: DataFrame, ranges: int, percent: int, star: int | None
                 held = len(found[0][0]) // 2
         return pa.table(list(_summed(found)), schema=_PAIRS) if found else _PAIRS.empty_table()
 
-    pairs = postings.repartition(ranges, "part").groupBy("part").applyInArrow(run, "a long, b long, need long, hits long")
+    pairs = postings.repartition(ranges, "part").groupBy("part").applyInArrow(lean(run), "a long, b long, need long, hits long")
     if star is not None:
         return pairs.select("a", "b").distinct()
     return pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")).where("hits >= need").select("a", "b")
@@ -328,7 +329,7 @@ def _verified(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(100 * common >= percent * union)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(common).filter(keep)], ["u", "v", "shared"])
 
-    return rows.mapInArrow(run, "u long, v long, shared long")
+    return rows.mapInArrow(lean(run), "u long, v long, shared long")
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, longest: int = 6, star_rounds: int = 3, group_bytes: int = 4 << 20, range_bytes: int = 12 << 20, list_most: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,7 +353,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, longest:
                 yield from messages(question(g, OWNER, ranges, names, np.ones(len(names), np.int64))).to_batches()
 
     parts = [packed.select("g", F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("part"), "blob")]
-    done = [packed, kept(answers_to(packed.mapInArrow(owners, MESSAGE), ranges, _put_together).select(*GROUP))]
+    done = [packed, kept(answers_to(packed.mapInArrow(lean(owners), MESSAGE), ranges, _put_together).select(*GROUP))]
     parts.append(done[1])
 
     def frequencies(table):
@@ -362,7 +363,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, longest:
         names, which = distinct(token, ranges)
         return messages(question(g, FREQUENCY, ranges, names, np.bincount(which, minlength=len(names))))
 
-    done.append(kept(answers_to(by_group(parts, groups).applyInArrow(frequencies, MESSAGE), ranges, _put_together).select(*GROUP)))
+    done.append(kept(answers_to(by_group(parts, groups).applyInArrow(lean(frequencies), MESSAGE), ranges, _put_together).select(*GROUP)))
     parts.append(done[2])
 
     def profiled(table):
@@ -370,7 +371,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, longest:
         group, none = Group(blob, n), np.zeros(0, np.int64)
         return _profiled(group, ranges, group.owned(ranges, found.get(OWNER, none)), found.get(FREQUENCY, none), percent, longest, list_most)
 
-    rows = kept(by_group(parts, groups).applyInArrow(profiled, _PROFILE_DDL))
+    rows = kept(by_group(parts, groups).applyInArrow(lean(profiled), _PROFILE_DDL))
     for x in done:
         discard(x)
     profiles = rows.where(F.col("kind") == CLASS)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, mix, text_buffers, words_of
+from .common import keyed_texts, lean, mix, text_buffers, words_of
 
 _models: dict[int, "_Words"] = {}
 #: Words whose ids a worker remembers, about 30 bytes each.
@@ -168,7 +168,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 key = mix(np.array(keys, np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), docs, ids.cast(pa.binary())], ["key", "doc_id", "ids"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, ids binary")
+    return docs.mapInArrow(lean(run), "key long, doc_id long, ids binary")
 
 
 class Bins:
@@ -312,7 +312,7 @@ def pack_documents(
         if group:
             yield from flush()
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(lean(run), schema)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import kept
-from .common import _SPACE, crc_fold, keyed_texts, mix, read_table, words_of
+from .common import crc_fold, keyed_texts, lean, mix, read_table, _SPACE, words_of
 from .exchange import GROUP, MESSAGE, TEXTS, Packer, answered, answers_to, by_group, distinct, messages, question, unpacked
 
 #: Hashes of the end and the beginning of a text; what tells runs of words apart from words.
@@ -95,7 +95,7 @@ def packed_texts(texts: DataFrame, group_bytes: int, depth: int) -> DataFrame:
                 row += 1
         yield from packer.flush()
 
-    return texts.select("doc_id", "text", "held_out").mapInArrow(run, "g long, blob binary")
+    return texts.select("doc_id", "text", "held_out").mapInArrow(lean(run), "g long, blob binary")
 
 
 class Group:
@@ -237,7 +237,7 @@ def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = 2, least: int
                 group = Group(blob.as_buffer(), *model)
                 yield from messages([m for k in (1, 2) for m in question(g, k, ranges, *group.own_counts(k, 0))]).to_batches()
 
-    known = asked(packed.mapInArrow(first, MESSAGE))
+    known = asked(packed.mapInArrow(lean(first), MESSAGE))
     row = known.where("g is null").agg(F.sum("symbols").alias("symbols"), F.sum("total").alias("total")).first()
     # the beginning of each training text is counted as a word
     tokens, symbols = (row.total or 0) - size.taught, (row.symbols or 0) - (size.taught > 0)
@@ -262,13 +262,13 @@ def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = 2, least: int
         return run
 
     for j in range(1, depth + 1):
-        parts.append(asked(by_group(parts, groups).applyInArrow(asks(j), MESSAGE)).select(*GROUP))
+        parts.append(asked(by_group(parts, groups).applyInArrow(lean(asks(j)), MESSAGE)).select(*GROUP))
 
     def last(table):
         _, group, followers = restored(table, depth)
         return group.scores(tokens, symbols, smoothing, followers)
 
-    rows = by_group(parts, groups).applyInArrow(last, _SCORES)
+    rows = by_group(parts, groups).applyInArrow(lean(last), _SCORES)
     sums = {"n_tokens": "n_tokens", "n_known": "n_known", "base": "base_score", "score": "score"}
     whole = rows.groupBy("row").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("held_out").alias("held_out"), *[F.sum(a).alias(b) for a, b in sums.items()])
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

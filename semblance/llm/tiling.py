@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, keyed_texts, mix, nested, read_table, runs_of, shingles_of, words_of
+from .common import flat, keyed_texts, lean, mix, nested, read_table, runs_of, shingles_of, words_of
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -169,7 +169,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, np.ndarray]], least: int, perc
             yield pa.RecordBatch.from_arrays([pa.array(v, tile if k == "tiles" else pa.int64()) for k, v in rows.items()], list(rows))
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, item_id long, item_words long, covered long, tiles array<struct<doc_word: long, item_word: long, words: long>>")
+    return rows.mapInArrow(lean(run), "doc_id long, text_hash long, item_id long, item_words long, covered long, tiles array<struct<doc_word: long, item_word: long, words: long>>")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, least: int = 5, percent: int = 80, block_words: int = 2_000_000, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -190,7 +190,7 @@ def _filtered(docs: DataFrame, items: list[tuple[int, np.ndarray]], least: int,
                 clean[r] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: int = 5, percent: int = 80, block_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

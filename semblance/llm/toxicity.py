@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import kept
-from .common import crc_fold, in_stretches, keyed_texts, mix, read_table, words_of
+from .common import crc_fold, in_stretches, keyed_texts, lean, mix, read_table, words_of
 
 WORD, PAIR, MARGIN = 0.75, 2.0, 2.0
 #: What stands before a text's first word and the word before that; evidence that is as good as none.
@@ -196,7 +196,7 @@ def with_evidence(docs: DataFrame, model: KneserNey) -> DataFrame:
                 part = batch.slice(first, count)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shipped.value.evidence(words, offsets))], [*part.schema.names, "evidence"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", evidence double")
+    return docs.mapInArrow(lean(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", evidence double")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, texts_per_class: int = 8_000, longest_bytes: int = 20_000) -> Toxicity:
