@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semblance.llm.common import crc_fold, flat, nested
+from semblance.llm.common import crc_fold
 from semblance.llm.compact_windows import duplicate_passages, without_passages
-from semblance.llm.language_crf import fit_crf, tag_languages
+from semblance.llm.language_crf import fit_crf, in_learned_languages
 from semblance.llm.ngram_join import near_duplicates, one_of_each
 from semblance.llm.packing import pack_documents
 from semblance.llm.tiling import without_contaminated
@@ -24,8 +24,7 @@ LEAST_SCORE = 0.4
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and those that no learned language explains."""
     model = fit_crf(docs.select("doc_id", "text", "lang").where(crc_fold("doc_id", 3) != 1))
-    tagged = tag_languages(nested(docs, text=F.col("text")), model)
-    return flat(tagged.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_SCORE)), docs.columns)
+    return in_learned_languages(docs, model, LEAST_SCORE)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
