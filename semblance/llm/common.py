@@ -244,11 +244,12 @@ def crc_fold(id_col: str, folds: int) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def nested(df: DataFrame, **more: F.Column) -> DataFrame:
-    """All columns of df as one, named row, beside others: no name of df's can clash with them."""
-    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *[c.alias(name) for name, c in more.items()])
+def nested(df: DataFrame, text_col: str = "text", **more: F.Column) -> DataFrame:
+    """All columns of df but the text as one, named row, beside text and others: no name of df's can clash with them."""
+    rest = [df[f"`{c}`"] for c in df.columns if c != text_col] or [F.lit(0).alias("none")]
+    return df.select(F.struct(*rest).alias("row"), df[f"`{text_col}`"].alias("text"), *[c.alias(name) for name, c in more.items()])
 
 
-def flat(rows: DataFrame, columns: list[str], **changed: F.Column) -> DataFrame:
-    """The columns that nested() put into row, some of them changed."""
-    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in columns])
+def flat(rows: DataFrame, columns: list[str], text_col: str = "text", **changed: F.Column) -> DataFrame:
+    """The columns that nested() put into row and text, some of them changed."""
+    return rows.select(*[changed.get(c, F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in columns])

@@ -278,22 +278,36 @@ def fit_crf(labelled: DataFrame, *, docs_per_language: int = 250, longest_bytes:
 SPANS = "array<struct<start: long, end: long, lang: string>>"
 
 
+ADDED = {"_lang_pred": "string", "_lang_score": "double", "_spans": SPANS}
+
+
 def tag_languages(docs: DataFrame, model: Crf, *, text_col: str = "text", spans: bool = False) -> DataFrame:
     """docs with all its columns and _lang_pred, _lang_score and, if asked for, _spans: runs of words of one label.
 
     These three replace columns of docs that have their names.
     """
+    added = list(ADDED)[: 2 + spans]
+    return flat(_tagged(docs, model, text_col, added), [*[c for c in docs.columns if c not in added], *added], text_col, **{c: F.col(c) for c in added})
+
+
+def in_learned_languages(docs: DataFrame, model: Crf, least: float, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter and a predicted language of at least this score."""
+    found = _tagged(docs, model, text_col, list(ADDED)[:2])
+    return flat(found.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least)), docs.columns, text_col)
+
+
+def _tagged(docs: DataFrame, model: Crf, text_col: str, added: list[str]) -> DataFrame:
+    """nested rows with the columns added."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: features x languages, bounded lexicon
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = nested(docs, text=text, letters=F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
-    added = {"_lang_pred": "string", "_lang_score": "double", **({"_spans": SPANS} if spans else {})}
-    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in added.items())).fields])
+    rows = nested(docs, text_col, letters=F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"\p{L}"), F.lit(False)))
+    schema = T.StructType([*rows.schema.fields[:2], *T.StructType.fromDDL(", ".join(f"{k} {ADDED[k]}" for k in added)).fields])
+    spans = "_spans" in added
 
     def run(batches):
         field = shipped.value
         languages = np.array(field.languages, object)
         for batch in batches:
-            column, letters = batch.column("text"), batch.column("letters").to_numpy(zero_copy_only=False)
+            column, letters = batch.column("text").cast(pa.string()), batch.column("letters").to_numpy(zero_copy_only=False)
             data, _ = text_buffers(column)
             for first, count, hashes, offsets, starts, ends in words_of(column):
                 begin = offsets  # of the texts' words
@@ -307,7 +321,7 @@ def tag_languages(docs: DataFrame, model: Crf, *, text_col: str = "text", spans:
                 share = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)[:, None]
                 ok = letters[first : first + count] & (np.diff(offsets) > 0) & (len(languages) > 0)
                 names = languages if len(languages) else np.array(["und"], object)
-                out = [batch.column("row").slice(first, count)]
+                out = [batch.column(c).slice(first, count) for c in ("row", "text")]
                 out += [pa.array(np.where(ok, names[share.argmax(1)], "und"), pa.string()), pa.array(np.where(ok, share.max(1).clip(0, 1), 0.0))]
                 if spans:
                     whole = np.add.reduceat(post, np.flatnonzero(opens)) if len(post) else post
@@ -316,10 +330,9 @@ def tag_languages(docs: DataFrame, model: Crf, *, text_col: str = "text", spans:
                         edges = [0, *(np.flatnonzero(np.diff(label[a:b])) + 1), b - a] if fine else []
                         runs.append([{"start": int(s), "end": int(e), "lang": names[label[a + s]]} for s, e in zip(edges[:-1], edges[1:], strict=True)])
                     out.append(pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
-                yield pa.RecordBatch.from_arrays(out, ["row", *added])
+                yield pa.RecordBatch.from_arrays(out, ["row", "text", *added])
 
-    found = rows.mapInArrow(lean(run), schema)
-    return flat(found, [*[c for c in docs.columns if c not in added], *added], **{c: F.col(c) for c in added})
+    return rows.mapInArrow(lean(run), schema)
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

@@ -407,7 +407,7 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     Rows without words link with nothing and all stay. Of rows alike in id and text one stays.
     """
     best = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")).select("best.doc_id", "best.text_hash")
-    rows = nested(docs, id=F.col("doc_id"), text=F.col("text"), hash=F.xxhash64("text"))
+    rows = nested(docs, id=F.col("doc_id"), hash=F.xxhash64("text"))
     stays = rows.join(best.toDF("_id", "_best"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_best")), "left_semi").dropDuplicates(["id", "hash"])
     blank = rows.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return flat(stays.unionByName(blank), docs.columns)

@@ -174,7 +174,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, np.ndarray]], least: int, perc
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, least: int = 5, percent: int = 80, block_words: int = 2_000_000, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs (with text, all columns) that no item contaminates: one pass for all blocks, without a shuffle."""
-    rows = nested(docs, text=F.col("text"))
+    rows = nested(docs)
     for block in _blocks(keyed_texts(benchmark, item_col, item_text_col).withColumnRenamed("doc_id", "item_id"), block_words):
         rows = _filtered(rows, block, least, percent)
     return flat(rows, docs.columns)
