@@ -346,14 +346,13 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, longest:
     ranges, groups = (max(2, partitions, math.ceil(size / x)) for x in (range_bytes, group_bytes))
     packed = kept(packed_documents(texts, group_bytes), **{"parquet.block.size": 4 * group_bytes})
 
-    def owners(batches):
-        for batch in batches:
-            for g, blob in zip(batch.column("g").to_pylist(), batch.column("blob"), strict=True):
-                names, _ = Group(blob.as_buffer(), n).classes(ranges)
-                yield from messages(question(g, OWNER, ranges, names, np.ones(len(names), np.int64))).to_batches()
+    def owners(table):
+        g, blob, _ = answered(table)
+        names, _ = Group(blob, n).classes(ranges)
+        return messages(question(g, OWNER, ranges, names, np.ones(len(names), np.int64)))
 
     parts = [packed.select("g", F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("part"), "blob")]
-    done = [packed, kept(answers_to(packed.mapInArrow(lean(owners), MESSAGE), ranges, _put_together).select(*GROUP))]
+    done = [packed, kept(answers_to(by_group(parts, groups).applyInArrow(lean(owners), MESSAGE), ranges, _put_together).select(*GROUP))]
     parts.append(done[1])
 
     def frequencies(table):

@@ -229,19 +229,19 @@ def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = 2, least: int
     packed = kept(packed_texts(texts, group_bytes, depth), **{"parquet.block.size": 4 * group_bytes})
 
     model = (ranges, depth, least, divergence)
-    asked = lambda messages: kept(answers_to(messages, ranges, _put_together(divergence), SUMS, 1))
+    asked = lambda rows: kept(answers_to(rows, ranges, _put_together(divergence), SUMS, 1))
 
-    def first(batches):
-        for batch in batches:
-            for g, blob in zip(batch.column("g").to_pylist(), batch.column("blob"), strict=True):
-                group = Group(blob.as_buffer(), *model)
-                yield from messages([m for k in (1, 2) for m in question(g, k, ranges, *group.own_counts(k, 0))]).to_batches()
+    def first(table):
+        g, blob, _ = answered(table)
+        group = Group(blob, *model)
+        return messages([m for k in (1, 2) for m in question(g, k, ranges, *group.own_counts(k, 0))])
 
-    known = asked(packed.mapInArrow(lean(first), MESSAGE))
+    parts = [packed.select("g", F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("part"), "blob")]
+    known = asked(by_group(parts, groups).applyInArrow(lean(first), MESSAGE))
     row = known.where("g is null").agg(F.sum("symbols").alias("symbols"), F.sum("total").alias("total")).first()
     # the beginning of each training text is counted as a word
     tokens, symbols = (row.total or 0) - size.taught, (row.symbols or 0) - (size.taught > 0)
-    parts = [packed.select("g", F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("part"), "blob"), known.where("g is not null").select(*GROUP)]
+    parts.append(known.where("g is not null").select(*GROUP))
 
     def restored(table: pa.Table, rounds: int):
         """(g, the group with the counts of so many rounds after the first, answers on contexts)."""
