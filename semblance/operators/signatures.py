@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of texts whose characters are looked at together.
+PIECE = 1 << 20
 LUMA = np.array([299, 587, 114])  # red, green, blue in thousandths
 
 
@@ -165,6 +167,12 @@ def points_of(texts: pa.Array, points: int = 64) -> tuple[np.ndarray, np.ndarray
 @F.arrow_udf(T.LongType())
 def text_signature(texts: pa.Array) -> pa.Array:
     """64 points of a text against their mean, the first in the highest bit; null below 64 characters."""
-    code, size = points_of(texts)
-    bits = np.packbits(code * 64 >= code.sum(1, keepdims=True), axis=1)
-    return pa.array(np.ascontiguousarray(bits).view(">i8").ravel().astype(np.int64), mask=size < 64)
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    out, mask, at = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool), 0
+    while at < len(texts):  # some texts at a time, for a character takes many bytes here
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, "right")) - 1)
+        code, size = points_of(texts.slice(at, to - at))
+        bits = np.packbits(code * 64 >= code.sum(1, keepdims=True), axis=1)
+        out[at:to], mask[at:to], at = np.ascontiguousarray(bits).view(">i8").ravel(), size < 64, to
+    return pa.array(out, mask=mask)

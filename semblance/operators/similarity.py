@@ -2,11 +2,13 @@
 
 Rows with one and the same signature are one class; pairs are found between classes and weighted by their sizes, so
 identical signatures never multiply. Candidates meet on equal keys that every pair within the distance shares, or, of
-signatures few enough that this is cheaper, in blocks.
+signatures few enough that this is cheaper, in blocks. Scores need only how many neighbours each signature has at each
+distance: blocks send these counts, never the pairs. Lists are made for the top centres alone, block by block.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -18,8 +20,12 @@ from ..session import kept
 from .ranking import with_global_rank
 
 BANDS, SATURATED = 4, 255
-#: Values that are compared in one piece; nanoseconds, about, of comparing two, of joining two, and of a row to join on.
-BLOCK, COMPARE_NS, MEET_NS, ROW_NS = 4096, 1.5, 150.0, 1000.0
+#: Values of a block; nanoseconds, about, of comparing two, of joining two, and of a row to join on.
+BLOCK, COMPARE_NS, MEET_NS, ROW_NS = 32768, 1.5, 150.0, 1000.0
+#: Blocks of a small table, for tasks; the least values of such a block; how many times fewer centres a block has.
+SPREAD, SMALL, CENTRES = 12, 512, 16
+#: Values compared side by side, pairs compared at once, found pairs held.
+WIDE, TILE, HELD = 4096, {"hamming": 1 << 18, "histogram": 1 << 16}, 1 << 20
 HAMMING_FACTORS = [80 - 5 * d for d in range(16)]
 HISTOGRAM_FACTORS = [40 - d for d in range(32)]
 
@@ -62,12 +68,15 @@ def close_hashes(classes: DataFrame, max_dist: int) -> DataFrame:
     """
     if not 0 <= max_dist <= 15:
         raise ValueError("a distance is 0 to 15 bits")
+    return _close_in_blocks(classes, "hamming", max_dist) if _blocks_cost_less(classes, max_dist) else _close_by_bands(classes, max_dist)
+
+
+def _blocks_cost_less(classes: DataFrame, max_dist: int) -> bool:
     words = classes.select(F.explode(F.array(*[_band(F.col("h"), b) + F.lit(b << 16) for b in range(BANDS)])).alias("word")).groupBy("word").count().toArrow()
     counts = np.zeros((BANDS, 1 << 16))
     counts.ravel()[words.column("word").to_numpy()] = words.column("count").to_numpy()
     n = int(counts[0].sum())
-    by_bands, by_blocks = band_cost(counts, max_dist), n * n / 2 * COMPARE_NS
-    return _close_in_blocks(classes, max_dist, n) if by_blocks < by_bands else _close_by_bands(classes, max_dist)
+    return n * n / 2 * COMPARE_NS < band_cost(counts, max_dist)
 
 
 def _band(h: Column, b: int) -> Column:
@@ -85,29 +94,172 @@ def band_cost(counts: np.ndarray, max_dist: int) -> float:
     return ROW_NS * listed * counts.sum() + MEET_NS * float((near[0] * near[1]).sum())
 
 
-def _close_in_blocks(classes: DataFrame, max_dist: int, n: int) -> DataFrame:
-    """Blocks of values against blocks, each pair of blocks once: n * n / 2 comparisons, few rows out."""
-    blocks = max(1, -(-n // BLOCK))
-    rows = classes.select("h", F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int").alias("b"))
-    packed = rows.groupBy("b").agg(F.array_sort(F.collect_list("h")).alias("hs"))  # about BLOCK values each
-    left = packed.select(F.col("b").alias("b1"), F.col("hs").alias("hs1"), F.explode(F.sequence("b", F.lit(blocks - 1))).alias("b"))
-    units = left.join(packed, "b").select("b1", "b", "hs1", "hs").repartition(max(1, min(2000, blocks * (blocks + 1) // 2)), "b1", "b")
+def _packed(rows: DataFrame, kind: str, value: str, size: int) -> DataFrame:
+    """(bins, b, lo, hi, hs, vs): blocks of about size rows, their signatures and values as bytes.
 
-    def compare(batches):
+    Histograms of one length lie in order of their sums, from lo to hi in a block.
+    """
+    n = rows.count()
+    blocks = max(1, math.ceil(n / size), min(SPREAD, math.ceil(n / SMALL)))
+    rows = rows.select("h", F.col(value).cast("long").alias("v"))
+    if kind == "hamming":
+        dealt = rows.select(F.lit(0).alias("bins"), F.pmod(F.xxhash64("h", "v"), F.lit(blocks)).cast("int").alias("b"), F.lit(0).cast("long").alias("total"), "h", "v")
+    else:
+        total = F.aggregate("h", F.lit(0).cast("long"), lambda t, x: t + x)
+        ordered = rows.select(F.size("h").alias("bins"), total.alias("total"), "h", "v").repartitionByRange(blocks, "bins", "total", F.xxhash64("h", "v"))
+        dealt = kept(ordered.withColumn("b", F.spark_partition_id()))
+
+    def pack(key, table):
+        hs = table.column("h").combine_chunks()
+        data = hs.to_numpy(zero_copy_only=False).astype("<i8") if kind == "hamming" else hs.flatten().to_numpy(zero_copy_only=False).astype("<i4")
+        totals, vs = (table.column(c).to_numpy() for c in ("total", "v"))
+        row = [*(k.as_py() for k in key), int(totals.min()), int(totals.max()), data.tobytes(), vs.astype("<i8").tobytes()]
+        return pa.table({c: [x] for c, x in zip(("bins", "b", "lo", "hi", "hs", "vs"), row, strict=True)}, schema=pa.schema([("bins", pa.int32()), ("b", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("hs", pa.binary()), ("vs", pa.binary())]))
+
+    return kept(dealt.groupBy("bins", "b").applyInArrow(pack, "bins int, b int, lo long, hi long, hs binary, vs binary"))
+
+
+def _most(bins: int, limit: int) -> int:
+    """The largest sum of absolute differences of histograms that differ by less than limit percent."""
+    most = -(-limit * 4096 // 100) - 1
+    return 3 * most + 2 if bins == 48 else most
+
+
+def _units(left: DataFrame, right: DataFrame, kind: str, limit: int, *, once: bool) -> DataFrame:
+    """(bins, b1, b2, hs1, vs1, hs2, vs2): the blocks that may hold close rows; once: of one table, each two blocks once."""
+    reach = F.when(F.col("bins") == 48, _most(48, limit)).otherwise(_most(0, limit)) if kind == "histogram" else F.lit(0)
+    a = left.select("bins", F.col("b").alias("b1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    b = right.select("bins", F.col("b").alias("b2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))  # a row for each block
+    met = a.join(F.broadcast(b), "bins").where((F.col("lo2") - F.col("hi1") <= reach) & (F.col("lo1") - F.col("hi2") <= reach))
+    met = kept((met.where("b1 <= b2") if once else met).select("bins", "b1", "b2"))
+    n = met.count()
+    for side, table in (("1", left), ("2", right)):
+        met = met.join(table.select("bins", *[F.col(c).alias(c + side) for c in ("b", "hs", "vs")]).hint("merge"), ["bins", "b" + side])
+    return met.repartition(max(1, min(2000, n)), "bins", "b1", "b2")
+
+
+def _close(x: np.ndarray, y: np.ndarray, kind: str, limit: int):
+    """(places in x, places in y, distances) of close ones, about HELD of them at a time. Histograms: bins x rows."""
+    found, held = [], 0
+    bins = len(x)
+    if kind == "histogram":
+        low, high = int(min(x.min(initial=0), y.min(initial=0))), int(max(x.max(initial=0), y.max(initial=0)))
+        number = np.int16 if (high - low) * max(bins, 1) < 32768 else np.int64
+        x, y, most = x.astype(number), y.astype(number), _most(bins, limit)
+    width = min(WIDE, max(1, y.shape[-1]))
+    tall = max(1, TILE[kind] // width)
+    for to in range(0, y.shape[-1], width):
+        for at in range(0, x.shape[-1], tall):
+            if kind == "hamming":
+                d = np.bitwise_count((x[at : at + tall, None] ^ y[to : to + width]).view(np.uint64)).ravel()  # of signed numbers it would count the absolute value
+                hit = np.flatnonzero(d <= limit)
+                d = d[hit].astype(np.int64)
+            else:
+                s = np.zeros((min(tall, x.shape[1] - at), min(width, y.shape[1] - to)), number)
+                for p, q in zip(x[:, at : at + tall], y[:, to : to + width], strict=True):
+                    gap = p[:, None] - q
+                    s += np.abs(gap, out=gap)
+                hit = np.flatnonzero(s.ravel() <= most)
+                d = s.ravel()[hit].astype(np.int64)
+                d = 100 * (d // 3 if bins == 48 else d) // 4096
+            if len(hit):
+                i, j = np.divmod(hit, min(width, y.shape[-1] - to))
+                found.append((at + i, to + j, d))
+                held += len(hit)
+                if held >= HELD:
+                    yield tuple(np.concatenate(z) for z in zip(*found, strict=True))
+                    found, held = [], 0
+    if found:
+        yield tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+
+def _compared(units: DataFrame, kind: str, limit: int, give, schema: str) -> DataFrame:
+    """give(x, vx, y, vy, same block, found pairs) yields Arrow batches for each two blocks."""
+
+    def read(hs, vs, bins):
+        values = np.frombuffer(vs.as_buffer(), "<i8")
+        data = np.frombuffer(hs.as_buffer(), "<i8" if kind == "hamming" else "<i4")
+        return (data if kind == "hamming" else np.ascontiguousarray(data.reshape(len(values), bins).T)), values
+
+    def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                x, y = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("hs1", "hs"))
-                found = []
-                for at in range(0, len(x), 256):
-                    d = np.bitwise_count((x[at : at + 256, None] ^ y[None]).view(np.uint64))  # of signed numbers it would count the absolute value
-                    a, b = np.nonzero(d <= max_dist)
-                    found.append((x[at + a], y[b], d[a, b].astype(np.int32)))
-                p, q, d = (np.concatenate(z) for z in zip(*found, strict=True))
-                if batch.column("b1")[i].as_py() == batch.column("b")[i].as_py():
-                    p, q, d = p[p < q], q[p < q], d[p < q]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(d)], ["h1", "h2", "distance"])
+            for r in range(batch.num_rows):
+                bins, b1, b2 = (batch.column(c)[r].as_py() for c in ("bins", "b1", "b2"))
+                (x, vx), (y, vy) = (read(batch.column("hs" + c)[r], batch.column("vs" + c)[r], bins) for c in "12")
+                yield from give(x, vx, y, vy, b1 == b2, _close(x, y, kind, limit))
+
+    return units.mapInArrow(run, schema)
+
+
+def _arrow(h: np.ndarray) -> pa.Array:
+    """64-bit values, or histograms as bins x rows."""
+    if h.ndim == 1:
+        return pa.array(h)
+    return pa.ListArray.from_arrays(pa.array(np.arange(h.shape[1] + 1) * len(h), pa.int32()), pa.array(h.T.ravel(), pa.int32()))
+
+
+def _type(kind: str) -> str:
+    return "long" if kind == "hamming" else "array<int>"
+
+
+def _close_in_blocks(classes: DataFrame, kind: str, limit: int) -> DataFrame:
+    """Blocks of values against blocks, each two blocks once: n * n / 2 comparisons at most, few rows out."""
+
+    def give(x, vx, y, vy, same, found):
+        for i, j, d in found:
+            if same:
+                once = i < j
+                i, j, d = i[once], j[once], d[once]
+            a, b = x[..., i], y[..., j]
+            turn = _after(a, b)
+            a, b = np.where(turn, b, a), np.where(turn, a, b)
+            yield pa.RecordBatch.from_arrays([_arrow(a), _arrow(b), pa.array(d.astype(np.int32))], ["h1", "h2", "distance"])
+
+    blocks = _packed(classes.select("h", F.lit(1).alias("n")), kind, "n", _size(kind))
+    return _compared(_units(blocks, blocks, kind, limit, once=True), kind, limit, give, f"h1 {_type(kind)}, h2 {_type(kind)}, distance int")
+
+
+def _after(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of a are greater than their b; of histograms at the first bin that differs."""
+    if a.ndim == 1:
+        return a > b
+    if not len(a):
+        return np.zeros(a.shape[1], bool)
+    at = np.argmax(a != b, axis=0)
+    return a[at, np.arange(a.shape[1])] > b[at, np.arange(a.shape[1])]
 
-    return units.mapInArrow(compare, "h1 long, h2 long, distance int")
+
+def _size(kind: str) -> int:
+    return BLOCK if kind == "hamming" else max(1, BLOCK // 4)
+
+
+def _counts_in_blocks(classes: DataFrame, kind: str, limit: int) -> DataFrame:
+    """(h, distance, count) as neighbour_counts: blocks of classes against blocks, of which counts alone go on."""
+    width = limit + 1
+
+    def give(x, vx, y, vy, same, found):
+        counts = [np.zeros((x.shape[-1], width), np.int64), np.zeros((y.shape[-1], width), np.int64)]
+        for i, j, d in found:
+            for side, own, worth in ((0, i, vy[j] - (i == j if same else 0)), (1, j, vx[i])):  # a row is not its own neighbour
+                if side and same:
+                    continue
+                at = own * width + d
+                order = np.argsort(at, kind="stable")
+                at = at[order]
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                counts[side].ravel()[at[first]] += np.add.reduceat(worth[order], first)
+        for h, got in zip((x, y), counts, strict=True):
+            use = np.flatnonzero(got.any(1))
+            for a in range(0, len(use), 8192):
+                at = use[a : a + 8192]
+                yield pa.RecordBatch.from_arrays([_arrow(h[..., at]), *[pa.array(got[at, c]) for c in range(width)]], ["h", *[f"c{c}" for c in range(width)]])
+
+    names = [f"c{c}" for c in range(width)]
+    blocks = _packed(classes, kind, "n", _size(kind))
+    found = _compared(_units(blocks, blocks, kind, limit, once=True), kind, limit, give, ", ".join([f"h {_type(kind)}", *[f"{c} long" for c in names]]))
+    summed = found.groupBy("h").agg(*[F.sum(c).alias(c) for c in names])
+    each = F.array(*[F.struct(F.lit(c).alias("distance"), F.col(name).alias("count")) for c, name in enumerate(names)])
+    return summed.select("h", F.explode(each).alias("c")).select("h", "c.distance", "c.count").where("count > 0")
 
 
 def _close_by_bands(classes: DataFrame, max_dist: int) -> DataFrame:
@@ -126,23 +278,25 @@ def _close_by_bands(classes: DataFrame, max_dist: int) -> DataFrame:
 def close_histograms(classes: DataFrame, max_percent: int) -> DataFrame:
     """(h1, h2, distance), h1 < h2: distinct histograms of one length that differ by less than max_percent.
 
-    Sums over two fixed halves of the bins differ by no more than the bins do; cells of that width, and their
-    neighbours, hold every pair.
+    They meet in blocks in order of their sums, which differ by no more than the bins do.
     """
-    if not 0 < max_percent <= 32:
+    return _close_in_blocks(_whole(classes), "histogram", _percent(max_percent))
+
+
+def _percent(most: int) -> int:
+    if not 0 < most <= 32:
         raise ValueError("a difference is 1 to 32 percent")
-    bands = F.when(F.size("h") == 48, 3).otherwise(1)
-    width = F.ceil((F.lit(max_percent) * 4096 / 100 + 1) * bands)
-    part = lambda keep: F.aggregate(F.filter("h", keep), F.lit(0).cast("long"), lambda s, e: s + e)
-    cells = classes.select("h", F.size("h").alias("bins"), F.floor(part(lambda x, i: i % 2 == 0) / width).alias("x"), F.floor(part(lambda x, i: i % 16 < 8) / width).alias("y"))
-    near = cells.select(F.col("h").alias("h2"), "bins", F.explode(F.array(*[F.col("x") + d for d in (-1, 0, 1)])).alias("x"), "y").select("h2", "bins", "x", F.explode(F.array(*[F.col("y") + d for d in (-1, 0, 1)])).alias("y"))
-    pairs = cells.withColumnRenamed("h", "h1").join(near, ["bins", "x", "y"]).where("h1 < h2")
-    return pairs.select("h1", "h2", histogram_percent(F.col("h1"), F.col("h2")).alias("distance")).where(F.col("distance") < max_percent)
+    return most
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """Histograms without null bins: others are near none."""
+    return rows.where(~F.exists("h", lambda x: x.isNull()))
 
 
 def close_classes(rows: DataFrame, kind: str, limit: int) -> DataFrame:
     """(h, other, distance) in both directions, each signature with itself at 0 included. kind: hamming or histogram."""
-    classes = _classes(rows, "h")
+    classes = _classes(rows, "h") if kind == "hamming" else _whole(_classes(rows, "h"))
     pairs = close_hashes(classes, limit) if kind == "hamming" else close_histograms(classes, limit)
     both = F.array(F.struct(F.col("h1").alias("h"), F.col("h2").alias("other")), F.struct(F.col("h2").alias("h"), F.col("h1").alias("other")))
     directed = pairs.select(F.explode(both).alias("p"), F.col("distance").cast("int").alias("distance")).select("p.h", "p.other", "distance")
@@ -156,6 +310,16 @@ def neighbour_counts(rows: DataFrame, near: DataFrame) -> DataFrame:
     return counted.withColumn("count", F.col("count") - (F.col("distance") == 0).cast("long")).where("count > 0")
 
 
+def counted_neighbours(rows: DataFrame, kind: str, limit: int) -> DataFrame:
+    """(h, distance, count) over rows with h, in the way that costs less; both are exact."""
+    classes = kept(_classes(rows, "h") if kind == "hamming" else _whole(_classes(rows, "h")))
+    if kind == "histogram":
+        return _counts_in_blocks(classes, kind, _percent(limit))
+    if not 0 <= limit <= 15:
+        raise ValueError("a distance is 0 to 15 bits")
+    return _counts_in_blocks(classes, kind, limit) if _blocks_cost_less(classes, limit) else neighbour_counts(rows, close_classes(rows, kind, limit))
+
+
 def scores(counts: DataFrame, factors: list[int]) -> DataFrame:
     """(h, score, total, counts): counts saturate at 255 in the score, at each distance, and not elsewhere."""
     worth = F.element_at(F.array(*[F.lit(f) for f in factors]), F.col("distance") + 1)
@@ -167,21 +331,41 @@ def scores(counts: DataFrame, factors: list[int]) -> DataFrame:
 
 def top_centres(rows: DataFrame, scored: DataFrame, k: int) -> DataFrame:
     """The k rows of highest positive score, ties to the smaller id: id, h, score, total, counts."""
-    return rows.join(scored.where("score > 0"), "h").orderBy(F.desc("score"), "id").limit(k)
+    scored = kept(scored.where("score > 0"))
+    best = rows.select("id", "h").join(scored.select("h", "score"), "h").orderBy(F.desc("score"), "id").limit(k)
+    return best.join(scored.drop("score"), "h").orderBy(F.desc("score"), "id")
 
 
-def neighbour_lists(centres: DataFrame, rows: DataFrame, near: DataFrame) -> DataFrame:
+def neighbour_lists(centres: DataFrame, rows: DataFrame, kind: str, limit: int) -> DataFrame:
     """centres with pairs: their neighbours as (contentid, distance), ids rising. Lists exist for centres only."""
-    pairs = centres.select("id", "h").join(near, "h").join(rows.select(F.col("id").alias("contentid"), F.col("h").alias("other")), "other").where("contentid <> id")
-    lists = pairs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("contentid", "distance"))).alias("pairs"))
-    return centres.join(lists, "id").select("id", "score", "total", "counts", "pairs")
-
 
-def compare(rows: DataFrame, kind: str, limit: int, factors: list[int], k: int = 10_000) -> DataFrame:
-    """id, score, total, counts, pairs of the top k centres over rows (id, h)."""
+    def give(x, vx, y, vy, same, found):
+        for i, j, d in found:
+            use = vx[i] != vy[j]
+            i, j, d = i[use], j[use], d[use]
+            order = np.argsort(i, kind="stable")
+            i, j, d = i[order], j[order], d[order]
+            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+            pairs = pa.StructArray.from_arrays([pa.array(vy[j]), pa.array(d.astype(np.int32))], ["contentid", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array(vx[i[first]]), pa.ListArray.from_arrays(pa.array(np.r_[first, len(i)], pa.int32()), pairs)], ["id", "part"])
+
+    if kind == "histogram":
+        rows = _whole(rows)
+    left, right = _packed(centres.where("id is not null"), kind, "id", max(1, _size(kind) // CENTRES)), _packed(rows.where("id is not null"), kind, "id", _size(kind))
+    parts = _compared(_units(left, right, kind, limit, once=False), kind, limit, give, "id long, part array<struct<contentid: long, distance: int>>")
+    lists = parts.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("pairs"))
+    empty = F.array().cast("array<struct<contentid: long, distance: int>>")
+    return centres.join(lists, "id", "left").select("id", "score", "total", "counts", F.coalesce("pairs", empty).alias("pairs"))
+
+
+def compare(rows: DataFrame, kind: str, limit: int, factors: list[int], k: int = 10_000, listed: int | None = None) -> DataFrame:
+    """id, score, total, counts, pairs of the top k centres over rows (id, h).
+
+    listed: the limit of the listed neighbours, where only nearer ones are wanted than the scores count.
+    """
     rows = rows.where("h is not null")
-    near = kept(close_classes(rows, kind, limit))  # read twice
-    return neighbour_lists(top_centres(rows, scores(neighbour_counts(rows, near), factors), k), rows, near)
+    centres = kept(top_centres(rows, scores(counted_neighbours(rows, kind, limit), factors), k))
+    return neighbour_lists(centres, rows, kind, limit if listed is None else listed)
 
 
 def similar_pairs(rows: DataFrame, kind: str, limit: int) -> DataFrame:
@@ -200,6 +384,7 @@ def with_paths(compared: DataFrame, paths: DataFrame, divisor: float, least: flo
     at = paths.select("contentid", F.struct("dir", "name").alias("at"))
     text = lambda x: F.concat_ws("/", x["dir"], x["name"])
     known = at.groupBy("contentid").agg(F.transform(F.array_sort(F.collect_list("at")), text).alias("p")) if all_paths else at.groupBy("contentid").agg(text(F.min("at")).alias("p"))
+    compared = kept(compared)  # read three times
     near = compared.select("id", "score", F.explode("pairs").alias("o")).select("id", "score", "o.contentid", (1 - F.col("o.distance") / F.lit(divisor)).alias("similarity")).where(F.col("similarity") >= least)
     rows = near.join(known.select(F.col("contentid").alias("id"), F.col("p").alias("p1")), "id").join(known.withColumnRenamed("p", "p2"), "contentid")
     if not all_paths:

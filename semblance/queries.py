@@ -332,8 +332,8 @@ HAMMING_SCORES = HAMMING_COUNTS + BEST.format(10_000)
 @query(f"{HAMMING_COUNTS}{BEST.format(100)} SELECT * FROM top")
 def hamming_scores_topk(spark, sf_dir):
     rows = _signed(spark, sf_dir)
-    near = similarity.close_classes(rows, "hamming", formatting.max_distance(0.8, 3))
-    top = similarity.top_centres(rows, similarity.scores(similarity.neighbour_counts(rows, near), similarity.HAMMING_FACTORS), 100)
+    counts = similarity.counted_neighbours(rows, "hamming", formatting.max_distance(0.8, 3))
+    top = similarity.top_centres(rows, similarity.scores(counts, similarity.HAMMING_FACTORS), 100)
     return top.select("id", "score", "total", _counts_text().alias("counts"))
 
 
@@ -364,9 +364,9 @@ def histogram_pairs_rgb(spark, sf_dir):
 @query(f"""WITH {_sql_histograms(1)}, counts AS (SELECT id, distance, count(*) AS n FROM close WHERE distance < 9 GROUP BY 1, 2)
 SELECT id, sum(least(n, 255) * (40 - distance))::BIGINT AS score, sum(n)::BIGINT AS total FROM counts GROUP BY 1 ORDER BY score DESC, id LIMIT 50""")
 def histogram_scores_topk(spark, sf_dir):
-    rows = _histograms(spark, sf_dir)
-    near = similarity.close_classes(rows, "histogram", formatting.max_distance(0.9, 1))
-    return similarity.top_centres(rows, similarity.scores(similarity.neighbour_counts(rows, near), similarity.HISTOGRAM_FACTORS), 50).select("id", "score", "total")
+    rows = _histograms(spark, sf_dir).where("h is not null")
+    counts = similarity.counted_neighbours(rows, "histogram", formatting.max_distance(0.9, 1))
+    return similarity.top_centres(rows, similarity.scores(counts, similarity.HISTOGRAM_FACTORS), 50).select("id", "score", "total")
 
 
 PATHS = "paths AS (SELECT doc_id AS contentid, '/' || source || '/' || lang || '/' || doc_id AS path FROM documents)"
@@ -380,14 +380,14 @@ def _paths(spark, sf_dir) -> DataFrame:
 SELECT top.id AS content_id1, other AS content_id2, score, 1 - distance / 64.0::DOUBLE AS similarity, a.path AS path1, b.path AS path2, ctxt_index, ctxt_size
 FROM ranked top JOIN close ON close.id = top.id AND distance <= 6 JOIN paths a ON a.contentid = top.id JOIN paths b ON b.contentid = other""")
 def similar_pairs_paths(spark, sf_dir):
-    found = similarity.compare(_signed(spark, sf_dir), "hamming", formatting.max_distance(0.8, 3), similarity.HAMMING_FACTORS)
+    found = similarity.compare(_signed(spark, sf_dir), "hamming", formatting.max_distance(0.8, 3), similarity.HAMMING_FACTORS, listed=formatting.max_distance(0.9, 3))
     return similarity.with_paths(found, _paths(spark, sf_dir), 64.0, 0.9)
 
 
 @query(f"""{HAMMING_SCORES}, {PATHS} SELECT top.id, any_value(score) AS score, any_value(a.path) AS center, string_agg(other || '=' || b.path, ' ' ORDER BY other) AS others
 FROM top JOIN close ON close.id = top.id AND distance <= 6 JOIN paths a ON a.contentid = top.id JOIN paths b ON b.contentid = other GROUP BY 1""")
 def similar_buckets(spark, sf_dir):
-    found = similarity.compare(_signed(spark, sf_dir), "hamming", formatting.max_distance(0.8, 3), similarity.HAMMING_FACTORS)
+    found = similarity.compare(_signed(spark, sf_dir), "hamming", formatting.max_distance(0.8, 3), similarity.HAMMING_FACTORS, listed=formatting.max_distance(0.9, 3))
     made = similarity.with_paths(found, _paths(spark, sf_dir), 64.0, 0.9, all_paths=True)
     others = F.array_join(F.transform("others", lambda o: F.concat(o["contentid"].cast("string"), F.lit("="), F.array_join(o["paths"], "|"))), " ")
     return made.select("id", "score", F.array_join("center", "|").alias("center"), others.alias("others"))
@@ -476,7 +476,7 @@ def similar_pairs_csv(spark, sf_dir):
 FROM top JOIN close ON close.id = top.id AND distance <= 6 JOIN paths a ON a.contentid = top.id JOIN paths b ON b.contentid = other GROUP BY 1)
 SELECT '{{"score":' || score || ',"center":{{"paths":["' || center || '"]}},"others":[' || others || ']}}' AS item FROM o""")
 def similar_buckets_json(spark, sf_dir):
-    found = similarity.compare(_signed(spark, sf_dir), "hamming", formatting.max_distance(0.8, 3), similarity.HAMMING_FACTORS)
+    found = similarity.compare(_signed(spark, sf_dir), "hamming", formatting.max_distance(0.8, 3), similarity.HAMMING_FACTORS, listed=formatting.max_distance(0.9, 3))
     return render.similar_bucket_json(similarity.with_paths(found, _paths(spark, sf_dir), 64.0, 0.9, all_paths=True))
 
 

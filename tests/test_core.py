@@ -3,6 +3,7 @@ import os
 import shutil
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,3 +354,62 @@ def test_signature_files_are_numbered_over_blocks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert {i: h & (1 << 64) - 1 for i, h in got.items()} == {i: int(x, 16) for i, x in enumerate(lines) if x != "na"}
+
+
+def test_blocks_count_and_list_like_all_pairs(spark, monkeypatch):
+    """Several blocks and tiles, copies and null bins; counts, pairs and lists agree with all pairs."""
+    import random
+
+    monkeypatch.setattr(similarity, "COMPARE_NS", 0)
+    monkeypatch.setattr(similarity, "BLOCK", 160)
+    monkeypatch.setattr(similarity, "SPREAD", 1)
+    monkeypatch.setattr(similarity, "CENTRES", 2)
+    monkeypatch.setattr(similarity, "WIDE", 16)
+    monkeypatch.setattr(similarity, "TILE", {"hamming": 64, "histogram": 64})
+    monkeypatch.setattr(similarity, "HELD", 50)
+    rnd = random.Random(3)
+    bits = [rnd.getrandbits(64) for _ in range(6)]
+    hashes = [(rnd.choice(bits) ^ sum(1 << i for i in rnd.sample(range(64), rnd.randrange(0, 9)))) - (1 << 63) for _ in range(150)]
+    hashes += hashes[:20]
+    centres = {n: [[rnd.randrange(256) for _ in range(n)] for _ in range(5)] for n in (16, 48)}
+    bins = [[min(255, max(0, v + rnd.randrange(-30, 31))) for v in rnd.choice(centres[n])] for n in (16, 48) for _ in range(60)]
+    bins += [list(b) for b in bins[:10]] + [[255] * 48, [0] * 48, [None] + bins[0][1:], [None] + bins[0][1:]]
+
+    def percent(a, b):
+        if len(a) != len(b) or None in a or None in b:
+            return 99
+        sad = sum(abs(x - y) for x, y in zip(a, b, strict=True))
+        return 100 * (sad // 3 if len(a) == 48 else sad) // 4096
+
+    for kind, values, limit, within in (("hamming", hashes, 12, 12), ("histogram", bins, 9, 8)):
+        near = (lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()) if kind == "hamming" else percent
+        want = {i: [(j, d) for j, b in enumerate(values) if j != i and (d := near(a, b)) <= within] for i, a in enumerate(values)}
+        rows = spark.createDataFrame(list(enumerate(values)), f"id long, h {'long' if kind == 'hamming' else 'array<int>'}")
+        pairs = similarity.similar_pairs(rows, kind, limit).collect()
+        assert sorted((r.id1, r.id2, r.distance) for r in pairs) == sorted((i, j, d) for i, x in want.items() for j, d in x if i < j)
+        factors = similarity.HAMMING_FACTORS if kind == "hamming" else similarity.HISTOGRAM_FACTORS
+        got = {r.id: r for r in similarity.compare(rows, kind, limit, factors).collect()}
+        assert set(got) == {i for i, x in want.items() if x}
+        for i, r in got.items():
+            assert [tuple(p) for p in r.pairs] == want[i] and r.total == len(want[i]) and r.score == sum(factors[d] for _, d in want[i])
+        few = {r.id: r for r in similarity.compare(rows, kind, limit, factors, 40, listed=3).collect()}
+        assert sorted(few) == sorted(sorted(got, key=lambda i: (-got[i].score, i))[:40])
+        assert all([tuple(p) for p in r.pairs] == [(j, d) for j, d in want[i] if d <= (3 if kind == "hamming" else 2)] for i, r in few.items())
+
+
+def test_comparisons_send_no_pairs_between_tasks(spark, monkeypatch):
+    """Scores come from counts, and lists from the centres: no table of all close pairs is made."""
+    monkeypatch.setattr(similarity, "COMPARE_NS", 0)
+    monkeypatch.setattr(similarity, "_close_in_blocks", lambda *a: pytest.fail("all pairs were made"))
+    monkeypatch.setattr(similarity, "_close_by_bands", lambda *a: pytest.fail("all pairs were made"))
+    rows = spark.createDataFrame([(1, 7), (2, 6), (3, -1)], "id long, h long")
+    assert [(r.id, r.total, [tuple(p) for p in r.pairs]) for r in similarity.compare(rows, "hamming", 12, similarity.HAMMING_FACTORS).orderBy("id").collect()] == [(1, 1, [(2, 1)]), (2, 1, [(1, 1)])]
+
+
+def test_text_signatures_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(signatures, "PIECE", 100)
+    texts = [None, "", "a" * 63, "ä" * 64, "abc" * 40, "é€𝄞x" * 50, "y" * 500]
+    column = pa.array(["zz", *texts])[1:]
+    whole = [signatures.points_of(pa.array([t or ""]))[0][0] for t in texts]
+    want = [None if len(t or "") < 64 else int("".join("1" if p * 64 >= w.sum() else "0" for p in w), 2) for t, w in zip(texts, whole, strict=True)]
+    assert [None if x is None else x & (1 << 64) - 1 for x in signatures.text_signature.func(column).to_pylist()] == want
