@@ -15,11 +15,20 @@ def format_bytes(n: Column) -> Column:
     n = n.cast("long")
     scaled = F.lit(None).cast("string")
     for power in range(1, len(UNITS)):
-        scaled = F.when(n >= 1024**power, F.format_string(f"%.1f {UNITS[power]}", n / F.lit(float(1024**power)))).otherwise(scaled)
+        scaled = F.when(n >= 1024**power, F.concat(_tenths(n, 10 * power), F.lit(f" {UNITS[power]}"))).otherwise(scaled)
     plain = F.format_number(n, 0)
     return F.when(scaled.isNull(), plain).otherwise(F.concat(plain, F.lit(" ("), scaled, F.lit(")")))
 
 
+def _tenths(n: Column, bits: int) -> Column:
+    """n / 2**bits, as a double, with one decimal as C and Python print it: ties to even, where Java rounds them up."""
+    n = n.cast("double").cast("long")
+    rest = n.bitwiseAND(F.lit((1 << bits) - 1).cast("long")) * 10
+    down, left, half = F.shiftright(rest, bits), rest.bitwiseAND(F.lit((1 << bits) - 1).cast("long")), 1 << bits - 1
+    digit = down + ((left > half) | ((left == half) & (down % 2 == 1))).cast("long")
+    return F.concat((F.shiftright(n, bits) + F.when(digit == 10, 1).otherwise(0)).cast("string"), F.lit("."), (digit % 10).cast("string"))
+
+
 def format_time_delta(seconds: Column) -> Column:
     """The two largest units: ``1d 2h``, ``3h 4m``, ``5m 6s`` or ``7s``."""
     s = F.floor(seconds.cast("double")).cast("long")

@@ -413,3 +413,13 @@ def test_text_signatures_in_pieces(spark, monkeypatch):
     whole = [signatures.points_of(pa.array([t or ""]))[0][0] for t in texts]
     want = [None if len(t or "") < 64 else int("".join("1" if p * 64 >= w.sum() else "0" for p in w), 2) for t, w in zip(texts, whole, strict=True)]
     assert [None if x is None else x & (1 << 64) - 1 for x in signatures.text_signature.func(column).to_pylist()] == want
+
+
+def test_format_bytes_rounds_ties_to_even(spark):
+    """As Python's and SQL's printf do: 1.25 is 1.2, 1.75 is 1.8, and what only comes near a tie is not one."""
+    numbers = [1280, 1792, 1279, 1281, 1024 + 717, 1024 + 718, 2047, 1048575, (1 << 20) + (1 << 18), (1 << 30) * 7 + (1 << 28), (1 << 40) * 3 + (1 << 38), (1 << 40) - 1, (1 << 53) + 1, (1 << 62) + (1 << 38) + 1]
+    numbers += [(k << 10) + f for k in range(1, 40) for f in (51, 256, 461, 768, 1023)]
+    units = lambda n: next((p for p in (4, 3, 2, 1) if n >= 1024**p))
+    want = [f"{n:,} ({n / 1024 ** units(n):.1f} {formatting.UNITS[units(n)]})" for n in numbers]
+    rows = spark.createDataFrame(list(enumerate(numbers)), "i long, n long").select("i", formatting.format_bytes(F.col("n")).alias("s"))
+    assert [r.s for r in rows.orderBy("i").collect()] == want
