@@ -49,7 +49,12 @@ def _files(spark, sf_dir) -> DataFrame:
 
 def _signed(spark, sf_dir) -> DataFrame:
     found = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), signatures.text_signature("text").alias("h"))
-    return kept(found.where("h is not null"))  # every text is read once
+    rows, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(rows, "1000")  # texts are long: of as many as usual, a batch is too large
+    try:
+        return kept(found.where("h is not null"))  # every text is read once
+    finally:
+        spark.conf.set(rows, before)
 
 
 def _histograms(spark, sf_dir, channels: int = 1) -> DataFrame:
