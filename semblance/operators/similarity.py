@@ -371,11 +371,27 @@ def compare(rows: DataFrame, kind: str, limit: int, factors: list[int], k: int =
 def similar_pairs(rows: DataFrame, kind: str, limit: int) -> DataFrame:
     """(id1, id2, distance), id1 < id2: every pair of rows within the limit."""
     rows = rows.where("h is not null")
+    if kind == "histogram":
+        return _row_pairs(rows, limit)
     near = close_classes(rows, kind, limit)
     a, b = rows.select(F.col("id").alias("id1"), "h"), rows.select(F.col("id").alias("id2"), F.col("h").alias("other"))
     return a.join(near, "h").join(b, "other").where("id1 < id2").select("id1", "id2", "distance")
 
 
+def _row_pairs(rows: DataFrame, limit: int) -> DataFrame:
+    """Pairs of rows with histograms: their ids go on, not the bins; equal rows are pairs of the result anyway."""
+
+    def give(x, vx, y, vy, same, found):
+        for i, j, d in found:
+            a, b = vx[i], vy[j]
+            use = a < b if same else a != b  # of one block both directions are found
+            a, b = a[use], b[use]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d[use].astype(np.int32))], ["id1", "id2", "distance"])
+
+    blocks = _packed(_whole(rows.where("id is not null")), "histogram", "id", _size("histogram"))
+    return _compared(_units(blocks, blocks, "histogram", _percent(limit), once=True), "histogram", limit, give, "id1 long, id2 long, distance int")
+
+
 def with_paths(compared: DataFrame, paths: DataFrame, divisor: float, least: float, *, all_paths: bool = False) -> DataFrame:
     """Pairs of a comparison as first paths with their similarity, or buckets of all paths. paths: contentid, dir, name.
 
