@@ -1,21 +1,26 @@
 """Near-duplicate passages by compact windows (operator 4).
 
-The tokens of a text are its n-word shingles. Under one min-hash function the nodes of the Cartesian tree over the
+The tokens of a text are its n-word shingles. Under a min-hash function the nodes of the Cartesian tree over the
 tokens' hashes group all subsequences with the same min-hash: a node at place c with extent [i, j] is the minimum
-of every subsequence from x to y with i <= x <= c <= y <= j. Only nodes whose extent holds ``least`` words are made,
-about 2 n / least of them, with ``hashes`` functions.
-
-1. Scan: windows go, packed, to ranges of (function, min-hash).
-2. Interval join: windows of one min-hash pair with the first of them by doc_id, and with the first that has the
-   same words on the left, or on the right, of the minimum; so a passage that stands in many documents gives a few
-   rows for each, never all pairs. Two windows join if their extents around the minimum have room for ``least`` words.
-   Windows of the first function also carry a byte of each shingle around: for each place that the minimum can have in
-   a passage of ``least`` words, those of one such passage pair with the first of them, so equal passages always meet
-   whatever other documents share the minimum, and need no second function.
-3. Pairs of documents that agree under ``need`` functions are verified, word by word, a word being 32 bits of its
+of every subsequence from x to y with i <= x <= c <= y <= j. Two passages of ``least`` words that replaced, inserted or
+deleted words leave ``percent`` % alike have a run of ``run`` equal shingles at least (``shared_run``: 21 of 46), and the
+minimum of that run is a node of both whose extent holds the run. So nodes whose extent holds ``run`` tokens, about
+2 n / run of them under one function, miss no pair.
+
+1. Scan: windows go, packed, to ranges of their min-hash.
+2. Interval join: a text that stands in many documents takes part once, for the first of them. Up to ``FEW`` windows of one
+   min-hash pair each with each, if they have a run of equal shingles around the minimum.
+3. Windows of a min-hash with more than that get the shingles around them, as far as the shortest similar passage can
+   reach. A shingle that at most ``RARE`` of them hold pairs these. Two that have no rare one in common are alike by the
+   others alone, and so are all with the same pattern of these: a pattern that is similar enough in itself, or to another,
+   pairs its windows with the first of its kind, and kinds are joined until none that are alike stay apart.
+4. Pairs of documents are verified, word by word, a word being 32 bits of its
    hash: from the joined minima equal shingles are followed to both sides, over replaced, inserted and deleted words, to passages of at least ``least``
-   words whose shingles have a Jaccard similarity of at least 0.8.
+   words whose shingles have a Jaccard similarity of at least ``percent`` %.
 
+A pair of different texts with a passage in common is thus a row, or both hang together by rows with others that hold it:
+by 3., and where the passages of both are rows with the earliest source of the one, which then stand for the pair. A text
+that an earlier document holds whole is reported for that document, not for all others that are like it.
 A passage's earliest document by doc_id is its source and is not reported for it; passages that a text repeats
 within itself alone are left alone.
 
@@ -32,23 +37,43 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import kept
 from .common import flat, keyed_texts, lean, mix, nested, read_table, runs_of, shingles_of, text_buffers, words_of
 
-#: Bytes of text whose windows a range holds, about; windows that a task sorts at once; words compared beside a minimum.
-RANGE_BYTES, BLOCK_WINDOWS, CONTEXT = 8 << 20, 400_000, 8
-_EXACT_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text whose windows a range holds, about; windows that a task sorts at once; pairs compared at once.
+RANGE_BYTES, BLOCK_WINDOWS, BLOCK_PAIRS = 8 << 20, 100_000, 4000
+#: Windows of one min-hash that pair each with each; windows with a shingle in common that do, where there are more.
+FEW, RARE = 8, 16
 _SEEDS = np.random.default_rng(411).integers(1, 1 << 63, 64, dtype=np.uint64)
-_WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("left", "<u4"), ("right", "<u4"), ("before", "<u2"), ("after", "<u2"), ("f", "u1")])
 
 
-def _around(width: int) -> np.dtype:
-    """Windows of the first function: shingles to the left and right within a passage, and a byte of each."""
-    return np.dtype([("key", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("left", "<u2"), ("right", "<u2"), ("near", "u1", (2 * width - 1,))])
+def _window(run: int) -> np.dtype:
+    """Extents, whether an equal minimum is near, and a byte of each shingle that a run around the minimum can hold."""
+    return np.dtype([("key", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("left", "<u4"), ("right", "<u4"), ("tied", "u1"), ("near", "u1", (2 * run - 1,))])
+
+
+_WINDOW = _window(1)
+
+
+def least_equal(n: int, width: int, percent: int, gaps: int) -> int:
+    """The fewest equal shingles of two passages of width shingles at least, similar enough, with so many gaps.
+
+    A replaced, inserted or deleted word costs both together 2 n - 1 shingles at least.
+    """
+    if not gaps:
+        return width
+    most = max(2 * width, (2 * n - 1) * gaps)
+    return min(max(-(-percent * g // max(100 - percent, 1)), -(-(2 * width - g) // 2)) for g in range((2 * n - 1) * gaps, most + 1))
+
+
+def shared_run(n: int, width: int, percent: int) -> int:
+    """The length that the longest run of equal shingles of two similar passages has at least."""
+    gaps = range(1 if percent < 100 else 0)
+    return max(1, min([width, *(-(-least_equal(n, width, percent, k) // (k + 1)) for g in gaps for k in range(g + 1, width + 1))]))
 
 
 def _slide(values: np.ndarray, width: int, op) -> np.ndarray:
@@ -101,125 +126,326 @@ def cartesian_windows(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple
     step = (chosen - chosen[run]) // width
     use = ~same
     use[1:] |= same[1:] & (step[1:] != step[:-1])
+    use[:-1] |= same[:-1] & ~same[1:]  # the last of such a run as well: texts meet at either end of it
+    use[-1:] = True
     return chosen[use], left[use], right[use]
 
 
-def windows_of(docs: DataFrame, n: int, width: int, hashes: int, ranges: int) -> DataFrame:
-    """(part, around, blob): packed windows by range of their key, those with the shingles around them apart."""
+def _packed(held: list[np.ndarray], ranges: int) -> pa.RecordBatch:
+    """(part, blob): rows by range of their key."""
+    got = np.concatenate(held)
+    part = ((got["key"] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    order = np.argsort(part, kind="stable")
+    part, got = part[order], got[order]
+    edges = runs_of(part)
+    names, blobs = pa.array([int(part[a]) for a, _ in edges], pa.int64()), pa.array([got[a:b].tobytes() for a, b in edges], pa.binary())
+    return pa.RecordBatch.from_arrays([names, blobs], ["part", "blob"])
 
-    def packed(held, around):
-        got = np.concatenate(held)
-        part = ((got["key"] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        part, got = part[order], got[order]
-        edges = runs_of(part)
-        names, blobs = pa.array([int(part[a]) for a, _ in edges], pa.int64()), pa.array([got[a:b].tobytes() for a, b in edges], pa.binary())
-        return pa.RecordBatch.from_arrays([names, pa.array([around] * len(edges), pa.bool_()), blobs], ["part", "around", "blob"])
 
-    reach = np.arange(1 - width, width)
+def windows_of(docs: DataFrame, n: int, run: int, ranges: int) -> DataFrame:
+    """(part, blob): packed windows by range of their key."""
+    reach = np.arange(1 - run, run)
 
-    def run(batches):
-        held, exact, count = [], [], 0
+    def scan(batches):
+        held, count = [], 0
         for batch in batches:
             ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
             for first, _, words, offsets, _, _ in words_of(batch.column("text")):
                 tokens, rows = shingles_of(words, offsets, n, whole=False)
-                if len(tokens) < width:
+                hashes = mix(tokens + _SEEDS[0]) | np.uint64(1)
+                at, left, right = cartesian_windows(hashes, rows, run)
+                if not len(at):
                     continue
                 starts = np.searchsorted(rows, np.arange(len(offsets) - 1))
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(tokens)])
-                small = (tokens >> np.uint64(56)).astype(np.uint8)
-                for f in range(hashes):
-                    at, left, right = cartesian_windows(mix(tokens + _SEEDS[f]) | np.uint64(1), rows, width)
-                    if not len(at):
-                        continue
-                    got, row = np.zeros(len(at), _WINDOW), rows[at]
-                    got["key"], got["f"] = mix(mix(tokens[at] + _SEEDS[f]) + np.uint64(f)), f
-                    got["doc"], got["tag"], got["at"] = ids[first + row], tags[first + row], at - starts[row]
-                    got["left"], got["right"] = left, right
-                    low = np.maximum(at - CONTEXT, starts[row])
-                    high = np.minimum(at + 1 + CONTEXT, np.searchsorted(rows, row, "right"))
-                    got["before"] = (mix(sums[at] - sums[low]) & np.uint64(65535)).astype(np.uint16)
-                    got["after"] = (mix(sums[high] - sums[at + 1]) & np.uint64(65535)).astype(np.uint16)
-                    held.append(got)
-                    count += len(got)
-                    if f == 0:
-                        full = np.zeros(len(at), _around(width))
-                        for c in ("key", "doc", "tag", "at"):
-                            full[c] = got[c]
-                        full["left"], full["right"] = np.minimum(left, width - 1), np.minimum(right, width - 1)
-                        full["near"] = small[np.clip(at[:, None] + reach, 0, len(small) - 1)]
-                        exact.append(full)
+                got, row = np.zeros(len(at), _window(run)), rows[at]
+                got["key"], got["doc"], got["tag"], got["at"] = mix(tokens[at] + _SEEDS[1]), ids[first + row], tags[first + row], at - starts[row]
+                got["left"], got["right"] = left, right
+                tied = (hashes[at[1:]] == hashes[at[:-1]]) & (row[1:] == row[:-1]) & (at[1:] - at[:-1] < 2 * run)
+                got["tied"][1:] |= tied
+                got["tied"][:-1] |= tied
+                got["near"] = (tokens >> np.uint64(56)).astype(np.uint8)[np.clip(at[:, None] + reach, 0, len(tokens) - 1)]
+                held.append(got)
+                count += len(got)
                 if count >= BLOCK_WINDOWS:
-                    yield packed(held, False)
-                    yield packed(exact, True)
-                    held, exact, count = [], [], 0
+                    yield _packed(held, ranges)
+                    held, count = [], 0
         if count:
-            yield packed(held, False)
-        if exact:
-            yield packed(exact, True)
+            yield _packed(held, ranges)
 
-    return docs.mapInArrow(lean(run), "part long, around boolean, blob binary")
+    return docs.mapInArrow(lean(scan), "part long, blob binary")
 
 
-_JOINED = "doc_id long, tag long, source_id long, source_tag long, shift long, low long, high long, at long, f long"
+_JOINED = "doc_id long, tag long, at long, source_id long, source_tag long, source_at long, key long"
 
 
-def _equal_passages(rows: np.ndarray, width: int, f: int) -> np.ndarray:
-    """Windows with the first, in another document, of all that have the same width shingles around the minimum."""
+def _groups(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows ordered by key, doc, tag and place, each once, and where each key's begin and how many they are."""
+    rows = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column("blob")])
     rows = rows[np.lexsort((rows["at"], rows["tag"], rows["doc"], rows["key"]))]
-    cut = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]])
-    size = np.diff(np.r_[cut, len(rows)])
-    rows = rows[np.repeat(size > 1, size)]
-    found = [np.zeros((9, 0), np.int64)]
-    power = np.multiply.accumulate(np.full(width, _EXACT_BASE))
-    for a in range(width):  # shingles of the passage before the minimum
-        got = np.flatnonzero((rows["left"] >= a) & (rows["right"] >= width - 1 - a))
-        if len(got) < 2:
-            continue
-        content = mix(rows["near"][got, width - 1 - a : 2 * width - 1 - a].astype(np.uint64) @ power) ^ rows["key"][got]
-        order = np.argsort(content, kind="stable")  # of equal ones the first document first
-        got, content = got[order], content[order]
-        new = np.r_[True, content[1:] != content[:-1]]
-        first = rows[got[np.maximum.accumulate(np.where(new, np.arange(len(got)), 0))]]
-        own = rows[got]
-        use = (own["doc"] != first["doc"]) | (own["tag"] != first["tag"])
-        own, first = own[use], first[use]
-        at = own["at"].astype(np.int64)
-        found.append(np.stack([own["doc"], own["tag"], first["doc"], first["tag"], at - first["at"], at - a, at + width - 1 - a, at, np.full(len(at), f)]))
-    return np.concatenate(found, 1)
-
-
-def interval_join(windows: DataFrame, ranges: int, width: int, hashes: int) -> DataFrame:
-    """Each window with the first of its min-hash, overall, by context and by passage, in another document.
-
-    f: the function that agrees, or hashes for an equal passage.
+    if len(rows):
+        rows = rows[np.r_[True, np.logical_or.reduce([rows[c][1:] != rows[c][:-1] for c in ("key", "doc", "tag", "at")])]]
+    return rows, *_sizes(rows)
+
+
+def _sizes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cut = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]]) if len(rows) else np.zeros(0, np.int64)
+    return cut, np.diff(np.r_[cut, len(rows)])
+
+
+def _pairs_table(rows: np.ndarray, own: np.ndarray, source: np.ndarray, alone: np.ndarray = np.zeros(0, np.int64)) -> pa.Table:
+    """Pairs of rows, and rows without a source."""
+    both, k = np.r_[own, alone], len(own)
+    columns = [rows[c][both].astype(np.int64) for c in ("doc", "tag", "at")] + [np.r_[rows[c][source].astype(np.int64), np.zeros(len(alone), np.int64)] for c in ("doc", "tag", "at")]
+    none = np.arange(len(both)) >= k
+    arrays = [pa.array(x) for x in columns[:3]] + [pa.array(x, mask=none) for x in columns[3:]] + [pa.array(rows["key"][both].view(np.int64))]
+    return pa.table({c.split()[0]: x for c, x in zip(_JOINED.split(", "), arrays, strict=True)})
+
+
+def _other_text(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (rows["doc"][a] != rows["doc"][b]) | (rows["tag"][a] != rows["tag"][b])
+
+
+def _run_around(rows: np.ndarray, a: np.ndarray, b: np.ndarray, run: int) -> np.ndarray:
+    """Which pairs of windows have equal shingles, run of them at least, around their minimum."""
+    out = np.zeros(len(a), bool)
+    for x in range(0, len(a), BLOCK_WINDOWS):
+        i, j = a[x : x + BLOCK_WINDOWS], b[x : x + BLOCK_WINDOWS]
+        same = rows["near"][i] == rows["near"][j]
+        before = np.logical_and.accumulate(same[:, : run - 1][:, ::-1], axis=1).sum(1)
+        after = np.logical_and.accumulate(same[:, run:], axis=1).sum(1)
+        left, right = np.minimum(rows["left"][i], rows["left"][j]), np.minimum(rows["right"][i], rows["right"][j])
+        out[x : x + BLOCK_WINDOWS] = np.minimum(before, left) + np.minimum(after, right) + 1 >= run
+        out[x : x + BLOCK_WINDOWS] |= (rows["tied"][i] & rows["tied"][j]).astype(bool)  # other places of the run may be chosen
+    return out
+
+
+def interval_join(windows: DataFrame, ranges: int, run: int) -> DataFrame:
+    """Pairs of windows of one min-hash in different documents, and, without a source, windows of which there are more than FEW."""
+
+    def join(key, table):
+        rows, cut, size = _groups(table, _window(run))
+        # copies of a text: the first by doc_id takes part for all, and each other pairs with it
+        order = np.lexsort((rows["doc"], rows["at"], rows["tag"], rows["key"]))
+        new = np.ones(len(rows), bool)
+        new[1:] = np.logical_or.reduce([rows[c][order[1:]] != rows[c][order[:-1]] for c in ("key", "tag", "at")])
+        first = order[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+        found = [np.stack([order[~new], first[~new]])]
+        held = np.sort(order[new])
+        rows_left = rows[held]
+        cut, size = _sizes(rows_left)
+        for m in range(2, FEW + 1):
+            begin = cut[size == m]
+            a, b = np.triu_indices(m, 1)
+            i, j = (begin[:, None] + b).ravel(), (begin[:, None] + a).ravel()
+            use = _other_text(rows_left, i, j)
+            i, j = i[use], j[use]
+            use = _run_around(rows_left, i, j, run)
+            found.append(np.stack([held[i[use]], held[j[use]]]))
+        many = np.repeat(size > FEW, size)
+        if many.any():  # of several texts
+            group = np.repeat(np.arange(len(cut)), size)
+            start = cut[group]
+            many &= np.bincount(group, _other_text(rows_left, np.arange(len(rows_left)), start))[group] > 0
+        own, source = np.concatenate(found, 1)
+        return _pairs_table(rows, own, source, held[many])
+
+    return windows.repartition(ranges, "part").groupBy("part").applyInArrow(lean(join), _JOINED)
+
+
+def _around(reach: int) -> np.dtype:
+    """Windows with 32 bits of each shingle so far to both sides, 0 beyond the text."""
+    return np.dtype([("key", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("near", "<u4", (2 * reach + 1,))])
+
+
+def surrounded(rows: DataFrame, n: int, reach: int, ranges: int) -> DataFrame:
+    """(part, blob): packed windows with the shingles around them, of rows (doc_id, tag, text, places: key and at)."""
+    kind, step = _around(reach), np.arange(-reach, reach + 1)
+
+    def scan(batches):
+        held, count = [], 0
+        for batch in batches:
+            ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
+            places = batch.column("places")
+            for first, many, words, offsets, _, _ in words_of(batch.column("text")):
+                for r in range(many):
+                    mine = words[offsets[r] : offsets[r + 1]]
+                    tokens, _ = shingles_of((mine >> np.uint64(32)), np.array([0, len(mine)]), n, whole=False)
+                    small = np.maximum((tokens >> np.uint64(32)).astype("<u4"), 1)
+                    flat_places = places[first + r].values
+                    keys, ats = (flat_places.field(c).to_numpy(zero_copy_only=False) for c in ("key", "at"))
+                    for x in range(0, len(ats), BLOCK_PAIRS):
+                        at = ats[x : x + BLOCK_PAIRS, None] + step
+                        got = np.zeros(len(at), kind)
+                        got["key"], got["doc"], got["tag"], got["at"] = keys[x : x + BLOCK_PAIRS].view(np.uint64), ids[first + r], tags[first + r], ats[x : x + BLOCK_PAIRS]
+                        got["near"] = np.where((at >= 0) & (at < len(small)), small[np.clip(at, 0, len(small) - 1)], 0)
+                        held.append(got)
+                        count += len(got)
+                        if count >= BLOCK_PAIRS * 2:
+                            yield _packed(held, ranges)
+                            held, count = [], 0
+        if count:
+            yield _packed(held, ranges)
+
+    return rows.select("doc_id", "tag", "text", "places").mapInArrow(lean(scan), "part long, blob binary")
+
+
+def _numbered(near: np.ndarray) -> np.ndarray:
+    """near by rows in order, equal shingles of a row numbered, so that rows compare as multisets; 0 is of its row alone."""
+    near = np.sort(near, axis=1)
+    place = np.arange(near.shape[1])
+    new = np.ones(near.shape, bool)
+    new[:, 1:] = near[:, 1:] != near[:, :-1]
+    out = (near.astype(np.uint64) << np.uint64(16)) + (place - np.maximum.accumulate(np.where(new, place, 0), axis=1)).astype(np.uint64)
+    return out
+
+
+def _in_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many numbered shingles the rows of x and y have in common."""
+    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    return ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 1 << 16)).sum(1)
+
+
+def _by_rare(near: np.ndarray, common: np.ndarray, order: np.ndarray, value: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with a rare shingle and at least so many shingles in common.
+
+    value and order: each row's distinct shingles, ordered, and their rows; common: which are not rare.
     """
+    row, value = order[~common], value[~common]
+    m, none = len(near), np.zeros(0, np.int64)
+    if not len(row):
+        return none, none
+    cut = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+    size = np.diff(np.r_[cut, len(value)])
+    codes = [none]
+    for k in np.unique(size[size > 1]).tolist():
+        begin = cut[size == k]
+        a, b = np.triu_indices(k, 1)
+        for x in range(0, len(begin), BLOCK_WINDOWS):
+            i, j = row[(begin[x : x + BLOCK_WINDOWS, None] + b).ravel()], row[(begin[x : x + BLOCK_WINDOWS, None] + a).ravel()]
+            codes.append(np.unique(np.maximum(i, j) * m + np.minimum(i, j)))
+            if len(codes) > 32:
+                codes = [np.unique(np.concatenate(codes))]
+    own, source = np.divmod(np.unique(np.concatenate(codes)), m)
+    numbered, use = _numbered(near), np.zeros(len(own), bool)
+    for x in range(0, len(own), BLOCK_PAIRS):
+        use[x : x + BLOCK_PAIRS] = _in_common(numbered[own[x : x + BLOCK_PAIRS]], numbered[source[x : x + BLOCK_PAIRS]]) >= least
+    return own[use], source[use]
+
+
+def _best_score(held: np.ndarray, reach: int, width: int, percent: int) -> np.ndarray:
+    """The best that a passage of width shingles at least around the middle can score, by which shingles the other text holds.
+
+    Two passages are similar enough if their scores together are not below 0.
+    """
+    sums = np.cumsum(np.where(held, np.int32(100 - percent), np.int32(-2 * percent)), axis=1, dtype=np.int32)
+    ahead = np.maximum.accumulate(sums[:, ::-1], axis=1)[:, ::-1]
+    start = np.arange(min(reach + 1, held.shape[1] - width + 1))
+    before = np.concatenate([np.zeros((len(held), 1), sums.dtype), sums], axis=1)
+    return (ahead[:, np.maximum(reach, start + width - 1)] - before[:, start]).max(1)
+
 
-    def run(key, table):
-        blobs = [[np.frombuffer(x.as_buffer(), kind) for x, y in zip(table.column("blob"), table.column("around").to_pylist(), strict=True) if y == around] for kind, around in ((_WINDOW, False), (_around(width), True))]
-        rows = np.unique(np.concatenate(blobs[0])) if blobs[0] else np.zeros(0, _WINDOW)
-        cut = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]]) if len(rows) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[cut, len(rows)])
-        rows = rows[np.repeat(size > 1, size)]  # sorted by key, doc, tag and place
-        found = [_equal_passages(np.concatenate(blobs[1]), width, hashes)] if blobs[1] else []
-        if len(rows):
-            for side in (None, "before", "after"):
-                order = np.arange(len(rows)) if side is None else np.lexsort((np.arange(len(rows)), rows[side], rows["key"]))
-                got = rows[order]
-                new = np.r_[True, got["key"][1:] != got["key"][:-1]]
-                if side:
-                    new[1:] |= got[side][1:] != got[side][:-1]
-                first = got[np.maximum.accumulate(np.where(new, np.arange(len(got)), 0))]
-                left, right = np.minimum(got["left"], first["left"]).astype(np.int64), np.minimum(got["right"], first["right"]).astype(np.int64)
-                use = ((got["doc"] != first["doc"]) | (got["tag"] != first["tag"])) & (left + right + 1 >= width)
-                got, first, left, right = got[use], first[use], left[use], right[use]
-                at = got["at"].astype(np.int64)
-                found.append(np.stack([got["doc"], got["tag"], first["doc"], first["tag"], at - first["at"], at - left, at + right, at, got["f"].astype(np.int64)]))
-        out = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((9, 0), np.int64)
-        return pa.table({c.split()[0]: pa.array(x) for c, x in zip(_JOINED.split(", "), out, strict=True)})
-
-    return windows.repartition(ranges, "part").groupBy("part").applyInArrow(lean(run), _JOINED)
+def _by_pattern(near: np.ndarray, text: np.ndarray, n: int, width: int, percent: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that are similar by common shingles alone (near, others 0): each with the first of a like pattern.
+
+    text: a number for the text of each row. Patterns are compared, in the order of their first rows, until all that are
+    alike hang together.
+    """
+    reach = near.shape[1] // 2
+    near = near.copy()
+    # a passage around the minimum ends where the shingles up to there make up for the gaps, with the best of the other side
+    score = np.where(near != 0, 100 - percent, -percent)
+    sides = [np.cumsum(score[:, reach - 1 :: -1], axis=1), np.cumsum(score[:, reach + 1 :], axis=1)]
+    best = [np.maximum(x.max(1), 0) + 100 - percent for x in sides]
+    for side, x, other in ((near[:, reach - 1 :: -1], sides[0], best[1]), (near[:, reach + 1 :], sides[1], best[0])):
+        side *= np.logical_or.accumulate((x + other[:, None] >= 0)[:, ::-1], axis=1)[:, ::-1]
+    rows = np.flatnonzero((near != 0).sum(1) >= least)
+    none = np.zeros(0, np.int64)
+    if len(rows) < 2:
+        return none, none
+    _, begin, kind = np.unique(near[rows].view(f"V{near.shape[1] * 4}").ravel(), return_index=True, return_inverse=True)
+    members = np.split(rows[np.argsort(kind, kind="stable")], np.cumsum(np.bincount(kind))[:-1])
+    members = [members[k] for k in np.argsort(begin)]  # rows of each pattern in order, patterns by their first row
+    shapes = near[[x[0] for x in members]]
+    numbered = _numbered(shapes)
+    names, which = np.unique(numbered, return_inverse=True)
+    holds = np.zeros((len(shapes), len(names)), np.float32)
+    holds[np.arange(len(shapes))[:, None], which.reshape(numbered.shape)] = 1
+    holds[:, names < 1 << 16] = 0
+    names, code = np.unique(shapes, return_inverse=True)
+    code = code.reshape(shapes.shape)
+    has = np.zeros((len(shapes), len(names)), bool)
+    has[np.arange(len(shapes))[:, None], code] = True
+    has[:, names == 0] = False
+    place = np.arange(near.shape[1], dtype=np.uint64)
+
+    def alike(p, q):
+        x, y = (np.where(shapes[k] != 0, shapes[k], place + np.uint64((side + 1) << 40)) for side, k in enumerate((p, q)))
+        return bool(joined_runs(aligned_runs(x, y, [(reach, reach)], width, percent), n, width, percent))
+
+    found = [np.zeros((2, 0), np.int64)]
+
+    together = np.zeros(len(members), bool)  # patterns whose windows hang together already
+
+    def pair(p, q):
+        for one, other in ((members[p], members[q]), (members[q], members[p])):
+            if one is members[q] and together[q]:
+                continue
+            another = other[text[other] != text[other[0]]]
+            first = np.where(text[one] != text[other[0]], other[0], another[0] if len(another) else other[0])
+            use = text[one] != text[first]
+            found.append(np.stack([np.maximum(one, first)[use], np.minimum(one, first)[use]]))
+        together[[p, q]] = True
+
+    part = np.arange(len(members))  # the patterns that hang together
+    for p in range(len(members)):
+        equal = holds[: p + 1] @ holds[p]
+        if len(members[p]) > 1 and equal[p] >= least and alike(p, p):
+            pair(p, p)
+        near_ones = np.flatnonzero(equal[:p] >= least)
+        same = (shapes[near_ones] == shapes[p]) & (shapes[p] != 0)
+        exact = sum(np.logical_and.accumulate(x, axis=1).sum(1) for x in (same[:, reach::-1], same[:, reach:])) > width
+        for q in near_ones[exact].tolist():
+            if part[q] != part[p]:
+                pair(p, q)
+                part[part == part[p]] = part[q]
+        near_ones = near_ones[part[near_ones] != part[p]]
+        held = has[near_ones][:, code[p]], has[p][code[near_ones]]
+        near_ones = near_ones[sum(_best_score(x, reach, width, percent) for x in held) >= 0]
+        for q in near_ones[np.argsort(-equal[near_ones], kind="stable")].tolist():  # likely ones first
+            if part[q] != part[p] and alike(p, q):
+                pair(p, q)
+                part[part == part[p]] = part[q]
+    own, source = np.unique(np.concatenate(found, 1), axis=1)
+    return own, source
+
+
+def frequent_join(windows: DataFrame, ranges: int, n: int, width: int, percent: int, reach: int) -> DataFrame:
+    """Pairs of windows of min-hashes with more than FEW, by the shingles around them."""
+    least = min(least_equal(n, width, percent, k) for k in range(2 if percent < 100 else 1))
+
+    def join(key, table):
+        rows, cut, size = _groups(table, _around(reach))
+        found = [np.zeros((2, 0), np.int64)]
+        for begin, m in zip(cut.tolist(), size.tolist(), strict=True):
+            mine = rows[begin : begin + m]
+            near = np.ascontiguousarray(mine["near"])
+            seen = np.unique((near.astype(np.uint64) << np.uint64(32)) + np.arange(m, dtype=np.uint64)[:, None])
+            seen = seen[np.searchsorted(seen, np.uint64(1 << 32)) :]
+            value, order = (seen >> np.uint64(32)).astype(np.uint32), (seen & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            kinds, many = np.unique(value, return_counts=True)
+            common = np.repeat(many > RARE, many)
+            hot = kinds[many > RARE]
+            pairs = [_by_rare(near, common, order, value, least)]
+            if len(hot):
+                text = np.cumsum(np.r_[0, (mine["doc"][1:] != mine["doc"][:-1]) | (mine["tag"][1:] != mine["tag"][:-1])])
+                at = np.minimum(np.searchsorted(hot, near), len(hot) - 1)
+                pairs.append(_by_pattern(np.where(hot[at] == near, near, np.uint32(0)), text, n, width, percent, least))
+            found += [np.stack(x) + begin for x in pairs]
+        own, source = np.unique(np.concatenate(found, 1), axis=1)
+        use = _other_text(rows, own, source)
+        return _pairs_table(rows, own[use], source[use])
+
+    return windows.repartition(ranges, "part").groupBy("part").applyInArrow(lean(join), _JOINED)
 
 
 def matching_passages(same: np.ndarray, n: int, width: int, percent: int) -> list[tuple[int, int, int]]:
@@ -333,22 +559,29 @@ def aligned_runs(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], wid
     return sorted(runs)
 
 
-def duplicate_passages(docs: DataFrame, *, n: int = 5, least: int = 50, percent: int = 80, hashes: int = 4, need: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_passages(docs: DataFrame, *, n: int = 5, least: int = 50, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tag (xxhash64 of the text), start, end (words), source_id, source_tag, source_start, equal (shingles)."""
     if least < n:
         raise ValueError("a passage holds a shingle at least")
     spark, width = docs.sparkSession, least - n + 1
+    run = shared_run(n, width, percent)
     texts = keyed_texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
-    joined = interval_join(windows_of(texts, n, width, hashes, ranges), ranges, width, hashes)
+    joined = kept(interval_join(windows_of(texts, n, run, ranges), ranges, run))
+    many = joined.where("source_at is null").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("key", "at")).alias("places"))
+    # a passage holds a similar one of less than 5/2 width, with a run to which the minimum belongs or is near
+    around = surrounded(texts.join(many, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]), n, 5 * width // 2 + run, ranges)
+    joined = joined.where("source_at is not null").union(frequent_join(around, ranges, n, width, percent, 5 * width // 2 + run))
     pair = ["doc_id", "tag", "source_id", "source_tag"]
-    edge = lambda c: F.greatest(c - width, F.lit(0))
+    # runs too short for a window of their own stand beside the others, no farther than twice as long as these
+    edge = lambda c: F.greatest(F.min(c) - 2 * (F.max(c) - F.min(c)) - 4 * width, F.lit(0))
+    end = lambda c: F.max(c) + 2 * (F.max(c) - F.min(c)) + 4 * width + n
     agreed = joined.groupBy(*pair).agg(
-        edge(F.min("low")).alias("low"), (F.max("high") + n + width).alias("high"), edge(F.min(F.col("low") - F.col("shift"))).alias("source_low"),
-        (F.max(F.col("high") - F.col("shift")) + n + width).alias("source_high"), F.collect_set(F.struct("at", "shift")).alias("seeds"), F.bit_or(F.expr("shiftleft(1L, int(f))")).alias("fs"),
-    ).where((F.bit_count("fs") >= need) | (F.col("fs") >= 1 << hashes))
-    candidates = kept(agreed.drop("fs"))
+        edge("at").alias("low"), end("at").alias("high"), edge("source_at").alias("source_low"), end("source_at").alias("source_high"),
+        F.collect_set(F.struct("at", (F.col("at") - F.col("source_at")).alias("shift"))).alias("seeds"),
+    )
+    candidates = kept(agreed)
     side = lambda d, t, low, high: candidates.select(F.col(d).alias("doc_id"), F.col(t).alias("tag"), F.col(low).alias("low"), F.col(high).alias("high"))
     wanted = side("doc_id", "tag", "low", "high").union(side("source_id", "source_tag", "source_low", "source_high")).groupBy("doc_id", "tag").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     parts = kept(_parts(texts.join(wanted, ["doc_id", "tag"])).dropDuplicates(["doc_id", "tag"]))
@@ -356,7 +589,15 @@ def duplicate_passages(docs: DataFrame, *, n: int = 5, least: int = 50, percent:
     own = candidates.join(parts, ["doc_id", "tag"]).select(*candidates.columns, cut("low", "high").alias("own"))
     both = own.join(parts.select(F.col("doc_id").alias("source_id"), F.col("tag").alias("source_tag"), "first", "words"), ["source_id", "source_tag"])
     both = both.select(*candidates.columns, "own", cut("source_low", "source_high").alias("other"))
-    return _verified(both, n, width, percent).withColumns({c: F.nullif(F.col(c), F.lit(-(1 << 63))) for c in ("doc_id", "source_id")})
+    return _without_implied(kept(_verified(both, n, width, percent))).withColumns({c: F.nullif(F.col(c), F.lit(-(1 << 63))) for c in ("doc_id", "source_id")})
+
+
+def _without_implied(found: DataFrame) -> DataFrame:
+    """found without rows whose passage and whose source's passage are both rows of the passage's earliest source."""
+    place = ["source_id", "source_tag", "source_start"]
+    first = F.min(F.struct(*place)).over(Window.partitionBy("doc_id", "tag", "start", "end"))
+    linked = found.select(*[F.col(c).alias(f"source_{name}") for c, name in (("doc_id", "id"), ("tag", "tag"), ("start", "start"), ("end", "end"))], F.struct(*place).alias("first")).distinct()
+    return found.withColumn("first", first).join(linked, [*place, "source_end", "first"], "left_anti").select([c for c in found.columns if c != "source_end"])
 
 
 def _parts(rows: DataFrame) -> DataFrame:
@@ -374,7 +615,7 @@ def _parts(rows: DataFrame) -> DataFrame:
 
 
 def _verified(rows: DataFrame, n: int, width: int, percent: int) -> DataFrame:
-    names = ["doc_id", "tag", "start", "end", "source_id", "source_tag", "source_start", "equal"]
+    names = ["doc_id", "tag", "start", "end", "source_id", "source_tag", "source_start", "source_end", "equal"]
 
     def run(batches):
         for batch in batches:
@@ -383,9 +624,9 @@ def _verified(rows: DataFrame, n: int, width: int, percent: int) -> DataFrame:
             for doc, tag, source, source_tag, low, source_low, seeds, a, b in zip(*columns, batch.column("own"), batch.column("other"), strict=True):
                 x, y = (shingles_of(np.frombuffer(t.as_buffer(), "<u4").astype(np.uint64), np.array([0, len(t.as_buffer()) // 4]), n, whole=False)[0] for t in (a, b))
                 runs = aligned_runs(x, y, [(r["at"] - low, r["at"] - r["shift"] - source_low) for r in seeds], width, percent)
-                for start, end, source_start, _, equal in joined_runs(runs, n, width, percent):
-                    out.append((doc, tag, low + start, low + end, source, source_tag, source_low + source_start, equal))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 8)], names)
+                for start, end, source_start, source_end, equal in joined_runs(runs, n, width, percent):
+                    out.append((doc, tag, low + start, low + end, source, source_tag, source_low + source_start, source_low + source_end, equal))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * len(names))], names)
 
     return rows.mapInArrow(lean(run), ", ".join(f"{c} long" for c in names)).distinct()
 

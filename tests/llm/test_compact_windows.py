@@ -176,3 +176,90 @@ def test_a_passage_deep_in_very_long_texts(spark):
     texts[1][200_000:200_080] = texts[0][120_000:120_080]
     got = duplicate_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
     assert [(r.doc_id, r.start, r.end, r.source_id, r.source_start, r.equal) for r in got] == [(1, 200_000, 200_080, 0, 120_000, 76)]
+
+
+def linked_parts(pairs):
+    """The smallest of those that hang together with each."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(root)}
+
+
+def edited(rnd, passage, at):
+    """The passage with one word replaced, deleted or inserted."""
+    copy, kind = list(passage), rnd.randrange(3)
+    copy[at : at + (kind < 2)] = [f"new{rnd.randrange(10**9)}"] * (kind != 1)
+    return copy
+
+
+def test_later_documents_meet_though_an_earlier_one_shares_their_minima(spark):
+    """Two near copies of a passage, and before them documents that hold the stretch around each of its minima."""
+    rnd = random.Random(21)
+    docs, pairs = [], []
+    for _ in range(60):
+        t = text(rnd, 60)
+        docs += [text(rnd, 20) + t[a : a + 28] + text(rnd, 20) for a in (0, 8, 16, 24, 32)]
+        docs += [text(rnd, 30) + t + text(rnd, 30), text(rnd, 35) + edited(rnd, t, 30) + text(rnd, 30)]
+        pairs.append((len(docs) - 1, len(docs) - 2))
+    texts = [" ".join(w) for w in docs]
+    want = {(b, a) for b, a in pairs if brute_force_near(texts[b].split(), texts[a].split())}
+    assert len(want) == 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert want <= {(r.doc_id, r.source_id) for r in duplicate_passages(df).collect()}
+
+
+def brute_force_near(x, y, n=5, least=50):
+    """Whether any two passages that begin and end with common shingles are similar enough."""
+    a, b = ([hash(tuple(w[i : i + n])) for i in range(len(w) - n + 1)] for w in (x, y))
+    at = {v: j for j, v in enumerate(b)}
+    both = [(i, at[v]) for i, v in enumerate(a) if v in at]
+    width = least - n + 1
+    for p, (i, j) in enumerate(both):
+        for q, (k, m) in enumerate(both[p:], p):
+            if k - i + 1 >= width and m - j + 1 >= width and 9 * (q - p + 1) >= 4 * (k - i + 1 + m - j + 1):
+                return True
+    return False
+
+
+def test_no_similar_pair_of_a_frequent_line_is_lost(spark):
+    """A line of 27 words in 150 documents, in some of them within passages that only two, or few, or many have in common."""
+    rnd = random.Random(22)
+    line, frame = text(rnd, 27), text(rnd, 40)
+    docs = []
+    for i in range(150):
+        kind = i % 5
+        if kind < 2:
+            body = line
+        elif kind == 2:  # a passage of two documents
+            if i % 10 == 2:
+                own = text(rnd, 15), text(rnd, 15)
+            body = edited(rnd, own[0], 7) + line + own[1]
+        elif kind == 3:  # a passage of many, a word of it different in each
+            body = edited(rnd, frame[:20], 9) + line + frame[20:]
+        else:  # 23 words more, too few to be similar with a gap
+            body = line + frame[20:36]
+        docs.append(" ".join(text(rnd, 40) + body + text(rnd, 40)))
+    want = {(b, a) for b in range(len(docs)) for a in range(b) if brute_force_near(docs[b].split(), docs[a].split())}
+    got = {(r.doc_id, r.source_id) for r in duplicate_passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert len(want) > 400 and got <= want
+    assert linked_parts(got) == linked_parts(want)
+    assert {b for b, _ in got} == {b for b, _ in want}
+    assert {(b, a) for b, a in want if b % 5 == 2} <= got
+
+
+def test_copies_of_whole_texts_among_near_ones(spark):
+    rnd = random.Random(23)
+    base = text(rnd, 70)
+    near = [" ".join(edited(rnd, base, 20 + k)) for k in range(4)]
+    rows = [(k * 100 + c, near[k]) for k in range(4) for c in range(30)]
+    got = {(r.doc_id, r.source_id) for r in duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(linked_parts(got).values()) == {0} and {b for b, _ in got} == {i for i, _ in rows} - {0}
+    assert len(got) <= len(rows) + 6
