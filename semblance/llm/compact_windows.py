@@ -13,7 +13,8 @@ minimum of that run is a node of both whose extent holds the run. So nodes whose
 3. Windows of a min-hash with more than that get the shingles around them, as far as the shortest similar passage can
    reach. A shingle that at most ``RARE`` of them hold pairs these. Two that have no rare one in common are alike by the
    others alone, and so are all with the same pattern of these: a pattern that is similar enough in itself, or to another,
-   pairs its windows with the first of its kind, and kinds are joined until none that are alike stay apart.
+   pairs its windows with the first of its kind. Windows with ``width`` equal shingles are joined by a hash of these, and then
+   patterns of different texts are compared until none that are alike stay apart. A task's windows stand in a file of its own.
 4. Pairs of documents are verified, word by word, a word being 32 bits of its
    hash: from the joined minima equal shingles are followed to both sides, over replaced, inserted and deleted words, to passages of at least ``least``
    words whose shingles have a Jaccard similarity of at least ``percent`` %.
@@ -32,8 +33,10 @@ null id stands before all others; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import math
+import tempfile
 from bisect import bisect_right, insort
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,8 @@ from .common import flat, keyed_texts, lean, mix, nested, read_table, runs_of, s
 RANGE_BYTES, BLOCK_WINDOWS, BLOCK_PAIRS = 8 << 20, 100_000, 4000
 #: Windows of one min-hash that pair each with each; windows with a shingle in common that do, where there are more.
 FEW, RARE = 8, 16
+#: Patterns that are compared each with each.
+FEW_PATTERNS = 32
 _SEEDS = np.random.default_rng(411).integers(1, 1 << 63, 64, dtype=np.uint64)
 
 
@@ -70,6 +75,7 @@ def least_equal(n: int, width: int, percent: int, gaps: int) -> int:
     return min(max(-(-percent * g // max(100 - percent, 1)), -(-(2 * width - g) // 2)) for g in range((2 * n - 1) * gaps, most + 1))
 
 
+@lru_cache
 def shared_run(n: int, width: int, percent: int) -> int:
     """The length that the longest run of equal shingles of two similar passages has at least."""
     gaps = range(1 if percent < 100 else 0)
@@ -305,31 +311,47 @@ def _in_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 1 << 16)).sum(1)
 
 
-def _by_rare(near: np.ndarray, common: np.ndarray, order: np.ndarray, value: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with a rare shingle and at least so many shingles in common.
+def _by_rare(near: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows with a rare shingle and at least so many shingles in common; and the shingles that are not rare.
 
-    value and order: each row's distinct shingles, ordered, and their rows; common: which are not rare.
+    Shingles are counted by ranges of their hash, so that no more than some million are sorted at once.
     """
-    row, value = order[~common], value[~common]
-    m, none = len(near), np.zeros(0, np.int64)
-    if not len(row):
-        return none, none
-    cut = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-    size = np.diff(np.r_[cut, len(value)])
-    codes = [none]
-    for k in np.unique(size[size > 1]).tolist():
-        begin = cut[size == k]
-        a, b = np.triu_indices(k, 1)
-        for x in range(0, len(begin), BLOCK_WINDOWS):
-            i, j = row[(begin[x : x + BLOCK_WINDOWS, None] + b).ravel()], row[(begin[x : x + BLOCK_WINDOWS, None] + a).ravel()]
-            codes.append(np.unique(np.maximum(i, j) * m + np.minimum(i, j)))
-            if len(codes) > 32:
-                codes = [np.unique(np.concatenate(codes))]
+    m, codes, hot = len(near), [np.zeros(0, np.int64)], []
+    parts = -(-m // BLOCK_PAIRS)
+    for k in range(parts):
+        seen = []
+        for x in range(0, m, BLOCK_PAIRS):
+            part = near[x : x + BLOCK_PAIRS]
+            if parts > 1:
+                row, place = np.nonzero((part.astype(np.uint64) * np.uint64(parts)) >> np.uint64(32) == k)
+                seen.append((part[row, place].astype(np.uint64) << np.uint64(32)) + (row + x).astype(np.uint64))
+            else:
+                seen.append(((part.astype(np.uint64) << np.uint64(32)) + np.arange(m, dtype=np.uint64)[:, None]).ravel())
+        seen = np.sort(np.concatenate(seen))
+        seen = seen[np.searchsorted(seen, np.uint64(1 << 32)) :]
+        seen = seen[np.r_[True, seen[1:] != seen[:-1]]] if len(seen) else seen
+        if not len(seen):
+            continue
+        value, row = (seen >> np.uint64(32)).astype(np.uint32), (seen & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        cut = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        size = np.diff(np.r_[cut, len(value)])
+        hot.append(value[cut[size > RARE]])
+        for many in np.unique(size[(size > 1) & (size <= RARE)]).tolist():
+            begin = cut[size == many]
+            a, b = np.triu_indices(many, 1)
+            for x in range(0, len(begin), BLOCK_WINDOWS):
+                i, j = row[(begin[x : x + BLOCK_WINDOWS, None] + b).ravel()], row[(begin[x : x + BLOCK_WINDOWS, None] + a).ravel()]
+                codes.append(np.unique(np.maximum(i, j) * m + np.minimum(i, j)))
+                if len(codes) > 32:
+                    codes = [np.unique(np.concatenate(codes))]
     own, source = np.divmod(np.unique(np.concatenate(codes)), m)
-    numbered, use = _numbered(near), np.zeros(len(own), bool)
-    for x in range(0, len(own), BLOCK_PAIRS):
-        use[x : x + BLOCK_PAIRS] = _in_common(numbered[own[x : x + BLOCK_PAIRS]], numbered[source[x : x + BLOCK_PAIRS]]) >= least
-    return own[use], source[use]
+    use = np.zeros(len(own), bool)
+    if len(own):
+        numbered = _numbered(near) if parts == 1 else None
+        for x in range(0, len(own), BLOCK_PAIRS):
+            both = [numbered[y[x : x + BLOCK_PAIRS]] if parts == 1 else _numbered(np.asarray(near[y[x : x + BLOCK_PAIRS]])) for y in (own, source)]
+            use[x : x + BLOCK_PAIRS] = _in_common(*both) >= least
+    return own[use], source[use], np.concatenate(hot) if hot else np.zeros(0, np.uint32)
 
 
 def _best_score(held: np.ndarray, reach: int, width: int, percent: int) -> np.ndarray:
@@ -344,108 +366,256 @@ def _best_score(held: np.ndarray, reach: int, width: int, percent: int) -> np.nd
     return (ahead[:, np.maximum(reach, start + width - 1)] - before[:, start]).max(1)
 
 
-def _by_pattern(near: np.ndarray, text: np.ndarray, n: int, width: int, percent: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that are similar by common shingles alone (near, others 0): each with the first of a like pattern.
+def _first_others(group: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in order, dealt into groups: the first row of each row's group that is of another text, or -1; and the first."""
+    order = np.argsort(group, kind="stable")
+    cut = np.flatnonzero(np.r_[True, group[order[1:]] != group[order[:-1]]])
+    which = np.repeat(np.arange(len(cut)), np.diff(np.r_[cut, len(order)]))
+    first = order[cut]
+    differs = np.flatnonzero(text[order] != text[first[which]])
+    other = np.full(len(cut), -1)
+    held, at = np.unique(which[differs], return_index=True)
+    other[held] = order[differs[at]]
+    out, heads = np.empty(len(group), np.int64), np.empty(len(group), np.int64)
+    out[order] = np.where(text[order] != text[first[which]], first[which], other[which])
+    heads[order] = first[which]
+    return out, heads
+
+
+def _joined_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label, the least row that hangs together with each, after rows a and b are joined."""
+    a, b = label[a], label[b]
+    while True:
+        x, y = label[a], label[b]
+        use = x != y
+        if not use.any():
+            return label
+        label = label.copy()
+        np.minimum.at(label, np.maximum(x, y)[use], np.minimum(x, y)[use])
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _by_runs(near: np.ndarray, text: np.ndarray, width: int) -> list[np.ndarray]:
+    """Pairs of rows that join all with a run of width equal shingles, not 0, around the middle.
+
+    A run's rows pair with its first one, or that one's with the next of another text.
+    """
+    reach, found, label = near.shape[1] // 2, [], np.arange(len(near))
+    full = np.zeros((len(near), near.shape[1] + 1), np.int16)
+    np.cumsum(near != 0, axis=1, out=full[:, 1:])
+    sums = np.zeros((len(near), near.shape[1] + 1), np.uint64)
+    powers = np.multiply.accumulate(np.full(near.shape[1], _SEEDS[3] | np.uint64(1)))
+    np.cumsum(near * powers, axis=1, out=sums[:, 1:])
+    for a in range(reach - width + 1, reach + 1):
+        rows = np.flatnonzero(full[:, a + width] - full[:, a] == width)
+        if len(rows) < 2:
+            continue
+        partner, _ = _first_others(sums[rows, a + width] - sums[rows, a], text[rows])
+        own, partner = rows[partner >= 0], rows[partner[partner >= 0]]
+        x, y = label[own], label[partner]
+        _, use = np.unique(np.minimum(x, y) * len(near) + np.maximum(x, y), return_index=True)
+        use = use[x[use] != y[use]]
+        found.append(np.stack([own[use], partner[use]]))
+        label = _joined_labels(label, own[use], partner[use])
+    return found
+
 
-    text: a number for the text of each row. Patterns are compared, in the order of their first rows, until all that are
-    alike hang together.
+def _by_pattern(near: np.ndarray, hot: np.ndarray, text: np.ndarray, n: int, width: int, percent: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of near that are similar by common shingles (hot) alone: all that are alike hang together.
+
+    text: a number for the text of each row. Rows with a run of width in common are joined by its hash; after that,
+    patterns are compared only with those that do not hang together with them yet.
     """
     reach = near.shape[1] // 2
-    near = near.copy()
-    # a passage around the minimum ends where the shingles up to there make up for the gaps, with the best of the other side
-    score = np.where(near != 0, 100 - percent, -percent)
-    sides = [np.cumsum(score[:, reach - 1 :: -1], axis=1), np.cumsum(score[:, reach + 1 :], axis=1)]
-    best = [np.maximum(x.max(1), 0) + 100 - percent for x in sides]
-    for side, x, other in ((near[:, reach - 1 :: -1], sides[0], best[1]), (near[:, reach + 1 :], sides[1], best[0])):
-        side *= np.logical_or.accumulate((x + other[:, None] >= 0)[:, ::-1], axis=1)[:, ::-1]
-    rows = np.flatnonzero((near != 0).sum(1) >= least)
+    kept_rows, shapes_of = [np.zeros(0, np.int64)], [np.zeros((0, near.shape[1]), near.dtype)]
+    for x in range(0, len(near), BLOCK_PAIRS):
+        part = np.array(near[x : x + BLOCK_PAIRS])
+        at = np.minimum(np.searchsorted(hot, part), len(hot) - 1)
+        part *= hot[at] == part
+        # a passage around the minimum ends where the shingles up to there make up for the gaps, with the best of the other side
+        score = np.where(part != 0, np.int32(100 - percent), np.int32(-percent))
+        sides = [np.cumsum(score[:, reach - 1 :: -1], axis=1, dtype=np.int32), np.cumsum(score[:, reach + 1 :], axis=1, dtype=np.int32)]
+        best = [np.maximum(y.max(1), 0) + 100 - percent for y in sides]
+        for side, y, other in ((part[:, reach - 1 :: -1], sides[0], best[1]), (part[:, reach + 1 :], sides[1], best[0])):
+            side *= np.logical_or.accumulate((y + other[:, None] >= 0)[:, ::-1], axis=1)[:, ::-1]
+        use = np.flatnonzero((part != 0).sum(1) >= least)
+        kept_rows.append(use + x)
+        shapes_of.append(part[use])
+    rows, near = np.concatenate(kept_rows), np.concatenate(shapes_of)
     none = np.zeros(0, np.int64)
     if len(rows) < 2:
         return none, none
-    _, begin, kind = np.unique(near[rows].view(f"V{near.shape[1] * 4}").ravel(), return_index=True, return_inverse=True)
-    members = np.split(rows[np.argsort(kind, kind="stable")], np.cumsum(np.bincount(kind))[:-1])
-    members = [members[k] for k in np.argsort(begin)]  # rows of each pattern in order, patterns by their first row
-    shapes = near[[x[0] for x in members]]
-    numbered = _numbered(shapes)
-    names, which = np.unique(numbered, return_inverse=True)
-    holds = np.zeros((len(shapes), len(names)), np.float32)
-    holds[np.arange(len(shapes))[:, None], which.reshape(numbered.shape)] = 1
-    holds[:, names < 1 << 16] = 0
-    names, code = np.unique(shapes, return_inverse=True)
-    code = code.reshape(shapes.shape)
-    has = np.zeros((len(shapes), len(names)), bool)
-    has[np.arange(len(shapes))[:, None], code] = True
-    has[:, names == 0] = False
-    place = np.arange(near.shape[1], dtype=np.uint64)
+    text = text[rows]
+    _, begin, kind = np.unique(near.view(f"V{near.shape[1] * 4}").ravel(), return_index=True, return_inverse=True)
+    begin = np.sort(begin)  # patterns by their first row
+    kind = np.searchsorted(begin, _first_others(kind, text)[1])
+    partner, _ = _first_others(kind, text)
+    shapes = near[begin]
 
     def alike(p, q):
         x, y = (np.where(shapes[k] != 0, shapes[k], place + np.uint64((side + 1) << 40)) for side, k in enumerate((p, q)))
         return bool(joined_runs(aligned_runs(x, y, [(reach, reach)], width, percent), n, width, percent))
 
-    found = [np.zeros((2, 0), np.int64)]
-
-    together = np.zeros(len(members), bool)  # patterns whose windows hang together already
+    place = np.arange(near.shape[1], dtype=np.uint64)
+    # copies of a pattern that is similar to itself
+    several = np.unique(kind[partner >= 0])
+    itself = np.zeros(len(begin), bool)
+    run = sum(np.logical_and.accumulate(shapes[several][:, side] != 0, axis=1).sum(1) for side in (slice(reach, None, -1), slice(reach, None))) > width
+    itself[several] = [exact or alike(p, p) for p, exact in zip(several.tolist(), run.tolist(), strict=True)]
+    own = np.flatnonzero((partner >= 0) & itself[kind])
+    found = [np.stack([own, partner[own]])]
+    # runs of width: of patterns whose rows hang together the first row and the first of another text
+    if len(begin) > FEW_PATTERNS:
+        seen = np.unique(np.concatenate([begin, partner[begin][partner[begin] >= 0], np.flatnonzero(~itself[kind])]))
+        found += [seen[x] for x in _by_runs(near[seen], text[seen], width)]
+    part = np.arange(len(near))
+    for a, b in found:
+        part = _joined_labels(part, a, b)
+    part, of_kind = part[begin].copy(), np.argsort(kind, kind="stable")
+    count = np.bincount(kind)
+    until = np.cumsum(count)
+
+    def members(p):
+        """All rows of a pattern, or, if they hang together already, its first and the first of another text."""
+        mine = of_kind[until[p] - count[p] : until[p]]
+        return mine[np.r_[0, np.flatnonzero(text[mine] != text[mine[0]])[:1]]] if itself[p] else mine
 
     def pair(p, q):
-        for one, other in ((members[p], members[q]), (members[q], members[p])):
-            if one is members[q] and together[q]:
-                continue
-            another = other[text[other] != text[other[0]]]
-            first = np.where(text[one] != text[other[0]], other[0], another[0] if len(another) else other[0])
-            use = text[one] != text[first]
-            found.append(np.stack([np.maximum(one, first)[use], np.minimum(one, first)[use]]))
-        together[[p, q]] = True
-
-    part = np.arange(len(members))  # the patterns that hang together
-    for p in range(len(members)):
-        equal = holds[: p + 1] @ holds[p]
-        if len(members[p]) > 1 and equal[p] >= least and alike(p, p):
-            pair(p, p)
-        near_ones = np.flatnonzero(equal[:p] >= least)
-        same = (shapes[near_ones] == shapes[p]) & (shapes[p] != 0)
-        exact = sum(np.logical_and.accumulate(x, axis=1).sum(1) for x in (same[:, reach::-1], same[:, reach:])) > width
-        for q in near_ones[exact].tolist():
-            if part[q] != part[p]:
-                pair(p, q)
-                part[part == part[p]] = part[q]
-        near_ones = near_ones[part[near_ones] != part[p]]
-        held = has[near_ones][:, code[p]], has[p][code[near_ones]]
-        near_ones = near_ones[sum(_best_score(x, reach, width, percent) for x in held) >= 0]
-        for q in near_ones[np.argsort(-equal[near_ones], kind="stable")].tolist():  # likely ones first
-            if part[q] != part[p] and alike(p, q):
-                pair(p, q)
-                part[part == part[p]] = part[q]
-    own, source = np.unique(np.concatenate(found, 1), axis=1)
+        one, other = members(p), members(q)
+        for x, y in ((one, other), (other, one)):
+            another = y[text[y] != text[y[0]]]
+            first = np.where(text[x] != text[y[0]], y[0], another[0] if len(another) else y[0])
+            use = text[x] != text[first]
+            found.append(np.stack([x[use], first[use]]))
+        itself[[p, q]] = True
+
+    alone = np.where(partner[begin] < 0, text[begin], -1)  # the text of patterns that one text alone has
+    _compare_parts(shapes, part, alone, reach, n, width, percent, least, alike, pair)
+    own, source = np.concatenate(found, 1)
+    own, source = rows[own], rows[source]
+    own, source = np.unique(np.stack([np.maximum(own, source), np.minimum(own, source)]), axis=1)
     return own, source
 
 
+def _compare_parts(shapes: np.ndarray, part: np.ndarray, alone: np.ndarray, reach: int, n: int, width: int, percent: int, least: int, alike, pair) -> None:
+    """Calls pair for patterns that are alike, until all that are have one part. The largest part is not gone through."""
+    names, size = np.unique(part, return_counts=True)
+    if len(names) == 1:
+        return
+    largest = part == names[np.argmax(size)]
+    mine, to = np.flatnonzero(~largest), np.r_[np.flatnonzero(largest), np.flatnonzero(~largest)]
+    run = min(shared_run(n, width, percent), reach)
+    core = shapes[:, reach - run + 1 : reach + run]
+    tied = (shapes[:, max(0, reach - 2 * run) : reach + 2 * run + 1] == shapes[:, reach, None]).sum(1) > 1
+    rank = np.empty(len(to), np.int64)
+    rank[to] = np.arange(len(to))
+    for x in range(0, len(mine), 256):
+        block = mine[x : x + 256]
+        numbered = _numbered(shapes[block])
+        columns = np.unique(numbered[numbered >= 1 << 16])
+        holds = _held(numbered, columns)
+        step = max(64, BLOCK_PAIRS * 1000 // max(len(columns), 1))
+        until = rank[block[-1]]
+        for y in range(0, until, step):
+            others = to[y : min(y + step, until)]
+            theirs = _held(_numbered(shapes[others]), columns)
+            equal = holds @ theirs.T
+            for k, p in enumerate(block.tolist()):
+                q = np.flatnonzero((equal[k] >= least) & (part[others] != part[p]) & (rank[others] < rank[p]) & ((alone[others] != alone[p]) | (alone[p] < 0)))
+                # a run around the minimum; where it occurs again, other places of it may be chosen
+                same = core[others[q]] == core[p]
+                there = np.logical_and.accumulate(same[:, run - 1 :: -1], axis=1).sum(1) + np.logical_and.accumulate(same[:, run:], axis=1).sum(1) >= run
+                q = q[there | (tied[others[q]] & tied[p])]
+                if not len(q):
+                    continue
+                same = (shapes[others[q]] == shapes[p]) & (shapes[p] != 0)
+                exact = sum(np.logical_and.accumulate(z, axis=1).sum(1) for z in (same[:, reach::-1], same[:, reach:])) > width
+                for other in others[q[exact]].tolist():
+                    if part[other] != part[p]:
+                        pair(p, other)
+                        part[part == part[p]] = part[other]
+                q = q[~exact]
+                q = q[part[others[q]] != part[p]]
+                if not len(q):
+                    continue
+                code = np.minimum(np.searchsorted(columns, shapes[p].astype(np.uint64) << np.uint64(16)), len(columns) - 1)
+                q = q[_best_score((theirs[q][:, code] > 0) & (shapes[p] != 0), reach, width, percent) >= 0]
+                if not len(q):
+                    continue
+                kinds = np.sort(shapes[p])
+                at = np.minimum(np.searchsorted(kinds, shapes[others[q]]), len(kinds) - 1)
+                q = q[_best_score((kinds[at] == shapes[others[q]]) & (shapes[others[q]] != 0), reach, width, percent) >= 0]
+                for other in others[q[np.argsort(-equal[k][q], kind="stable")]].tolist():  # likely ones first
+                    if part[other] != part[p] and alike(max(p, other), min(p, other)):
+                        pair(p, other)
+                        part[part == part[p]] = part[other]
+
+
+def _held(numbered: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Which of the numbered shingles in columns each row has."""
+    out = np.zeros((len(numbered), len(columns)), np.float32)
+    at = np.minimum(np.searchsorted(columns, numbered), len(columns) - 1)
+    row, place = np.nonzero(columns[at] == numbered)
+    out[row, at[row, place]] = 1
+    return out
+
+
+def _gathered(near: np.ndarray, order: np.ndarray):
+    """near[order]; of many rows in a file, which has no name."""
+    if len(order) <= BLOCK_PAIRS:
+        return np.ascontiguousarray(near[order])
+    with tempfile.TemporaryFile() as file:
+        for x in range(0, len(order), BLOCK_PAIRS):
+            file.write(np.ascontiguousarray(near[order[x : x + BLOCK_PAIRS]]).data)
+        file.flush()
+        return np.memmap(file, near.dtype, "r", shape=(len(order), near.shape[1]))
+
+
 def frequent_join(windows: DataFrame, ranges: int, n: int, width: int, percent: int, reach: int) -> DataFrame:
-    """Pairs of windows of min-hashes with more than FEW, by the shingles around them."""
-    least = min(least_equal(n, width, percent, k) for k in range(2 if percent < 100 else 1))
+    """Pairs of windows of min-hashes with more than FEW, by the shingles around them.
 
-    def join(key, table):
-        rows, cut, size = _groups(table, _around(reach))
-        found = [np.zeros((2, 0), np.int64)]
-        for begin, m in zip(cut.tolist(), size.tolist(), strict=True):
-            mine = rows[begin : begin + m]
-            near = np.ascontiguousarray(mine["near"])
-            seen = np.unique((near.astype(np.uint64) << np.uint64(32)) + np.arange(m, dtype=np.uint64)[:, None])
-            seen = seen[np.searchsorted(seen, np.uint64(1 << 32)) :]
-            value, order = (seen >> np.uint64(32)).astype(np.uint32), (seen & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            kinds, many = np.unique(value, return_counts=True)
-            common = np.repeat(many > RARE, many)
-            hot = kinds[many > RARE]
-            pairs = [_by_rare(near, common, order, value, least)]
+    A task's windows stand in a file; memory holds their ids, and the shingles of BLOCK_PAIRS of them at once.
+    """
+    least = min(least_equal(n, width, percent, k) for k in range(2 if percent < 100 else 1))
+    kind = _around(reach)
+
+    def join(batches):
+        with tempfile.TemporaryFile() as file:
+            for batch in batches:
+                for blob in batch.column("blob"):
+                    file.write(blob.as_buffer())
+            file.flush()
+            if not file.tell():
+                return
+            held = np.memmap(file, kind, "r")
+        ids = np.empty(len(held), [(c, kind[c]) for c in ("key", "doc", "tag", "at")])
+        for c in ids.dtype.names:
+            ids[c] = held[c]
+        order = np.lexsort((ids["at"], ids["tag"], ids["doc"], ids["key"]))
+        ids = ids[order]
+        new = np.r_[True, np.logical_or.reduce([ids[c][1:] != ids[c][:-1] for c in ids.dtype.names])]
+        ids, order = ids[new], order[new]
+        found, count = [], 0
+        for begin, m in zip(*(x.tolist() for x in _sizes(ids)), strict=True):
+            mine = ids[begin : begin + m]
+            near = _gathered(held["near"], order[begin : begin + m])
+            own, source, hot = _by_rare(near, least)
+            pairs = [np.stack([own, source])]
             if len(hot):
                 text = np.cumsum(np.r_[0, (mine["doc"][1:] != mine["doc"][:-1]) | (mine["tag"][1:] != mine["tag"][:-1])])
-                at = np.minimum(np.searchsorted(hot, near), len(hot) - 1)
-                pairs.append(_by_pattern(np.where(hot[at] == near, near, np.uint32(0)), text, n, width, percent, least))
-            found += [np.stack(x) + begin for x in pairs]
-        own, source = np.unique(np.concatenate(found, 1), axis=1)
-        use = _other_text(rows, own, source)
-        return _pairs_table(rows, own[use], source[use])
+                pairs.append(np.stack(_by_pattern(near, hot, text, n, width, percent, least)))
+            own, source = np.unique(np.concatenate(pairs, 1), axis=1) + begin
+            use = _other_text(ids, own, source)
+            found.append(np.stack([own[use], source[use]]))
+            count += int(use.sum())
+            if count >= BLOCK_WINDOWS:
+                yield from _pairs_table(ids, *np.concatenate(found, 1)).to_batches()
+                found, count = [], 0
+        if count:
+            yield from _pairs_table(ids, *np.concatenate(found, 1)).to_batches()
 
-    return windows.repartition(ranges, "part").groupBy("part").applyInArrow(lean(join), _JOINED)
+    return windows.repartition(ranges, "part").mapInArrow(lean(join), _JOINED)
 
 
 def matching_passages(same: np.ndarray, n: int, width: int, percent: int) -> list[tuple[int, int, int]]:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -263,3 +264,42 @@ def test_copies_of_whole_texts_among_near_ones(spark):
     got = {(r.doc_id, r.source_id) for r in duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(linked_parts(got).values()) == {0} and {b for b, _ in got} == {i for i, _ in rows} - {0}
     assert len(got) <= len(rows) + 6
+
+
+def test_a_frequent_minimum_is_worked_on_in_pieces():
+    """20 000 windows of one line, pairs of which share more: memory holds ranges of their shingles, not all."""
+    rng = np.random.default_rng(31)
+    near = rng.integers(1, 1 << 32, (20_000, 273), dtype=np.uint32)
+    near[:, 125:148] = np.arange(7, 30, dtype=np.uint32)
+    near[1::2, 100:150] = near[::2, 100:150]
+    tracemalloc.start()
+    own, source, hot = cw._by_rare(near, 41)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(zip(own.tolist(), source.tolist())) == {(i + 1, i) for i in range(0, 20_000, 2)}
+    assert set(hot.tolist()) == set(range(7, 30))
+    assert most < 120 << 20
+
+
+def test_runs_join_all_rows_of_other_texts():
+    rng = np.random.default_rng(32)
+    near = rng.integers(1, 1 << 32, (60, 273), dtype=np.uint32)
+    near[:40, 120:170] = near[0, 120:170]
+    near[40:, 92:137] = near[40, 92:137]  # a shingle less than width
+    text = np.arange(60) // 2
+    pairs = np.concatenate(cw._by_runs(near, text, 46), 1)
+    assert (text[pairs[0]] != text[pairs[1]]).all()
+    assert linked_parts(pairs.T.tolist()) == dict.fromkeys(range(40), 0)
+
+
+def test_each_place_of_a_text_meets_the_other_text():
+    """Two unlike places of one text, each alike to a later text: neither stands for the other."""
+    line = np.arange(100, 130, dtype=np.uint32)
+    near = np.zeros((20, 273), np.uint32)
+    for i in range(20):
+        near[i, 120:150] = line
+        near[i, 160 + i % 4 : 190 + i % 4] = np.arange(200, 230)  # a word more or less between two stretches
+    text = np.repeat([0, 1], 10)
+    own, source = cw._by_pattern(near, np.unique(near)[1:], text, 5, 46, 60, 30)
+    assert set(own.tolist()) | set(source.tolist()) == set(range(20))
+    assert (text[own] != text[source]).all()
