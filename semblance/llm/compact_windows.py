@@ -45,14 +45,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import kept
-from .common import flat, keyed_texts, lean, mix, nested, read_table, runs_of, shingles_of, text_buffers, words_of
+from .common import BLOCK, flat, keyed_texts, lean, mix, nested, read_table, runs_of, shingles_of, text_buffers, words_of
 
 #: Bytes of text whose windows a range holds, about; windows that a task sorts at once; pairs compared at once.
 RANGE_BYTES, BLOCK_WINDOWS, BLOCK_PAIRS = 8 << 20, 100_000, 4000
+#: Pairs of windows that are held before they are compared; numbers that are held in memory, not in a file.
+BLOCK_CODES, MEMORY_NUMBERS = 500_000, 2 << 20
 #: Windows of one min-hash that pair each with each; windows with a shingle in common that do, where there are more.
 FEW, RARE = 8, 16
 #: Patterns that are compared each with each.
 FEW_PATTERNS = 32
+#: Texts that are cut at once.
+CUT_ROWS = 500
 _SEEDS = np.random.default_rng(411).integers(1, 1 << 63, 64, dtype=np.uint64)
 
 
@@ -295,6 +299,14 @@ def surrounded(rows: DataFrame, n: int, reach: int, ranges: int) -> DataFrame:
     return rows.select("doc_id", "tag", "text", "places").mapInArrow(lean(scan), "part long, blob binary")
 
 
+def _room(shape: tuple[int, int], kind: np.dtype) -> np.ndarray:
+    """Room for so many numbers, of many in a file, which has no name."""
+    if math.prod(shape) <= MEMORY_NUMBERS:
+        return np.empty(shape, kind)
+    with tempfile.TemporaryFile() as file:
+        return np.asarray(np.memmap(file, kind, "w+", shape=shape))
+
+
 def _numbered(near: np.ndarray) -> np.ndarray:
     """near by rows in order, equal shingles of a row numbered, so that rows compare as multisets; 0 is of its row alone."""
     near = np.sort(near, axis=1)
@@ -316,15 +328,26 @@ def _by_rare(near: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.n
 
     Shingles are counted by ranges of their hash, so that no more than some million are sorted at once.
     """
-    m, codes, hot = len(near), [np.zeros(0, np.int64)], []
+    m, codes, waiting, good, hot = len(near), [], 0, np.zeros(0, np.int64), []
     parts = -(-m // BLOCK_PAIRS)
+    numbered = _numbered(near) if parts == 1 else None
+
+    def enough(codes):
+        """Which of the pairs have enough in common."""
+        codes = np.unique(np.concatenate(codes))
+        use = np.zeros(len(codes), bool)
+        for x in range(0, len(codes), BLOCK_PAIRS):
+            both = np.divmod(codes[x : x + BLOCK_PAIRS], m)
+            use[x : x + BLOCK_PAIRS] = _in_common(*[numbered[y] if parts == 1 else _numbered(np.asarray(near[y])) for y in both]) >= least
+        return codes[use]
+
     for k in range(parts):
         seen = []
         for x in range(0, m, BLOCK_PAIRS):
             part = near[x : x + BLOCK_PAIRS]
             if parts > 1:
                 row, place = np.nonzero((part.astype(np.uint64) * np.uint64(parts)) >> np.uint64(32) == k)
-                seen.append((part[row, place].astype(np.uint64) << np.uint64(32)) + (row + x).astype(np.uint64))
+                seen.append(np.unique((part[row, place].astype(np.uint64) << np.uint64(32)) + (row + x).astype(np.uint64)))
             else:
                 seen.append(((part.astype(np.uint64) << np.uint64(32)) + np.arange(m, dtype=np.uint64)[:, None]).ravel())
         seen = np.sort(np.concatenate(seen))
@@ -339,19 +362,16 @@ def _by_rare(near: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.n
         for many in np.unique(size[(size > 1) & (size <= RARE)]).tolist():
             begin = cut[size == many]
             a, b = np.triu_indices(many, 1)
-            for x in range(0, len(begin), BLOCK_WINDOWS):
-                i, j = row[(begin[x : x + BLOCK_WINDOWS, None] + b).ravel()], row[(begin[x : x + BLOCK_WINDOWS, None] + a).ravel()]
+            step = max(1, BLOCK_CODES // len(a))
+            for x in range(0, len(begin), step):
+                i, j = row[(begin[x : x + step, None] + b).ravel()], row[(begin[x : x + step, None] + a).ravel()]
                 codes.append(np.unique(np.maximum(i, j) * m + np.minimum(i, j)))
-                if len(codes) > 32:
-                    codes = [np.unique(np.concatenate(codes))]
-    own, source = np.divmod(np.unique(np.concatenate(codes)), m)
-    use = np.zeros(len(own), bool)
-    if len(own):
-        numbered = _numbered(near) if parts == 1 else None
-        for x in range(0, len(own), BLOCK_PAIRS):
-            both = [numbered[y[x : x + BLOCK_PAIRS]] if parts == 1 else _numbered(np.asarray(near[y[x : x + BLOCK_PAIRS]])) for y in (own, source)]
-            use[x : x + BLOCK_PAIRS] = _in_common(*both) >= least
-    return own[use], source[use], np.concatenate(hot) if hot else np.zeros(0, np.uint32)
+                waiting += len(codes[-1])
+                if waiting > 4 * BLOCK_CODES:  # few of them hold in the end
+                    good, codes, waiting = np.union1d(good, enough(codes)), [], 0
+    if codes:
+        good = np.union1d(good, enough(codes))
+    return *np.divmod(good, m), np.concatenate(hot) if hot else np.zeros(0, np.uint32)
 
 
 def _best_score(held: np.ndarray, reach: int, width: int, percent: int) -> np.ndarray:
@@ -402,16 +422,21 @@ def _by_runs(near: np.ndarray, text: np.ndarray, width: int) -> list[np.ndarray]
     A run's rows pair with its first one, or that one's with the next of another text.
     """
     reach, found, label = near.shape[1] // 2, [], np.arange(len(near))
-    full = np.zeros((len(near), near.shape[1] + 1), np.int16)
-    np.cumsum(near != 0, axis=1, out=full[:, 1:])
-    sums = np.zeros((len(near), near.shape[1] + 1), np.uint64)
     powers = np.multiply.accumulate(np.full(near.shape[1], _SEEDS[3] | np.uint64(1)))
-    np.cumsum(near * powers, axis=1, out=sums[:, 1:])
-    for a in range(reach - width + 1, reach + 1):
-        rows = np.flatnonzero(full[:, a + width] - full[:, a] == width)
+    hashes, starts = _room((width, len(near)), np.dtype(np.uint64)), np.arange(reach - width + 1, reach + 1)  # 0: not a whole run
+    for x in range(0, len(near), BLOCK_PAIRS):
+        part = near[x : x + BLOCK_PAIRS]
+        full = np.zeros((len(part), near.shape[1] + 1), np.int16)
+        np.cumsum(part != 0, axis=1, out=full[:, 1:])
+        sums = np.zeros((len(part), near.shape[1] + 1), np.uint64)
+        np.cumsum(part * powers, axis=1, out=sums[:, 1:])
+        whole = full[:, starts + width] - full[:, starts] == width
+        hashes[:, x : x + BLOCK_PAIRS] = np.where(whole, np.maximum(sums[:, starts + width] - sums[:, starts], np.uint64(1)), np.uint64(0)).T
+    for mine in hashes:
+        rows = np.flatnonzero(mine)
         if len(rows) < 2:
             continue
-        partner, _ = _first_others(sums[rows, a + width] - sums[rows, a], text[rows])
+        partner, _ = _first_others(mine[rows], text[rows])
         own, partner = rows[partner >= 0], rows[partner[partner >= 0]]
         x, y = label[own], label[partner]
         _, use = np.unique(np.minimum(x, y) * len(near) + np.maximum(x, y), return_index=True)
@@ -428,7 +453,8 @@ def _by_pattern(near: np.ndarray, hot: np.ndarray, text: np.ndarray, n: int, wid
     patterns are compared only with those that do not hang together with them yet.
     """
     reach = near.shape[1] // 2
-    kept_rows, shapes_of = [np.zeros(0, np.int64)], [np.zeros((0, near.shape[1]), near.dtype)]
+    kept_rows, digests, patterns, count = [], [], _room(near.shape, near.dtype), 0
+    weights = _SEEDS[4:6] * mix(np.arange(near.shape[1]))[:, None] | np.uint64(1)
     for x in range(0, len(near), BLOCK_PAIRS):
         part = np.array(near[x : x + BLOCK_PAIRS])
         at = np.minimum(np.searchsorted(hot, part), len(hot) - 1)
@@ -441,34 +467,37 @@ def _by_pattern(near: np.ndarray, hot: np.ndarray, text: np.ndarray, n: int, wid
             side *= np.logical_or.accumulate((y + other[:, None] >= 0)[:, ::-1], axis=1)[:, ::-1]
         use = np.flatnonzero((part != 0).sum(1) >= least)
         kept_rows.append(use + x)
-        shapes_of.append(part[use])
-    rows, near = np.concatenate(kept_rows), np.concatenate(shapes_of)
+        patterns[count : count + len(use)] = part[use]
+        digests.append(mix(patterns[count : count + len(use)]) @ weights)
+        count += len(use)
+    rows, near = np.concatenate(kept_rows), patterns[:count]
     none = np.zeros(0, np.int64)
     if len(rows) < 2:
         return none, none
     text = text[rows]
-    _, begin, kind = np.unique(near.view(f"V{near.shape[1] * 4}").ravel(), return_index=True, return_inverse=True)
+    _, begin, kind = np.unique(np.concatenate(digests).view("V16").ravel(), return_index=True, return_inverse=True)  # 128 bits of a pattern
     begin = np.sort(begin)  # patterns by their first row
     kind = np.searchsorted(begin, _first_others(kind, text)[1])
     partner, _ = _first_others(kind, text)
-    shapes = near[begin]
+    shapes = _gathered(near, begin)
 
     def alike(p, q):
-        x, y = (np.where(shapes[k] != 0, shapes[k], place + np.uint64((side + 1) << 40)) for side, k in enumerate((p, q)))
+        x, y = (np.where(shape != 0, shape, blank) for shape, blank in zip((shapes[p], shapes[q]), blanks, strict=True))
         return bool(joined_runs(aligned_runs(x, y, [(reach, reach)], width, percent), n, width, percent))
 
-    place = np.arange(near.shape[1], dtype=np.uint64)
+    blanks = np.arange(near.shape[1], dtype=np.uint64) + np.array([[1 << 40], [2 << 40]], np.uint64)  # alike to nothing
     # copies of a pattern that is similar to itself
     several = np.unique(kind[partner >= 0])
     itself = np.zeros(len(begin), bool)
-    run = sum(np.logical_and.accumulate(shapes[several][:, side] != 0, axis=1).sum(1) for side in (slice(reach, None, -1), slice(reach, None))) > width
+    ahead = lambda rows: sum(np.logical_and.accumulate(rows[:, side] != 0, axis=1).sum(1) for side in (slice(reach, None, -1), slice(reach, None)))
+    run = _in_blocks(lambda x: ahead(shapes[x]), several) > width
     itself[several] = [exact or alike(p, p) for p, exact in zip(several.tolist(), run.tolist(), strict=True)]
     own = np.flatnonzero((partner >= 0) & itself[kind])
     found = [np.stack([own, partner[own]])]
     # runs of width: of patterns whose rows hang together the first row and the first of another text
     if len(begin) > FEW_PATTERNS:
         seen = np.unique(np.concatenate([begin, partner[begin][partner[begin] >= 0], np.flatnonzero(~itself[kind])]))
-        found += [seen[x] for x in _by_runs(near[seen], text[seen], width)]
+        found += [seen[x] for x in _by_runs(_gathered(near, seen), text[seen], width)]
     part = np.arange(len(near))
     for a, b in found:
         part = _joined_labels(part, a, b)
@@ -507,7 +536,7 @@ def _compare_parts(shapes: np.ndarray, part: np.ndarray, alone: np.ndarray, reac
     mine, to = np.flatnonzero(~largest), np.r_[np.flatnonzero(largest), np.flatnonzero(~largest)]
     run = min(shared_run(n, width, percent), reach)
     core = shapes[:, reach - run + 1 : reach + run]
-    tied = (shapes[:, max(0, reach - 2 * run) : reach + 2 * run + 1] == shapes[:, reach, None]).sum(1) > 1
+    tied = _in_blocks(lambda x: (shapes[x, max(0, reach - 2 * run) : reach + 2 * run + 1] == shapes[x, reach, None]).sum(1), np.arange(len(shapes))) > 1
     rank = np.empty(len(to), np.int64)
     rank[to] = np.arange(len(to))
     for x in range(0, len(mine), 256):
@@ -515,7 +544,7 @@ def _compare_parts(shapes: np.ndarray, part: np.ndarray, alone: np.ndarray, reac
         numbered = _numbered(shapes[block])
         columns = np.unique(numbered[numbered >= 1 << 16])
         holds = _held(numbered, columns)
-        step = max(64, BLOCK_PAIRS * 1000 // max(len(columns), 1))
+        step = max(64, min(BLOCK_PAIRS, BLOCK_PAIRS * 1000 // max(len(columns), 1)))
         until = rank[block[-1]]
         for y in range(0, until, step):
             others = to[y : min(y + step, until)]
@@ -561,15 +590,17 @@ def _held(numbered: np.ndarray, columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _gathered(near: np.ndarray, order: np.ndarray):
+def _gathered(near: np.ndarray, order: np.ndarray) -> np.ndarray:
     """near[order]; of many rows in a file, which has no name."""
-    if len(order) <= BLOCK_PAIRS:
-        return np.ascontiguousarray(near[order])
-    with tempfile.TemporaryFile() as file:
-        for x in range(0, len(order), BLOCK_PAIRS):
-            file.write(np.ascontiguousarray(near[order[x : x + BLOCK_PAIRS]]).data)
-        file.flush()
-        return np.memmap(file, near.dtype, "r", shape=(len(order), near.shape[1]))
+    out = _room((len(order), near.shape[1]), near.dtype)
+    for x in range(0, len(order), BLOCK_PAIRS):
+        out[x : x + BLOCK_PAIRS] = near[order[x : x + BLOCK_PAIRS]]
+    return out
+
+
+def _in_blocks(number, rows: np.ndarray) -> np.ndarray:
+    """A number for each of the rows, of BLOCK_PAIRS of them at once."""
+    return np.concatenate([np.zeros(0, np.int64), *[number(rows[x : x + BLOCK_PAIRS]) for x in range(0, len(rows), BLOCK_PAIRS)]])
 
 
 def frequent_join(windows: DataFrame, ranges: int, n: int, width: int, percent: int, reach: int) -> DataFrame:
@@ -784,19 +815,41 @@ def _parts(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "tag", "text", "low", "high").mapInArrow(lean(run), "doc_id long, tag long, first long, words binary")
 
 
+def _words_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all rows, and their len + 1 offsets."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4
+    return np.frombuffer(column.buffers()[2] or b"", "<u4"), offsets
+
+
+def _shingles_by_row(words: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
+    tokens, rows = shingles_of(words[offsets[0] : offsets[-1]].astype(np.uint64), offsets - offsets[0], n, whole=False)
+    return np.split(tokens, np.searchsorted(rows, np.arange(1, len(offsets) - 1)))
+
+
 def _verified(rows: DataFrame, n: int, width: int, percent: int) -> DataFrame:
     names = ["doc_id", "tag", "start", "end", "source_id", "source_tag", "source_start", "source_end", "equal"]
 
     def run(batches):
         for batch in batches:
-            out: list[tuple] = []
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "tag", "source_id", "source_tag", "low", "source_low", "seeds")]
-            for doc, tag, source, source_tag, low, source_low, seeds, a, b in zip(*columns, batch.column("own"), batch.column("other"), strict=True):
-                x, y = (shingles_of(np.frombuffer(t.as_buffer(), "<u4").astype(np.uint64), np.array([0, len(t.as_buffer()) // 4]), n, whole=False)[0] for t in (a, b))
-                runs = aligned_runs(x, y, [(r["at"] - low, r["at"] - r["shift"] - source_low) for r in seeds], width, percent)
-                for start, end, source_start, source_end, equal in joined_runs(runs, n, width, percent):
-                    out.append((doc, tag, low + start, low + end, source, source_tag, source_low + source_start, source_low + source_end, equal))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * len(names))], names)
+            cuts = np.r_[0, np.cumsum(batch.column("seeds").value_lengths().to_numpy(zero_copy_only=False))]
+            ats, shifts = (batch.column("seeds").flatten().field(c).to_numpy(zero_copy_only=False) for c in ("at", "shift"))
+            own, other = (_words_in(batch.column(c)) for c in ("own", "other"))
+            size = own[1] + other[1]
+            first = 0
+            while first < len(batch):
+                last = max(first + 1, int(np.searchsorted(size, size[first] + BLOCK // 4, "right")) - 1)
+                out: list[tuple] = []
+                columns = [batch.column(c).slice(first, last - first).to_pylist() for c in ("doc_id", "tag", "source_id", "source_tag", "low", "source_low")]
+                pieces = [_shingles_by_row(words, offsets[first : last + 1], n) for words, offsets in (own, other)]
+                for r, (doc, tag, source, source_tag, low, source_low, x, y) in enumerate(zip(*columns, *pieces, strict=True), first):
+                    at = ats[cuts[r] : cuts[r + 1]]
+                    seeds = zip((at - low).tolist(), (at - shifts[cuts[r] : cuts[r + 1]] - source_low).tolist(), strict=True)
+                    for start, end, source_start, source_end, equal in joined_runs(aligned_runs(x, y, seeds, width, percent), n, width, percent):
+                        out.append((doc, tag, low + start, low + end, source, source_tag, source_low + source_start, source_low + source_end, equal))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
+                first = last
 
     return rows.mapInArrow(lean(run), ", ".join(f"{c} long" for c in names)).distinct()
 
@@ -807,7 +860,7 @@ def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     rows = nested(docs, _doc=F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), _tag=F.xxhash64("text")).join(drop, ["_doc", "_tag"], "left")
 
     def cut(batches):
-        for batch in batches:
+        for batch in (b.slice(x, CUT_ROWS) for b in batches for x in range(0, len(b), CUT_ROWS)):
             column = batch.column("text")
             data, _ = text_buffers(column)
             texts = column.to_pylist()

@@ -3,6 +3,7 @@ import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from semblance.llm import compact_windows as cw
@@ -303,3 +304,50 @@ def test_each_place_of_a_text_meets_the_other_text():
     own, source = cw._by_pattern(near, np.unique(near)[1:], text, 5, 46, 60, 30)
     assert set(own.tolist()) | set(source.tolist()) == set(range(20))
     assert (text[own] != text[source]).all()
+
+
+def peak_of(run):
+    tracemalloc.start()
+    out = run()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, most
+
+
+def test_patterns_of_a_frequent_minimum_stand_in_a_file():
+    """20 000 windows, all of different patterns of frequent shingles: memory holds some thousand of them at once."""
+    rng = np.random.default_rng(33)
+    near = rng.integers(100, 300, (20_000, 273), dtype=np.uint32)
+    near[:, 110:160] = np.arange(7, 57, dtype=np.uint32)
+    (own, source), most = peak_of(lambda: cw._by_pattern(near, np.unique(near), np.arange(20_000) // 2, 5, 46, 80, 41))
+    assert linked_parts(zip(own.tolist(), source.tolist())) == dict.fromkeys(range(20_000), 0)
+    assert (own // 2 != source // 2).all()
+    assert most < 150 << 20
+
+
+class Batches:
+    """Stands for a DataFrame of these batches."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def mapInArrow(self, run, schema):
+        return Batches(*run(iter(self.batches)))
+
+    def distinct(self):
+        return self
+
+
+def test_pairs_of_a_batch_are_verified_in_pieces():
+    """2 000 pairs of texts with 300 minima each: of a batch from Spark, only some pairs' are Python objects at once."""
+    rng = np.random.default_rng(34)
+    texts = rng.integers(1, 1 << 32, (2000, 400), dtype=np.uint32)
+    ats = np.tile(np.arange(300), len(texts))
+    seeds = pa.StructArray.from_arrays([pa.array(ats + 1000), pa.array(np.full(len(ats), 993))], ["at", "shift"])
+    numbers = {"doc_id": np.arange(2000) + 5000, "tag": np.arange(2000), "source_id": np.arange(2000), "source_tag": np.arange(2000), "low": np.full(2000, 1000), "source_low": np.full(2000, 7)}
+    columns = {k: pa.array(v) for k, v in numbers.items()} | {"seeds": pa.ListArray.from_arrays(pa.array(np.arange(2001, dtype=np.int32) * 300), seeds)}
+    columns |= {c: pa.array([x.tobytes() for x in texts], pa.binary()) for c in ("own", "other")}
+    got, most = peak_of(lambda: cw._verified(Batches(pa.RecordBatch.from_pydict(columns)), 5, 46, 80))
+    rows = pa.Table.from_batches(got.batches).to_pylist()
+    assert rows == [{"doc_id": k + 5000, "tag": k, "start": 1000, "end": 1400, "source_id": k, "source_tag": k, "source_start": 7, "source_end": 407, "equal": 396} for k in range(2000)]
+    assert most < 60 << 20
