@@ -694,9 +694,10 @@ def _equal_ahead(x: np.ndarray, y: np.ndarray) -> int:
     """How many of the first places of x and y are equal."""
     m, at, size = min(len(x), len(y)), 0, 64
     while at < m:
-        bad = np.flatnonzero(x[at : min(at + size, m)] != y[at : min(at + size, m)])
-        if len(bad):
-            return at + int(bad[0])
+        bad = x[at : min(at + size, m)] != y[at : min(at + size, m)]
+        first = int(bad.argmax())
+        if bad[first]:
+            return at + first
         at, size = at + size, size * 2
     return m
 
@@ -706,13 +707,16 @@ def _next_equal(x: np.ndarray, y: np.ndarray, most: int) -> tuple[int, int] | No
     size = min(16, most)
     while True:
         p, q = x[:size], y[:size]
-        order = np.argsort(q, kind="stable")
-        at = np.searchsorted(q[order], p)
-        i = np.flatnonzero(at < len(q))
-        i = i[q[order[at[i]]] == p[i]]
-        if len(i):
+        if size <= 64:  # each with each costs less than to sort them
+            i, j = (p[:, None] == q).nonzero()
+        else:
+            order = np.argsort(q, kind="stable")
+            at = np.searchsorted(q[order], p)
+            i = np.flatnonzero(at < len(q))
+            i = i[q[order[at[i]]] == p[i]]
             j = order[at[i]]
-            k = int(np.argmin(i + j))
+        if len(i):
+            k = int((i + j).argmin())
             return int(i[k]), int(j[k])
         if size >= most:
             return None

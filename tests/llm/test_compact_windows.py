@@ -351,3 +351,34 @@ def test_pairs_of_a_batch_are_verified_in_pieces():
     rows = pa.Table.from_batches(got.batches).to_pylist()
     assert rows == [{"doc_id": k + 5000, "tag": k, "start": 1000, "end": 1400, "source_id": k, "source_tag": k, "source_start": 7, "source_end": 407, "equal": 396} for k in range(2000)]
     assert most < 60 << 20
+
+
+def test_gaps_of_a_few_words_cost_no_sort(monkeypatch):
+    """Most of op4's gaps end within 16 shingles: there all places are compared at once."""
+    rng = np.random.default_rng(35)
+    cases = [(rng.integers(0, 60, rng.integers(1, 30)), rng.integers(0, 60, rng.integers(1, 30)), int(rng.integers(1, 40))) for _ in range(300)]
+
+    def nearest(x, y, most):
+        for size in (16, 32, 64):
+            size = min(size, most)
+            found = [(i + j, i, j) for i, a in enumerate(x[:size]) for j, b in enumerate(y[:size]) if a == b]
+            if found or size == most:
+                return min(found)[1:] if found else None
+
+    def fail(*a, **b):
+        raise AssertionError("sorted")
+
+    monkeypatch.setattr(cw.np, "argsort", fail)
+    got = [cw._next_equal(*c) for c in cases]
+    monkeypatch.undo()
+    assert got == [nearest(*c) for c in cases] and None in got
+
+
+def test_equal_places_ahead():
+    rng = np.random.default_rng(36)
+    for m in (0, 1, 63, 64, 65, 200, 1000):
+        x = rng.integers(0, 9, m)
+        for at in {0, m // 2, m - 1, m} - {-1}:
+            y = x.copy()
+            y[at : at + 1] += 1
+            assert cw._equal_ahead(x, np.r_[y, 1, 2]) == at
